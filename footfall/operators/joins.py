@@ -92,11 +92,12 @@ def hits_per_article(pageviews: DataFrame, articles: DataFrame, count: str = "id
 
     `articles` has (article_id, path). Pages are counted once each, then every
     page is expanded into its own prefixes, whose lengths are those that occur
-    among the articles, and meets the articles by equality.
+    among the articles (at most as many as a URL has characters), and meets the
+    articles by equality.
     """
     pages = pageviews.where("resource IS NOT NULL").groupBy("resource").agg(F.count_distinct(count).alias("n"))
-    lengths = articles.agg(F.collect_set(F.length("path"))).scalar()
-    fitting = F.filter(lengths, lambda n: n <= F.length("resource"))
+    lengths = [r[0] for r in articles.select(F.length("path")).distinct().collect()]
+    fitting = F.filter(F.lit(sorted(lengths)), lambda n: n <= F.length("resource"))
     prefixes = pages.select("n", F.explode(fitting).alias("size"), "resource")
     prefixes = prefixes.select(F.substr("resource", F.lit(1), F.col("size")).alias("path"), "n")
     sums = prefixes.join(articles.select("path").distinct(), "path").groupBy("path").agg(F.sum("n").alias("counthits"))

@@ -12,7 +12,6 @@ from footfall.functions.urls import referrer_domain, trim_slash
 from footfall.operators import aggregates, live, ranking, series, summaries
 from footfall.operators.filters import all_of, in_time_range, read_filters
 from footfall.operators.joins import events_with_pageview, top_events
-from footfall.schema import LIST_LIMIT, LOG_LIMIT
 
 SITE = "example.com"
 
@@ -156,8 +155,6 @@ def _top(report, table, rows, where, limit, offset, request, events):
 
 
 def _recent(report, table, rows, where, limit, offset, request, events):
-    if limit == LIST_LIMIT and report.columns == "*":
-        limit = LOG_LIMIT
     return ranking.recent_rows(rows, report.columns, where, report.more_columns, limit=limit, offset=offset)
 
 

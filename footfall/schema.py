@@ -87,7 +87,6 @@ SESSION_SECONDS = 1800
 ONLINE_SECONDS = 1800
 RECENTLY_ACTIVE_SECONDS = 300
 LIST_LIMIT = 200
-LOG_LIMIT = 50
 RETENTION_DAYS = 420
 TEXT_LIMIT = 2048
 NOTE_LIMIT = 256

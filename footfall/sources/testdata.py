@@ -7,6 +7,7 @@ sides read the same definition. Only the joins a query's columns need are made.
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,7 @@ EVENT_SQL = {
 
 _PAGE = {"resource", "outbound_resource"}
 _REFERRING_PAGE = {"referer", "outbound_resource"}
+_LINKED = _PAGE | _REFERRING_PAGE
 _NATION = {"country"}
 
 
@@ -111,6 +113,12 @@ def base_events(spark: SparkSession, sf_dir: str, start: int | None = None, end:
     )
 
 
+@lru_cache(maxsize=64)
+def page_count(application: str, sf_dir: str) -> int:
+    """Rows of `pages` (a count from the file footers), asked once per session."""
+    return SparkSession.active().read.parquet(f"{sf_dir}/pages.parquet").count()
+
+
 def pageviews(
     spark: SparkSession, sf_dir: str, columns: str = "", start: int | None = None, end: int | None = None
 ) -> DataFrame:
@@ -118,7 +126,7 @@ def pageviews(
     wanted = columns.split() or PAGEVIEW_COLUMNS
     rows = base_events(spark, sf_dir, start, end).alias("e")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    n_pages = pages.select(F.count("*")).scalar()
+    n_pages = page_count(spark.sparkContext.applicationId, sf_dir) if _LINKED & set(wanted) else 1
     if _PAGE & set(wanted):
         rows = rows.join(pages.alias("p"), F.col("e.event_id") % n_pages == F.col("p.page_id"))
     if _REFERRING_PAGE & set(wanted):
