@@ -223,71 +223,83 @@ def _leading_number(text: Column) -> Column:
     return F.regexp_replace(value, r"\.0$", "")
 
 
-def _outcome(agent: Column, rule: Rule) -> Column:
-    def group(g: int) -> Column:
-        return F.regexp_extract(agent, rule.pattern, g)
-
-    browser = group(rule.browser) if isinstance(rule.browser, int) else F.lit(rule.browser)
-    if rule.fallback:
-        browser = F.coalesce(F.nullif(browser, F.lit("")), F.lit(rule.fallback))
-    if rule.version is None:
-        version = F.lit("")
-    else:
-        version = group(rule.version) if isinstance(rule.version, int) else F.lit(rule.version)
-    if rule.product:
-        token, shape = version, r"^([a-zA-Z]+)/(\d+[A-Za-z\.0-9]+)"
-        name = F.regexp_extract(token, shape, 1)
-        if rule.product == "named":
-            own = (token != "") & ~token.rlike("(?i)version")
-            browser = F.when(own, F.substring_index(token, "/", 1)).otherwise(browser)
-            version = F.when(own, F.get(F.split(token, "/"), F.lit(1))).otherwise(F.lit(""))
-        else:
-            build = F.regexp_extract(token, r"^(?:(\d+)\.){1,3}$", 1).try_cast("int")
-            by_build = _first([(build > n, F.lit(v)) for n, v in WEBKIT_BUILDS], F.lit(""))
-            browser = F.when((name != "") & ~name.isin("Version", "Mobile"), name).otherwise(browser)
-            version = (
-                F.when(name != "", F.regexp_extract(token, shape, 2)).when(build.isNotNull(), by_build).otherwise(token)
-            )
-    return F.struct(
-        browser.alias("browser"),
-        _leading_number(version).alias("version"),
-        F.lit(rule.kind).alias("kind"),
-        F.lit(rule.platform or "").alias("platform"),
+def _table() -> Column:
+    """The rules as an array of structs; a group number 0 means "not from the text"."""
+
+    def row(rule: Rule) -> Column:
+        values = {
+            "pattern": rule.pattern,
+            "name": "" if isinstance(rule.browser, int) else rule.browser,
+            "name_group": rule.browser if isinstance(rule.browser, int) else 0,
+            "version": rule.version if isinstance(rule.version, str) else "",
+            "version_group": rule.version if isinstance(rule.version, int) else 0,
+            "kind": rule.kind,
+            "platform": rule.platform or "",
+            "fallback": rule.fallback,
+            "product": rule.product or "",
+        }
+        return F.struct(*[F.lit(v).alias(n) for n, v in values.items()])
+
+    short = Rule("^", UNKNOWN_BROWSER, kind=BOT)
+    unknown = Rule("^", UNKNOWN_BROWSER)
+    return F.array(*[row(r) for r in [short, *RULES, unknown]])
+
+
+def examine(df: DataFrame, agent: str) -> DataFrame:
+    """Add browser, browser_version, browser_type and platform for an agent column.
+
+    The first matching rule is found by one chain of expressions; its row of the
+    table then says which groups of the text to take.
+    """
+    text = F.coalesce(F.col(agent), F.lit(""))
+    matches = [(F.length(text) <= 5, F.lit(0))]
+    matches += [(text.rlike(r.pattern), F.lit(i)) for i, r in enumerate(RULES, 1)]
+    found = df.withColumn("_rule", F.get(_table(), _first(matches, F.lit(len(RULES) + 1))))
+    found = found.withColumn("_system", platform_of(text)).withColumn("_bot", text.rlike(BOT_PATTERN))
+
+    rule = {n: F.col(f"_rule.{n}") for n in
+            ("pattern", "name", "name_group", "version", "version_group", "kind", "platform", "fallback", "product")}
+
+    def taken(group: Column, literal: Column) -> Column:
+        return F.when(group > 0, F.call_function("regexp_extract", text, rule["pattern"], group)).otherwise(literal)
+
+    found = found.withColumn("_name", taken(rule["name_group"], rule["name"]))
+    found = found.withColumn("_token", taken(rule["version_group"], rule["version"]))
+    name, token = F.col("_name"), F.col("_token")
+    name = F.when(name == "", rule["fallback"]).otherwise(name)
+
+    shape = r"^([a-zA-Z]+)/(\d+[A-Za-z\.0-9]+)"
+    product, number = F.regexp_extract(token, shape, 1), F.regexp_extract(token, shape, 2)
+    build = F.regexp_extract(token, r"^(?:(\d+)\.){1,3}$", 1).try_cast("int")
+    by_build = _first([(build > n, F.lit(v)) for n, v in WEBKIT_BUILDS], F.lit(""))
+    named, safari = rule["product"] == "named", rule["product"] == "safari"
+    own_name = named & (token != "") & ~token.rlike("(?i)version")
+    browser = (
+        F.when(own_name, F.substring_index(token, "/", 1))
+        .when(safari & (product != "") & ~product.isin("Version", "Mobile"), product)
+        .otherwise(name)
+    )
+    version = (
+        F.when(own_name, F.get(F.split(token, "/"), F.lit(1)))
+        .when(named, F.lit(""))
+        .when(safari & (product != ""), number)
+        .when(safari & build.isNotNull(), by_build)
+        .otherwise(token)
     )
 
-
-def detect(agent) -> Column:
-    """Struct (browser, browser_version, browser_type, platform) of an agent."""
-    agent = F.coalesce(as_column(agent), F.lit(""))
-
-    def result(browser, version, kind, platform) -> Column:
-        return F.struct(
-            browser.alias("browser"),
-            version.alias("browser_version"),
-            kind.cast("int").alias("browser_type"),
-            platform.alias("platform"),
-        )
-
-    def plain(kind: int) -> Column:
-        return F.struct(
-            F.lit(UNKNOWN_BROWSER).alias("browser"),
-            F.lit("0").alias("version"),
-            F.lit(kind).alias("kind"),
-            F.lit("").alias("platform"),
-        )
-
-    found = _first(
-        [(F.length(agent) <= 5, plain(BOT))] + [(agent.rlike(r.pattern), _outcome(agent, r)) for r in RULES],
-        plain(DESKTOP),
+    bot, wanted = F.col("_bot"), rule["platform"]
+    fixed = ~wanted.isin("", "read")
+    kind = F.when(bot, F.lit(BOT)).otherwise(rule["kind"])
+    look_up = (wanted == "read") | (~fixed & (kind % 2 == 0))
+    platform = F.when(fixed, wanted).when(look_up, F.col("_system.platform")).otherwise(F.lit(UNKNOWN_PLATFORM))
+    final_kind = F.when(bot, F.lit(BOT)).when(look_up, F.col("_system.kind")).otherwise(kind)
+    return found.select(
+        *df.columns,
+        browser.alias("browser"),
+        _leading_number(version).alias("browser_version"),
+        final_kind.cast("int").alias("browser_type"),
+        platform.alias("platform"),
     )
-    system = platform_of(agent)
-    bot = agent.rlike(BOT_PATTERN)
-    fixed = ~found["platform"].isin("", "read")
-    kind = F.when(bot, F.lit(BOT)).otherwise(found["kind"])
-    look_up = (found["platform"] == "read") | (~fixed & (kind % 2 == 0))
-    platform = F.when(fixed, found["platform"]).when(look_up, system["platform"]).otherwise(F.lit(UNKNOWN_PLATFORM))
-    final_kind = F.when(bot, F.lit(BOT)).when(look_up, system["kind"]).otherwise(kind)
-    return result(found["browser"], found["version"], final_kind, platform)
 
 
 def enrich_agents(hits: DataFrame, agent: str = "user_agent") -> DataFrame:
@@ -297,9 +309,8 @@ def enrich_agents(hits: DataFrame, agent: str = "user_agent") -> DataFrame:
     is joined back. A NULL agent is joined as empty text. Adaptive execution
     broadcasts the answers when they are small and splits a hot agent when not.
     """
-    keyed = hits.withColumn("agent_key", F.coalesce(F.col(agent), F.lit("")))
-    answers = keyed.select("agent_key").distinct().withColumn("found", detect("agent_key"))
     fields = ["browser", "browser_version", "browser_type", "platform"]
-    columns = [c for c in hits.columns if c not in fields]
-    return keyed.drop(*fields).join(answers, "agent_key").select(*columns, *[f"found.{f}" for f in fields])
-
+    kept = [c for c in hits.columns if c not in fields]
+    keyed = hits.select(*kept, F.coalesce(F.col(agent), F.lit("")).alias("agent_key"))
+    answers = examine(keyed.select("agent_key").distinct(), "agent_key")
+    return keyed.join(answers, "agent_key").select(*kept, *fields)

@@ -97,7 +97,7 @@ def hits_per_article(pageviews: DataFrame, articles: DataFrame, count: str = "id
     """
     pages = pageviews.where("resource IS NOT NULL").groupBy("resource").agg(F.count_distinct(count).alias("n"))
     lengths = [r[0] for r in articles.select(F.length("path")).distinct().collect()]
-    fitting = F.filter(F.lit(sorted(lengths)), lambda n: n <= F.length("resource"))
+    fitting = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("resource"))
     prefixes = pages.select("n", F.explode(fitting).alias("size"), "resource")
     prefixes = prefixes.select(F.substr("resource", F.lit(1), F.col("size")).alias("path"), "n")
     sums = prefixes.join(articles.select("path").distinct(), "path").groupBy("path").agg(F.sum("n").alias("counthits"))

@@ -18,9 +18,13 @@ from footfall.schema import SESSION_SECONDS
 
 
 def gap_visits(hits: DataFrame, key: str, watermark: str = "1 hour") -> DataFrame:
-    """Visits that end after thirty quiet minutes, once the watermark has passed them."""
-    timed = hits.withWatermark("ts", watermark)
-    visits = timed.groupBy(F.col(key), F.session_window("ts", "30 minutes")).agg(
+    """Visits that end after thirty quiet minutes, once the watermark has passed them.
+
+    Times count in whole seconds. A session window also takes a row exactly at
+    its end, so a window one second shorter parts visits at a gap of 1,800 s.
+    """
+    timed = hits.withColumn("ts", F.date_trunc("second", "ts")).withWatermark("ts", watermark)
+    visits = timed.groupBy(F.col(key), F.session_window("ts", f"{SESSION_SECONDS - 1} seconds")).agg(
         F.count("*").alias("hits"), F.unix_timestamp(F.max("ts")).alias("end")
     )
     return visits.select(key, F.unix_timestamp("session_window.start").alias("start"), "end", "hits")
