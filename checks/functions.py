@@ -237,14 +237,13 @@ _register(
     {"listed": (lambda: text.matches_wildcard("resource", "/EN/*, /fr/!!!, /de/*page=2"),
                 "regexp_matches(resource, '(?i)^(/en/.*|/fr/...|/de/.*page=2)$')")},
 )
-_BOTS = "(4, 5, 6, 10, 12)"
+# Which of the test agents are crawlers by their words (or say nothing at all).
+_BOTS = "(4, 5, 6, 12)"
 
 
 @check("fn_bot_flag", sql(f"SELECT id, (page_performance // 20) % 13 IN {_BOTS} AS bot FROM ranged"))
 def fn_bot_flag(spark, sf_dir):
-    # curl (10) is a crawler only by its rule, the words do not know it.
-    rows = ranged(spark, sf_dir, "id user_agent")
-    return rows.select("id", (agents.is_bot("user_agent") | F.startswith("user_agent", F.lit("curl"))).alias("bot"))
+    return agents.flag_bots(ranged(spark, sf_dir, "id user_agent")).select("id", "bot")
 
 
 _register(

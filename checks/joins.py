@@ -170,16 +170,18 @@ def _number(address: str) -> int:
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
+_GEO_VALUES = ", ".join(
+    f"({_number(low)}, {_number(high)}, '{cc}', '{city}', '{sub}', '{lat}', '{lon}')" for low, high, cc, city, sub, lat, lon in GEO
+)
+
+
 def geo_ranges(spark):
-    rows = [(_number(r[0]), _number(r[1]), *r[2:]) for r in GEO]
-    return spark.createDataFrame(
-        rows, "low long, high long, country_code string, city string, subdivision string, latitude string, longitude string"
+    names = "low, high, country_code, city, subdivision, latitude, longitude"
+    return spark.sql(f"SELECT * FROM VALUES {_GEO_VALUES} AS geo({names})").withColumns(
+        {c: F.col(c).cast("bigint") for c in ("low", "high")}
     )
 
 
-_GEO_VALUES = ", ".join(
-    f"({_number(low)}, {_number(high)}, '{cc}', '{city}', '{sub}', '{lat}', '{lon}')" for low, high, cc, city, sub, lat, lon in GEO
-)
 _IP_NUMBER = (
     "(CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 "
     "+ CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT))"
@@ -210,8 +212,10 @@ SEARCH_URL = (
 
 
 def search_engines(spark):
-    rows = [("finder.{}", "Finder", ["text", "suche"]), ("seek.com", "Seek", ["p"]), ("looker.{}", "Looker", ["q"])]
-    return spark.createDataFrame(rows, "host_key string, engine string, parameters array<string>")
+    return spark.sql(
+        "SELECT * FROM VALUES ('finder.{}', 'Finder', array('text', 'suche')), ('seek.com', 'Seek', array('p')), "
+        "('looker.{}', 'Looker', array('q')) AS engines(host_key, engine, parameters)"
+    )
 
 
 @check(

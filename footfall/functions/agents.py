@@ -302,6 +302,13 @@ def examine(df: DataFrame, agent: str) -> DataFrame:
     )
 
 
+def flag_bots(hits: DataFrame, agent: str = "user_agent") -> DataFrame:
+    """Add `bot`; the long expression is tried once per distinct agent."""
+    keyed = hits.withColumn("agent_key", F.coalesce(F.col(agent), F.lit("")))
+    answers = keyed.select("agent_key").distinct().withColumn("bot", is_bot("agent_key"))
+    return keyed.join(answers, "agent_key").select(*hits.columns, "bot")
+
+
 def enrich_agents(hits: DataFrame, agent: str = "user_agent") -> DataFrame:
     """Add the four agent columns; every distinct agent is examined once.
 

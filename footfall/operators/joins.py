@@ -119,7 +119,7 @@ def geo_lookup(hits: DataFrame, ranges: DataFrame, address: str = "ip", with_cit
     distinct = distinct.withColumn("block", F.shiftright("number", 16))
     found = distinct.join(blocks, "block").where(F.col("number").between(F.col("low"), F.col("high")))
     place = F.when(F.col("subdivision") != "", F.concat("city", F.lit(" ("), "subdivision", F.lit(")"))).otherwise(F.col("city"))
-    known = found.where("country_code <> 'xx' AND country_code <> ''").select(
+    known = found.where("lower(country_code) <> 'xx' AND country_code <> ''").select(
         address,
         F.lower("country_code").alias("geo_country"),
         (place if with_city else F.lit(None).cast("string")).alias("geo_city"),

@@ -2,7 +2,8 @@
 
 Tables are Parquet by day. A job rewrites only the days it touches (dynamic
 partition overwrite); days that end up empty are removed. Every job can run
-again after a failure: appends skip known ids, overwrites give the same days.
+again after a failure: appends skip known ids, archiving gives the same days,
+and folded updates are staged under a name of their own.
 """
 
 from __future__ import annotations
@@ -13,8 +14,16 @@ from pyspark.sql import functions as F
 from footfall.functions.times import day_of
 from footfall.operators.ingest import fold_updates
 from footfall.schema import DAY, EMPTY_ADDRESS, RETENTION_DAYS
-from footfall.session import materialise
-from footfall.sources.tables import append_rows, drop_days, read_events, read_pageviews, replace_days, with_day
+from footfall.session import scratch_path
+from footfall.sources.tables import (
+    append_rows,
+    drop_days,
+    is_complete,
+    read_events,
+    read_pageviews,
+    replace_days,
+    with_day,
+)
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
@@ -42,27 +51,34 @@ def _days(rows: DataFrame) -> list:
     return [r[0] for r in rows.select("dt_date").distinct().collect()]
 
 
-def rewrite(table: DataFrame, path: str, touched: DataFrame, change) -> None:
+def rewrite(table: DataFrame, path: str, touched: DataFrame, change, stage: str | None = None) -> None:
     """Replace the days on which `touched` has rows by `change(rows of the day)`.
 
     The new content is written to the shared folder first, so a lost executor
-    or a failed overwrite never leaves a half-read table behind.
+    or a failed overwrite never leaves a half-read table behind. With a `stage`
+    path a run that finds its own finished stage only repeats the overwrite;
+    that makes changes which must not be applied twice safe to run again.
     """
+    spark = table.sparkSession
+    if stage and is_complete(spark, stage):
+        replace_days(spark.read.schema(table.schema).parquet(stage), path)
+        return
     days = _days(with_day(touched))
     if not days:
         return
-    rows = change(table.where(F.col("dt_date").isin(days)))
-    staged = materialise(rows, "rewrite")
-    left = _days(staged)
+    stage = stage or scratch_path(spark, "rewrite")
+    change(table.where(F.col("dt_date").isin(days))).write.mode("overwrite").parquet(stage)
+    staged = spark.read.schema(table.schema).parquet(stage)
+    left = set(_days(staged))
     replace_days(staged, path)
-    drop_days(table.sparkSession, path, [str(d) for d in days if d not in set(left)])
+    drop_days(spark, path, [str(d) for d in days if d not in left])
 
 
-def merge_updates(spark: SparkSession, path: str, updates: DataFrame) -> None:
+def merge_updates(spark: SparkSession, path: str, updates: DataFrame, stage: str | None = None) -> None:
     """Fold later updates into the stored page views."""
     table = read_pageviews(spark, path)
-    touched = table.join(updates.select("id").distinct(), "id", "left_semi")
-    rewrite(table, path, touched, lambda rows: fold_updates(rows, updates))
+    touched = table.select("id", "dt_date").join(updates.select("id").distinct(), "id", "left_semi")
+    rewrite(table, path, touched, lambda rows: fold_updates(rows, updates), stage)
 
 
 def cutoff(as_of: int, days: int = RETENTION_DAYS) -> int:

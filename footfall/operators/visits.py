@@ -70,8 +70,7 @@ def fold_in_order(
     batches: only the state crosses a batch, so a long key needs no memory.
     `step(state, arrays) -> (state, column)` handles one run of one key.
     """
-    width = int(seconds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = seconds.repartition(width, key).sortWithinPartitions(key, "dt")
+    ordered = seconds.repartition(key).sortWithinPartitions(key, "dt")
     name = output.fields[-1].name
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

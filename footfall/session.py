@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "footfall", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -51,12 +51,3 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused, so never cleared."""
     return f"{shared_folder(spark)}/footfall/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
-
-def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write `df` once and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

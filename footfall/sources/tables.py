@@ -41,30 +41,30 @@ def day_range(start: int, end: int) -> Column:
     return F.col("dt_date").between(first, last)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append to a table by day.
+def _by_day(df: DataFrame) -> DataFrame:
+    """Rows brought together by day in partitions of even size.
 
-    Rows are spread by day and a hash of the id, so one busy day is written by
-    many tasks and every task holds few days open.
+    Rebalancing splits a busy day over as many tasks as its size asks for and
+    puts quiet days together.
     """
-    rows = with_day(df)
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.xxhash64("id"), F.lit(max(1, width // 8)))
-    rows.repartition("dt_date", spread).write.mode("append").partitionBy("dt_date").parquet(path)
+    return with_day(df).hint("rebalance", "dt_date")
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Append to a table by day."""
+    _by_day(df).write.mode("append").partitionBy("dt_date").parquet(path)
 
 
 def replace_days(df: DataFrame, path: str) -> None:
     """Overwrite only the days present in `df`; other days stay."""
-    rows = with_day(df)
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.xxhash64("id"), F.lit(max(1, width // 8)))
-    (
-        rows.repartition("dt_date", spread)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt_date")
-        .parquet(path)
-    )
+    writer = _by_day(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dt_date").parquet(path)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """True when a write to this path has finished."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def drop_days(spark: SparkSession, path: str, days: list[str]) -> None:

@@ -84,6 +84,9 @@ EVENT_SQL = {
     "dt": "e.dt",
 }
 
+# A page list up to this many rows (about 100 bytes each) is broadcast; a longer one is merged.
+BROADCAST_ROWS = 200_000
+
 _PAGE = {"resource", "outbound_resource"}
 _REFERRING_PAGE = {"referer", "outbound_resource"}
 _LINKED = _PAGE | _REFERRING_PAGE
@@ -98,10 +101,14 @@ def _epoch_literal(seconds: int) -> str:
 def base_events(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """`events` with dt, doy and k; a range becomes a predicate on the scanned column."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    files, width = len(events.inputFiles()), spark.sparkContext.defaultParallelism
     if start is not None:
         events = events.where(f"ts >= {_epoch_literal(start)}")
     if end is not None:
         events = events.where(f"ts < {_epoch_literal(end + 1)}")
+    if files < width:
+        # One small file is read by one task; spread its rows before the work on them.
+        events = events.repartition(width, "event_id")
     return events.selectExpr(
         "event_id",
         "user_id",
@@ -127,6 +134,8 @@ def pageviews(
     rows = base_events(spark, sf_dir, start, end).alias("e")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     n_pages = page_count(spark.sparkContext.applicationId, sf_dir) if _LINKED & set(wanted) else 1
+    if n_pages <= BROADCAST_ROWS:
+        pages = pages.hint("broadcast")
     if _PAGE & set(wanted):
         rows = rows.join(pages.alias("p"), F.col("e.event_id") % n_pages == F.col("p.page_id"))
     if _REFERRING_PAGE & set(wanted):

@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.operators.lifecycle import merge_updates
+from footfall.session import scratch_path
 from footfall.sources.tables import with_day
 from footfall.streaming.runs import run_for_each
 
 
 def stream_updates(spark: SparkSession, updates: DataFrame, path: str) -> None:
-    """Fold a stream of updates into the stored page views, batch by batch."""
+    """Fold a stream of updates into the stored page views, batch by batch.
 
-    def fold(batch: DataFrame, _: int) -> None:
-        merge_updates(spark, path, batch)
+    A batch that is repeated after a failure finds its finished stage and does
+    not fold (append notes and links) a second time.
+    """
+    stages = scratch_path(spark, "update-stages")
+
+    def fold(batch: DataFrame, number: int) -> None:
+        merge_updates(spark, path, batch, f"{stages}/{number}")
 
     run_for_each(updates, "updates", fold)
 

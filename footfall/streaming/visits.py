@@ -30,16 +30,27 @@ def gap_visits(hits: DataFrame, key: str, watermark: str = "1 hour") -> DataFram
     return visits.select(key, F.unix_timestamp("session_window.start").alias("start"), "end", "hits")
 
 
+def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hits of one Arrow batch reduced to one row per key and second."""
+    for batch in batches:
+        yield batch.groupby(["key", "dt"], as_index=False).agg(hits=("id", "size"), id=("id", "min"))
+
+
 def _seconds(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct seconds in order, hits per second, smallest id per second."""
-    parts = [b.groupby("dt", as_index=False).agg(hits=("id", "size"), id=("id", "min")) for b in batches]
-    whole = pd.concat(parts).groupby("dt", as_index=False).agg(hits=("hits", "sum"), id=("id", "min"))
+    """Distinct seconds of a key in order, hits per second, smallest id per second."""
+    whole: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch[["dt", "hits", "id"]] if whole is None else pd.concat([whole, batch[["dt", "hits", "id"]]])
+        whole = rows.groupby("dt", as_index=False).agg(hits=("hits", "sum"), id=("id", "min"))
     return whole["dt"].to_numpy(), whole["hits"].to_numpy(), whole["id"].to_numpy()
 
 
 def _keyed(hits: DataFrame, key: str, work, output: str, state: str) -> DataFrame:
-    rows = hits.select(F.col(key).cast("string").alias("key"), "dt", "id")
-    return rows.groupBy("key").applyInPandasWithState(work, output, state, "append", GroupStateTimeout.NoTimeout)
+    """Run `work` per key; hits are combined per second before the shuffle."""
+    named = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rows = hits.select(named.alias("key"), "dt", "id")
+    combined = rows.mapInPandas(_combine, "key string, dt long, hits long, id long")
+    return combined.groupBy("key").applyInPandasWithState(work, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def _anchors(dt: np.ndarray, open_at, length: int) -> tuple[np.ndarray, int]:
