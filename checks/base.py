@@ -26,17 +26,18 @@ def _columns(expressions: dict[str, str]) -> str:
     return ",\n    ".join(f"{text} AS {name}" for name, text in expressions.items())
 
 
-_TABLES = f"""e AS (
+_TABLES = f"""c AS MATERIALIZED (SELECT count(*) AS n_pages FROM pages),
+e AS MATERIALIZED (
   SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000000 AS dt, dayofyear(ts) AS doy,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
-  FROM events),
-c AS (SELECT count(*) AS n_pages FROM pages),
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         event_id % n_pages AS page_key, (event_id * 7 + 3) % n_pages AS from_key, user_id % 25 AS nation_key
+  FROM events CROSS JOIN c),
 pageviews AS (
   SELECT {_columns(testdata.PAGEVIEW_SQL)}
-  FROM e CROSS JOIN c
-  JOIN pages p ON p.page_id = e.event_id % c.n_pages
-  JOIN pages r ON r.page_id = (e.event_id * 7 + 3) % c.n_pages
-  JOIN nation n ON n.n_nationkey = e.user_id % 25),
+  FROM e
+  JOIN (SELECT page_id, url FROM pages) p ON p.page_id = e.page_key
+  JOIN (SELECT page_id, url FROM pages) r ON r.page_id = e.from_key
+  JOIN nation n ON n.n_nationkey = e.nation_key),
 site_events AS (
   SELECT {_columns(testdata.EVENT_SQL)}
   FROM e WHERE e.event_type IN ('click', 'signup', 'purchase')),
