@@ -62,15 +62,15 @@ def check(name: str, oracle: str | None = None):
     return register
 
 
-def pv(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
-    return testdata.pageviews(spark, sf_dir, columns)
+def pv(spark: SparkSession, sf_dir: str, columns: str, spread: bool = False) -> DataFrame:
+    return testdata.pageviews(spark, sf_dir, columns, spread=spread)
 
 
-def ranged(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
+def ranged(spark: SparkSession, sf_dir: str, columns: str, spread: bool = False) -> DataFrame:
     """Page views of the report range; the range also reaches the scan."""
     names = columns.split()
     names += [] if "dt" in names else ["dt"]
-    return in_time_range(testdata.pageviews(spark, sf_dir, " ".join(names), START, END), START, END)
+    return in_time_range(testdata.pageviews(spark, sf_dir, " ".join(names), START, END, spread), START, END)
 
 
 def events(spark: SparkSession, sf_dir: str, columns: str = "") -> DataFrame:

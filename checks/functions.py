@@ -25,7 +25,7 @@ def _register(name: str, columns: str, values: dict[str, tuple], prepare: dict[s
 
     @check(name, sql(f"SELECT id, {selected} FROM (SELECT *{prepared} FROM ranged) AS r"))
     def query(spark, sf_dir):
-        rows = ranged(spark, sf_dir, f"id {columns}").selectExpr("*", *[f"{e} AS {n}" for n, e in inputs.items()])
+        rows = ranged(spark, sf_dir, f"id {columns}", spread=True).selectExpr("*", *[f"{e} AS {n}" for n, e in inputs.items()])
         return rows.select("id", *[make().alias(n) for n, (make, _) in values.items()])
 
 

@@ -41,7 +41,7 @@ PAYLOAD_SQL = {
 
 def raw_hits(spark, sf_dir):
     """Page views re-encoded as the payloads a browser sends."""
-    rows = pv(spark, sf_dir, _RAW_COLUMNS)
+    rows = pv(spark, sf_dir, _RAW_COLUMNS, spread=True)
     fields = [
         (encode_base64url(F.expr(e)) if k in CODED_KEYS else F.expr(e)).alias(k) for k, e in PAYLOAD_SQL.items()
     ]
@@ -114,7 +114,7 @@ _STRANGE = "CASE id % 10 WHEN 0 THEN 'javascript:alert(1)' WHEN 1 THEN concat('h
     ),
 )
 def hit_referer_clean(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id referer notes").withColumn("referer", F.expr(_STRANGE))
+    rows = ranged(spark, sf_dir, "id referer notes", spread=True).withColumn("referer", F.expr(_STRANGE))
     return ingest.clean_referer(rows, ingest.Policy()).select("id", "notes", "searchterms", "referer")
 
 
@@ -139,7 +139,7 @@ _HIT_COLUMNS = "id dt ip other_ip resource referer content_type username languag
 
 def hits_to_judge(spark, sf_dir):
     """Page views with the columns a live hit carries besides."""
-    rows = pv(spark, sf_dir, _HIT_COLUMNS)
+    rows = pv(spark, sf_dir, _HIT_COLUMNS, spread=True)
     spam = spam_list(spark, sf_dir).select("ip").distinct().withColumn("spam", F.lit(True))
     rows = rows.withColumn("dt", F.expr("CASE WHEN id % 101 = 5 THEN NULL ELSE dt END"))
     rows = rows.withColumn("ip", F.expr("CASE WHEN id % 103 = 7 THEN '0.0.0.0' ELSE ip END"))
@@ -248,7 +248,7 @@ CROSS JOIN (SELECT unnest(['plain', 'masked', 'hashed']) AS mode) AS m"""
     ),
 )
 def hit_privacy_mode(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id ip other_ip user_agent dt")
+    rows = ranged(spark, sf_dir, "id ip other_ip user_agent dt", spread=True)
     salt = F.date_format(F.timestamp_seconds("dt"), "yyyy-MM-dd")
     modes = {
         "plain": ingest.Policy(consent_required=True, secret=SECRET),

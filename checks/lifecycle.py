@@ -18,7 +18,7 @@ _ALL_EVENTS = ", ".join(EVENT_COLUMNS)
 def stored(spark, sf_dir, label: str, is_event: bool = False) -> str:
     """A table by day in a fresh folder."""
     path = scratch_path(spark, label)
-    rows = testdata.site_events(spark, sf_dir) if is_event else testdata.pageviews(spark, sf_dir)
+    rows = testdata.site_events(spark, sf_dir) if is_event else testdata.pageviews(spark, sf_dir, spread=True)
     tables.append_rows(rows, path)
     return path
 

@@ -55,19 +55,24 @@ def latest_visit(
 ) -> DataFrame:
     """For each probe (keys, dt) the visit of the latest earlier-or-same row.
 
-    Both sides are reduced to one row per key and second. A source row is sent
-    to its own time slot and the next one, so every window holds at most two
-    slots of seconds, however busy a key is.
+    Both sides are first reduced to one row per key and second. Windows run per
+    key and time slot of eight look-back lengths; a row near the end of its
+    slot is repeated in the next. So a window holds at most nine lengths of
+    seconds, however busy a key is.
     """
-    slot = F.call_function("div", F.col("dt"), F.lit(seconds))
-    sources = history.groupBy(*keys, "dt").agg(F.max_by("visit_id", "id").alias("found"))
-    sources = sources.withColumn("slot", F.explode(F.array(slot, slot + 1))).withColumn("probe", F.lit(False))
-    wanted = probes.select(*keys, "dt").distinct()
-    wanted = wanted.select("*", F.lit(None).cast("bigint").alias("found"), slot.alias("slot"), F.lit(True).alias("probe"))
+    size = F.lit(8 * seconds)
+    asked = probes.select(*keys, "dt", F.lit(None).cast("bigint").alias("visit_id"), F.lit(None).cast("bigint").alias("id"),
+                          F.lit(True).alias("probe"))
+    known = history.select(*keys, "dt", "visit_id", "id", F.lit(False).alias("probe"))
+    each = asked.unionByName(known).groupBy(*keys, "dt").agg(
+        F.max_by("visit_id", "id").alias("found"), F.bool_or("probe").alias("probe")
+    )
+    own, later = F.call_function("div", F.col("dt"), size), F.call_function("div", F.col("dt") + seconds, size)
+    slots = F.when(F.col("found").isNotNull(), F.array_distinct(F.array(own, later))).otherwise(F.array(own))
+    placed = each.withColumn("slot", F.explode(slots))
     window = Window.partitionBy(*keys, "slot").orderBy("dt").rangeBetween(-seconds, 0)
-    both = sources.unionByName(wanted)
-    out = both.withColumn("visit_found", F.last("found", ignorenulls=True).over(window))
-    return out.where("probe").select(*keys, "dt", "visit_found")
+    out = placed.withColumn("visit_found", F.last("found", ignorenulls=True).over(window))
+    return out.where(F.col("probe") & (F.col("slot") == own)).select(*keys, "dt", "visit_found")
 
 
 def flag_new_visitors(df: DataFrame) -> DataFrame:

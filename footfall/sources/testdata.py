@@ -98,16 +98,21 @@ def _epoch_literal(seconds: int) -> str:
     return f"TIMESTAMP_NTZ '{moment:%Y-%m-%d %H:%M:%S}'"
 
 
-def base_events(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """`events` with dt, doy and k; a range becomes a predicate on the scanned column."""
+def base_events(
+    spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None, spread: bool = False
+) -> DataFrame:
+    """`events` with dt, doy and k; a range becomes a predicate on the scanned column.
+
+    `spread` is for costly work per row: where there are fewer files than cores
+    the rows are dealt out first. A table of many files is left as it is.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    files, width = len(events.inputFiles()), spark.sparkContext.defaultParallelism
+    width = spark.sparkContext.defaultParallelism
     if start is not None:
         events = events.where(f"ts >= {_epoch_literal(start)}")
     if end is not None:
         events = events.where(f"ts < {_epoch_literal(end + 1)}")
-    if files < width:
-        # One small file is read by one task; spread its rows before the work on them.
+    if spread and len(events.inputFiles()) < width:
         events = events.repartition(width, "event_id")
     return events.selectExpr(
         "event_id",
@@ -127,11 +132,12 @@ def page_count(application: str, sf_dir: str) -> int:
 
 
 def pageviews(
-    spark: SparkSession, sf_dir: str, columns: str = "", start: int | None = None, end: int | None = None
+    spark: SparkSession, sf_dir: str, columns: str = "", start: int | None = None, end: int | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Page views with the named columns (all 33 when none are named)."""
     wanted = columns.split() or PAGEVIEW_COLUMNS
-    rows = base_events(spark, sf_dir, start, end).alias("e")
+    rows = base_events(spark, sf_dir, start, end, spread).alias("e")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     n_pages = page_count(spark.sparkContext.applicationId, sf_dir) if _LINKED & set(wanted) else 1
     if n_pages <= BROADCAST_ROWS:
