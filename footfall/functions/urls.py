@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.text import as_column
@@ -10,16 +10,11 @@ from footfall.functions.text import as_column
 # Parameters that usually hold search words, in order.
 SEARCH_PARAMETERS = ["ask", "k", "q", "qs", "qt", "query", "s", "string"]
 
-# Country endings a host name may carry.
-COUNTRY_ENDINGS = (
-    "ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bl bm bn bo bq br bs bt bv bw by bz "
-    "ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg eh er es et fi fj fk fm fo fr "
-    "ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp "
-    "ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mf mg mh mk ml mm mn mo mp mq mr ms mt "
-    "mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw "
-    "sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
-    "ua ug um us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
-).split()
+
+def country_endings() -> list[str]:
+    """Country parts a host name may carry: the ISO 3166 codes the platform knows."""
+    codes = SparkSession.active()._jvm.java.util.Locale.getISOCountries()
+    return sorted(code.lower() for code in codes)
 
 
 def referrer_domain(referer) -> Column:
@@ -75,9 +70,9 @@ def normalise_resource(raw, limit: int = 2048) -> Column:
     return F.substring(F.concat(path, query, fragment), 1, limit)
 
 
-def lossy_host(host) -> Column:
+def lossy_host(host, endings: list[str] | None = None) -> Column:
     """Host as a dictionary key: no `www`/`search`/`m` label, country part as `{}`."""
-    country = "(" + "|".join(COUNTRY_ENDINGS) + ")"
+    country = "(" + "|".join(endings or country_endings()) + ")"
     out = F.regexp_replace(as_column(host), r"^(w+\d*|search)\.", "")
     out = F.regexp_replace(out, r"(^|\.)m\.", "$1")
     out = F.regexp_replace(out, r"(\.(com|org|net|co|it|edu))?\." + country + r"(/|$)", ".{}$4")
