@@ -342,8 +342,8 @@ def ext_hit_hooks(spark, sf_dir):
 
 
 def updates(spark, sf_dir):
-    """Two later updates for two thirds of the page views, of which some fields are empty."""
-    rows = pv(spark, sf_dir, "id dt resource").where("id % 3 > 0")
+    """Two later updates for every page that was found, of which some fields are empty."""
+    rows = pv(spark, sf_dir, "id dt content_type").where("content_type <> '404'")
     first = rows.selectExpr(
         "id", "id * 2 AS seq", "concat('[tag:', id % 5, ']') AS notes",
         "CASE WHEN id % 4 = 0 THEN concat('https://one.example.net/', id % 7) ELSE '' END AS outbound_resource",
@@ -358,11 +358,11 @@ def updates(spark, sf_dir):
 
 
 FOLD_SQL = """folded AS (SELECT id,
-  CASE WHEN id % 3 = 0 THEN notes ELSE concat(coalesce(notes, ''), '[tag:', id % 5, ']', CASE WHEN id % 2 = 0 THEN '[late:yes]' ELSE '' END) END AS notes,
-  CASE WHEN id % 3 = 0 OR (id % 4 <> 0 AND id % 6 <> 2) THEN outbound_resource ELSE concat_ws(';;;', nullif(outbound_resource, ''),
+  CASE WHEN content_type = '404' THEN notes ELSE concat(coalesce(notes, ''), '[tag:', id % 5, ']', CASE WHEN id % 2 = 0 THEN '[late:yes]' ELSE '' END) END AS notes,
+  CASE WHEN content_type = '404' OR (id % 4 <> 0 AND id % 6 <> 2) THEN outbound_resource ELSE concat_ws(';;;', nullif(outbound_resource, ''),
     CASE WHEN id % 4 = 0 THEN concat('https://one.example.net/', id % 7) END, CASE WHEN id % 6 = 2 THEN concat('https://two.example.net/', id % 7) END) END AS outbound_resource,
-  CASE WHEN id % 3 = 0 THEN dt_out WHEN id % 7 = 0 THEN dt + 30 ELSE dt + 90 END AS dt_out,
-  CASE WHEN id % 3 > 0 AND id % 5 = 0 THEN concat('10x', id % 9) ELSE resolution END AS resolution
+  CASE WHEN content_type = '404' THEN dt_out WHEN id % 7 = 0 THEN dt + 30 ELSE dt + 90 END AS dt_out,
+  CASE WHEN content_type <> '404' AND id % 5 = 0 THEN concat('10x', id % 9) ELSE resolution END AS resolution
 FROM pageviews)"""
 
 

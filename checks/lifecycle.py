@@ -159,12 +159,12 @@ def subject_export_pageviews(spark, sf_dir):
 
 
 def people(spark, sf_dir):
-    """Everybody whose user number is a multiple of 21 asks for erasure."""
-    rows = testdata.base_events(spark, sf_dir).where("user_id % 21 = 0")
+    """Everybody with a purchase marked k = 50 asks for erasure."""
+    rows = testdata.base_events(spark, sf_dir).where("event_type = 'purchase' AND k = 50")
     return rows.select(F.expr("concat('user', user_id, '@example.com')").alias("email"))
 
 
-_PEOPLE = "people AS (SELECT DISTINCT concat('user', user_id, '@example.com') AS email FROM e WHERE user_id % 21 = 0)"
+_PEOPLE = "people AS (SELECT DISTINCT concat('user', user_id, '@example.com') AS email FROM e WHERE event_type = 'purchase' AND k = 50)"
 
 
 @check(
