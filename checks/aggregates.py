@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    END, LAST_MOMENT_SQL, SITE, START, bigint, check, events, last_moment, percent_sql, pv, ranged, sql,
+    END, LAST_MOMENT_SQL, SITE, START, check, last_moment, percent_sql, pv, ranged, sql,
 )
 from footfall.functions.urls import referrer_domain
 from footfall.operators import aggregates, live, lifecycle, summaries

@@ -92,6 +92,3 @@ def percent_sql(part: str, whole: str, scale: int = 100) -> str:
         f"ELSE CAST(0 AS DOUBLE) END"
     )
 
-
-def bigint(text: str) -> str:
-    return f"CAST({text} AS BIGINT)"

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from footfall.schema import NOTE_LIMIT, SESSION_SECONDS, TEXT_LIMIT  # noqa: F401
+from footfall.schema import TEXT_LIMIT
 
 DOWNLOAD_EXTENSIONS = ("pdf", "doc", "xls", "zip")  # fixed values
 
