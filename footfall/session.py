@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,19 +37,38 @@ def build_session(app: str = "footfall", master: str | None = None, partitions:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by `spark.checkpoint.dir`.
 
-    Only a local session without that setting (tests) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder, one per process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="footfall-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="footfall-")
+    return _LOCAL["folder"]
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused, so never cleared."""
     return f"{shared_folder(spark)}/footfall/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, wherever they were started."""
+    context = spark.sparkContext
+    if _LOCAL.get("shipped") == context.applicationId:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="footfall-package-"), "footfall.zip")  # the driver serves it
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _LOCAL["shipped"] = context.applicationId
