@@ -44,32 +44,38 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 class Memo(dict):
-    """Results by key, at most twice `most`: the full generation is kept once as `old`.
+    """Results by key: each key has a place in `values`. Two generations of about `most` keys are kept.
 
-    It only saves work; a forgotten key is computed again.
+    It only saves work; a forgotten key is computed again. Keys longer than `longest` are forgotten at once.
     """
 
     def __init__(self, most: int, longest: int = 64):
         super().__init__()
-        self.old: dict = {}
+        self.values_, self.old, self.new, self.long = [], {}, [], []
         self.most, self.longest = most, longest
 
-    def fill(self, keys, compute: Callable[[list], list]) -> dict:
-        """A mapping that has all of `keys`; `compute` gets the list of the unknown ones."""
-        new = []
-        for key in keys - self.keys():
-            if key in self.old:
-                self[key] = self.old[key]
-            else:
-                new.append(key)
-        long = {}
-        for key, value in zip(new, compute(new) if new else (), strict=True):
-            if len(key) > self.longest:
-                long[key] = value
-            else:
-                self[key] = value
-        have = {**{k: self[k] for k in keys if k not in long}, **long} if long else dict(self) if len(self) > self.most else self
+    def __missing__(self, key):
+        at = self[key] = len(self.values_)
+        value = self.old.get(key) if self.old else None
+        self.values_.append(value)
+        if value is None:
+            self.new.append(key)
+        return at
+
+    def look_up(self, rows: list[list], compute: Callable[[list], list]) -> list[list]:
+        """The results of each row's keys; `compute` gets the list of the unknown ones."""
+        values = self.values_
+        for key in self.long:
+            values[self.pop(key)] = None
+        self.long = []
         if len(self) > self.most:
-            self.old = have if have is not self else dict(self)
+            self.old = {key: values[at] for key, at in self.items()}
             self.clear()
-        return have
+            values = self.values_ = []
+        places = [[self[key] for key in keys] for keys in rows]
+        new, self.new = self.new, []
+        if new:
+            for key, value in zip(new, compute(new), strict=True):
+                values[self[key]] = value
+            self.long = [key for key in new if len(key) > self.longest]
+        return [[values[at] for at in row] for row in places]

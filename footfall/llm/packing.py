@@ -13,7 +13,9 @@ salt within a length, so a length that a third of all pieces have is spread over
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,35 +29,56 @@ from footfall.llm.common import Memo, slices, stored, texts
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words that a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Letters, then signs: words that the tokenizer surely cuts into these two, in lower case. Composed Latin letters
+#: only; a word with anything else (digits, apostrophes, marks that combine) is left to the tokenizer as it is.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordIds:
     """Ids of a text, word by word, for a tokenizer that drops white space between words.
 
     ASCII white space always ends a word of such a tokenizer and leaves no id, so the ids of a text are
-    those of its words in order; the tokenizer sees every new word once.
+    those of its words in order; the tokenizer sees every new word, or its letters and its signs apart, once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(REMEMBERED)
+        self.words, self.parts = Memo(REMEMBERED), Memo(REMEMBERED)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Runs of letters or of signs, all in one text; the last id of each has the word end."""
+        ids = np.array(self._one(" ".join(parts)), "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(parts):
+            return self._whole(parts)
+        flat = ids.tobytes()
+        return [flat[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        cut = [_SIMPLE.fullmatch(w.decode()) for w in words]
+        parts = [([m[1].lower(), m[2]] if m[2] else [m[1].lower()]) if m else [] for m in cut]
+        rest = iter(self._whole([w.decode() for w, m in zip(words, cut, strict=True) if not m]))
+        return [b"".join(x) if x else next(rest) for x in self.parts.look_up(parts, self._parts)]
 
     def encode_batch(self, rows: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [x.encode().split() for x in rows]
-        keys = set()
-        for words in split:
-            keys.update(words)
-        known = self.memo.fill(keys, self._encode)
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(x) for x in self.words.look_up(split, self._encode)]
 
 
 _WORDS: dict[str, WordIds] = {}

@@ -137,13 +137,8 @@ class PieceModel:
     def encode_batch(self, rows: list[str]) -> list[tuple[int, str, str, int]]:
         """Per text: number of ids, ids joined by commas, decoded text, units that were mended."""
         split = [self.units(self.normal(x)) if not self.plain else self.units(x) for x in rows]
-        keys = set()
-        for units in split:
-            keys.update(units)
-        known = self.memo.fill(keys, self._checked)
         found = []
-        for units in split:
-            values = [known[u] for u in units]
+        for values in self.memo.look_up(split, self._checked):
             ids = ",".join([v[0] for v in values])
             text = "".join([v[1] for v in values])
             mended = sum([v[2] for v in values])

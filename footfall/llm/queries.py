@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import language, packing, pieces, simhash, toxicity
+from footfall.llm import language, packing, pieces, simhash, sketches, toxicity
 from footfall.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+@query
+def op1_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_versions(documents(spark, sf_dir, "doc_id", "text"))

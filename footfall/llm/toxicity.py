@@ -60,11 +60,7 @@ _FOLDED = Memo(200_000)
 def folded_words(rows: list[str]) -> list[list[str]]:
     """The words of each text in lower case, folded; all else is a word border."""
     split = [_WORD.findall(x.lower()) for x in rows]
-    keys = set()
-    for words in split:
-        keys.update(words)
-    known = _FOLDED.fill(keys, lambda new: [_fold_word(w) for w in new])
-    return [[known[w] for w in words] for words in split]
+    return _FOLDED.look_up(split, lambda new: [_fold_word(w) for w in new])
 
 
 class Matcher:
