@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import language, packing, pieces, simhash, sketches, toxicity
+from footfall.llm import language, lm_scores, packing, pieces, quality, simhash, sketches, toxicity
 from footfall.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprint_versions(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    judged = quality.judge(documents(spark, sf_dir, "doc_id", "text", "lang"), labels, ["doc_id"])
+    return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept", "loss", "low", "high")
+
+
+@query
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return lm_scores.score_by_labels(documents(spark, sf_dir, "doc_id", "text"), labels)
