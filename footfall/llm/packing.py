@@ -33,52 +33,69 @@ REMEMBERED = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: Letters, then signs: words that the tokenizer surely cuts into these two, in lower case. Composed Latin letters
-#: only; a word with anything else (digits, apostrophes, marks that combine) is left to the tokenizer as it is.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Words that the tokenizer surely keeps whole: composed Latin letters only, or ASCII signs other than the apostrophe only.
+_WHOLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+_SIGNS = re.compile(rb"[!-&(-/:-@\[-`{-~]+|[0-9]")
+_LETTERS = bytes([*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)])
+_SPACE = b" \t\n\r\x0b\x0c"
+_PROSE = _LETTERS + _SPACE + b".,"
+_LATIN = _LETTERS + _SPACE + bytes(x for x in range(33, 127) if x != 39 and x not in _LETTERS)
+_RUNS, _NO_LETTERS = (b"..", b".,", b",.", b",,"), (b"\xc3\x97", b"\xc3\xb7")
+
+
+def words_apart(raw: bytes) -> list[bytes]:
+    """The words of a text; where it has Latin letters and plain signs only, signs stand apart, as the tokenizer cuts them.
+
+    So a word is looked up in one form, whatever its capitals and the signs around it. Texts with apostrophes, other
+    letters, marks that combine or the strings of special tokens keep their words as they are.
+    """
+    if not any([x in raw for x in _NO_LETTERS]):
+        if not raw.translate(None, _PROSE) and not any([x in raw for x in _RUNS]):
+            raw = raw.lower().replace(b".", b" . ").replace(b",", b" , ")
+        elif not raw.translate(None, _LATIN) and b"<|" not in raw:
+            raw = _SIGNS.sub(rb" \g<0> ", raw.lower())
+    return raw.split()
 
 
 class WordIds:
     """Ids of a text, word by word, for a tokenizer that drops white space between words.
 
     ASCII white space always ends a word of such a tokenizer and leaves no id, so the ids of a text are
-    those of its words in order; the tokenizer sees every new word, or its letters and its signs apart, once.
+    those of its words in order; the tokenizer sees every new word once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = Memo(REMEMBERED), Memo(REMEMBERED)
+        self.words = Memo(REMEMBERED)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
-    def _whole(self, words: list[str]) -> list[bytes]:
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """Runs of letters or of signs, all in one text; the last id of each has the word end."""
-        ids = np.array(self._one(" ".join(parts)), "<u4")
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Words that stay whole, all in one text: the last id of each has the word end."""
+        found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found[0].ids, "<u4")
         stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) != len(parts):
-            return self._whole(parts)
+        if len(stops) != len(words):
+            return self._one_by_one(words)
         flat = ids.tobytes()
         return [flat[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
-    def _one(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        cut = [_SIMPLE.fullmatch(w.decode()) for w in words]
-        parts = [([m[1].lower(), m[2]] if m[2] else [m[1].lower()]) if m else [] for m in cut]
-        rest = iter(self._whole([w.decode() for w, m in zip(words, cut, strict=True) if not m]))
-        return [b"".join(x) if x else next(rest) for x in self.parts.look_up(parts, self._parts)]
+        decoded = [w.decode() for w in words]
+        whole = [_WHOLE.fullmatch(w) is not None for w in decoded]
+        kinds = {True: [w for w, k in zip(decoded, whole, strict=True) if k], False: [w for w, k in zip(decoded, whole, strict=True) if not k]}
+        found = {True: iter(self._together(kinds[True])), False: iter(self._one_by_one(kinds[False]))}
+        return [next(found[k]) for k in whole]
 
     def encode_batch(self, rows: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [x.encode().split() for x in rows]
-        return [b"".join(x) for x in self.words.look_up(split, self._encode)]
+        return [b"".join(x) for x in self.words.look_up([words_apart(x.encode()) for x in rows], self._encode)]
 
 
 _WORDS: dict[str, WordIds] = {}
