@@ -24,7 +24,7 @@ SEED = 2024
 LEARN_FROM = 4_000
 UNKNOWN = "und"
 #: A text whose best cosine is lower looks like no language that was learned.
-LEAST_LIKENESS = 0.08
+LEAST_LIKENESS = 0.02
 #: Letters have codes below this; Latin letters have their own, rarer scripts share the rest.
 _CODES = 4096
 _UNIT = 1 << 20

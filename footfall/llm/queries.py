@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import language, lm_scores, packing, pieces, quality, simhash, sketches, toxicity
+from footfall.llm import html_text, language, lm_scores, packing, pieces, quality, simhash, sketches, toxicity, url_rules
 from footfall.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,7 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), corpus_pipeline.TOKENIZER)
 
 
 @query
@@ -62,3 +63,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return lm_scores.score_by_labels(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
+@query
+def op5_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
