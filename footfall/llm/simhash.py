@@ -189,10 +189,12 @@ def fingerprint_text(fp: str = "fp"):
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """One document of each group: the one with the least doc_id, with all its columns.
 
-    Of rows that repeat this doc_id with the same text, one stays. Rows without a doc_id can't be told apart
+    Of rows that repeat this doc_id, one stays. Rows without a doc_id can't be told apart
     and all stay.
     """
     groups = near_duplicates(docs, width, radius)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_")), "kept")
+    first = docs.join(kept.where("n_ = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if not kept.where("n_ > 1").take(1):
+        return first
+    return first.unionByName(docs.join(kept.where("n_ > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))

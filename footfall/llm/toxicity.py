@@ -114,7 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: int = LEARN_FROM) -> t
         for batch in slices(batches, 128):
             words, before, after, toxic = [], [], [], []
             for row, label in zip(folded_words(texts(batch)), batch.column("toxic_").to_pylist(), strict=True):
-                seen = set(zip(row, ["", *row[:-1]], [*row[1:], ""], strict=True))
+                seen = set(zip(row, ["", *row], [*row[1:], ""], strict=False))
                 for word, left, right in seen:
                     words.append(word)
                     before.append(left)

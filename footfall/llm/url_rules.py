@@ -107,7 +107,7 @@ def learned(index: str, held: Column) -> Column:
     whole = F.filter(candidates, lambda r: F.size(F.array_except(r["items"], held)) == 0)
     # surest first, then best supported, then the shortest and first by name
     best = F.array_sort(F.transform(whole, lambda r: F.struct((-r["confidence"]).alias("a"), (-r["hits"]).alias("b"), F.size(r["items"]).alias("c"), r["items"].alias("d"), r["verdict"].alias("verdict"))))
-    return F.element_at(F.transform(F.slice(best, 1, 1), lambda r: r["verdict"]), 1) if index != "[]" else F.lit(None).cast("string")
+    return F.try_element_at(F.transform(best, lambda r: r["verdict"]), F.lit(1)) if index != "[]" else F.lit(None).cast("string")
 
 
 def judge(pages: DataFrame) -> DataFrame:
