@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from footfall.operators.filters import in_time_range
 from footfall.sources import testdata
@@ -62,15 +61,15 @@ def check(name: str, oracle: str | None = None):
     return register
 
 
-def pv(spark: SparkSession, sf_dir: str, columns: str, spread: bool = False) -> DataFrame:
-    return testdata.pageviews(spark, sf_dir, columns, spread=spread)
+def pv(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
+    return testdata.pageviews(spark, sf_dir, columns)
 
 
-def ranged(spark: SparkSession, sf_dir: str, columns: str, spread: bool = False) -> DataFrame:
+def ranged(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
     """Page views of the report range; the range also reaches the scan."""
     names = columns.split()
     names += [] if "dt" in names else ["dt"]
-    return in_time_range(testdata.pageviews(spark, sf_dir, " ".join(names), START, END, spread), START, END)
+    return in_time_range(testdata.pageviews(spark, sf_dir, " ".join(names), START, END), START, END)
 
 
 def events(spark: SparkSession, sf_dir: str, columns: str = "") -> DataFrame:
@@ -78,8 +77,8 @@ def events(spark: SparkSession, sf_dir: str, columns: str = "") -> DataFrame:
 
 
 def last_moment(spark: SparkSession, sf_dir: str) -> int:
-    """`as_of` of the live queries: the newest time in the data (one row)."""
-    return testdata.base_events(spark, sf_dir).agg(F.max("dt")).first()[0]
+    """`as_of` of the live queries: the newest time in the data."""
+    return testdata.last_moment(spark.sparkContext.applicationId, sf_dir)
 
 
 LAST_MOMENT_SQL = "(SELECT max(dt) FROM pageviews)"

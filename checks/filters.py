@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import END, MIDDAY, START, check, pv, ranged, sql
 from footfall.operators import filters, ranking
-from footfall.plans.ranges import presets
+from footfall.plans.ranges import presets, range_of
 
 # query, column, operator, value, the same test in SQL
 _CASES = [
@@ -31,9 +31,9 @@ _CASES = [
 
 
 def _register(name, column, operator, value, condition):
-    @check(name, sql(f"SELECT id, {column} FROM ranged WHERE {condition}"))
+    @check(name, sql(f"SELECT id, {column} FROM pageviews WHERE {condition}"))
     def query(spark, sf_dir):
-        rows = ranged(spark, sf_dir, f"id {column}")
+        rows = pv(spark, sf_dir, f"id {column}")
         return rows.where(filters.predicate(column, operator, value)).select("id", column)
 
 
@@ -43,29 +43,30 @@ for _case in _CASES:
 
 @check(
     "filter_conjunction",
-    sql("SELECT id, browser, country FROM ranged WHERE browser = 'Chrome' AND country LIKE '%a%' AND visit_id > 0"),
+    sql("SELECT id, browser, country FROM pageviews WHERE browser = 'Chrome' AND country LIKE '%a%' AND visit_id > 0"),
 )
 def filter_conjunction(spark, sf_dir):
     tests = [("browser", "equals", "Chrome"), ("country", "contains", "a"), ("visit_id", "is_greater_than", "0")]
     spec = filters.Filters(columns=[*tests, ("addon_x", "equals", "y")])
-    rows = ranged(spark, sf_dir, "id browser country visit_id")
+    rows = pv(spark, sf_dir, "id browser country visit_id")
     return rows.where(filters.all_of(spec.predicates())).select("id", "browser", "country")
 
 
 @check(
     "filter_spec",
     sql(
-        "SELECT id, browser, country, dt FROM ranged WHERE browser = 'Firefox' AND country LIKE '%i%' "
+        f"SELECT id, browser, country, dt FROM pageviews WHERE browser = 'Firefox' AND country LIKE '%i%' AND dt BETWEEN {END - 10 * 86400 + 1} AND {END} "
         "ORDER BY dt DESC, id DESC LIMIT 50 OFFSET 10"
     ),
 )
 def filter_spec(spark, sf_dir):
     text = (
         "browser equals Firefox&&&country contains i&&&nosuch equals 1&&&city equals &&&"
-        "interval equals -28&&&limit_results equals 50&&&start_from equals 10"
+        "interval equals -10&&&limit_results equals 50&&&start_from equals 10"
     )
     spec = filters.read_filters(text)
-    rows = filters.apply_filters(ranged(spark, sf_dir, "id browser country city"), text)
+    rows = filters.apply_filters(pv(spark, sf_dir, "id dt browser country city"), text)
+    rows = filters.in_time_range(rows, *range_of(spec.dates, END))
     out = rows.orderBy(F.desc("dt"), F.desc("id")).offset(spec.offset).limit(spec.limit)
     return out.select("id", "browser", "country", "dt")
 
@@ -77,28 +78,28 @@ def filter_time_range(spark, sf_dir):
 
 @check(
     "filter_not_null_injection",
-    sql("SELECT id, searchterms, visit_id FROM ranged WHERE searchterms IS NOT NULL AND visit_id <> 0"),
+    sql("SELECT id, searchterms, visit_id FROM pageviews WHERE searchterms IS NOT NULL AND visit_id <> 0"),
 )
 def filter_not_null_injection(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id searchterms visit_id")
+    rows = pv(spark, sf_dir, "id searchterms visit_id")
     kept = rows.where(filters.reported("searchterms") & filters.reported("visit_id"))
     return kept.select("id", "searchterms", "visit_id")
 
 
-@check("filter_author_scope", sql("SELECT id, author FROM ranged WHERE author = 'author3'"))
+@check("filter_author_scope", sql("SELECT id, author FROM pageviews WHERE author = 'author3'"))
 def filter_author_scope(spark, sf_dir):
-    return filters.only_author(ranged(spark, sf_dir, "id author"), "author3").select("id", "author")
+    return filters.only_author(pv(spark, sf_dir, "id author"), "author3").select("id", "author")
 
 
 @check(
     "pred_in",
     sql(
-        "SELECT id, platform, language FROM ranged "
+        "SELECT id, platform, language FROM pageviews "
         "WHERE platform IN ('win10', 'ios') AND language NOT IN ('fr-fr', 'de-de') AND content_id = 7"
     ),
 )
 def pred_in(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id platform language content_id")
+    rows = pv(spark, sf_dir, "id platform language content_id")
     test = filters.in_list("platform", "win10,ios,") & filters.in_list("language", ["fr-fr", "de-de"], negate=True)
     return rows.where(test & filters.in_list("content_id", [0, 7])).select("id", "platform", "language")
 
@@ -181,46 +182,46 @@ def recent_rows(spark, sf_dir):
 
 @check(
     "order_multi",
-    sql("SELECT browser, country, id FROM ranged ORDER BY browser ASC NULLS FIRST, country DESC NULLS LAST, id DESC LIMIT 300"),
+    sql("SELECT browser, country, id FROM pageviews ORDER BY browser ASC NULLS FIRST, country DESC NULLS LAST, id DESC"),
 )
 def order_multi(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id browser country")
-    return rows.orderBy(*ranking.sort_keys("browser ASC, country, id")).limit(300).select("browser", "country", "id")
+    rows = pv(spark, sf_dir, "id browser country")
+    return rows.orderBy(*ranking.sort_keys("browser ASC, country, id")).select("browser", "country", "id")
 
 
 @check(
     "order_tiebreak",
     sql(
-        "SELECT resource, count(*) AS counthits FROM ranged GROUP BY resource "
-        "ORDER BY counthits DESC, resource ASC NULLS FIRST LIMIT 25"
+        "SELECT resource, count(*) AS counthits FROM pageviews GROUP BY resource "
+        "ORDER BY counthits DESC, resource ASC NULLS FIRST"
     ),
 )
 def order_tiebreak(spark, sf_dir):
-    grouped = ranged(spark, sf_dir, "resource").groupBy("resource").agg(F.count("*").alias("counthits"))
-    return grouped.orderBy(*ranking.with_tiebreak("counthits DESC", ["resource"])).limit(25)
+    grouped = pv(spark, sf_dir, "resource").groupBy("resource").agg(F.count("*").alias("counthits"))
+    return grouped.orderBy(*ranking.with_tiebreak("counthits DESC", ["resource"]))
 
 
 @check(
     "order_nulls_last",
-    sql("SELECT id, searchterms FROM ranged ORDER BY searchterms ASC NULLS LAST, id DESC NULLS LAST LIMIT 400"),
+    sql("SELECT id, searchterms FROM pageviews ORDER BY searchterms ASC NULLS LAST, id DESC NULLS LAST"),
 )
 def order_nulls_last(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id searchterms")
+    rows = pv(spark, sf_dir, "id searchterms")
     keys = ranking.sort_keys("searchterms ASC, id DESC", nulls_last=True)
-    return rows.orderBy(*keys).limit(400).select("id", "searchterms")
+    return rows.orderBy(*keys).select("id", "searchterms")
 
 
-@check("limit_offset", sql("SELECT id, dt FROM ranged ORDER BY dt DESC NULLS LAST, id DESC NULLS LAST LIMIT 50 OFFSET 100"))
+@check("limit_offset", sql("SELECT id, dt FROM pageviews ORDER BY dt DESC NULLS LAST, id DESC NULLS LAST LIMIT 50 OFFSET 100"))
 def limit_offset(spark, sf_dir):
-    return ranking.page(ranged(spark, sf_dir, "id dt"), ranking.sort_keys("dt, id"), 50, 3).select("id", "dt")
+    return ranking.page(pv(spark, sf_dir, "id dt"), ranking.sort_keys("dt, id"), 50, 3).select("id", "dt")
 
 
 @check(
     "union_distinct",
-    sql("SELECT browser AS value FROM ranged UNION SELECT platform FROM ranged UNION SELECT country FROM ranged"),
+    sql("SELECT browser AS value FROM pageviews UNION SELECT platform FROM pageviews UNION SELECT country FROM pageviews"),
 )
 def union_distinct(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "browser platform country")
+    rows = pv(spark, sf_dir, "browser platform country")
     return ranking.union_distinct(*[rows.select(F.col(c).alias("value")) for c in ("browser", "platform", "country")])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from checks.aggregates import DOMAIN_SQL
-from checks.base import check, events, pv, ranged, sql
+from checks.base import check, events, pv, sql
 from checks.joins import SEARCH_URL
 from footfall.functions import addresses, agents, hashes, text, times, urls
 from footfall.schema import HASH_LENGTH
@@ -23,9 +23,9 @@ def _register(name: str, columns: str, values: dict[str, tuple], prepare: dict[s
     prepared = "".join(f", {e} AS {n}" for n, e in inputs.items())
     selected = ", ".join(f"{s} AS {n}" for n, (_, s) in values.items())
 
-    @check(name, sql(f"SELECT id, {selected} FROM (SELECT *{prepared} FROM ranged) AS r"))
+    @check(name, sql(f"SELECT id, {selected} FROM (SELECT *{prepared} FROM pageviews) AS r"))
     def query(spark, sf_dir):
-        rows = ranged(spark, sf_dir, f"id {columns}", spread=True).selectExpr("*", *[f"{e} AS {n}" for n, e in inputs.items()])
+        rows = pv(spark, sf_dir, f"id {columns}").selectExpr("*", *[f"{e} AS {n}" for n, e in inputs.items()])
         return rows.select("id", *[make().alias(n) for n, (make, _) in values.items()])
 
 
@@ -243,9 +243,9 @@ _register(
 _BOTS = "(4, 5, 6, 12)"
 
 
-@check("fn_bot_flag", sql(f"SELECT id, (page_performance // 20) % 13 IN {_BOTS} AS bot FROM ranged"))
+@check("fn_bot_flag", sql(f"SELECT id, (page_performance // 20) % 13 IN {_BOTS} AS bot FROM pageviews"))
 def fn_bot_flag(spark, sf_dir):
-    return agents.flag_bots(ranged(spark, sf_dir, "id user_agent")).select("id", "bot")
+    return agents.flag_bots(pv(spark, sf_dir, "id user_agent")).select("id", "bot")
 
 
 _register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.agents import ANSWERS
-from checks.base import check, pv, ranged, sql
+from checks.base import check, pv, sql
 from checks.functions import SECRET, hmac_sql
 from checks.joins import SPAM_SQL, spam_list
 from footfall.functions import agents
@@ -41,7 +41,7 @@ PAYLOAD_SQL = {
 
 def raw_hits(spark, sf_dir):
     """Page views re-encoded as the payloads a browser sends."""
-    rows = pv(spark, sf_dir, _RAW_COLUMNS, spread=True)
+    rows = pv(spark, sf_dir, _RAW_COLUMNS)
     fields = [
         (encode_base64url(F.expr(e)) if k in CODED_KEYS else F.expr(e)).alias(k) for k, e in PAYLOAD_SQL.items()
     ]
@@ -110,11 +110,11 @@ _STRANGE = "CASE id % 10 WHEN 0 THEN 'javascript:alert(1)' WHEN 1 THEN concat('h
     sql(
         """SELECT id, CASE WHEN id % 10 = 0 THEN concat(coalesce(notes, ''), '[Attempted XSS Injection: javascript:alert(1)]') ELSE notes END AS notes,
   CASE WHEN id % 10 = 1 THEN concat('own words', id % 5) END AS searchterms,
-  CASE WHEN id % 10 > 1 THEN referer END AS referer FROM ranged"""
+  CASE WHEN id % 10 > 1 THEN referer END AS referer FROM pageviews"""
     ),
 )
 def hit_referer_clean(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id referer notes", spread=True).withColumn("referer", F.expr(_STRANGE))
+    rows = pv(spark, sf_dir, "id referer notes").withColumn("referer", F.expr(_STRANGE))
     return ingest.clean_referer(rows, ingest.Policy()).select("id", "notes", "searchterms", "referer")
 
 
@@ -139,7 +139,7 @@ _HIT_COLUMNS = "id dt ip other_ip resource referer content_type username languag
 
 def hits_to_judge(spark, sf_dir):
     """Page views with the columns a live hit carries besides."""
-    rows = pv(spark, sf_dir, _HIT_COLUMNS, spread=True)
+    rows = pv(spark, sf_dir, _HIT_COLUMNS)
     spam = spam_list(spark, sf_dir).select("ip").distinct().withColumn("spam", F.lit(True))
     rows = rows.withColumn("dt", F.expr("CASE WHEN id % 101 = 5 THEN NULL ELSE dt END"))
     rows = rows.withColumn("ip", F.expr("CASE WHEN id % 103 = 7 THEN '0.0.0.0' ELSE ip END"))
@@ -193,11 +193,11 @@ def hit_reject_stats(spark, sf_dir):
 @check(
     "hit_user_exclusion",
     sql(
-        """SELECT id, username IS NOT NULL AND (id % 5 = 0 OR id % 7 = 0 OR regexp_matches(username, '^user1.*$')) AS excluded FROM ranged"""
+        """SELECT id, username IS NOT NULL AND (id % 5 = 0 OR id % 7 = 0 OR regexp_matches(username, '^user1.*$')) AS excluded FROM pageviews"""
     ),
 )
 def hit_user_exclusion(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id username").selectExpr(
+    rows = pv(spark, sf_dir, "id username").selectExpr(
         "*",
         "CASE WHEN id % 5 = 0 THEN array('author', 'editor') ELSE array('reader') END AS roles",
         "CASE WHEN id % 7 = 0 THEN array('manage_options') END AS capabilities",
@@ -214,11 +214,11 @@ _CONSENT = {"answer": "id % 3 = 0", "dnt": "id % 5 = 0", "upgrade": "id % 7 = 0"
     sql(
         """SELECT id, NOT (id % 5 = 0) AND id % 3 = 0 AS standard_track, NOT (id % 5 = 0) AND id % 3 = 0 AS standard_identify,
   NOT (id % 5 = 0) AS anonymous_track, NOT (id % 5 = 0) AND (id % 3 = 0 OR id % 7 = 0) AS anonymous_identify,
-  true AS free_track, true AS free_identify, true AS faceless_track, true AS faceless_identify FROM ranged"""
+  true AS free_track, true AS free_identify, true AS faceless_track, true AS faceless_identify FROM pageviews"""
     ),
 )
 def hit_consent_gate(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id").selectExpr("*", *[f"{e} AS {n}" for n, e in _CONSENT.items()])
+    rows = pv(spark, sf_dir, "id").selectExpr("*", *[f"{e} AS {n}" for n, e in _CONSENT.items()])
     policies = {
         "standard": ingest.Policy(consent_required=True, respect_dnt=True),
         "anonymous": ingest.Policy(consent_required=True, respect_dnt=True, anonymous=True),
@@ -243,12 +243,12 @@ _HASHED = "substring(" + hmac_sql(f"{_DAY} || '|' || ip || '|' || user_agent") +
   ELSE hashed END AS ip,
   CASE WHEN answer AND mode = 'plain' THEN other_ip WHEN answer AND mode = 'masked' THEN regexp_replace(other_ip, '[.][0-9]+$', '.0')
   ELSE '' END AS other_ip
-FROM (SELECT id, ip, other_ip, id % 3 = 0 AS answer, {_HASHED} AS hashed FROM ranged) AS r
+FROM (SELECT id, ip, other_ip, id % 3 = 0 AS answer, {_HASHED} AS hashed FROM pageviews) AS r
 CROSS JOIN (SELECT unnest(['plain', 'masked', 'hashed']) AS mode) AS m"""
     ),
 )
 def hit_privacy_mode(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id ip other_ip user_agent dt", spread=True)
+    rows = pv(spark, sf_dir, "id ip other_ip user_agent dt")
     salt = F.date_format(F.timestamp_seconds("dt"), "yyyy-MM-dd")
     modes = {
         "plain": ingest.Policy(consent_required=True, secret=SECRET),
@@ -270,12 +270,12 @@ _ANSWERS = ", ".join(f"({i}, '{b}', '{v}', {k}, '{p}')" for i, (b, v, k, p) in e
     "hit_ua_enrich",
     sql(
         f"""SELECT r.id, a.browser, a.browser_version, a.browser_type, a.platform
-FROM ranged r JOIN answers a ON a.n = (r.page_performance // 20) % {len(ANSWERS)}""",
+FROM pageviews r JOIN answers a ON a.n = (r.page_performance // 20) % {len(ANSWERS)}""",
         f"answers(n, browser, browser_version, browser_type, platform) AS (VALUES {_ANSWERS})",
     ),
 )
 def hit_ua_enrich(spark, sf_dir):
-    rows = agents.enrich_agents(ranged(spark, sf_dir, "id user_agent"))
+    rows = agents.enrich_agents(pv(spark, sf_dir, "id user_agent"))
     return rows.select("id", "browser", "browser_version", "browser_type", "platform")
 
 
@@ -283,12 +283,12 @@ def hit_ua_enrich(spark, sf_dir):
     "redirect_content_type",
     sql(
         """SELECT id, CASE WHEN 200 + content_id * 4 BETWEEN 300 AND 399 THEN concat('redirect:', 200 + content_id * 4) ELSE content_type END AS content_type
-FROM ranged"""
+FROM pageviews"""
     ),
 )
 def redirect_content_type(spark, sf_dir):
     status = F.col("content_id") * 4 + 200
-    return ranged(spark, sf_dir, "id content_id content_type").select(
+    return pv(spark, sf_dir, "id content_id content_type").select(
         "id", ingest.redirect_content_type(status, "content_type").alias("content_type")
     )
 
@@ -325,7 +325,7 @@ def consent_upgrade(spark, sf_dir):
 
 
 @check("ext_hit_hooks", sql(
-    """SELECT id, upper(browser) AS browser, CASE WHEN id % 13 = 0 THEN 302 WHEN id % 17 = 0 THEN 316 END AS hook_code FROM ranged"""
+    """SELECT id, upper(browser) AS browser, CASE WHEN id % 13 = 0 THEN 302 WHEN id % 17 = 0 THEN 316 END AS hook_code FROM pageviews"""
 ))
 def ext_hit_hooks(spark, sf_dir):
     def drop_some(df):
@@ -337,7 +337,7 @@ def ext_hit_hooks(spark, sf_dir):
     def veto(df):
         return df.withColumn("dt", F.when(F.col("id") % 17 != 0, F.col("dt")))
 
-    rows = ranged(spark, sf_dir, "id dt browser")
+    rows = pv(spark, sf_dir, "id dt browser")
     return ingest.apply_hooks(rows, before=drop_some, enrich=shout, after=veto).select("id", "browser", "hook_code")
 
 

@@ -132,9 +132,9 @@ def spam_list(spark, sf_dir):
 SPAM_SQL = f"spam AS (SELECT DISTINCT {testdata.PAGEVIEW_SQL['ip']} AS ip, concat('user', e.user_id) AS username FROM e WHERE e.user_id % 50 = 7)"
 
 
-@check("spam_comment_lookup", sql("SELECT id, ip IN (SELECT ip FROM spam) AS spam FROM ranged", SPAM_SQL))
+@check("spam_comment_lookup", sql("SELECT id, ip IN (SELECT ip FROM spam) AS spam FROM pageviews", SPAM_SQL))
 def spam_comment_lookup(spark, sf_dir):
-    return joins.mark_spam(ranged(spark, sf_dir, "id ip"), spam_list(spark, sf_dir)).select("id", "spam")
+    return joins.mark_spam(pv(spark, sf_dir, "id ip"), spam_list(spark, sf_dir)).select("id", "spam")
 
 
 _ARTICLE_PATH = "regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1)"
@@ -194,12 +194,12 @@ _IP_NUMBER = (
         f"""SELECT r.id, lower(g.cc) AS geo_country,
   CASE WHEN g.sub <> '' THEN concat(g.city, ' (', g.sub, ')') ELSE g.city END AS geo_city,
   CASE WHEN g.cc IS NOT NULL THEN concat(g.lat, ',', g.lon) END AS geo_location
-FROM ranged r LEFT JOIN geo g ON {_IP_NUMBER} BETWEEN g.low AND g.high AND g.cc <> 'XX'""",
+FROM pageviews r LEFT JOIN geo g ON {_IP_NUMBER} BETWEEN g.low AND g.high AND g.cc <> 'XX'""",
         f"geo(low, high, cc, city, sub, lat, lon) AS (VALUES {_GEO_VALUES})",
     ),
 )
 def geo_range_lookup(spark, sf_dir):
-    out = joins.geo_lookup(ranged(spark, sf_dir, "id ip"), geo_ranges(spark))
+    out = joins.geo_lookup(pv(spark, sf_dir, "id ip"), geo_ranges(spark))
     return out.select("id", "geo_country", "geo_city", "geo_location")
 
 
@@ -222,11 +222,11 @@ def search_engines(spark):
     "search_engine_lookup",
     sql(
         """SELECT id, CASE id % 4 WHEN 0 THEN 'Finder' WHEN 1 THEN 'Seek' WHEN 2 THEN 'Looker' END AS engine,
-  CASE WHEN id % 4 <> 2 THEN concat('red shoe ', id % 50) END AS searchterms FROM ranged"""
+  CASE WHEN id % 4 <> 2 THEN concat('red shoe ', id % 50) END AS searchterms FROM pageviews"""
     ),
 )
 def search_engine_lookup(spark, sf_dir):
-    rows = ranged(spark, sf_dir, "id").withColumn("referer", F.expr(SEARCH_URL))
+    rows = pv(spark, sf_dir, "id").withColumn("referer", F.expr(SEARCH_URL))
     return search_words_by_engine(rows, search_engines(spark)).select("id", "engine", "searchterms")
 
 
@@ -236,7 +236,7 @@ _PAGE_PATH = "regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1)"
 @check(
     "title_lookup",
     sql(
-        "SELECT r.id, coalesce(t.title, r.resource) AS title FROM ranged r LEFT JOIN titles t ON t.resource = r.resource",
+        "SELECT r.id, coalesce(t.title, r.resource) AS title FROM pageviews r LEFT JOIN titles t ON t.resource = r.resource",
         f"titles AS (SELECT {_PAGE_PATH} AS resource, concat('Page ', min(page_id)) AS title FROM pages WHERE url LIKE 'https%' GROUP BY 1)",
     ),
 )
@@ -246,7 +246,7 @@ def title_lookup(spark, sf_dir):
     titles = pages.selectExpr(f"{_PAGE_PATH} AS resource", "page_id").groupBy("resource").agg(
         F.concat(F.lit("Page "), F.min("page_id")).alias("title")
     )
-    return joins.with_titles(ranged(spark, sf_dir, "id resource"), titles).select("id", "title")
+    return joins.with_titles(pv(spark, sf_dir, "id resource"), titles).select("id", "title")
 
 
 @check(
@@ -362,14 +362,14 @@ def visit_header_break(spark, sf_dir):
     sql(
         """SELECT id, seconds, CASE WHEN seconds >= 3600 THEN strftime(make_timestamp(seconds * 1000000), '%H:%M:%S')
   ELSE strftime(make_timestamp(seconds * 1000000), '%M:%S') END AS shown
-FROM (SELECT id, CASE WHEN dt_out <> 0 THEN dt_out - dt END AS seconds FROM ranged) AS t"""
+FROM (SELECT id, CASE WHEN dt_out <> 0 THEN dt_out - dt END AS seconds FROM pageviews) AS t"""
     ),
 )
 def time_on_page(spark, sf_dir):
     from footfall.functions.times import clock
 
     seconds = F.when(F.col("dt_out") != 0, F.col("dt_out") - F.col("dt"))
-    rows = ranged(spark, sf_dir, "id dt dt_out").select("id", seconds.alias("seconds"))
+    rows = pv(spark, sf_dir, "id dt dt_out").select("id", seconds.alias("seconds"))
     return rows.withColumn("shown", clock("seconds"))
 
 
@@ -378,12 +378,12 @@ def time_on_page(spark, sf_dir):
     sql(
         """SELECT id, CASE WHEN referer LIKE '%://%.example.org/%' THEN 'search-engine' WHEN browser_type <> 1 THEN 'direct'
   ELSE 'bot' END AS traffic, CASE WHEN notes LIKE '%user:%' THEN 'known-user' WHEN username <> '' THEN 'known-visitor' END AS person
-FROM ranged"""
+FROM pageviews"""
     ),
 )
 def visitor_class(spark, sf_dir):
     from footfall.operators.access_log import visitor_class as classify
 
-    rows = ranged(spark, sf_dir, "id referer browser_type notes username")
+    rows = pv(spark, sf_dir, "id referer browser_type notes username")
     engine = F.coalesce(F.col("referer").like("%://%.example.org/%"), F.lit(False))
     return classify(rows, engine).select("id", "traffic", "person")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import aggregates as agg
-from checks.base import END, ORACLE, START, check, last_moment, sql
+from checks.base import END, ORACLE, START, check, last_moment, percent_sql, sql
 from checks.series import chart_sql
 from footfall.functions.urls import strip_query
 from footfall.plans.api import ask
@@ -127,39 +127,43 @@ for _name, _report in REPORTS.items():
     _register(_name, _report)
 
 
+_OWN_RANGE = f"browser = 'Chrome' AND dt BETWEEN {END - 7 * 86400 + 1} AND {END}"
+
+
 @check(
     "ext_reports",
     sql(
-        agg.top_sql({"author": "upper(author)"}, "content_type = 'post' AND browser = 'Chrome'", "count(*) > 5").replace(
-            "(SELECT count(*) FROM ranged)", "(SELECT count(*) FROM ranged WHERE browser = 'Chrome')"
-        )
+        f"""SELECT upper(author) AS author, count(*) AS counthits,
+  {percent_sql("count(*)", f"(SELECT count(*) FROM pageviews WHERE {_OWN_RANGE})")} AS pct
+FROM pageviews WHERE {_OWN_RANGE} AND content_type = 'post' GROUP BY 1 HAVING count(*) > 5
+ORDER BY counthits ASC, 1 DESC LIMIT 3"""
     ),
 )
 def ext_reports(spark, sf_dir):
-    """A report of the user's own, given as parameters, with a filter text."""
+    """A report of the user's own, given as parameters, with an order, a filter text and date words."""
     EXPRESSIONS.setdefault("upper_author", lambda: F.upper("author"))
-    own = Report("My authors", "top", "author", "content_type = 'post'", "count(*) > 5", expression="upper_author")
-    request = Request(START, END, END, filters="browser equals Chrome")
-    pageviews = testdata.pageviews(spark, sf_dir, "author content_type browser dt", START, END)
-    return run_report(own, pageviews, request)
+    own = Report("My authors", "top", "author", "content_type = 'post'", "count(*) > 5", expression="upper_author", order="counthits ASC, author DESC")
+    request = Request(START, END, END, filters="browser equals Chrome&&&interval equals -7&&&limit_results equals 3")
+    return run_report(own, testdata.pageviews(spark, sf_dir, "author content_type browser dt"), request)
 
 
 @check(
     "ext_api_functions",
     sql(
         """SELECT 'count' AS fn, CAST(count(DISTINCT ip) AS VARCHAR) AS answer, CAST(NULL AS BIGINT) AS counthits
-FROM ranged WHERE browser = 'Firefox'
+FROM week WHERE browser = 'Firefox'
 UNION ALL SELECT 'count-all', CAST(count(DISTINCT ip) AS VARCHAR), NULL FROM pageviews WHERE browser = 'Firefox'
-UNION ALL SELECT 'recent', answer, NULL FROM (SELECT country AS answer FROM ranged WHERE browser = 'Firefox' ORDER BY dt DESC, id DESC LIMIT 200)
-UNION ALL SELECT 'top', answer, counthits FROM (SELECT country AS answer, count(*) AS counthits FROM ranged WHERE browser = 'Firefox'
+UNION ALL SELECT 'recent', answer, NULL FROM (SELECT country AS answer FROM week WHERE browser = 'Firefox' ORDER BY dt DESC, id DESC LIMIT 200)
+UNION ALL SELECT 'top', answer, counthits FROM (SELECT country AS answer, count(*) AS counthits FROM week WHERE browser = 'Firefox'
   GROUP BY country ORDER BY counthits DESC, country ASC NULLS FIRST LIMIT 200)
 UNION ALL SELECT 'top-all', answer, counthits FROM (SELECT split_part(resource, '?', 1) AS answer, count(*) AS counthits
-  FROM pageviews WHERE browser = 'Firefox' GROUP BY 1 ORDER BY counthits DESC, answer ASC NULLS FIRST LIMIT 200)"""
+  FROM pageviews WHERE browser = 'Firefox' GROUP BY 1 ORDER BY counthits DESC, answer ASC NULLS FIRST LIMIT 200)""",
+        f"week AS (SELECT * FROM pageviews WHERE dt BETWEEN {END - 7 * 86400 + 1} AND {END})",
     ),
 )
 def ext_api_functions(spark, sf_dir):
     rows = testdata.pageviews(spark, sf_dir, "id ip country resource browser dt")
-    spec = "browser equals Firefox"
+    spec = "browser equals Firefox&&&interval equals -7"
 
     def answers(function, dimension, table=rows):
         out = ask(table, function, dimension, START, END, spec)

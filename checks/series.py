@@ -116,15 +116,14 @@ def chart_totals(spark, sf_dir):
   count(DISTINCT username) AS names, CAST(sum(server_latency) AS BIGINT) AS total, CAST(trunc(avg(server_latency)) AS BIGINT) AS mean,
   max(server_latency) AS most, min(server_latency) AS least, CAST(sum(DISTINCT screen_width) AS BIGINT) AS widths,
   CAST(sum(DISTINCT screen_width) AS BIGINT) // count(DISTINCT screen_width) AS mean_width
-FROM ranged GROUP BY 1"""
+FROM pageviews GROUP BY 1"""
     ),
 )
 def chart_measures(spark, sf_dir):
-    from checks.base import ranged
     from footfall.functions.times import step_start
 
     m = series.measure
-    rows = ranged(spark, sf_dir, "dt username server_latency screen_width")
+    rows = pv(spark, sf_dir, "dt username server_latency screen_width")
     return rows.groupBy(step_start("dt", "day").alias("bucket")).agg(
         m("COUNT", "*").alias("all_rows"),
         m("COUNT", "username").alias("named"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.schema import ADDRESS_COLUMNS, COLUMN_KIND, EMPTY_ADDRESS, LIST_LIMIT, MULTIVALUE
-from footfall.sources.tables import day_range
+from footfall.sources.tables import day_range, first_day
 
 # Operator names.
 OPERATORS = (
@@ -169,6 +169,14 @@ def in_time_range(df: DataFrame, start: int, end: int) -> DataFrame:
     return rows.where(day_range(start, end)) if "dt_date" in df.columns else rows
 
 
+def since(df: DataFrame, start: int, end: int | None = None) -> DataFrame:
+    """Rows with dt from `start` on (and up to `end`); prunes day partitions when there are any."""
+    if end is not None:
+        return in_time_range(df, start, end)
+    rows = df.where(F.col("dt") >= start)
+    return rows.where(F.col("dt_date") >= first_day(start)) if "dt_date" in df.columns else rows
+
+
 def only_author(df: DataFrame, user: str) -> DataFrame:
     return df.where(predicate("author", "equals", user))
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from footfall.functions.text import blank_to_null
 from footfall.functions.times import minute_of
 from footfall.operators.aggregates import top
-from footfall.schema import ONLINE_SECONDS, RECENTLY_ACTIVE_SECONDS
+from footfall.operators.filters import since
+from footfall.schema import DAY, ONLINE_SECONDS, RECENTLY_ACTIVE_SECONDS
 
 MINUTES = 30
+#: A page stays open for this long at most: who is still alive at a moment came no earlier. Days before aren't read.
+LONGEST_PAGE = 7 * DAY
 
 
 def last_activity() -> Column:
@@ -28,7 +31,7 @@ def window_of(as_of: int, minutes: int = MINUTES) -> tuple[int, int]:
 def live_visits(df: DataFrame, as_of: int) -> DataFrame:
     """Visits touching the window with their first and last minute."""
     first, last = window_of(as_of)
-    rows = df.where((F.col("visit_id") > 0) & (F.col("dt") <= last + 59))
+    rows = since(df, first - LONGEST_PAGE, last + 59).where("visit_id > 0")
     rows = rows.where((F.col("dt") >= first) | (F.col("dt_out") >= first))
     visits = rows.groupBy("visit_id").agg(F.min("dt").alias("began"), F.max(last_activity()).alias("ended"))
     return visits.select(
@@ -39,7 +42,8 @@ def live_visits(df: DataFrame, as_of: int) -> DataFrame:
 def online_count(df: DataFrame, as_of: int) -> DataFrame:
     """How many visits were active in the last thirty minutes."""
     first, _ = window_of(as_of)
-    rows = df.where((F.col("visit_id") > 0) & ((F.col("dt") >= first) | (F.col("dt_out") >= first)))
+    rows = since(df, first - LONGEST_PAGE)
+    rows = rows.where((F.col("visit_id") > 0) & ((F.col("dt") >= first) | (F.col("dt_out") >= first)))
     per = rows.groupBy("visit_id").agg(F.max(last_activity()).alias("ended"))
     return per.agg(F.count_if(minute_of("ended") + 59 >= first).alias("online"))
 
@@ -68,7 +72,7 @@ def users_per_minute(df: DataFrame, as_of: int) -> DataFrame:
 def values_per_minute(df: DataFrame, column: str, as_of: int) -> DataFrame:
     """Distinct pages or countries in each of the thirty minutes."""
     first, last = window_of(as_of)
-    rows = df.where(F.col("dt").between(first, last + 59))
+    rows = since(df, first, last + 59)
     counts = rows.groupBy(minute_of("dt").alias("minute")).agg(F.count_distinct(blank_to_null(column)).alias("cnt"))
     return _filled(df.sparkSession, counts, as_of)
 
@@ -93,7 +97,7 @@ def _filled(spark: SparkSession, counts: DataFrame, as_of: int) -> DataFrame:
 
 def live_counts(df: DataFrame, as_of: int) -> DataFrame:
     """Distinct pages and countries of the last thirty minutes."""
-    rows = df.where(F.col("dt") >= as_of - ONLINE_SECONDS)
+    rows = since(df, as_of - ONLINE_SECONDS)
     return rows.agg(
         F.count_distinct(blank_to_null("resource")).alias("pages_count"),
         F.count_distinct(blank_to_null("country")).alias("countries_count"),
@@ -110,4 +114,4 @@ def online_now(df: DataFrame, column: str, as_of: int, limit: int = 200) -> Data
     where = recently_active(as_of)
     if column == "username":
         where = where & (F.col(column) != "") & F.col(column).isNotNull()
-    return top(df, [column], where, recent=True, limit=limit, share=False)
+    return top(since(df, as_of - RECENTLY_ACTIVE_SECONDS - LONGEST_PAGE), [column], where, recent=True, limit=limit, share=False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.operators.filters import in_time_range
 from footfall.schema import LIST_LIMIT
 
 # Columns of the access log.
@@ -76,7 +77,10 @@ def union_distinct(*frames: DataFrame) -> DataFrame:
 def union_ranges(df: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     """Rows of several date ranges, one after the other, nothing removed.
 
-    One scan serves all ranges: a row is repeated for each range it lies in.
+    One scan of the days between the first and the last serves all ranges: a row is repeated for each range it lies in.
     """
+    if not ranges:
+        return df.withColumn("range_no", F.lit(0)).where("false")
+    df = in_time_range(df, min(s for s, _ in ranges), max(e for _, e in ranges))
     hits = F.array(*[F.when(F.col("dt").between(s, e), F.lit(i)) for i, (s, e) in enumerate(ranges)])
     return df.withColumn("range_no", F.explode(F.array_compact(hits)))

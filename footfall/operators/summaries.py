@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.operators.aggregates import percent, ratio
-from footfall.operators.filters import in_time_range
+from footfall.operators.filters import in_time_range, since as rows_since
 from footfall.schema import DAY, ONLINE_SECONDS, RECENTLY_ACTIVE_SECONDS
 
 # Upper bound and weight in seconds of each duration class.
@@ -42,7 +42,7 @@ def overview(df: DataFrame, start: int, end: int, as_of: int) -> DataFrame:
     inside = F.col("dt").between(start, end)
     days = max(1, -(-(end - start) // DAY))
     since = min(start, midnight - DAY, as_of - ONLINE_SECONDS)
-    one = df.where((F.col("dt") >= since)).agg(
+    one = rows_since(df, since).agg(
         F.count_if(inside).alias("pageviews"),
         F.count_if(inside & F.col("searchterms").isNotNull()).alias("searches"),
         F.count_distinct(F.when(inside, F.col("ip"))).alias("ips"),
@@ -69,93 +69,107 @@ def overview(df: DataFrame, start: int, end: int, as_of: int) -> DataFrame:
 def traffic(df: DataFrame, start: int, end: int, as_of: int, site: str) -> DataFrame:
     """Referrers, search hits, landing pages, bounce pages, new visitors.
 
-    Distinct counts come from their own group-bys, so no row is multiplied the
-    way several DISTINCTs inside one aggregate would.
+    One scan of the range: every row is dealt to the groups it counts for (page, address, referrer), so the
+    distinct counts share one grouping; a second, short scan counts what is going on now.
     """
     rows = in_time_range(df, start, end)
     outside = F.col("referer").isNotNull() & ~F.col("referer").like(f"%{site}%")
     searched = F.col("searchterms").isNotNull() & outside
-    plain = rows.agg(
-        F.count("*").alias("pageviews"),
-        F.count_if(F.col("resource").isNull()).alias("direct"),
-        F.count_if(searched).alias("serp"),
-    )
     in_visit = (F.col("visit_id") > 0) & (F.col("content_type") != "404")
-    pages = (
-        rows.where("resource IS NOT NULL")
-        .groupBy("resource")
-        .agg(F.count_if(in_visit).alias("n"))
-        .agg(F.count("*").alias("pages"), F.count_if(F.col("n") == 1).alias("bounce"))
+
+    def part(kind: str, condition: Column, value, first: Column, second: Column) -> Column:
+        fields = (F.lit(kind).alias("kind"), value.alias("value"), first.cast("int").alias("a"), second.cast("int").alias("b"))
+        return F.when(condition, F.struct(*fields))
+
+    no = F.lit(False)
+    parts = F.array(
+        part("all", F.lit(True), F.lit(None).cast("string"), F.col("resource").isNull(), F.coalesce(searched, no)),
+        part("page", F.col("resource").isNotNull(), F.col("resource"), F.coalesce(in_visit, no), no),
+        part("ip", (F.col("visit_id") > 0) & F.col("ip").isNotNull(), F.col("ip"), F.coalesce(F.expr(HUMAN), no), no),
+        part("referer", F.coalesce(outside, no), F.col("referer"), no, no),
     )
-    referers = rows.where(outside).agg(F.count_distinct("referer").alias("referers"))
-    people = (
-        rows.where("visit_id > 0 AND ip IS NOT NULL")
-        .groupBy("ip")
-        .agg(F.count("*").alias("n"), F.count_if(F.expr(HUMAN)).alias("human"))
-        .agg(F.count_if(F.col("n") == 1).alias("fresh"), F.sum("human").alias("human"))
+    groups = rows.select(F.inline(F.array_compact(parts))).groupBy("kind", "value")
+    counted = groups.agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    of = lambda kind: F.col("kind") == kind
+    total = lambda kind, c: F.coalesce(F.sum(F.when(of(kind), F.col(c))), F.lit(0))
+    one = counted.agg(
+        total("all", "n").alias("pageviews"),
+        total("all", "a").alias("direct"),
+        total("all", "b").alias("serp"),
+        F.count_if(of("referer")).alias("referers"),
+        F.count_if(of("page")).alias("pages"),
+        F.count_if(of("page") & (F.col("a") == 1)).alias("bounce"),
+        F.count_if(of("ip") & (F.col("n") == 1)).alias("fresh"),
+        total("ip", "a").alias("human"),
     )
-    rate = percent(F.col("fresh"), F.coalesce(F.col("human"), F.lit(0)))
+    rate = percent(F.col("fresh"), F.col("human"))
     rate = F.when(rate >= 100, F.lit(100.0)).otherwise(rate)
-    now = df.where(F.col("dt") > as_of - RECENTLY_ACTIVE_SECONDS).agg(F.count_if(searched).alias("now"))
-    parts = [
-        as_rows(
-            plain,
-            {
-                "Pageviews": (1, F.col("pageviews")),
-                "resource_null": (3, F.col("direct")),
-                "From External SERP": (4, F.col("serp")),
-            },
-        ),
-        as_rows(referers, {"Unique Referrers": (2, F.col("referers"))}),
-        as_rows(pages, {"Unique Landing Pages": (5, F.col("pages")), "Bounce Pages": (6, F.col("bounce"))}),
-        as_rows(people, {"New Visitors Rate": (7, rate)}),
-        as_rows(now, {"Currently from search engines": (8, F.col("now"))}),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    now = rows_since(df, as_of - RECENTLY_ACTIVE_SECONDS + 1).agg(F.count_if(searched).alias("now"))
+    numbers = as_rows(
+        one,
+        {
+            "Pageviews": (1, F.col("pageviews")),
+            "Unique Referrers": (2, F.col("referers")),
+            "resource_null": (3, F.col("direct")),
+            "From External SERP": (4, F.col("serp")),
+            "Unique Landing Pages": (5, F.col("pages")),
+            "Bounce Pages": (6, F.col("bounce")),
+            "New Visitors Rate": (7, rate),
+        },
+    )
+    return numbers.unionByName(as_rows(now, {"Currently from search engines": (8, F.col("now"))}))
 
 
 def visitors(df: DataFrame) -> DataFrame:
     """Visits, addresses, bounce rate, known visitors, bots, pages per visit.
 
     The bounce rate counts visit number 0 among the visits but not among the
-    one-page visits. One aggregate per visit carries six of the numbers.
+    one-page visits. One scan: each row is dealt to its visit, address and name, which share one grouping.
     """
-    per = df.groupBy("visit_id").agg(
-        F.count_if(F.expr(HUMAN)).alias("human"),
-        F.count_if(F.expr("browser_type = 1")).alias("bots"),
-        F.count("ip").alias("hits"),
+    human = F.coalesce(F.expr(HUMAN), F.lit(False))
+    visit = F.when(F.col("visit_id") > 0, F.col("visit_id"))
+
+    def part(kind: str, condition: Column, value) -> Column:
+        fields = (
+            F.lit(kind).alias("kind"), value.cast("string").alias("value"), human.cast("int").alias("human"),
+            F.expr("coalesce(browser_type = 1, false)").cast("int").alias("bot"), F.col("ip").isNotNull().cast("int").alias("hit"),
+        )
+        return F.when(condition, F.struct(*fields))
+
+    parts = F.array(
+        part("visit", F.lit(True), F.col("visit_id")),
+        part("ip", visit.isNotNull() & human & F.col("ip").isNotNull(), F.col("ip")),
+        part("name", F.col("username").isNotNull(), F.col("username")),
     )
-    real = F.col("visit_id") > 0
+    groups = df.select(F.inline(F.array_compact(parts))).groupBy("kind", "value")
+    per = groups.agg(F.sum("human").alias("human"), F.sum("bot").alias("bots"), F.sum("hit").alias("hits"))
+    per_visit = F.col("kind") == "visit"
+    real = per_visit & (F.col("value").cast("bigint") > 0)
     one = per.agg(
-        F.count_if(F.col("human") > 0).alias("all_visits"),
-        F.count_if((F.col("human") > 0) & real).alias("visits"),
-        F.count_if((F.col("human") == 1) & (F.col("visit_id") != 0)).alias("single"),
-        F.coalesce(F.sum("bots"), F.lit(0)).alias("bots"),
+        F.count_if(per_visit & F.col("value").isNotNull() & (F.col("human") > 0)).alias("all_visits"),
+        F.count_if(real & (F.col("human") > 0)).alias("visits"),
+        F.count_if(per_visit & (F.col("human") == 1) & (F.col("value") != "0")).alias("single"),
+        F.coalesce(F.sum(F.when(per_visit, F.col("bots"))), F.lit(0)).alias("bots"),
         F.count_if(real).alias("n"),
         F.coalesce(F.sum(F.when(real, F.col("hits"))), F.lit(0)).alias("hits"),
         F.coalesce(F.max(F.when(real, F.col("hits"))), F.lit(0)).alias("longest"),
+        F.count_if(F.col("kind") == "ip").alias("ips"),
+        F.count_if(F.col("kind") == "name").alias("known"),
     )
     bounce = percent(F.col("single"), F.col("all_visits"))
     bounce = F.when(bounce >= 100, F.lit(100.0)).otherwise(bounce)
-    ips = df.where(real & F.expr(HUMAN)).agg(F.count_distinct("ip").alias("ips"))
-    known = df.agg(F.count_distinct("username").alias("known"))
-    return (
-        as_rows(
-            one,
-            {
-                "Visits": (1, F.col("visits")),
-                "Bounce rate": (3, bounce),
-                "Single-page Visits": (5, F.col("single")),
-                "Bots": (6, F.col("bots")),
-                "Pageviews per visit": (7, ratio(F.col("hits"), F.col("n"))),
-                "Longest visit": (8, F.col("longest")),
-            },
-        )
-        .unionByName(as_rows(ips, {"Unique IPs": (2, F.col("ips"))}))
-        .unionByName(as_rows(known, {"Known visitors": (4, F.col("known"))}))
+    return as_rows(
+        one,
+        {
+            "Visits": (1, F.col("visits")),
+            "Unique IPs": (2, F.col("ips")),
+            "Bounce rate": (3, bounce),
+            "Known visitors": (4, F.col("known")),
+            "Single-page Visits": (5, F.col("single")),
+            "Bots": (6, F.col("bots")),
+            "Pageviews per visit": (7, ratio(F.col("hits"), F.col("n"))),
+            "Longest visit": (8, F.col("longest")),
+        },
     )
 
 
@@ -238,7 +252,7 @@ def today_against_yesterday(df: DataFrame, as_of: int, site: str) -> DataFrame:
     yesterday = F.col("dt").between(midnight - DAY, midnight - 1)
     visit = F.when(F.col("visit_id") > 0, F.col("visit_id"))
     outside = F.col("referer").isNotNull() & ~F.col("referer").like(f"%{site}%")
-    return df.where(F.col("dt") >= midnight - DAY).agg(
+    return rows_since(df, midnight - DAY).agg(
         F.count_distinct(F.when(today, visit)).alias("sessions_today"),
         F.count_distinct(F.when(yesterday, visit)).alias("sessions_yesterday"),
         F.count_if(today).alias("views_today"),

@@ -23,14 +23,14 @@ def per_second(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key, "dt").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"))
 
 
-def gap_starts(hits: DataFrame, key: str, gap: int = SESSION_SECONDS, chunk: int = DAY) -> DataFrame:
-    """(key, dt, hits, first_id, start): the visit each second belongs to.
+def with_blocks(seconds: DataFrame, key: str, gap: int, chunk: int = DAY) -> DataFrame:
+    """`seconds` (one row per key and dt) with `block`: the first second since a silence of `gap` seconds.
 
-    A silence of `gap` seconds ends a visit. Windows run per key and day; what
-    crosses midnight (last hit and open visit of the days before) comes from
-    one small row per key and day.
+    Windows run per key and day; what crosses midnight (last hit and open block
+    of the days before) comes from one small row per key and day. A null key
+    is a key like any other.
     """
-    seconds = per_second(hits, key).withColumn("chunk", F.call_function("div", F.col("dt"), F.lit(chunk)))
+    seconds = seconds.withColumn("chunk", F.call_function("div", F.col("dt"), F.lit(chunk)))
     inside = Window.partitionBy(key, "chunk").orderBy("dt")
     before = F.lag("dt").over(inside)
     marked = seconds.withColumn("opens", F.when(F.col("dt") - before >= gap, F.col("dt")))
@@ -42,10 +42,16 @@ def gap_starts(hits: DataFrame, key: str, gap: int = SESSION_SECONDS, chunk: int
     days = days.withColumn("day_open", F.when(fresh, F.col("first")))
     newest = F.coalesce("last_open", "day_open")
     carried = F.last(newest, ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    days = days.select(key, "chunk", F.coalesce("day_open", carried).alias("entry"))
-    joined = marked.join(days, [key, "chunk"])
+    days = days.select(F.col(key).alias("day_key"), F.col("chunk").alias("day_chunk"), F.coalesce("day_open", carried).alias("entry"))
+    same = F.col(key).eqNullSafe(F.col("day_key")) & (F.col("chunk") == F.col("day_chunk"))
     running = F.max("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return joined.select(key, "dt", "hits", "first_id", F.coalesce(running, "entry").alias("start"))
+    out = [c for c in seconds.columns if c != "chunk"]
+    return marked.join(days, same).select(*out, F.coalesce(running, "entry").alias("block"))
+
+
+def gap_starts(hits: DataFrame, key: str, gap: int = SESSION_SECONDS, chunk: int = DAY) -> DataFrame:
+    """(key, dt, hits, first_id, start): the visit each second belongs to; a silence of `gap` seconds ends a visit."""
+    return with_blocks(per_second(hits, key), key, gap, chunk).withColumnRenamed("block", "start")
 
 
 def visits_of(starts: DataFrame, key: str) -> DataFrame:
@@ -62,15 +68,18 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def fold_in_order(
-    seconds: DataFrame, key: str, columns: list[str], output: T.StructType, step: Callable, fresh: Callable
+    seconds: DataFrame, key: str, columns: list[str], output: T.StructType, step: Callable, fresh: Callable, rest: int
 ) -> DataFrame:
     """Walk every key's seconds in time order with a small state.
 
-    Rows are partitioned by key and sorted, then streamed through Arrow
-    batches: only the state crosses a batch, so a long key needs no memory.
-    `step(state, arrays) -> (state, column)` handles one run of one key.
+    A silence of `rest` seconds clears the state, so a key's seconds fall into
+    blocks that are folded apart: a busy key makes as many pieces as it rests.
+    Rows are partitioned by key and block and sorted, then streamed through
+    Arrow batches: only the state crosses a batch, so a long block needs no memory.
+    `step(state, arrays) -> (state, column)` handles one run of one block.
     """
-    ordered = seconds.repartition(key).sortWithinPartitions(key, "dt")
+    blocks = with_blocks(seconds, key, rest)
+    ordered = blocks.repartition(key, "block").sortWithinPartitions(key, "block", "dt")
     name = output.fields[-1].name
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,10 +88,11 @@ def fold_in_order(
             if batch.empty:
                 continue
             codes, names = pd.factorize(batch[key], use_na_sentinel=False)
+            starts = batch["block"].to_numpy()
             arrays = [batch[c].to_numpy() for c in columns]
             results = []
-            for low, high in _runs(codes):
-                owner = names[codes[low]]
+            for low, high in _runs(np.unique(np.stack([codes, starts]), axis=1, return_inverse=True)[1].ravel()):
+                owner = (None if pd.isna(names[codes[low]]) else names[codes[low]], starts[low])
                 if state is None or owner != current:
                     current, state = owner, fresh()
                 state, values = step(state, [a[low:high] for a in arrays])
@@ -119,7 +129,7 @@ def anchors(seconds: DataFrame, key: str, length: int, name: str = "start") -> D
             at = until
         return open_at, out
 
-    return fold_in_order(seconds, key, ["dt"], _schema_with(seconds, name), step, lambda: _UNOPENED)
+    return fold_in_order(seconds, key, ["dt"], _schema_with(seconds, name), step, lambda: _UNOPENED, length)
 
 
 def fixed_starts(hits: DataFrame, key: str, length: int = SESSION_SECONDS) -> DataFrame:
@@ -163,7 +173,7 @@ def rate_limited(hits: DataFrame, key: str = "ip", most: int = 10, quiet: int =
             out[i] = taken
         return (used, last), out
 
-    return fold_in_order(seconds, key, ["dt", "hits"], _schema_with(seconds, "accepted"), step, lambda: (0, None))
+    return fold_in_order(seconds, key, ["dt", "hits"], _schema_with(seconds, "accepted"), step, lambda: (0, None), quiet + 1)
 
 
 def number_visits(visits: DataFrame, key: str, base: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from footfall.functions.urls import referrer_domain, trim_slash
 from footfall.operators import aggregates, live, ranking, series, summaries
 from footfall.operators.filters import all_of, in_time_range, read_filters
 from footfall.operators.joins import events_with_pageview, top_events
+from footfall.plans.ranges import range_of
 
 SITE = "example.com"
 
@@ -31,6 +32,7 @@ class Report:
     data2: tuple = ()
     recent: bool = False
     use_dates: bool = True
+    order: str = ""
 
 
 # Computed keys by name.
@@ -135,6 +137,9 @@ def run_report(name: str | Report, pageviews: DataFrame, request: Request, event
     """The rows of a report, built in or given as parameters."""
     report = REPORTS[name] if isinstance(name, str) else name
     asked = read_filters(request.filters)
+    if asked.dates:  # date words of the filter text take the place of the range
+        start, end = range_of(asked.dates, request.as_of)
+        request = replace(request, start=start, end=end)
     table = pageviews.where(all_of(asked.predicates()))
     rows = in_time_range(table, request.start, request.end) if report.use_dates else table
     limit = request.limit or asked.limit
@@ -151,7 +156,11 @@ def _keys(report: Report) -> dict[str, Column]:
 
 def _top(report, table, rows, where, limit, offset, request, events):
     having = F.expr(report.having) if report.having else None
-    return aggregates.top(rows, _keys(report), where, having, recent=report.recent, limit=limit, offset=offset)
+    keys = _keys(report)
+    if not report.order:
+        return aggregates.top(rows, keys, where, having, recent=report.recent, limit=limit, offset=offset)
+    groups = aggregates.top(rows, keys, where, having, recent=report.recent, limit=None)
+    return groups.orderBy(*ranking.with_tiebreak(report.order, list(keys))).offset(offset).limit(limit)
 
 
 def _recent(report, table, rows, where, limit, offset, request, events):

@@ -34,9 +34,14 @@ def with_day(df: DataFrame) -> DataFrame:
     return df if "dt_date" in df.columns else df.withColumn("dt_date", day_of("dt"))
 
 
+def first_day(start: int) -> Column:
+    """The day of a second, as a bound for the partition column."""
+    return F.to_date(F.timestamp_seconds(F.lit(start)))
+
+
 def day_range(start: int, end: int) -> Column:
     """Partition predicate that goes with a `dt` range."""
-    first = F.to_date(F.timestamp_seconds(F.lit(start)))
+    first = first_day(start)
     last = F.to_date(F.timestamp_seconds(F.lit(end)))
     return F.col("dt_date").between(first, last)
 

@@ -84,9 +84,6 @@ EVENT_SQL = {
     "dt": "e.dt",
 }
 
-# A page list up to this many rows (about 100 bytes each) is broadcast; a longer one is merged.
-BROADCAST_ROWS = 200_000
-
 _PAGE = {"resource", "outbound_resource"}
 _REFERRING_PAGE = {"referer", "outbound_resource"}
 _LINKED = _PAGE | _REFERRING_PAGE
@@ -99,21 +96,14 @@ def _epoch_literal(seconds: int) -> str:
 
 
 def base_events(
-    spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None, spread: bool = False
+    spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None
 ) -> DataFrame:
-    """`events` with dt, doy and k; a range becomes a predicate on the scanned column.
-
-    `spread` is for costly work per row: where there are fewer files than cores
-    the rows are dealt out first. A table of many files is left as it is.
-    """
+    """`events` with dt, doy and k; a range becomes a predicate on the scanned column."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    width = spark.sparkContext.defaultParallelism
     if start is not None:
         events = events.where(f"ts >= {_epoch_literal(start)}")
     if end is not None:
         events = events.where(f"ts < {_epoch_literal(end + 1)}")
-    if spread and len(events.inputFiles()) < width:
-        events = events.repartition(width, "event_id")
     return events.selectExpr(
         "event_id",
         "user_id",
@@ -125,6 +115,12 @@ def base_events(
     )
 
 
+@lru_cache(maxsize=64)
+def last_moment(application: str, sf_dir: str) -> int:
+    """The newest time in the data, the clock of the live queries; asked once per session."""
+    return base_events(SparkSession.active(), sf_dir).agg(F.max("dt")).first()[0]
+
+
 @lru_cache(maxsize=64)
 def page_count(application: str, sf_dir: str) -> int:
     """Rows of `pages` (a count from the file footers), asked once per session."""
@@ -132,16 +128,13 @@ def page_count(application: str, sf_dir: str) -> int:
 
 
 def pageviews(
-    spark: SparkSession, sf_dir: str, columns: str = "", start: int | None = None, end: int | None = None,
-    spread: bool = False,
+    spark: SparkSession, sf_dir: str, columns: str = "", start: int | None = None, end: int | None = None
 ) -> DataFrame:
     """Page views with the named columns (all 33 when none are named)."""
     wanted = columns.split() or PAGEVIEW_COLUMNS
-    rows = base_events(spark, sf_dir, start, end, spread).alias("e")
+    rows = base_events(spark, sf_dir, start, end).alias("e")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     n_pages = page_count(spark.sparkContext.applicationId, sf_dir) if _LINKED & set(wanted) else 1
-    if n_pages <= BROADCAST_ROWS:
-        pages = pages.hint("broadcast")
     if _PAGE & set(wanted):
         rows = rows.join(pages.alias("p"), F.col("e.event_id") % n_pages == F.col("p.page_id"))
     if _REFERRING_PAGE & set(wanted):
