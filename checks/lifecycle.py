@@ -23,6 +23,18 @@ def stored(spark, sf_dir, label: str, is_event: bool = False) -> str:
     return path
 
 
+def halves(spark, sf_dir, label: str, is_event: bool = False, change=None) -> tuple[list[str], object]:
+    """Paths of a live and an archive table (split at a moment), and a function that reads both."""
+    read = tables.read_events if is_event else tables.read_pageviews
+    rows = testdata.site_events(spark, sf_dir) if is_event else testdata.pageviews(spark, sf_dir)
+    rows = change(rows) if change else rows
+    paths = []
+    for place, part in zip(("archive", "live"), lifecycle.split_by_age(rows, MIDDAY)):
+        paths.append(scratch_path(spark, f"{label}-{place}"))
+        tables.append_rows(part, paths[-1])
+    return paths, lambda: read(spark, paths[0]).unionByName(read(spark, paths[1]))
+
+
 @check("src_pageviews", sql(f"SELECT {_ALL} FROM pageviews"))
 def src_pageviews(spark, sf_dir):
     """Written by day, read back with the fixed layout."""
@@ -99,9 +111,11 @@ def archive_old_rows(spark, sf_dir):
     sql("SELECT 'pageview' AS kind, id FROM pageviews WHERE id <> 42 UNION ALL SELECT 'event', event_id FROM site_events WHERE id <> 42"),
 )
 def delete_by_id(spark, sf_dir):
-    pages, clicks = lifecycle.delete_pageview(pv(spark, sf_dir, "id"), events(spark, sf_dir, "event_id id"), 42)
-    return pages.select(F.lit("pageview").alias("kind"), "id").unionByName(
-        clicks.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"))
+    """Live and archive tables are written, the job runs, both are read back."""
+    (pages, read_pages), (clicks, read_clicks) = halves(spark, sf_dir, "delete"), halves(spark, sf_dir, "delete-events", True)
+    lifecycle.delete_stored(spark, 42, pages, clicks)
+    return read_pages().select(F.lit("pageview").alias("kind"), "id").unionByName(
+        read_clicks().select(F.lit("event").alias("kind"), F.col("event_id").alias("id"))
     )
 
 
@@ -113,7 +127,9 @@ def delete_by_id(spark, sf_dir):
     ),
 )
 def purge_spammer(spark, sf_dir):
-    return lifecycle.purge_spam(pv(spark, sf_dir, "id ip username"), spam_list(spark, sf_dir)).select("id")
+    paths, read = halves(spark, sf_dir, "purge")
+    lifecycle.purge_stored(spark, spam_list(spark, sf_dir), paths)
+    return read().select("id")
 
 
 @check("export_result", sql("SELECT browser, platform, count(*) AS counthits FROM ranged GROUP BY browser, platform"))
@@ -132,10 +148,10 @@ def export_result(spark, sf_dir):
     ),
 )
 def notes_layout_upgrade(spark, sf_dir):
-    rows = pv(spark, sf_dir, "id notes").withColumn(
-        "notes", F.expr("CASE id % 3 WHEN 0 THEN notes ELSE concat('a:', id % 5, ';b') END")
-    )
-    return rows.select("id", lifecycle.upgrade_notes().alias("notes"))
+    old = F.expr("CASE id % 3 WHEN 0 THEN notes ELSE concat('a:', id % 5, ';b') END")
+    paths, read = halves(spark, sf_dir, "notes", change=lambda rows: rows.withColumn("notes", old))
+    lifecycle.upgrade_stored_notes(spark, paths)
+    return read().select("id", "notes")
 
 
 @check(
@@ -168,7 +184,9 @@ _PEOPLE = "people AS (SELECT DISTINCT concat('user', user_id, '@example.com') AS
     sql("SELECT id FROM pageviews WHERE email IS NULL OR email NOT IN (SELECT email FROM people)", _PEOPLE),
 )
 def subject_erase_pageviews(spark, sf_dir):
-    return subjects.erase_pageviews(pv(spark, sf_dir, "id email"), people(spark, sf_dir)).select("id")
+    (pages, read_pages), (clicks, _) = halves(spark, sf_dir, "erase"), halves(spark, sf_dir, "erase-events", True)
+    subjects.erase_stored(spark, people(spark, sf_dir), pages, clicks)
+    return read_pages().select("id")
 
 
 @check(
@@ -179,8 +197,9 @@ def subject_erase_pageviews(spark, sf_dir):
     ),
 )
 def subject_erase_events(spark, sf_dir):
-    clicks = events(spark, sf_dir, "event_id id")
-    return subjects.erase_events(clicks, pv(spark, sf_dir, "id email"), people(spark, sf_dir)).select("event_id")
+    (pages, _), (clicks, read_clicks) = halves(spark, sf_dir, "erase"), halves(spark, sf_dir, "erase-events", True)
+    subjects.erase_stored(spark, people(spark, sf_dir), pages, clicks)
+    return read_clicks().select("event_id")
 
 
 @check(
@@ -193,5 +212,9 @@ FROM (SELECT *, ip IN ('10.1.1.1', '10.2.2.2', '10.3.3.3') AS hit FROM pageviews
     ),
 )
 def anonymize_by_ip(spark, sf_dir):
-    rows = pv(spark, sf_dir, "id ip other_ip username email fingerprint country")
-    return lifecycle.anonymise(rows, ["10.1.1.1", "10.2.2.2", "10.3.3.3"])
+    paths, read = halves(spark, sf_dir, "anonymise")
+    asked = pv(spark, sf_dir, "ip").where("ip IN ('10.1.1.1', '10.2.2.2', '10.3.3.3')")
+    lifecycle.anonymise_stored(spark, asked, paths)
+    return read().select("id", "ip", "other_ip", "username", "email", "fingerprint", "country")
+
+

@@ -22,28 +22,80 @@ _KEY_SQL = {
 _MEASURE_SQL = {False: "{}({})", True: "{}(DISTINCT {})"}
 
 
+# Which rows a report takes, written once more out of the catalogue's description.
+_SEARCHED = "searchterms IS NOT NULL AND searchterms NOT IN ('', '_')"
+_WITHIN_SITE = "position('search' IN content_type) > 0 AND searchterms IS NOT NULL AND length(searchterms) > 0"
+_ROWS = {
+    "slim_p1_06": _SEARCHED,
+    "slim_p1_10": "referer IS NOT NULL AND position('example.com' IN referer) = 0",
+    "slim_p1_12": _SEARCHED,
+    "slim_p1_19_01": _SEARCHED,
+    "slim_p2_01": "NOT (visit_id <= 0 OR browser_type = 1)",
+    "slim_p2_07": "screen_width * screen_height <> 0",
+    "slim_p2_20": "position('user:' IN notes) > 0",
+    "slim_p2_21": "position('user:' IN notes) > 0",
+    "slim_p2_24": "browser_type IN (1)",
+    "slim_p2_25": "browser_type IN (0, 2, 3)",
+    "slim_p3_01": "referer IS NOT NULL AND position('example.com' IN referer) = 0",
+    "slim_p4_02": "content_type IN ('post')",
+    "slim_p4_04": "regexp_matches(resource, '/feed|[?&]feed=>') OR position('feed' IN content_type) > 0",
+    "slim_p4_05": "starts_with(resource, '[404]') OR position('404' IN content_type) > 0",
+    "slim_p4_06": _WITHIN_SITE,
+    "slim_p4_07": "position('category' IN content_type) > 0",
+    "slim_p4_09": "content_type IN ('download')",
+    "slim_p4_11": "content_type IN ('post')",
+    "slim_p4_13": _WITHIN_SITE,
+    "slim_p4_15": "content_type IN ('category')",
+    "slim_p4_152": "content_type IN ('tag')",
+    "slim_p4_16": "position('404' IN content_type) > 0",
+    "slim_p4_19": "position('tag' IN content_type) > 0",
+    "slim_p4_20": "content_type IN ('download')",
+    "slim_p4_23": "content_type NOT IN ('404')",
+}
+_GROUPS = {"slim_p4_23": "count(CASE WHEN visit_id IS NOT NULL THEN 1 END) = 1"}
+
+# Reports of content that the mapping lacks see some rows as feeds, searches, tags and pages seen once.
+RARE = {
+    "content_type": "CASE id % 11 WHEN 0 THEN 'feed' WHEN 1 THEN 'search:blog' WHEN 2 THEN 'tag' ELSE content_type END",
+    "resource": "CASE WHEN id % 97 = 0 THEN resource || '/only-' || id || '/' ELSE resource END",
+    "category": "CASE WHEN id % 11 = 2 THEN concat('', id % 9) ELSE category END",
+}
+_RARE = ("slim_p4_04", "slim_p4_06", "slim_p4_13", "slim_p4_152", "slim_p4_19", "slim_p4_23")
+
+
 def _measure(spec: tuple) -> str:
     return _MEASURE_SQL[len(spec) > 2].format(spec[0].lower(), spec[1])
 
 
-def report_sql(report: Report) -> str:
-    """Checking SQL of a report out of its parameters."""
+def report_sql(name: str, report: Report) -> str:
+    """Checking SQL of a report: columns out of its parameters, conditions written apart."""
+    where, having = _ROWS.get(name, ""), _GROUPS.get(name, "")
+    if bool(where) != bool(report.where) or bool(having) != bool(report.having):
+        raise ValueError(f"{name} needs its condition written in the checks")
+    text = _plain_sql(report, where, having)
+    if name in _RARE:
+        changed = ", ".join(f"{e} AS {c}" for c, e in RARE.items())
+        text = text.replace("ranged AS (SELECT * FROM pageviews", f"ranged AS (SELECT * REPLACE ({changed}) FROM pageviews")
+    return text
+
+
+def _plain_sql(report: Report, where: str, having: str) -> str:
     if report.operator == "top":
         if report.expression:
             keys = {report.columns: _KEY_SQL[report.expression]}
         else:
             keys = {c.strip(): c.strip() for c in report.columns.split(",")}
-        return sql(agg.top_sql(keys, report.where, report.having, report.recent))
+        return sql(agg.top_sql(keys, where, having, report.recent))
     if report.operator == "chart":
-        return chart_sql("week", _measure(report.data1), _measure(report.data2), where=report.where or "true")
+        return chart_sql("week", _measure(report.data1), _measure(report.data2), where=where or "true")
     if report.operator == "recent_rows":
         if report.columns == "*":
             columns = ", ".join(c for c in PAGEVIEW_COLUMNS if c not in ("other_ip", "email", "location", "searchterms"))
         else:
             more = f", {report.more_columns}" if report.more_columns else ""
             columns = f"{report.columns}{more}, dt, ip"
-        where = f"WHERE {report.where}" if report.where else ""
-        return sql(f"SELECT {columns} FROM ranged {where} ORDER BY dt DESC, id DESC LIMIT 200")
+        tested = f"WHERE {where}" if where else ""
+        return sql(f"SELECT {columns} FROM ranged {tested} ORDER BY dt DESC, id DESC LIMIT 200")
     if report.operator in ("entry_pages", "exit_pages"):
         return agg.edge_sql(report.operator == "exit_pages")
     if report.operator == "outbound":
@@ -104,13 +156,16 @@ def columns_of(report: Report) -> str:
     return " ".join(c for c in PAGEVIEW_COLUMNS if c in needed)
 
 
-def run(spark, sf_dir, report: Report, filters: str = ""):
+def run(spark, sf_dir, report: Report, rare: bool = False, filters: str = ""):
     """A report over the test data; a dated report's range also reaches the scan."""
     live = report.operator in ("overview", "traffic", "online", "live")
     as_of = last_moment(spark, sf_dir) if live else END
     request = Request(START, END, as_of, filters=filters, step="week")
     scan = () if report.operator in _EVERYWHERE else (START, END)
-    pageviews = testdata.pageviews(spark, sf_dir, columns_of(report), *scan)
+    columns = columns_of(report)
+    pageviews = testdata.pageviews(spark, sf_dir, f"{columns} id" if rare and "id" not in columns.split() else columns, *scan)
+    if rare:
+        pageviews = pageviews.withColumns({c: F.expr(e) for c, e in RARE.items() if c in columns.split()})
     events = testdata.site_events(spark, sf_dir) if "events" in report.operator else None
     if report.operator == "content":
         request.tables = dict(zip(("items", "comments"), agg.content_tables(spark, sf_dir)))
@@ -118,9 +173,9 @@ def run(spark, sf_dir, report: Report, filters: str = ""):
 
 
 def _register(name: str, report: Report) -> None:
-    @check(f"report_{name}", report_sql(report))
+    @check(f"report_{name}", report_sql(name, report))
     def query(spark, sf_dir):
-        return run(spark, sf_dir, report)
+        return run(spark, sf_dir, report, name in _RARE)
 
 
 for _name, _report in REPORTS.items():

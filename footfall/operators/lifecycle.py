@@ -18,6 +18,8 @@ from footfall.session import scratch_path
 from footfall.sources.tables import (
     append_rows,
     drop_days,
+    drop_path,
+    exists,
     is_complete,
     read_events,
     read_pageviews,
@@ -32,18 +34,12 @@ def new_rows(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame
 
 
 def append_new(rows: DataFrame, path: str, key: str = "id") -> None:
-    """Append rows with unknown keys; only the days of the new rows are looked at."""
-    rows = with_day(rows)
-    spark = rows.sparkSession
-    days = _days(rows)
-    try:
-        existing = spark.read.parquet(path)
-    except Exception as error:  # the first append creates the table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    """Append rows with unknown keys. Keys are looked up in the whole table (their column only), whatever their day."""
+    rows, spark = with_day(rows), rows.sparkSession
+    if not exists(spark, path):  # the first append creates the table
         append_rows(rows.dropDuplicates([key]), path)
         return
-    append_rows(new_rows(rows, existing.where(F.col("dt_date").isin(days)), key), path)
+    append_rows(new_rows(rows, spark.read.parquet(path), key), path)
 
 
 def _days(rows: DataFrame) -> list:
@@ -66,12 +62,14 @@ def rewrite(table: DataFrame, path: str, touched: DataFrame, change, stage: str
     days = _days(with_day(touched))
     if not days:
         return
-    stage = stage or scratch_path(spark, "rewrite")
+    keep, stage = bool(stage), stage or scratch_path(spark, "rewrite")
     change(table.where(F.col("dt_date").isin(days))).write.mode("overwrite").parquet(stage)
     staged = spark.read.schema(table.schema).parquet(stage)
     left = set(_days(staged))
     replace_days(staged, path)
     drop_days(spark, path, [str(d) for d in days if d not in left])
+    if not keep:  # a named stage marks its batch as done; others have served
+        drop_path(spark, stage)
 
 
 def merge_updates(spark: SparkSession, path: str, updates: DataFrame, stage: str | None = None) -> None:
@@ -106,18 +104,37 @@ def archive_old(spark: SparkSession, path: str, archive_path: str | None, as_of:
     rewrite(table, path, old, lambda rows: rows.where(F.col("dt") >= limit))
 
 
-def delete_pageview(pageviews: DataFrame, events: DataFrame, page_id: int) -> tuple[DataFrame, DataFrame]:
-    """(pageviews, events) without one page view and its events."""
-    return pageviews.where(F.col("id") != page_id), events.where(F.col("id") != page_id)
+def delete_stored(spark: SparkSession, page_id: int, pageviews: list[str], events: list[str]) -> None:
+    """Take one page view and its events out of the live and archive tables; only their days are rewritten."""
+    for path, read in [(p, read_pageviews) for p in pageviews] + [(p, read_events) for p in events]:
+        table = read(spark, path)
+        rewrite(table, path, table.where(F.col("id") == page_id), lambda rows: rows.where(F.col("id") != page_id))
+
+
+def is_spam(pageviews: DataFrame, spam: DataFrame) -> DataFrame:
+    """The page views of spammers, by name or address (spam has username, ip)."""
+    by_name = spam.select("username").where("username <> ''").distinct()
+    by_address = spam.select("ip").where("ip <> ''").distinct()
+    columns = pageviews.columns
+    named = pageviews.join(by_name, "username", "left_semi").select(*columns)
+    rest = pageviews.join(by_name, "username", "left_anti").join(by_address, "ip", "left_semi").select(*columns)
+    return named.unionByName(rest)
 
 
 def purge_spam(pageviews: DataFrame, spam: DataFrame) -> DataFrame:
-    """Page views without those of spammers, by name or address (spam has username, ip)."""
+    """Page views without those of spammers."""
     by_name = spam.select("username").where("username <> ''").distinct()
     by_address = spam.select("ip").where("ip <> ''").distinct()
-    return pageviews.join(by_name, "username", "left_anti").join(by_address, "ip", "left_anti").select(
-        *pageviews.columns
-    )
+    kept = pageviews.join(by_name, "username", "left_anti").join(by_address, "ip", "left_anti")
+    return kept.select(*pageviews.columns)
+
+
+def purge_stored(spark: SparkSession, spam: DataFrame, paths: list[str]) -> None:
+    """Take spammers out of the live and archive tables."""
+    for path in paths:
+        table = read_pageviews(spark, path)
+        found = is_spam(table.select("dt_date", "username", "ip"), spam)
+        rewrite(table, path, found, lambda rows: purge_spam(rows, spam))
 
 
 def upgrade_notes(notes: str = "notes") -> Column:
@@ -126,15 +143,33 @@ def upgrade_notes(notes: str = "notes") -> Column:
     return F.when(~F.startswith(c, F.lit("[")), F.concat(F.lit("["), F.replace(c, F.lit(";"), F.lit("][")), F.lit("]"))).otherwise(c)
 
 
-def anonymise(df: DataFrame, addresses: list[str]) -> DataFrame:
-    """Blank the identity of rows from some addresses; the rows stay."""
-    hit = F.col("ip").isin(addresses)
+def upgrade_stored_notes(spark: SparkSession, paths: list[str]) -> None:
+    """Bring old notes of stored page views into the new layout; days without any stay as they are."""
+    for path in paths:
+        table = read_pageviews(spark, path)
+        old = table.where("notes NOT LIKE '[%'")
+        rewrite(table, path, old, lambda rows: rows.withColumn("notes", upgrade_notes()))
+
+
+def anonymise(df: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Blank the identity of rows from some addresses (a table with column ip); the rows stay."""
+    wanted = addresses.select(F.col("ip").alias("asked_ip")).where("asked_ip IS NOT NULL").distinct()
+    marked = df.join(wanted, F.col("ip") == F.col("asked_ip"), "left")
+    hit = F.col("asked_ip").isNotNull()
     blank = {"ip": EMPTY_ADDRESS, "other_ip": "", "username": "", "email": "", "fingerprint": ""}
-    return df.select(
+    return marked.select(
         *[F.when(hit, F.lit(blank[c])).otherwise(F.col(c)).alias(c) if c in blank else F.col(c) for c in df.columns]
     )
 
 
+def anonymise_stored(spark: SparkSession, addresses: DataFrame, paths: list[str]) -> None:
+    """Blank the identity of some addresses in the live and archive tables."""
+    for path in paths:
+        table = read_pageviews(spark, path)
+        found = table.select("dt_date", "ip").join(addresses.select("ip").distinct(), "ip", "left_semi")
+        rewrite(table, path, found, lambda rows: anonymise(rows, addresses))
+
+
 def daily_rollup(df: DataFrame, keys: list[str]) -> DataFrame:
     """Per day and key: hits, first and last time, and a sketch of the addresses."""
     day = F.col("dt_date") if "dt_date" in df.columns else day_of("dt")

@@ -82,6 +82,17 @@ def drop_days(spark: SparkSession, path: str, days: list[str]) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a finished stage of this library's own."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_result(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Save the rows of any report; `kind` is csv, json or parquet."""
     options = {"header": "true"} if kind == "csv" else {}

@@ -6,23 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.operators.lifecycle import merge_updates
-from footfall.session import scratch_path
-from footfall.sources.tables import with_day
+from footfall.operators.visits import gap_starts, visits_of
+from footfall.schema import SESSION_SECONDS
+from footfall.sources.tables import drop_path, with_day
 from footfall.streaming.runs import run_for_each
 
 
-def stream_updates(spark: SparkSession, updates: DataFrame, path: str) -> None:
+def stream_updates(spark: SparkSession, updates: DataFrame, path: str, folder: str) -> None:
     """Fold a stream of updates into the stored page views, batch by batch.
 
-    A batch that is repeated after a failure finds its finished stage and does
-    not fold (append notes and links) a second time.
+    `folder` is the stream's own. A batch that is repeated after a failure, or a stream that is started
+    again, finds the finished stage of its batch number and does not fold (append notes and links) a second
+    time. The stage of the batch before is removed then.
     """
-    stages = scratch_path(spark, "update-stages")
 
     def fold(batch: DataFrame, number: int) -> None:
-        merge_updates(spark, path, batch, f"{stages}/{number}")
+        merge_updates(spark, path, batch, f"{folder}/stages/{number}")
+        drop_path(spark, f"{folder}/stages/{number - 1}")
 
-    run_for_each(updates, "updates", fold)
+    run_for_each(updates, folder, fold)
 
 
 def daily_counts(hits: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -45,3 +47,20 @@ def corrected_counts(streamed: DataFrame, stored: DataFrame) -> DataFrame:
         (F.col("stored_hits") - F.coalesce("hits", F.lit(0))).alias("added"),
     )
 
+
+
+def corrected_visits(streamed: DataFrame, hits: DataFrame, key: str, gap: int = SESSION_SECONDS) -> DataFrame:
+    """(key, start, end, hits): the streamed visits and, from the stored hits, those still open in the stream.
+
+    A key's visits end in order, so all hits behind its last streamed end belong to visits that the
+    stream has not closed yet.
+    """
+    done = streamed.groupBy(F.col(key).alias("done_key")).agg(F.max("end").alias("done"))
+    tail = hits.join(done, F.col(key).eqNullSafe(F.col("done_key")), "left").where("done IS NULL OR dt > done")
+    open_visits = visits_of(gap_starts(tail.select(key, "dt", "id"), key, gap), key)
+    return streamed.select(key, "start", "end", "hits").unionByName(open_visits.select(key, "start", "end", "hits"))
+
+
+def corrected_minutes(streamed: DataFrame, whole: DataFrame, minute: str = "minute") -> DataFrame:
+    """The streamed minutes and, from a batch count with the same columns, those the stream has not closed."""
+    return streamed.unionByName(whole.join(streamed.select(minute), minute, "left_anti").select(*streamed.columns))

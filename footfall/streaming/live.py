@@ -13,12 +13,19 @@ WATERMARK = "1 hour"
 
 
 def online_visits(hits: DataFrame, visit: str = "visit_id", watermark: str = WATERMARK) -> DataFrame:
-    """Visits active in the thirty minutes up to each minute (a sketch count)."""
-    timed = hits.withWatermark("ts", watermark)
-    counted = timed.groupBy(F.window("ts", "30 minutes", "1 minute")).agg(
-        F.approx_count_distinct(visit).alias("online")
-    )
-    return counted.select(F.col("window.end").alias("minute"), "online")
+    """(minute, online): distinct visits with a hit in the thirty minutes up to each minute.
+
+    A hit counts for the thirty minutes that follow it. The count is exact, for minutes the watermark has
+    passed; `online_minutes` gives the same for stored hits.
+    """
+    return minute_series(online_minutes(hits, visit), visit, watermark).select("minute", F.col("cnt").alias("online"))
+
+
+def online_minutes(hits: DataFrame, visit: str = "visit_id") -> DataFrame:
+    """(visit, ts): the thirty full minutes that follow each hit; a bounded number of rows per hit."""
+    first = F.date_trunc("minute", "ts") + F.expr("INTERVAL 1 MINUTE")
+    after = F.sequence(first, first + F.expr("INTERVAL 29 MINUTES"), F.expr("INTERVAL 1 MINUTE"))
+    return hits.select(visit, F.explode(after).alias("ts"))
 
 
 def minute_series(hits: DataFrame, value: str, watermark: str = WATERMARK) -> DataFrame:
@@ -32,3 +39,9 @@ def minute_series(hits: DataFrame, value: str, watermark: str = WATERMARK) -> Da
     once = timed.withWatermark("ts", watermark).dropDuplicates(["ts", value])
     counted = once.groupBy(minute).agg(F.count("*").alias("cnt"))
     return counted.select(F.unix_timestamp("window.start").alias("minute"), "cnt")
+
+
+def stored_minutes(hits: DataFrame, value: str) -> DataFrame:
+    """(minute, cnt) of stored hits, as `minute_series` counts them."""
+    minute = F.unix_timestamp(F.date_trunc("minute", "ts")).alias("minute")
+    return hits.where(F.col(value).isNotNull()).groupBy(minute).agg(F.count_distinct(value).alias("cnt"))

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from footfall.session import scratch_path
-
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
     """Parquet files as a stream, oldest first."""
@@ -18,23 +16,21 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, glob: str
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over what is there, into a fresh folder, and read the result.
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there and read all results so far.
 
-    The checkpoint lies beside the output, so a lost executor only repeats its
-    batch and the file sink keeps every batch once.
+    `folder` is the stream's own: output and checkpoint lie in it. Starting the same stream again with
+    the same folder goes on where it ended; a lost executor or driver only repeats its batch, and the
+    file sink keeps every batch once.
     """
-    spark = stream.sparkSession
-    out, mark = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", mark)
-    query = writer.option("path", out).trigger(availableNow=True).start()
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+    query = writer.option("path", f"{folder}/out").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def run_for_each(stream: DataFrame, label: str, action: Callable[[DataFrame, int], None]) -> None:
-    """Run a stream over what is there, handing every batch to `action`."""
-    mark = scratch_path(stream.sparkSession, f"{label}-checkpoint")
-    writer = stream.writeStream.foreachBatch(action).option("checkpointLocation", mark)
+def run_for_each(stream: DataFrame, folder: str, action: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over what is there, handing every batch to `action`; goes on where it ended."""
+    writer = stream.writeStream.foreachBatch(action).option("checkpointLocation", f"{folder}/checkpoint")
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()

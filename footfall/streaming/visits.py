@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from footfall.schema import SESSION_SECONDS
+from footfall.streaming.live import WATERMARK
 
 
 def gap_visits(hits: DataFrame, key: str, watermark: str = "1 hour") -> DataFrame:
@@ -45,15 +46,40 @@ def _seconds(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, n
     return whole["dt"].to_numpy(), whole["hits"].to_numpy(), whole["id"].to_numpy()
 
 
-def _keyed(hits: DataFrame, key: str, work, output: str, state: str) -> DataFrame:
-    """Run `work` per key; hits are combined per second before the shuffle."""
-    named = F.coalesce(F.col(key).cast("string"), F.lit(""))
+def _keyed(hits: DataFrame, key: str, work, output: str, state: str, rest: int, watermark: str) -> DataFrame:
+    """Run `work` per key; hits are combined per second before the shuffle.
+
+    A null key is the key NULL, told apart from any text. Once the watermark lies `rest` seconds behind a
+    key's last second its state can't matter any more and is dropped; rows behind the watermark are left to
+    the nightly pass.
+    """
+    named = F.when(F.col(key).isNotNull(), F.concat(F.lit("="), F.col(key).cast("string"))).otherwise("")
     rows = hits.select(named.alias("key"), "dt", "id")
     combined = rows.mapInPandas(_combine, "key string, dt long, hits long, id long")
-    return combined.groupBy("key").applyInPandasWithState(work, output, state, "append", GroupStateTimeout.NoTimeout)
+    timed = combined.withColumn("ts", F.timestamp_seconds("dt")).withWatermark("ts", watermark)
+
+    def step(owner, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        last = 0
+        for out in work(owner, batches, held):
+            last = max(last, int(out.attrs["last"]))
+            yield out
+        held.setTimeoutTimestamp(max((last + rest + 1) * 1000, held.getCurrentWatermarkMs() + 1))
+
+    timeout = GroupStateTimeout.EventTimeTimeout
+    found = timed.groupBy("key").applyInPandasWithState(step, output, state, "append", timeout)
+    return found.withColumn("key", F.when(F.col("key") != "", F.substring("key", 2, 1 << 20)))
+
 
+def _result(dt: np.ndarray, columns: dict) -> pd.DataFrame:
+    out = pd.DataFrame(columns)
+    out.attrs["last"] = int(dt.max())
+    return out
 
-def _anchors(dt: np.ndarray, open_at, length: int) -> tuple[np.ndarray, int]:
+
+def _anchors(dt: np.ndarray, open_at: int | None, length: int) -> tuple[np.ndarray, int | None]:
     out, at = np.empty(len(dt), dtype=np.int64), 0
     while at < len(dt):
         if open_at is None or dt[at] >= open_at + length:
@@ -64,7 +90,7 @@ def _anchors(dt: np.ndarray, open_at, length: int) -> tuple[np.ndarray, int]:
     return out, open_at
 
 
-def fixed_visits(hits: DataFrame, key: str, length: int = SESSION_SECONDS) -> DataFrame:
+def fixed_visits(hits: DataFrame, key: str, length: int = SESSION_SECONDS, watermark: str = WATERMARK) -> DataFrame:
     """(key, dt, hits, start): the fixed-length visit of every second.
 
     A row that arrives behind the open visit's start counts to that visit.
@@ -74,27 +100,36 @@ def fixed_visits(hits: DataFrame, key: str, length: int = SESSION_SECONDS) -> Da
         dt, n, _ = _seconds(batches)
         start, open_at = _anchors(dt, state.get[0] if state.exists else None, length)
         state.update((int(open_at),))
-        yield pd.DataFrame({"key": owner[0], "dt": dt, "hits": n, "start": start})
+        yield _result(dt, {"key": owner[0], "dt": dt, "hits": n, "start": start})
+
+    return _keyed(hits, key, work, "key string, dt long, hits long, start long", "open_at long", length, watermark)
 
-    return _keyed(hits, key, work, "key string, dt long, hits long, start long", "open_at long")
 
+def drop_repeats(hits: DataFrame, keys: list[str], seconds: int = SESSION_SECONDS, watermark: str = WATERMARK) -> DataFrame:
+    """(key, dt, id) of hits that do not repeat a kept hit within `seconds`.
 
-def drop_repeats(hits: DataFrame, keys: list[str], seconds: int = SESSION_SECONDS) -> DataFrame:
-    """(key, dt, id) of hits that do not repeat a kept hit within `seconds`."""
+    A row that arrives out of order is a repeat if it lies within `seconds` of the kept hit, before or behind it.
+    """
     label = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys])
 
     def work(owner, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         dt, _, ids = _seconds(batches)
         known = state.get[0] if state.exists else None
-        start, open_at = _anchors(dt, known, seconds + 1)
-        state.update((int(open_at),))
-        kept = (start == dt) & (dt != (known if known is not None else -1))
-        yield pd.DataFrame({"key": owner[0], "dt": dt[kept], "id": ids[kept]})
+        early = dt < (known if known is not None else -1)
+        kept_early = early & (dt + seconds < (known if known is not None else 0))
+        before, _ = _anchors(dt[kept_early], None, seconds + 1)
+        start, open_at = _anchors(dt[~early], known, seconds + 1)
+        if open_at is not None:
+            state.update((int(open_at),))
+        kept = np.zeros(len(dt), bool)
+        kept[np.flatnonzero(kept_early)] = before == dt[kept_early]
+        kept[np.flatnonzero(~early)] = (start == dt[~early]) & (dt[~early] != (known if known is not None else -1))
+        yield _result(dt, {"key": owner[0], "dt": dt[kept], "id": ids[kept]})
 
-    return _keyed(hits.withColumn("label", label), "label", work, "key string, dt long, id long", "open_at long")
+    return _keyed(hits.withColumn("label", label), "label", work, "key string, dt long, id long", "open_at long", seconds, watermark)
 
 
-def rate_limited(hits: DataFrame, key: str = "ip", most: int = 10, quiet: int = 5) -> DataFrame:
+def rate_limited(hits: DataFrame, key: str = "ip", most: int = 10, quiet: int = 5, watermark: str = WATERMARK) -> DataFrame:
     """(key, dt, hits, accepted): how many hits of each second pass the limit."""
 
     def work(owner, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -108,6 +143,6 @@ def rate_limited(hits: DataFrame, key: str = "ip", most: int = 10, quiet: int =
             if accepted[i]:
                 used, last = used + int(accepted[i]), second
         state.update((used, last))
-        yield pd.DataFrame({"key": owner[0], "dt": dt, "hits": n, "accepted": accepted})
+        yield _result(dt, {"key": owner[0], "dt": dt, "hits": n, "accepted": accepted})
 
-    return _keyed(hits, key, work, "key string, dt long, hits long, accepted long", "used long, last long")
+    return _keyed(hits, key, work, "key string, dt long, hits long, accepted long", "used long, last long", quiet, watermark)

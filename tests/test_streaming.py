@@ -30,7 +30,7 @@ def arriving(spark, files=4):
 def test_fixed_visits_over_batches(spark):
     whole, stream = arriving(spark)
     want = {(r.visitor, r.dt, r.start, r.hits) for r in batch.fixed_starts(whole, "visitor", 700).collect()}
-    parts = run_to_table(visits.fixed_visits(stream, "visitor", 700), "fixed")
+    parts = run_to_table(visits.fixed_visits(stream, "visitor", 700), scratch_path(spark, "fixed"))
     got = parts.groupBy("key", "dt", "start").agg(F.sum("hits").alias("hits")).collect()
     assert {(r.key, r.dt, r.start, r.hits) for r in got} == want
 
@@ -38,7 +38,7 @@ def test_fixed_visits_over_batches(spark):
 def test_repeats_over_batches(spark):
     whole, stream = arriving(spark)
     want = {r.id for r in batch.drop_repeats(whole, ["visitor"], 400).select("id").collect()}
-    assert {r.id for r in run_to_table(visits.drop_repeats(stream, ["visitor"], 400), "repeats").collect()} == want
+    assert {r.id for r in run_to_table(visits.drop_repeats(stream, ["visitor"], 400), scratch_path(spark, "repeats")).collect()} == want
 
 
 def test_late_rows_are_added_by_the_nightly_pass(spark):
@@ -50,7 +50,45 @@ def test_late_rows_are_added_by_the_nightly_pass(spark):
     for r in rows:
         spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
-    streamed = run_to_table(late.daily_counts(stream.withColumn("ts", F.timestamp_seconds("dt"))), "days")
+    streamed = run_to_table(late.daily_counts(stream.withColumn("ts", F.timestamp_seconds("dt"))), scratch_path(spark, "days"))
     whole = {str(r.dt_date): (r.hits, r.added) for r in late.corrected_counts(streamed, spark.createDataFrame(rows, SCHEMA)).collect()}
     assert whole["2024-01-01"] == (2, 1)
     assert whole["2024-01-06"] == (3, 3)
+
+
+def test_a_stream_goes_on_where_it_ended(spark):
+    whole, _ = arriving(spark)
+    path, folder = scratch_path(spark, "grows"), scratch_path(spark, "stream")
+    rows = whole.orderBy("id").collect()
+    for part in (rows[:300], rows[300:301], rows[301:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(SCHEMA).parquet(path)
+        got = run_to_table(visits.fixed_visits(stream, "visitor", 700), folder)
+    found = got.groupBy("key", "dt", "start").agg(F.sum("hits").alias("hits")).collect()
+    want = {(r.visitor, r.dt, r.start, r.hits) for r in batch.fixed_starts(whole, "visitor", 700).collect()}
+    assert {(r.key, r.dt, r.start, r.hits) for r in found} == want
+
+
+def test_null_keys_have_a_state_of_their_own(spark):
+    rows = [(1, None, 100), (2, "", 105), (3, None, 110), (4, "", 900), (5, None, 905)]
+    path = scratch_path(spark, "nulls")
+    for r in rows:
+        spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    got = run_to_table(visits.fixed_visits(stream, "visitor", 700), scratch_path(spark, "null-visits"))
+    assert {(r.key, r.dt, r.start) for r in got.collect()} == {(None, 100, 100), ("", 105, 105), (None, 110, 100), ("", 900, 900), (None, 905, 905)}
+    whole = spark.createDataFrame(rows, SCHEMA)
+    assert {(r.visitor, r.dt, r.start) for r in batch.fixed_starts(whole, "visitor", 700).collect()} == {(r.key, r.dt, r.start) for r in got.collect()}
+    gaps = {(r.visitor, r.dt, r.start) for r in batch.gap_starts(whole, "visitor", 700).collect()}
+    assert (None, 110, 100) in gaps and ("", 900, 900) in gaps and len(gaps) == 5
+
+
+def test_state_is_dropped_behind_the_watermark(spark):
+    path, folder = scratch_path(spark, "ends"), scratch_path(spark, "ending")
+    for i, t in enumerate((0, 100_000, 200_000)):
+        spark.createDataFrame([(i, f"k{i}", 1704067200 + t)], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    stream = visits.fixed_visits(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path), "visitor", 700)
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    query = writer.option("path", f"{folder}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 3
