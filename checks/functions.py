@@ -231,8 +231,10 @@ _register(
 )
 _register(
     "fn_private_ip", "ip",
-    {"private": (lambda: addresses.is_private("address"), "id % 6 <> 5")},
-    {"address": "CASE id % 6 WHEN 0 THEN ip WHEN 1 THEN '192.168.7.7' WHEN 2 THEN '172.31.0.1' WHEN 3 THEN '127.0.0.1' WHEN 4 THEN '169.254.1.1' ELSE concat('8.8.', id % 100, '.8') END"},
+    {"private": (lambda: addresses.is_private("address"), "id % 12 < 9")},
+    {"address": "CASE id % 12 WHEN 0 THEN ip WHEN 1 THEN '192.168.7.7' WHEN 2 THEN '172.31.0.1' WHEN 3 THEN '127.0.0.1' WHEN 4 THEN '169.254.1.1' "
+     "WHEN 5 THEN 'fc00::1' WHEN 6 THEN 'fe80::1' WHEN 7 THEN '::1' WHEN 8 THEN 'nobody' WHEN 9 THEN concat('8.8.', id % 100, '.8') "
+     "WHEN 10 THEN concat('2a00:1450::', id % 100) ELSE '2607:f8b0:4005:805:0:0:0:200e' END"},
 )
 _register(
     "fn_wildcard", "resource",

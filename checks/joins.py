@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import FIRST, check, events, pv, ranged, sql
 from footfall.functions.urls import search_words_by_engine
+from footfall.functions.addresses import number_key
 from footfall.operators import joins, ranking, visits
 from footfall.sources import testdata
 
@@ -75,41 +76,58 @@ def hits(spark, sf_dir):
 _HITS = f"""hits AS (SELECT event_id + 1 AS id, user_id, {DENSE} AS dt FROM e)"""
 
 
+# Some hits come without a fingerprint, some without a browser.
+_LACKING = {
+    "fingerprint": "CASE WHEN id % 5 = 0 THEN NULL ELSE fingerprint END",
+    "browser": "CASE WHEN id % 7 = 0 THEN NULL ELSE browser END",
+}
+_LACKING_SQL = "SELECT * REPLACE ({}) FROM pageviews".format(", ".join(f"{e} AS {c}" for c, e in _LACKING.items()))
+
+
 @check(
     "dedupe_lookback",
     sql(
-        "SELECT h.id FROM kept k JOIN firsts h ON h.fingerprint = k.fingerprint AND h.content_type = k.content_type "
-        "AND h.browser IS NOT DISTINCT FROM k.browser AND h.dt = k.dt",
-        f"""firsts AS (SELECT fingerprint, content_type, browser, {DENSE} AS dt, min(id) AS id FROM pageviews GROUP BY 1, 2, 3, 4),
-kept AS (
-  SELECT fingerprint, content_type, browser, min(dt) AS dt FROM firsts GROUP BY 1, 2, 3
+        "SELECT id FROM walk WHERE kept",
+        f"""sparse AS ({_LACKING_SQL}),
+firsts AS (SELECT author, content_type, fingerprint, {DENSE} AS dt, min(id) AS id FROM sparse GROUP BY 1, 2, 3, 4),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY author, content_type ORDER BY dt, id) AS n FROM firsts),
+walk AS (
+  SELECT author, content_type, n, id, true AS kept, dt AS newest,
+    CASE WHEN fingerprint IS NULL THEN MAP {{}} ELSE MAP {{fingerprint: dt}} END AS last FROM ordered WHERE n = 1
   UNION ALL
-  SELECT k.fingerprint, k.content_type, k.browser, (SELECT min(f.dt) FROM firsts f WHERE f.fingerprint = k.fingerprint
-    AND f.content_type = k.content_type AND f.browser = k.browser AND f.dt > k.dt + 1800) AS next_dt
-  FROM kept k WHERE k.dt IS NOT NULL)""",
+  SELECT author, content_type, n, id, fresh, CASE WHEN fresh THEN dt ELSE newest END,
+    CASE WHEN fresh AND fingerprint IS NOT NULL THEN map_concat(last, MAP {{fingerprint: dt}}) ELSE last END
+  FROM (SELECT o.*, w.newest, w.last,
+      coalesce(o.dt - CASE WHEN o.fingerprint IS NULL THEN w.newest ELSE w.last[o.fingerprint] END > 1800, true) AS fresh
+    FROM walk w JOIN ordered o ON o.n = w.n + 1 AND o.content_type = w.content_type AND o.author IS NOT DISTINCT FROM w.author) AS step)""",
         recursive=True,
     ),
 )
 def dedupe_lookback(spark, sf_dir):
-    """The keys are coarser than a visit and its page, so that repeats occur in the data."""
-    rows = dense(pv(spark, sf_dir, "id fingerprint content_type browser dt"))
-    return visits.drop_repeats(rows, ["fingerprint", "content_type", "browser"]).select("id")
+    """The keys are coarser than a visit and its page, so that repeats occur in the data; the fingerprint may be unknown."""
+    rows = dense(pv(spark, sf_dir, "id author fingerprint content_type dt"))
+    rows = rows.withColumn("fingerprint", F.expr(_LACKING["fingerprint"]))
+    return visits.drop_repeats(rows, ["author", "content_type"], optional="fingerprint").select("id")
 
 
 @check(
     "asof_visit_lookup",
     sql(
-        """SELECT a.id, (SELECT b.visit_id FROM pageviews b WHERE b.ip = a.ip AND b.fingerprint = a.fingerprint
-   AND b.browser = a.browser AND b.dt BETWEEN a.dt - 1800 AND a.dt AND b.browser_type <> 1
+        """SELECT a.id, (SELECT b.visit_id FROM sparse b WHERE b.ip = a.ip AND (a.fingerprint IS NULL OR b.fingerprint = a.fingerprint)
+   AND (a.browser IS NULL OR b.browser = a.browser) AND b.dt BETWEEN a.dt - 1800 AND a.dt AND b.browser_type <> 1
    ORDER BY b.dt DESC, b.id DESC LIMIT 1) AS visit_found
-FROM pageviews a"""
+FROM sparse a""",
+        f"sparse AS ({_LACKING_SQL})",
     ),
 )
 def asof_visit_lookup(spark, sf_dir):
     rows = pv(spark, sf_dir, "id ip fingerprint browser visit_id browser_type dt")
+    rows = rows.withColumns({c: F.expr(e) for c, e in _LACKING.items()})
     keys = ["ip", "fingerprint", "browser"]
-    found = joins.latest_visit(rows, rows.where("browser_type <> 1"), keys)
-    return rows.join(found, [*keys, "dt"], "left").select("id", "visit_found")
+    found = joins.latest_visit(rows, rows.where("browser_type <> 1"), keys, optional=("fingerprint", "browser"))
+    named = found.select(*[F.col(c).alias(f"of_{c}") for c in (*keys, "dt")], "visit_found")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*keys, "dt")]
+    return rows.join(named, same, "left").select("id", "visit_found")
 
 
 @check(
@@ -188,18 +206,32 @@ _IP_NUMBER = (
 )
 
 
+# Every seventh hit comes from an IPv6 address; two networks are known.
+_EITHER = "CASE WHEN id % 7 = 0 THEN concat('2001:db8:', id % 5, '::', id % 97) ELSE ip END"
+_GEO6 = [("20010db80001", "NL", "Delft"), ("20010db80003", "SE", "Lund")]
+
+
+def geo_ranges_of_both(spark):
+    four = geo_ranges(spark).withColumns({c: number_key(c) for c in ("low", "high")})
+    rows = [(net.ljust(32, "0"), net.ljust(32, "f"), cc, city, "", "1", "2") for net, cc, city in _GEO6]
+    return four.unionByName(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in four.columns)))
+
+
 @check(
     "geo_range_lookup",
     sql(
-        f"""SELECT r.id, lower(g.cc) AS geo_country,
-  CASE WHEN g.sub <> '' THEN concat(g.city, ' (', g.sub, ')') ELSE g.city END AS geo_city,
-  CASE WHEN g.cc IS NOT NULL THEN concat(g.lat, ',', g.lon) END AS geo_location
+        f"""SELECT r.id,
+  CASE WHEN r.id % 7 > 0 THEN lower(g.cc) WHEN r.id % 5 = 1 THEN 'nl' WHEN r.id % 5 = 3 THEN 'se' END AS geo_country,
+  CASE WHEN r.id % 7 > 0 THEN CASE WHEN g.sub <> '' THEN concat(g.city, ' (', g.sub, ')') ELSE g.city END
+    WHEN r.id % 5 = 1 THEN 'Delft' WHEN r.id % 5 = 3 THEN 'Lund' END AS geo_city,
+  CASE WHEN r.id % 7 > 0 AND g.cc IS NOT NULL THEN concat(g.lat, ',', g.lon) WHEN r.id % 7 = 0 AND r.id % 5 IN (1, 3) THEN '1,2' END AS geo_location
 FROM pageviews r LEFT JOIN geo g ON {_IP_NUMBER} BETWEEN g.low AND g.high AND g.cc <> 'XX'""",
         f"geo(low, high, cc, city, sub, lat, lon) AS (VALUES {_GEO_VALUES})",
     ),
 )
 def geo_range_lookup(spark, sf_dir):
-    out = joins.geo_lookup(pv(spark, sf_dir, "id ip"), geo_ranges(spark))
+    rows = pv(spark, sf_dir, "id ip").withColumn("ip", F.expr(_EITHER))
+    out = joins.geo_lookup(rows, geo_ranges_of_both(spark))
     return out.select("id", "geo_country", "geo_city", "geo_location")
 
 

@@ -11,7 +11,7 @@ from footfall.functions.text import as_column
 
 _IPV4 = r"^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
 
-# Private and reserved IPv4 ranges.
+# Private and reserved ranges.
 RESERVED_RANGES = [
     "0.0.0.0/8",
     "10.0.0.0/8",
@@ -20,7 +20,14 @@ RESERVED_RANGES = [
     "172.16.0.0/12",
     "192.168.0.0/16",
     "240.0.0.0/4",
+    "::/127",
+    "fc00::/7",
+    "fe80::/10",
+    "2001:db8::/32",
+    "2001:10::/28",
+    "5f00::/8",
 ]
+_IPV4_IN_IPV6 = "00000000000000000000ffff"
 
 
 def is_ipv4(address) -> Column:
@@ -48,6 +55,30 @@ def ipv6_groups(address) -> Column:
     return F.when(text.rlike("^[0-9a-f:]+$") & text.contains(":"), packed)
 
 
+def is_ipv6(address) -> Column:
+    text = F.lower(as_column(address))
+    whole = F.length(ipv6_groups(address)) == 32
+    short = (F.size(F.split(text, "::")) == 2) | (F.size(F.split(text, ":")) == 8)
+    return F.coalesce(text.rlike("^[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7}$") & ~text.contains(":::") & short & whole, F.lit(False))
+
+
+def number_key(number) -> Column:
+    """An IPv4 number in the order of `address_key`."""
+    return F.concat(F.lit(_IPV4_IN_IPV6), F.lower(F.lpad(F.hex(as_column(number)), 8, "0")))
+
+
+def address_key(address) -> Column:
+    """Any address as 32 hex digits that sort as addresses do; NULL for other text."""
+    return F.coalesce(number_key(ipv4_number(address)), F.when(is_ipv6(address), ipv6_groups(address)))
+
+
+def block_of(key) -> Column:
+    """The block of an `address_key`: 16 bits of an IPv4 address, or the first 24 bits of an IPv6 address."""
+    key = as_column(key)
+    four = F.conv(F.substring(key, 25, 4), 16, 10).cast("bigint")
+    return F.when(key.startswith(_IPV4_IN_IPV6), four).otherwise(F.conv(F.substring(key, 1, 6), 16, 10).cast("bigint") + 65536)
+
+
 def mask_address(address) -> Column:
     """IPv4 with the last part 0; IPv6 cut to three groups; other text as it is."""
     text = as_column(address)
@@ -75,4 +106,6 @@ def in_ranges(address, ranges: list[str]) -> Column:
 
 
 def is_private(address) -> Column:
-    return in_ranges(address, RESERVED_RANGES)
+    """True for private and reserved addresses, and for text that is no address at all."""
+    known = is_ipv4(address) | is_ipv6(address)
+    return ~F.coalesce(known, F.lit(False)) | in_ranges(address, RESERVED_RANGES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.addresses import ipv4_number
+from footfall.functions.addresses import address_key, block_of, number_key
 from footfall.operators.aggregates import ranked
 from footfall.schema import LIST_LIMIT, SESSION_SECONDS
 
@@ -51,15 +51,24 @@ def subject_events(events: DataFrame, pageviews: DataFrame, email: str) -> DataF
 
 
 def latest_visit(
-    probes: DataFrame, history: DataFrame, keys: list[str], seconds: int = SESSION_SECONDS
+    probes: DataFrame, history: DataFrame, keys: list[str], seconds: int = SESSION_SECONDS, optional: tuple[str, ...] = ()
 ) -> DataFrame:
     """For each probe (keys, dt) the visit of the latest earlier-or-same row.
 
-    Both sides are first reduced to one row per key and second. Windows run per
-    key and time slot of eight look-back lengths; a row near the end of its
-    slot is repeated in the next. So a window holds at most nine lengths of
-    seconds, however busy a key is.
+    A key that is `optional` and unknown (NULL) in the probe matches any row; the probes are parted by which
+    of these they lack. The history is first narrowed to the probes' keys, then both sides are reduced to
+    one row per key and second. Windows run per key and time slot of eight look-back lengths; a row near the
+    end of its slot is repeated in the next. So a window holds at most nine lengths of seconds, however
+    busy a key is.
     """
+    if optional:
+        first, *rest = optional
+        known = latest_visit(probes.where(F.col(first).isNotNull()), history, keys, seconds, tuple(rest))
+        fewer = [k for k in keys if k != first]
+        lacking = latest_visit(probes.where(F.col(first).isNull()), history, fewer, seconds, tuple(rest))
+        lacking = lacking.withColumn(first, F.lit(None).cast(probes.schema[first].dataType))
+        return known.unionByName(lacking).select(*keys, "dt", "visit_found")
+    history = history.join(probes.select(*keys).distinct(), keys, "left_semi")
     size = F.lit(8 * seconds)
     asked = probes.select(*keys, "dt", F.lit(None).cast("bigint").alias("visit_id"), F.lit(None).cast("bigint").alias("id"),
                           F.lit(True).alias("probe"))
@@ -113,16 +122,18 @@ def hits_per_article(pageviews: DataFrame, articles: DataFrame, count: str = "id
 def geo_lookup(hits: DataFrame, ranges: DataFrame, address: str = "ip", with_city: bool = True) -> DataFrame:
     """Country, city and location of an address from a range table.
 
-    `ranges` has low, high (address numbers), country_code, city, subdivision,
-    latitude, longitude; ranges do not overlap. Each range is repeated per /16
-    block it touches and met by an equality on the block, so the range test
+    `ranges` has low, high (IPv4 numbers, or 32 hex digits for any address), country_code, city,
+    subdivision, latitude, longitude; ranges do not overlap. Each range is repeated per block it touches
+    (16 bits of an IPv4, 24 of an IPv6 address) and met by an equality on the block, so the range test
     only sees the few ranges of one block.
     """
-    block = F.explode(F.sequence(F.shiftright("low", 16), F.shiftright("high", 16)))
-    blocks = ranges.withColumn("block", block)
-    distinct = hits.select(address).distinct().withColumn("number", ipv4_number(address))
-    distinct = distinct.withColumn("block", F.shiftright("number", 16))
-    found = distinct.join(blocks, "block").where(F.col("number").between(F.col("low"), F.col("high")))
+    kind = dict(ranges.dtypes)["low"]
+    ends = {c: F.col(c) if kind == "string" else number_key(c) for c in ("low", "high")}
+    ranges = ranges.withColumns(ends)
+    blocks = ranges.withColumn("block", F.explode(F.sequence(block_of("low"), block_of("high"))))
+    distinct = hits.select(address).distinct().withColumn("key", address_key(address))
+    distinct = distinct.withColumn("block", block_of("key"))
+    found = distinct.join(blocks, "block").where(F.col("key").between(F.col("low"), F.col("high")))
     place = F.when(F.col("subdivision") != "", F.concat("city", F.lit(" ("), "subdivision", F.lit(")"))).otherwise(F.col("city"))
     known = found.where("lower(country_code) <> 'xx' AND country_code <> ''").select(
         address,

@@ -68,7 +68,8 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def fold_in_order(
-    seconds: DataFrame, key: str, columns: list[str], output: T.StructType, step: Callable, fresh: Callable, rest: int
+    seconds: DataFrame, key: str, columns: list[str], output: T.StructType, step: Callable, fresh: Callable, rest: int,
+    then: str = "dt",
 ) -> DataFrame:
     """Walk every key's seconds in time order with a small state.
 
@@ -76,10 +77,10 @@ def fold_in_order(
     blocks that are folded apart: a busy key makes as many pieces as it rests.
     Rows are partitioned by key and block and sorted, then streamed through
     Arrow batches: only the state crosses a batch, so a long block needs no memory.
-    `step(state, arrays) -> (state, column)` handles one run of one block.
+    `step(state, arrays) -> (state, column)` handles one run of one block; rows of one second come by `then`.
     """
     blocks = with_blocks(seconds, key, rest)
-    ordered = blocks.repartition(key, "block").sortWithinPartitions(key, "block", "dt")
+    ordered = blocks.repartition(key, "block").sortWithinPartitions(key, "block", "dt", then)
     name = output.fields[-1].name
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,16 +142,36 @@ def fixed_starts(hits: DataFrame, key: str, length: int = SESSION_SECONDS) -> Da
     return anchors(per_second(hits, key), key, length)
 
 
-def drop_repeats(hits: DataFrame, keys: list[str], seconds: int = SESSION_SECONDS) -> DataFrame:
+def drop_repeats(hits: DataFrame, keys: list[str], seconds: int = SESSION_SECONDS, optional: str | None = None) -> DataFrame:
     """Hits without repeats: same keys within `seconds` of the last *kept* hit.
 
-    A dropped hit does not extend the window. Of several hits in one second
-    the smallest id is kept.
+    A dropped hit does not extend the window. Of several hits in one second the smallest id is kept. A hit
+    whose `optional` key is unknown (NULL) repeats any kept hit of its other keys; one that has it repeats
+    only kept hits with the same.
     """
-    per = hits.groupBy(*keys, "dt").agg(F.min("id").alias("id"))
-    coded = per.withColumn("key", F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys]))
-    kept = anchors(coded.select("key", "dt", "id"), "key", seconds + 1, "kept").where("dt = kept")
-    return hits.join(kept.select("id"), "id", "left_semi")
+    named = keys if optional is None else [*keys, optional]
+    per = hits.groupBy(*named, "dt").agg(F.min("id").alias("id"))
+    code = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys])
+    coded = per.withColumn("key", code)
+    if optional is None:
+        kept = anchors(coded.select("key", "dt", "id"), "key", seconds + 1, "kept").where("dt = kept")
+        return hits.join(kept.select("id"), "id", "left_semi")
+    seconds_of = coded.select("key", "dt", "id", F.col(optional).cast("string").alias("mark"))
+
+    def step(state, arrays):
+        last, newest = state
+        out = np.zeros(len(arrays[0]), dtype=np.int64)
+        for i, (dt, mark) in enumerate(zip(arrays[0].tolist(), arrays[1].tolist())):
+            before = newest if mark is None else last.get(mark)
+            if before is None or dt - before > seconds:
+                out[i], newest = 1, dt
+                if mark is not None:
+                    last[mark] = dt
+        return (last, newest), out
+
+    output = _schema_with(seconds_of, "kept")
+    kept = fold_in_order(seconds_of, "key", ["dt", "mark"], output, step, lambda: ({}, None), seconds + 1, "id")
+    return hits.join(kept.where("kept = 1").select("id"), "id", "left_semi")
 
 
 def rate_limited(hits: DataFrame, key: str = "ip", most: int = 10, quiet: int = 5) -> DataFrame:
