@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from checks.agents import ANSWERS
 from checks.base import check, pv, sql
 from checks.functions import SECRET, hmac_sql
-from checks.joins import SPAM_SQL, spam_list
+from checks.joins import GEO_VALUES, IP_NUMBER, SPAM_SQL, geo_ranges, spam_list
 from footfall.functions import agents
-from footfall.operators import ingest
+from footfall.operators import hit_pipeline, ingest
 from footfall.schema import HASH_LENGTH
-from footfall.sources.hits import CODED_KEYS, encode_base64url, parse_hits
+from footfall.session import scratch_path
+from footfall.sources.hits import CODED_KEYS, RAW, encode_base64url, parse_hits, read_hits, stream_hits
+from footfall.sources.tables import read_pageviews
 
 _RAW_COLUMNS = (
     "id dt ip user_agent referer resource resolution screen_width screen_height server_latency page_performance "
@@ -370,3 +372,49 @@ FROM pageviews)"""
 def sink_update_fold(spark, sf_dir):
     rows = pv(spark, sf_dir, "id notes outbound_resource dt_out resolution")
     return ingest.fold_updates(rows, updates(spark, sf_dir)).select("id", "notes", "outbound_resource", "dt_out", "resolution")
+
+
+_FLOW_POLICY = ingest.Policy(ignore_bots=True, mask=True, secret=SECRET)
+_FLOW_COLUMNS = (
+    "dt ip country city referer resource visit_id server_latency browser browser_version browser_type platform fingerprint resolution "
+    "content_type category"
+).split()
+_FLOW_SQL = sql(
+    f"""SELECT p.dt, regexp_replace(p.ip, '[.][0-9]+$', '.0') AS ip, lower(g.cc) AS country,
+  CASE WHEN g.sub <> '' THEN concat(g.city, ' (', g.sub, ')') ELSE g.city END AS city, p.referer, p.resource,
+  CAST(concat('0x', substring({hmac_sql(f"{_DAY.replace('dt', 'p.dt')} || '|' || p.fingerprint")}, 1, 8)) AS BIGINT) AS visit_id,
+  CASE WHEN p.server_latency BETWEEN 1 AND 59999 THEN p.server_latency ELSE 0 END AS server_latency,
+  a.browser, a.browser_version, a.browser_type, a.platform, p.fingerprint, p.resolution,
+  CASE WHEN p.id % 8 = 0 THEN p.content_type ELSE 'external' END AS content_type, CASE WHEN p.id % 8 = 0 THEN '1,2' END AS category
+FROM pageviews p JOIN answers a ON a.n = (p.page_performance // 20) % {len(ANSWERS)}
+LEFT JOIN geo g ON {IP_NUMBER} BETWEEN g.low AND g.high AND g.cc <> 'XX'
+WHERE p.id % 4 = 0 AND p.resource IS NOT NULL AND a.browser_type <> 1""",
+    f"""answers(n, browser, browser_version, browser_type, platform) AS (VALUES {_ANSWERS}),
+geo(low, high, cc, city, sub, lat, lon) AS (VALUES {GEO_VALUES})""",
+)
+
+
+def inbox(spark, sf_dir):
+    """The raw hits as JSON files, each delivered twice."""
+    path = scratch_path(spark, "inbox")
+    rows = raw_hits(spark, sf_dir).select([f.name for f in RAW.fields])
+    for _ in range(2):
+        rows.write.mode("append").json(path)
+    return path
+
+
+@check("hit_pipeline", _FLOW_SQL)
+def run_hit_pipeline(spark, sf_dir):
+    """Files of raw hits through every step into a stored table."""
+    table = scratch_path(spark, "from-hits")
+    hit_pipeline.store_hits(read_hits(spark, inbox(spark, sf_dir)), table, _FLOW_POLICY, geo_ranges(spark))
+    return read_pageviews(spark, table).select(*_FLOW_COLUMNS)
+
+
+@check("stream_hit_pipeline", _FLOW_SQL)
+def run_stream_hit_pipeline(spark, sf_dir):
+    """The same hits as a stream of files, in two runs of the stream."""
+    table, folder, path = scratch_path(spark, "streamed-hits"), scratch_path(spark, "hit-stream"), inbox(spark, sf_dir)
+    for _ in range(2):
+        hit_pipeline.stream_store_hits(spark, stream_hits(spark, path, 4), table, _FLOW_POLICY, geo_ranges(spark), folder)
+    return read_pageviews(spark, table).select(*_FLOW_COLUMNS)

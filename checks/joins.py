@@ -188,19 +188,19 @@ def _number(address: str) -> int:
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
-_GEO_VALUES = ", ".join(
+GEO_VALUES = ", ".join(
     f"({_number(low)}, {_number(high)}, '{cc}', '{city}', '{sub}', '{lat}', '{lon}')" for low, high, cc, city, sub, lat, lon in GEO
 )
 
 
 def geo_ranges(spark):
     names = "low, high, country_code, city, subdivision, latitude, longitude"
-    return spark.sql(f"SELECT * FROM VALUES {_GEO_VALUES} AS geo({names})").withColumns(
+    return spark.sql(f"SELECT * FROM VALUES {GEO_VALUES} AS geo({names})").withColumns(
         {c: F.col(c).cast("bigint") for c in ("low", "high")}
     )
 
 
-_IP_NUMBER = (
+IP_NUMBER = (
     "(CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 "
     "+ CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT))"
 )
@@ -225,8 +225,8 @@ def geo_ranges_of_both(spark):
   CASE WHEN r.id % 7 > 0 THEN CASE WHEN g.sub <> '' THEN concat(g.city, ' (', g.sub, ')') ELSE g.city END
     WHEN r.id % 5 = 1 THEN 'Delft' WHEN r.id % 5 = 3 THEN 'Lund' END AS geo_city,
   CASE WHEN r.id % 7 > 0 AND g.cc IS NOT NULL THEN concat(g.lat, ',', g.lon) WHEN r.id % 7 = 0 AND r.id % 5 IN (1, 3) THEN '1,2' END AS geo_location
-FROM pageviews r LEFT JOIN geo g ON {_IP_NUMBER} BETWEEN g.low AND g.high AND g.cc <> 'XX'""",
-        f"geo(low, high, cc, city, sub, lat, lon) AS (VALUES {_GEO_VALUES})",
+FROM pageviews r LEFT JOIN geo g ON {IP_NUMBER} BETWEEN g.low AND g.high AND g.cc <> 'XX'""",
+        f"geo(low, high, cc, city, sub, lat, lon) AS (VALUES {GEO_VALUES})",
     ),
 )
 def geo_range_lookup(spark, sf_dir):
