@@ -343,18 +343,19 @@ def ext_hit_hooks(spark, sf_dir):
     return ingest.apply_hooks(rows, before=drop_some, enrich=shout, after=veto).select("id", "browser", "hook_code")
 
 
-def updates(spark, sf_dir):
+def updates(spark, sf_dir, with_time: bool = False):
     """Two later updates for every page that was found, of which some fields are empty."""
+    time = ["dt AS page_dt"] if with_time else []
     rows = pv(spark, sf_dir, "id dt content_type").where("content_type <> '404'")
     first = rows.selectExpr(
         "id", "id * 2 AS seq", "concat('[tag:', id % 5, ']') AS notes",
         "CASE WHEN id % 4 = 0 THEN concat('https://one.example.net/', id % 7) ELSE '' END AS outbound_resource",
-        "dt + 30 AS dt_out", "CASE WHEN id % 5 = 0 THEN concat('10x', id % 9) END AS resolution",
+        "dt + 30 AS dt_out", "CASE WHEN id % 5 = 0 THEN concat('10x', id % 9) END AS resolution", *time,
     )
     second = rows.selectExpr(
         "id", "id * 2 + 1 AS seq", "CASE WHEN id % 2 = 0 THEN '[late:yes]' END AS notes",
         "CASE WHEN id % 6 = 2 THEN concat('https://two.example.net/', id % 7) END AS outbound_resource",
-        "CASE WHEN id % 7 = 0 THEN 0 ELSE dt + 90 END AS dt_out", "'' AS resolution",
+        "CASE WHEN id % 7 = 0 THEN 0 ELSE dt + 90 END AS dt_out", "'' AS resolution", *time,
     )
     return first.unionByName(second)
 

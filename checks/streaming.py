@@ -132,7 +132,7 @@ def stream_rate_limit(spark, sf_dir):
 def stream_pageview_updates(spark, sf_dir):
     """Updates arrive as files and are folded into a stored table batch by batch."""
     table, inbox = stored(spark, sf_dir, "updated"), scratch_path(spark, "updates")
-    rows = updates(spark, sf_dir)
+    rows = updates(spark, sf_dir, with_time=True)
     rows.write.parquet(inbox)
     folder = scratch_path(spark, "update-stream")
     for _ in range(2):  # a stream that is started again folds nothing twice

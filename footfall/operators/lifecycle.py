@@ -59,7 +59,7 @@ def rewrite(table: DataFrame, path: str, touched: DataFrame, change, stage: str
     if stage and is_complete(spark, stage):
         replace_days(spark.read.schema(table.schema).parquet(stage), path)
         return
-    days = _days(with_day(touched))
+    days = _days(touched if "dt_date" in touched.columns else with_day(touched))
     if not days:
         return
     keep, stage = bool(stage), stage or scratch_path(spark, "rewrite")
@@ -73,9 +73,17 @@ def rewrite(table: DataFrame, path: str, touched: DataFrame, change, stage: str
 
 
 def merge_updates(spark: SparkSession, path: str, updates: DataFrame, stage: str | None = None) -> None:
-    """Fold later updates into the stored page views."""
+    """Fold later updates into the stored page views.
+
+    Updates that carry `page_dt`, the time of their page view, name the touched days themselves; for others the
+    ids are looked up in the table.
+    """
     table = read_pageviews(spark, path)
-    touched = table.select("id", "dt_date").join(updates.select("id").distinct(), "id", "left_semi")
+    if "page_dt" in updates.columns:
+        touched = updates.select(day_of("page_dt").alias("dt_date"))
+        updates = updates.drop("page_dt")
+    else:
+        touched = table.select("id", "dt_date").join(updates.select("id").distinct(), "id", "left_semi")
     rewrite(table, path, touched, lambda rows: fold_updates(rows, updates), stage)
 
 
@@ -101,7 +109,10 @@ def archive_old(spark: SparkSession, path: str, archive_path: str | None, as_of:
     old, _ = split_by_age(table.where(F.col("dt_date") <= last_day), limit)
     if archive_path:
         append_new(old, archive_path, "event_id" if events else "id")
-    rewrite(table, path, old, lambda rows: rows.where(F.col("dt") >= limit))
+    whole = _days(table.where(F.col("dt_date") < last_day))
+    cut = table.where((F.col("dt_date") == last_day) & (F.col("dt") < limit))
+    rewrite(table, path, cut, lambda rows: rows.where(F.col("dt") >= limit))
+    drop_days(spark, path, [str(d) for d in whole])
 
 
 def delete_stored(spark: SparkSession, page_id: int, pageviews: list[str], events: list[str]) -> None:

@@ -14,6 +14,7 @@ def values(spark, rows, schema, column):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
 
 
+# Positions and their parts.
 RECOVER = [
     ("320480", 1920, "320,480"),
     ("320480", 400, "320,480"),
@@ -47,6 +48,7 @@ def test_position_check(spark):
     assert got == [*kept, "320,480"] + [""] * len(empty)
 
 
+# Agents whose answers are known.
 BOTS = [
     "Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)",
     "Mozilla/5.0 AppleWebKit/537.36 (KHTML, like Gecko; compatible; Googlebot/2.1; +http://www.google.com/bot.html) Chrome/130.0.6723.117 Safari/537.36",
@@ -65,6 +67,7 @@ BOTS = [
     "",
     None,
 ]
+# Agents whose answers are known.
 PEOPLE = [
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/130.0.0.0 Safari/537.36",
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:121.0) Gecko/20100101 Firefox/121.0",
@@ -80,6 +83,26 @@ def test_agents(spark):
     assert len(rows) == len(BOTS) + len(PEOPLE)
     assert all(rows[i].browser_type == 1 for i in range(len(BOTS)))
     assert all(rows[i].browser_type != 1 for i in range(len(BOTS), len(rows)))
+
+
+# One agent per family with browser, version, kind and platform.
+FAMILIES = [
+    ("BlackBerry9700/5.0.0.593 Profile/MIDP-2.1 Configuration/CLDC-1.1", "BlackBerry", "0", 2, "unknown"),
+    ("SAMSUNG-SGH-E250/1.0 Opera Mini/7.1", "Opera Mini", "7.1", 2, "unknown"),
+    ("Mozilla/4.0 (compatible; MSIE 6.0; Windows NT 5.1; SV1)", "IE", "6", 0, "winxp"),
+    ("Mozilla/4.0 (compatible; MSIE 7.0; AOL 9.0; Windows NT 5.1)", "AOL", "9", 0, "winxp"),
+    ("Mozilla/5.0 (X11; U; Linux i686; en-US; rv:1.9) Gecko/2008 Iceweasel/3.0", "Iceweasel", "3", 0, "linux"),
+    ("Mozilla/5.0 (X11; U; Linux i686; en-US; rv:1.7) Gecko/20041107", "Mozilla", "1.7", 0, "linux"),
+    ("Mozilla/5.0 (Windows NT 6.3; WOW64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/36.0 Safari/537.36 Edge/12.0", "IE", "11", 0, "win8.1"),
+    ("Dillo/2.0", "Dillo", "2", 0, "unknown"),
+    ("FeedBurner/1.0 (http://www.FeedBurner.com)", "FeedBurner", "1", 1, "unknown"),
+]
+
+
+def test_agent_families(spark):
+    rows = agents.enrich_agents(spark.createDataFrame([(f[0],) for f in FAMILIES], "user_agent string")).collect()
+    got = {r.user_agent: (r.browser, r.browser_version, r.browser_type, r.platform) for r in rows}
+    assert got == {f[0]: f[1:] for f in FAMILIES}
     assert rows[3].browser == "BingBot"
 
 
