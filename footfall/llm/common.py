@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,7 +20,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that Python objects of few texts live at a time."""
+    """The same rows in small batches, so that Python objects of few texts live at a time.
+
+    The tasks build many lists and no cycles, so the search for cycles runs seldom.
+    """
+    gc.set_threshold(500_000, 20, 100)
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
@@ -43,6 +48,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary for what an operator keeps in a worker process, such as a loaded model."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def keep_only(cache: dict | None = None) -> None:
+    """Called where a task begins: what other operators left in this worker process is dropped."""
+    for other in _KEPT:
+        if other is not cache:
+            other.clear()
+
+
 class Memo(dict):
     """Results by key: each key has a place in `values`. Two generations of about `most` keys are kept.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import held_out, slices
+from footfall.llm.common import held_out, keep_only, slices, worker_cache
 
 DIMENSIONS = 640
 GRAM = 3
@@ -71,13 +71,14 @@ class Profiler:
         return bundle / norm if norm else None
 
 
-_PROFILER: list[Profiler] = []
+_PROFILER: dict[str, Profiler] = worker_cache()
 
 
 def profiler() -> Profiler:
-    if not _PROFILER:
-        _PROFILER.append(Profiler())
-    return _PROFILER[0]
+    keep_only(_PROFILER)
+    if "profiler" not in _PROFILER:
+        _PROFILER["profiler"] = Profiler()
+    return _PROFILER["profiler"]
 
 
 def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> tuple[list[str], np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import ngrams
-from footfall.llm.common import held_out, slices, stored
+from footfall.llm.common import held_out, keep_only, slices, stored
 
 #: Symbol 1 stands for every character outside the vocabulary.
 OTHER = 1
@@ -69,6 +69,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
         models = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         encode = encoder(letters)
         for batch in slices(batches, 128):
             texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -93,4 +94,5 @@ def good_documents(labels: DataFrame) -> DataFrame:
 def score_by_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores with the documents labelled good, but not held out, as the target."""
     docs = docs.select("doc_id", "text")
-    return score(docs, docs.join(good_documents(labels), "doc_id", "left_semi"))
+    # labels grow with the documents: merged at every size, never broadcast
+    return score(docs, docs.join(good_documents(labels).hint("merge"), "doc_id", "left_semi"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import slices
+from footfall.llm.common import keep_only, slices
 
 SYMBOLS = 64
 ORDER = 4
@@ -47,6 +47,7 @@ def counted(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], ma
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         counts = {m: np.zeros(SYMBOLS**order, np.int32) for m in marks}
         for batch in slices(batches, _ROWS):
             texts = batch.column("text").to_pylist()

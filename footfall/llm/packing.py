@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import Memo, slices, stored, texts
+from footfall.llm.common import Memo, keep_only, slices, stored, texts, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -98,10 +98,11 @@ class WordIds:
         return [b"".join(x) for x in self.words.look_up([words_apart(x.encode()) for x in rows], self._encode)]
 
 
-_WORDS: dict[str, WordIds] = {}
+_WORDS: dict[str, WordIds] = worker_cache()
 
 
 def word_ids(path: str) -> WordIds:
+    keep_only(_WORDS)
     if path not in _WORDS:
         import os
 

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from footfall.llm.common import keep_only
+
 #: Cells of each of the three subtables of a fingerprint.
 CELLS = 8
 #: A line goes on to the next paragraph after about so many words.
@@ -205,6 +207,7 @@ def _compare(ids: list, rows: list[str], ahead: str) -> pa.RecordBatch:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket and order; the last rows of a bucket only look ahead to the next one."""
+    keep_only()
     ids, rows, marks = [], [], []
 
     def upto(stop: int) -> Iterator[pa.RecordBatch]:
