@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.session import scratch_path
 
 #: Rows that a Python task works on at once.
 SLICE = 512
+#: Rows of an Arrow batch between Spark and a Python task.
+BATCH = 2_000
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -30,6 +33,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
+def in_tasks(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
+    """`mapInArrow` in batches that suit whole texts: a batch of ten thousand of them would need much memory on both sides.
+
+    The session keeps the smaller batches.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df.mapInArrow(function, schema)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column; null counts as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import held_out, keep_only, slices, worker_cache
+from footfall.llm.common import held_out, in_tasks, keep_only, slices, worker_cache
 
 DIMENSIONS = 640
 GRAM = 3
@@ -108,7 +108,7 @@ def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> tuple[list[str], np.
         rows = [pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(rows, ["lang", "total"])
 
-    parts = sample.mapInArrow(run, "lang string, total array<long>").select("lang", F.posexplode("total").alias("at", "x"))
+    parts = sample.transform(in_tasks, run, "lang string, total array<long>").select("lang", F.posexplode("total").alias("at", "x"))
     totals = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).collect()
     languages = sorted({r["lang"] for r in totals})
     place = {lang: i for i, lang in enumerate(languages)}
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> Da
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").transform(in_tasks, run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -170,4 +170,4 @@ def keep_known(docs: DataFrame, least: float = LEAST_LIKENESS) -> DataFrame:
             keep = [v is not None and float((prototypes @ v).max()) >= least for v in vectors]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_tasks, run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import ngrams
-from footfall.llm.common import held_out, keep_only, slices, stored
+from footfall.llm.common import held_out, in_tasks, keep_only, slices, stored
 
 #: Symbol 1 stands for every character outside the vocabulary.
 OTHER = 1
@@ -36,7 +36,7 @@ def vocabulary(docs: DataFrame, size: int = ngrams.SYMBOLS - 2) -> str:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["point", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").transform(in_tasks, run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
     return "".join(chr(r["point"]) for r in counted.orderBy(F.desc("n"), "point").limit(size).collect())
 
 
@@ -83,7 +83,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
                 ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return docs.select("doc_id", "text").transform(in_tasks, run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import keep_only, slices
+from footfall.llm.common import in_tasks, keep_only, slices
 
 SYMBOLS = 64
 ORDER = 4
@@ -62,7 +62,7 @@ def counted(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], ma
                 part = codes[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([m] * len(part), pa.string()), pa.array(part, pa.int64()), pa.array(counts[m][part], pa.int64())], ["mark", "code", "n"])
 
-    parts = docs.select("text", *marks).mapInArrow(run, "mark string, code long, n long")
+    parts = docs.select("text", *marks).transform(in_tasks, run, "mark string, code long, n long")
     return parts.groupBy("mark", "code").agg(F.sum("n").alias("n"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import Memo, keep_only, slices, stored, texts, worker_cache
+from footfall.llm.common import Memo, in_tasks, keep_only, slices, stored, texts, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -131,7 +131,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").transform(in_tasks, run, PIECES)
 
 
 def _exact(have: np.ndarray, gap: int) -> list[int] | None:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from footfall.llm.common import keep_only
+from footfall.llm.common import in_tasks, keep_only
 
 #: Cells of each of the three subtables of a fingerprint.
 CELLS = 8
@@ -258,7 +258,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     sent = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("ahead")))
     dealt = rows.withColumn("to", F.explode(sent)).where("to.bucket IS NOT NULL").select("to.bucket", "to.ahead", "doc_id", "text")
     dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "doc_id", "text")
-    return dealt.mapInArrow(_runs, SCHEMA)
+    return dealt.transform(in_tasks, _runs, SCHEMA)
 
 
 def _bucket(bounds: Column, cuts: list[int]) -> Column:
