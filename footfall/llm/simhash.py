@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import slices, stored, texts
+from footfall.llm.common import in_tasks, keep_only, slices, stored, texts
 from footfall.llm.components import connected
 
 BITS = 64
@@ -51,13 +51,13 @@ def fingerprints(rows: list[str], width: int) -> np.ndarray:
     full = np.flatnonzero(sizes)
     if len(full):
         begins = np.concatenate([[0], np.cumsum(sizes[full])])
-        h, step = np.array(hashes, np.uint64), 1 << 18
+        h, step = np.array(hashes, np.uint64), 1 << 15
         cut = 0
         while cut < len(full):  # texts whose shingles make about `step` rows of bits at once
             upto = max(cut + 1, int(np.searchsorted(begins, begins[cut] + step, "right")) - 1)
             counts = np.zeros((upto - cut, BITS), np.int64)
-            for at in range(begins[cut], begins[upto], 4 * step):  # a very long text: in parts
-                to = min(begins[upto], at + 4 * step)
+            for at in range(begins[cut], begins[upto], step):  # a very long text: in parts
+                to = min(begins[upto], at + step)
                 bits = np.unpackbits(h[at:to].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 inside = np.clip(begins[cut:upto] - at, 0, None)
                 inside = inside[(begins[cut + 1 : upto + 1] > at) & (begins[cut:upto] < to)]
@@ -73,11 +73,12 @@ def fingerprint_column(docs: DataFrame, width: int = 3) -> DataFrame:
     """`docs` (with doc_id and text) as (doc_id, fp: the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in slices(batches):
             fp = fingerprints(texts(batch), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").transform(in_tasks, run, "doc_id long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -112,30 +113,29 @@ def forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
-    """(a, b) from buckets (mask, key, fp) of at most SMALL rows each."""
+    """(a, b) from buckets (bucket, fp) of at most SMALL rows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((0, 3), np.int64)
+        rest = np.empty((0, 2), np.int64)
 
         def cut(part: np.ndarray) -> pa.RecordBatch:
-            ends = np.flatnonzero((part[1:, :2] != part[:-1, :2]).any(axis=1)) + 1
-            found = [x for group in np.split(part[:, 2], ends) for x in forest(np.ascontiguousarray(group), radius)]
+            ends = np.flatnonzero(part[1:, 0] != part[:-1, 0]) + 1
+            found = [x for group in np.split(part[:, 1], ends) for x in forest(np.ascontiguousarray(group), radius)]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            part = np.stack([batch.column(c).to_numpy() for c in ("mask", "key", "fp")], axis=1)
+            part = np.stack([batch.column(c).to_numpy() for c in ("bucket", "fp")], axis=1)
             part = np.concatenate([rest, part])
             if len(part):
-                same = (part[:, :2] == part[-1, :2]).all(axis=1)
-                whole = len(part) - int(same.sum())
+                whole = int(np.searchsorted(part[:, 0], part[-1, 0]))
                 rest = part[whole:]
                 if whole:
                     yield cut(part[:whole])
         if len(rest):
             yield cut(rest)
 
-    dealt = rows.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = rows.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.transform(in_tasks, run, "a long, b long")
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -143,15 +143,18 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     spark = distinct.sparkSession
     masks = covering_masks(radius)
     table = F.array(*[F.lit(_signed(m)) for m in masks])
-    rows = distinct.select("fp", F.explode(table).alias("mask"))
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few bytes per row become many rows: spread them first
+    rows = distinct.select("fp").repartition(wide, "fp").select("fp", F.explode(table).alias("mask"))
     found = None
     while True:
-        rows = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        buckets = rows.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+        # a bucket is named by a hash: where two share a name, their members are too far apart to link
+        rows = rows.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "mask", "fp")
+        buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         buckets = stored(buckets.where("n > 1"), "buckets")
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
         pairs = buckets.where((F.col("n") == 2) & near).select("a", "b")
-        members = rows.join(buckets.where("n > 2").select("mask", "key", "n"), ["mask", "key"])
+        # both sides grow with the documents: merged at every size, and split where a bucket is hot
+        members = rows.join(buckets.where("n > 2").select("bucket", "n").hint("merge"), "bucket")
         small = _bucket_links(members.where(F.col("n") <= SMALL), radius)
         level = pairs.unionByName(small)
         found = level if found is None else found.unionByName(level)
@@ -194,7 +197,7 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """
     groups = near_duplicates(docs, width, radius)
     kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_")), "kept")
-    first = docs.join(kept.where("n_ = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    first = docs.join(kept.where("n_ = 1").hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
     if not kept.where("n_ > 1").take(1):
         return first
-    return first.unionByName(docs.join(kept.where("n_ > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return first.unionByName(docs.join(kept.where("n_ > 1").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
