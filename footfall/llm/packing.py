@@ -29,7 +29,7 @@ from footfall.llm.common import Memo, in_tasks, keep_only, slices, stored, texts
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words that a worker remembers, in each of two generations.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
