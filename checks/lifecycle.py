@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import MIDDAY, START, check, events, last_moment, pv, ranged, sql
+from checks.base import MIDDAY, check, last_moment, pv, ranged, sql
 from checks.joins import SPAM_SQL, spam_list
 from footfall.operators import lifecycle, subjects
 from footfall.schema import EVENT_COLUMNS, PAGEVIEW_COLUMNS

@@ -242,3 +242,29 @@ def test_deleting_every_row_of_a_day_removes_it(spark):
     left = tables.read_pageviews(spark, path)
     assert left.count() == 79
     assert left.where("dt_date = date'2024-01-02'").count() == 0
+
+
+def test_a_page_counts_for_every_article_above_it(spark):
+    pages = spark.createDataFrame([(1, "/a/b/c"), (2, "/a/b"), (3, "/a"), (4, "/z")], "id long, resource string")
+    articles = spark.createDataFrame([(1, "/a"), (2, "/a/b"), (3, "/q")], "article_id long, path string")
+    got = {r.article_id: r.counthits for r in joins.hits_per_article(pages, articles).collect()}
+    assert got == {1: 3, 2: 2, 3: 0}
+
+
+def test_known_ids_are_found_on_any_day(spark):
+    from footfall.operators.lifecycle import append_new
+    from footfall.session import scratch_path
+
+    path, schema = scratch_path(spark, "ids"), "id long, dt long"
+    append_new(spark.createDataFrame([(1, 0), (2, 86400)], schema), path)
+    append_new(spark.createDataFrame([(1, 5 * 86400), (3, 7), (3, 8)], schema), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_places_of_both_kinds_of_addresses(spark):
+    ranges = [("20010db8" + "0" * 24, "20010db8" + "f" * 24, "NL", "Delft", "", "1", "2")]
+    table = spark.createDataFrame(ranges, "low string, high string, country_code string, city string, subdivision string, latitude string, longitude string")
+    hits = spark.createDataFrame([("2001:db8::1",), ("2001:DB8:ffff::",), ("2001:db9::",), ("1.2.3.4",), ("x",), (None,)], "ip string")
+    assert {r.ip: r.geo_country for r in joins.geo_lookup(hits, table).collect()} == {
+        "2001:db8::1": "nl", "2001:DB8:ffff::": "nl", "2001:db9::": None, "1.2.3.4": None, "x": None, None: None,
+    }
