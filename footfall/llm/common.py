@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footfall.session import scratch_path
+from footfall.session import scratch_path, ship_package
 
 #: Rows that a Python task works on at once.
 SLICE = 512
@@ -36,8 +36,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 def in_tasks(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """`mapInArrow` in batches that suit whole texts: a batch of ten thousand of them would need much memory on both sides.
 
-    The session keeps the smaller batches.
+    The session keeps the smaller batches. The executors get this package with the first task.
     """
+    ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return df.mapInArrow(function, schema)
 
