@@ -195,7 +195,11 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     Of rows that repeat this doc_id, one stays. Rows without a doc_id can't be told apart
     and all stay.
     """
-    groups = near_duplicates(docs, width, radius)
+    return least_of_groups(docs, near_duplicates(docs, width, radius))
+
+
+def least_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """`keep_one` for any groups (doc_id, component_id)."""
     kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_")), "kept")
     first = docs.join(kept.where("n_ = 1").hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
     if not kept.where("n_ > 1").take(1):
