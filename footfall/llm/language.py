@@ -23,8 +23,14 @@ SEED = 2024
 #: Training texts of each language, at most about so many (chosen by a hash of the id).
 LEARN_FROM = 4_000
 UNKNOWN = "und"
-#: A text whose best cosine is lower looks like no language that was learned.
-LEAST_LIKENESS = 0.02
+#: Three standard deviations of the cosine of unrelated vectors: below it any text looks like no language.
+LEAST_LIKENESS = 3 / DIMENSIONS**0.5
+#: Cosines grow with the number of distinct n-grams. A text must also reach this share of the median of learned texts of its
+#: language and size (the bits of that number), where there are so many of them.
+SHARE, LEAST_TEXTS = 0.5, 20
+#: Of fewer n-grams than 2 ** (TELLS - 1), a word or two, the cosine tells nothing: clean texts fall to chance as well, so they stay.
+TELLS = 4
+_SIZES = 32
 #: Letters have codes below this; Latin letters have their own, rarer scripts share the rest.
 _CODES = 4096
 _UNIT = 1 << 20
@@ -55,9 +61,13 @@ class Profiler:
 
     def vector(self, text: str) -> np.ndarray | None:
         """The text's bundle with length one; None if it has no letter."""
+        return self.sized(text)[0]
+
+    def sized(self, text: str) -> tuple[np.ndarray | None, int]:
+        """The vector and the size: the bits of the number of distinct n-grams."""
         grams, counts = self.grams(text)
         if not len(grams):
-            return None
+            return None, 0
         bundle = np.zeros(DIMENSIONS, np.float32)
         weights = np.log1p(counts).astype(np.float32)
         for at in range(0, len(grams), 4096):  # bounded memory for texts of any length
@@ -68,7 +78,7 @@ class Profiler:
                 bound = x if bound is None else np.multiply(bound, x, out=bound)
             bundle += weights[at : at + 4096] @ bound.astype(np.float32)
         norm = float(np.linalg.norm(bundle))
-        return bundle / norm if norm else None
+        return (bundle / norm if norm else None), min(len(grams).bit_length(), _SIZES - 1)
 
 
 _PROFILER: dict[str, Profiler] = worker_cache()
@@ -81,21 +91,28 @@ def profiler() -> Profiler:
     return _PROFILER["profiler"]
 
 
-def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> tuple[list[str], np.ndarray]:
-    """(languages, unit prototypes) from texts with a lang that aren't held out.
-
-    Each language gives at most about `learn_from` texts. Tasks send their sums as whole numbers, so
-    the prototypes don't depend on the order of tasks. What reaches the driver is one vector per language.
-    """
+def training_texts(docs: DataFrame, learn_from: int = LEARN_FROM) -> DataFrame | None:
+    """(text, lang) of texts with a lang that aren't held out, at most about `learn_from` of each language; None without any."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return [], np.zeros((0, DIMENSIONS))
+        return None
     spark = docs.sparkSession
     limits = [(k, max(1, int(min(1.0, learn_from / n) * (1 << 20)))) for k, n in sizes.items()]
     limit = F.broadcast(spark.createDataFrame(limits, "lang string, limit_ long"))  # a row per language
     draw = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(1 << 20))
-    sample = known.select("doc_id", "text", "lang").join(limit, "lang").where(draw < F.col("limit_")).select("text", "lang")
+    return known.select("doc_id", "text", "lang").join(limit, "lang").where(draw < F.col("limit_")).select("text", "lang")
+
+
+def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> tuple[list[str], np.ndarray]:
+    """(languages, unit prototypes) from the training texts.
+
+    Tasks send their sums as whole numbers, so the prototypes don't depend on the order of tasks.
+    What reaches the driver is one vector per language.
+    """
+    sample = training_texts(docs, learn_from)
+    if sample is None:
+        return [], np.zeros((0, DIMENSIONS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, sums = profiler(), {}
@@ -155,19 +172,52 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = LEAST_LIKENESS) -> DataFrame:
-    """The rows of `docs`, all columns, whose text looks like a learned language."""
+def least_likeness(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> np.ndarray:
+    """Per language and size the least cosine of a text that looks like the language; it doesn't fall with the size.
+
+    Sizes with few training texts of a language go by those of all languages, or else by the smaller sizes.
+    """
+    limits = np.full((len(languages), _SIZES), LEAST_LIKENESS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = profiler()
+        for batch in slices(batches):
+            found = [(lang, *tool.sized(text)) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            found = [(lang, size, float((prototypes @ v).max())) for lang, v, size in found if v is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["lang", "size", "near"])
+
+    near = training_texts(docs).transform(in_tasks, run, "lang string, size int, near double")
+    both = near.unionByName(near.withColumn("lang", F.lit(None).cast("string")))
+    rows = both.groupBy("lang", "size").agg(F.count("*").alias("n"), F.percentile("near", F.lit(0.5)).alias("middle")).where(F.col("n") >= LEAST_TEXTS).collect()
+    middle = {(r["lang"], r["size"]): r["middle"] for r in rows}
+    for i, lang in enumerate(languages):
+        for size in range(_SIZES):
+            usual = middle.get((lang, size), middle.get((None, size), 0.0))
+            limits[i, size] = max(limits[i, max(0, size - 1)], SHARE * usual if size >= TELLS else 0.0)
+    limits[:, :TELLS] = -1.0
+    return limits
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose text looks like a learned language; of texts with a few letters, too few to tell, all stay."""
     languages, prototypes = learn(docs)
     if not languages:
         return docs.limit(0)
     prototypes = prototypes.astype(np.float32)
+    limits = least_likeness(docs, languages, prototypes)
     schema = docs.schema
 
+    def known(vector: np.ndarray | None, size: int) -> bool:
+        if vector is None:
+            return False
+        near = prototypes @ vector
+        best = int(near.argmax())
+        return float(near[best]) >= limits[best, size]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = profiler()
         for batch in slices(batches):
-            vectors = [tool.vector(x) if x else None for x in batch.column("text").to_pylist()]
-            keep = [v is not None and float((prototypes @ v).max()) >= least for v in vectors]
+            keep = [bool(x) and known(*tool.sized(x)) for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.transform(in_tasks, run, schema)
