@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import html_text, language, lm_scores, packing, pieces, quality, simhash, sketches, toxicity, url_rules
+from footfall.llm import contamination, html_text, language, lm_scores, packing, pieces, prefix_trie, quality, simhash, sketches, toxicity, url_rules, whitening
 from footfall.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,24 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return contamination.digests(contamination.find(documents(spark, sf_dir, "doc_id", "text"), benchmark, ["doc_id"]))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.withColumn("deviation", found["deviation"].cast("long"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.branched(turns))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
