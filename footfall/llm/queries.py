@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from footfall.llm import contamination, html_text, language, lm_scores, packing, pieces, prefix_trie, quality, simhash, sketches, toxicity, url_rules, whitening
+from footfall.llm.checking_sql import CONVERSATION_TRIE, DECONTAMINATION
 from footfall.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_decontamination": DECONTAMINATION, "op13_conversation_trie": CONVERSATION_TRIE}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
