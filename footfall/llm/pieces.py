@@ -8,8 +8,8 @@ the next mark or line end) that never join, and units into parts between neighbo
 side by side; the agenda runs once per new part.
 `unit_pattern` proves this from the vocabulary and leaves texts whole where it doesn't hold.
 
-Each Arrow batch hands its new units to the sentencepiece library as well. Where both differ, the
-library's ids are taken and counted in `n_mended`.
+Each Arrow batch hands its new units to the sentencepiece library as well. The agenda's ids are the result; where
+the library has others, `n_differ` counts it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from footfall.llm.common import Memo, in_tasks, keep_only, slices, texts, worker_cache
 
 MARK = "▁"
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_mended long"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_differ long"
 #: Units that a worker remembers, in each of two generations.
 REMEMBERED = 400_000
 
@@ -140,7 +140,7 @@ class PieceModel:
         return [[i for ids in next(shared) for i in ids] if len(x) > 1 else self.encode_unit(u) for u, x in zip(units, split, strict=True)]
 
     def _checked(self, units: list[str]) -> list[str]:
-        """Ids as text, checked against the library; units that it mends or that decode to something else are `odd`."""
+        """The agenda's ids as text, checked against the library; units that differ there or decode to something else are `odd`."""
         ours = self._parts_of(units)
         theirs = ours
         if self.plain:
@@ -150,23 +150,25 @@ class PieceModel:
             found = self.library.encode(asked, num_threads=1)
             theirs = [ids if m and len(u) > 1 else ids[lead:] for u, m, ids in zip(units, marked, found, strict=True)]
         for unit, own, lib in zip(units, ours, theirs, strict=True):
-            surface = self.decode_ids(lib)
+            surface = self.decode_ids(own)
             if own != lib or surface != unit.replace(MARK, " "):
                 self.odd[unit] = (surface, int(own != lib))
-        return [",".join(map(str, ids)) for ids in theirs]
+        return [",".join(map(str, ids)) for ids in ours]
 
     def encode_batch(self, rows: list[str]) -> list[tuple[int, str, str, int]]:
-        """Per text: number of ids, ids joined by commas, decoded text, units that were mended."""
+        """Per text: number of ids, ids joined by commas, decoded text, units (of a vocabulary that isn't plain: texts) that the library encodes otherwise."""
         split = [self.units(self.normal(x)) if not self.plain else self.units(x) for x in rows]
         odd, found = self.odd, []
-        for units, values in zip(split, self.memo.look_up(split, self._checked), strict=True):
-            ids, mended = ",".join(values), 0
+        whole = [None] * len(rows) if self.plain else self.library.encode(rows, num_threads=1)
+        for units, values, lib in zip(split, self.memo.look_up(split, self._checked), whole, strict=True):
+            ids = ",".join(values)
+            differ = int(lib is not None and ids != ",".join(map(str, lib)))
             if odd and not odd.keys().isdisjoint(units):
                 text = "".join([odd[u][0] if u in odd else u.replace(MARK, " ") for u in units])
-                mended = sum([odd[u][1] for u in units if u in odd])
+                differ += sum([odd[u][1] for u in units if u in odd])
             else:  # every unit's ids decode to the unit itself
                 text = "".join(units).replace(MARK, " ")
-            found.append((ids.count(",") + 1 if ids else 0, ids, text[1:] if text[:1] == " " else text, mended))
+            found.append((ids.count(",") + 1 if ids else 0, ids, text[1:] if text[:1] == " " else text, differ))
         return found
 
 
@@ -191,15 +193,15 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
         for batch in slices(batches):
-            counts, ids, decoded, mended = [], [], [], []
+            counts, ids, decoded, differ = [], [], [], []
             for count, joined, text, wrong in model.encode_batch(texts(batch)):
                 counts.append(count)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(text.encode()).hexdigest())
-                mended.append(wrong)
+                differ.append(wrong)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(mended, pa.int64())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_mended"],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(differ, pa.int64())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_differ"],
             )
 
     return docs.select("doc_id", "text").transform(in_tasks, run, SCHEMA)

@@ -69,16 +69,16 @@ def fingerprints(rows: list[str], width: int) -> np.ndarray:
     return found
 
 
-def fingerprint_column(docs: DataFrame, width: int = 3) -> DataFrame:
-    """`docs` (with doc_id and text) as (doc_id, fp: the fingerprint's bits as a signed long)."""
+def fingerprint_column(docs: DataFrame, width: int = 3, beside: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` (with doc_id and text) as (doc_id, fp: the fingerprint's bits as a signed long) and the long columns `beside`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         for batch in slices(batches):
             fp = fingerprints(texts(batch), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), *[batch.column(c) for c in beside]], ["doc_id", "fp", *beside])
 
-    return docs.select("doc_id", "text").transform(in_tasks, run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *beside).transform(in_tasks, run, ", ".join(["doc_id long, fp long", *[f"{c} long" for c in beside]]))
 
 
 def _signed(mask: int) -> int:
@@ -167,6 +167,17 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         rows = stored(large.distinct(), "finer")
 
 
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """`prints` with root, the same fingerprint for a whole group, and component_id, its least doc_id."""
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    reached = stored(connected(links(classes.select("fp"), radius)), "reached")
+    rooted = classes.join(reached.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
+    lows = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = rooted.join(lows, "root").select("fp", "root", F.col("component_id").alias("linked_id"))
+    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("linked_id", "least").alias("component_id"))
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id that links of at most `radius` differing bits reach.
 
@@ -175,13 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     the least one; a component of null ids alone has a null id.
     """
     prints = stored(fingerprint_column(docs, width), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    reached = stored(connected(links(classes.select("fp"), radius)), "reached")
-    rooted = classes.join(reached.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
-    lows = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = rooted.join(lows, "root").select("fp", F.col("component_id").alias("linked_id"))
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(prints, radius).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_text(fp: str = "fp"):
@@ -192,16 +197,15 @@ def fingerprint_text(fp: str = "fp"):
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """One document of each group: the one with the least doc_id, with all its columns.
 
-    Of rows that repeat this doc_id, one stays. Rows without a doc_id can't be told apart
-    and all stay.
+    A doc_id that comes with several texts stays once in every group where it is the least; of a group's texts with
+    this doc_id the one with the least hash stays, and of equal rows one. Rows without a doc_id can't be told apart and all stay.
     """
-    return least_of_groups(docs, near_duplicates(docs, width, radius))
-
-
-def least_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """`keep_one` for any groups (doc_id, component_id)."""
-    kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_")), "kept")
-    first = docs.join(kept.where("n_ = 1").hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    if not kept.where("n_ > 1").take(1):
-        return first
-    return first.unionByName(docs.join(kept.where("n_ > 1").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    marked = docs.withColumn("mark_", F.xxhash64("text"))
+    prints = stored(fingerprint_column(marked, width, ("mark_",)), "fingerprints")
+    kept = _grouped(prints, radius).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "mark_")).alias("one"), F.count("*").alias("n_"))
+    kept = stored(kept.select("one.*", "n_"), "kept")
+    chosen = [kept.where(c).select("doc_id", "mark_").distinct().hint("merge") for c in ("n_ = 1", "n_ > 1")]
+    first = marked.join(chosen[0], ["doc_id", "mark_"], "left_semi").unionByName(marked.where("doc_id IS NULL"))
+    if kept.where("n_ > 1").take(1):  # repeated ids
+        first = first.unionByName(marked.join(chosen[1], ["doc_id", "mark_"], "left_semi").dropDuplicates(["doc_id", "mark_"]))
+    return first.select(docs.columns)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import corpus_pipeline
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -263,3 +264,21 @@ def test_one_of_each_group_stays(spark, odd):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id for r in kept), key=str) == [1, 2, None]
     assert simhash.keep_one(odd).columns == odd.columns
+
+
+def test_repeated_ids_with_other_texts_stay_once_a_group(spark):
+    a, b = (" ".join(f"{x}{i % 90}" for i in range(400)) for x in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b), (1, None), (4, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, ""), (1, a), (1, b)]
+
+
+def test_stage_keeps_the_least_of_linked_fingerprints(spark, documents):
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, documents, "").collect()}
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    prints = [int(x) for x in simhash.fingerprints([t or "" for _, t in rows], 3)]
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+    low = {}
+    for (doc, _), r in zip(rows, root, strict=True):
+        low[r] = min(low.get(r, doc), doc)
+    assert kept == set(low.values()) and len(kept) < len(rows)
