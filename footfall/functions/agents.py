@@ -1,8 +1,8 @@
 """Browser, version, kind and platform out of a user agent text.
 
-An agent is a list of products, `name/version`, with comments in brackets. The text is split into these
-once; a short table of tokens with priorities then says what the products mean. All of it is column
-expressions, and `enrich_agents` runs them once per distinct agent.
+An agent is cut into tokens. Each token, its leading letters, and each token with the one behind it are looked up in a
+table of words by one equality join; the answer of the lowest rank wins (`min_by`). What no word names is told by the
+products outside brackets. All of it runs once per distinct agent.
 """
 
 from __future__ import annotations
@@ -16,284 +16,248 @@ DESKTOP, BOT, MOBILE, READER = 0, 1, 2, 3
 UNKNOWN_BROWSER = "Default Browser"
 UNKNOWN_PLATFORM = "unknown"
 
-# Fixed value: words and shapes that mark a crawler.
-BOT_PATTERN = (
-    r"(?i)(robot|bot[\s\-_\/\)]|bot$|blog|checker|crawl|feed|fetcher|libwww|[^\.e]link\s?|parser|reader|spider"
-    r"|verif(?:ier|ication|y)|href|https?\://|.+(?:\@|\s?at\s?)[a-z0-9_\-]+(?:\.|\s?dot\s?)|www[0-9]?\.[a-z0-9_\-]+\..+"
-    r"|\/.+\.(s?html?|aspx?|php5?|cgi)|mediapartners|inspectiontool|googleother|googleagent|google-safety|duplexweb"
-    r"|google\sfavicon|yandex(?:direct|favicons)|anthropic-ai|cohere-ai|bingpreview|whatsapp\/|skypeuripreview)"
-)
-
-
-# Products that name the browser wherever they stand, first come first; the version is their own.
-NAMED = ["Camino", "Flock", "Galeon", "Orca", "Firefox", "Firebird"]
-# Names beside MSIE, with what the browser is then called.
-BESIDE_MSIE = [
-    ("AOL", "AOL"), ("America Online Browser", "AOL"), ("Opera", "Opera"), ("Netscape", "Netscape"),
-    ("Crazy Browser", "Crazy Browser"), ("Avant", "Avant"), ("WebTV", "MSNTV"), ("MSNTV", "MSNTV"),
-]
-# Text browsers and small browsers.
-TEXT_BROWSERS = ["ELinks", "Links", "Lynx", "Emacs-w3m", "w3m", "ActiveWorlds", "Dillo", "OffByOne"]
-PHONE_BROWSERS = [
-    ("NetFront", "NetFront"), ("NF-Browser", "NetFront"), ("Bolt", "Bolt"), ("Iris", "Iris"), ("Jasmine", "Jasmine"),
-    ("Minimo", "Minimo"), ("Novarra-Vision", "Novarra-Vision"), ("Polaris", "Polaris"), ("UP.Browser", "UP.Browser"),
-    ("SMIT-Browser", "SMIT-Browser"), ("openwave", "OpenWave"),
-]
-# Words by which a phone's maker is known.
-PHONE_MAKERS = (
-    "alcatel amoi blackberry docomo htc ipaq kindle kwc lge lg mobilephone motorola nokia pda palm samsung sanyo "
-    "smartphone sonyericsson t-mobile vodafone zte"
-).split()
-# Products that say nothing about the browser.
+#: Endings and parts of a run of letters that mark a crawler or the address of a page about one, and whole tokens that do.
+CRAWLER_ENDINGS = ["bot", "bots", "checker", "fetcher", "parser", "reader"]
+CRAWLER_PARTS = ["blog", "crawl", "feed", "libwww", "robot", "spider", "verif"]
+CRAWLER_WORDS = "http https www href link links mediapartners inspectiontool google-inspectiontool googleother googleagent google-safety duplexweb yandexdirect yandexfavicons anthropic-ai cohere-ai bingpreview whatsapp skypeuripreview"
+#: Tokens of products that say nothing about the browser.
 ENGINES = ["mozilla", "applewebkit", "gecko", "version", "mobile", "safari", "khtml"]
-#: Signs of markup or SQL sent instead of an agent.
-INJECTED = ["location.href", "<script", "&lt;script", "%3cscript", "<a href", "drop table", "alter table"]
-
-
-# Windows versions (expression, platform, kind), tried in order.
-WINDOWS = [
-    (r"(?i)Windows NT 10\.0.*touch|touch.*Windows NT 10\.0", "wi10", MOBILE),
-    (r"(?i)Windows NT 10\.0", "win10", DESKTOP),
-    (r"(?i)Windows NT 6\.3.*; ARM|; ARM.*Windows NT 6\.3", "winrt", DESKTOP),
-    (r"(?i)Windows NT 6\.3.*touch|touch.*Windows NT 6\.3", "win8.1", MOBILE),
-    (r"(?i)Windows NT 6\.3", "win8.1", DESKTOP),
-    (r"(?i)Windows NT 6\.2.*touch|touch.*Windows NT 6\.2", "win8", MOBILE),
-    (r"(?i)Windows NT 6\.2", "win8", DESKTOP),
-    (r"(?i)Windows NT 6\.1", "win7", DESKTOP),
-    (r"(?i)Windows NT 6\.0", "winvista", DESKTOP),
-    (r"(?i)Windows NT 5\.2", "win2003", DESKTOP),
-    (r"(?i)Windows NT 5\.1", "winxp", DESKTOP),
-    (r"(?i:Windows NT 5\.0)|Windows 2000", "win2000", DESKTOP),
-    (r"(?i)Windows ME", "winme", DESKTOP),
-    (r"Win(?:dows\s)?NT\s?([0-9\.]+)?", "winnt", DESKTOP),
-    (r"Windows98|Windows 98|Win98|Win 98|Win 9x", "win98", DESKTOP),
-    (r"Windows95|Windows 95|Win95|Win 95", "win95", DESKTOP),
-    (r"(?i)(?:WindowsCE|Windows CE|WinCE|Win CE)[^a-z0-9]+", "wince", MOBILE),
-    (r"(Windows|Win)\s?3\.\d[; )\/]", "win31", DESKTOP),
-]
-
-# Linux distributions; a number takes the matched text.
-LINUX = [
-    (r"[^a-z0-9](CentOS|Debian|Fedora|Gentoo|Kanotix|Knoppix|Mandrake|Mandriva|MEPIS|PCLinuxOS|Slackware|SuSE)[^a-z]", 1),
-    (r"(?i)(?=.*Xandros)[kx]?Ubuntu", "xandros"),
-    (r"(?i)([kx]?Ubuntu)[^a-z]?(\d+[\.0-9a-z]*)?", 1),
-    (r"(?i)[^a-z]Linux[^a-z]", "linux"),
-]
-
-# Other systems (expression, platform, kind), tried in order.
-SYSTEMS = [
-    (r"Intel Mac OS X|PPC Mac OS X", "macosx", DESKTOP),
-    (r"(?i)iPhone|iPad", "ios", MOBILE),
-    (r"Mac OS X", "macosx", DESKTOP),
-    (r"Android\s?([0-9\.]+)?", "android", MOBILE),
-    (r"[^a-z0-9](BeOS|BePC|Zeta)[^a-z0-9]", "beos", DESKTOP),
-    (r"(?i)[^a-z0-9](Commodore\s?64)[^a-z0-9]", "commodore64", DESKTOP),
-    (r"(?i)[^a-z0-9]Darwin(\/?[0-9\.]+|[^a-z0-9])", "darwin", DESKTOP),
-    (r"((?:Free|Open|Net)BSD)\s?(?:[ix]?[386]+)?\s?([0-9\.]+)?", "bsd", DESKTOP),
-    (r"(?i)Linux", "linux", DESKTOP),
-    (r"Mac_PowerPC|Macintosh", "macppc", DESKTOP),
-    (r"(?i)Nintendo\s(Wii|DSi?)?", "nintendo", DESKTOP),
-    (r"(?i)[^a-z0-9_\-]MS\-?DOS[^a-z]([0-9\.]+)?", "ms-dos", DESKTOP),
-    (r"(?i)[^a-z0-9_\-]OS\/2[^a-z0-9_\-].+Warp\s([0-9\.]+)?", "os/2", DESKTOP),
-    (r"(?i)PalmOS", "palmos", MOBILE),
-    (r"(?i)PLAYSTATION\s(\d+)", "playstation", DESKTOP),
-    (r"(?i)IRIX\s*([0-9\.]+)?", "irix", DESKTOP),
-    (r"(?i)SCO_SV\s([0-9\.]+)?", "unix", DESKTOP),
-    (r"(?i)Solaris\s?([0-9\.]+)?", "solaris", DESKTOP),
-    (r"(?i)SunOS\s?(i?[0-9\.]+)?", "sunos", DESKTOP),
-    (r"(?i)SymbianOS\/([0-9\.]+)", "symbianos", MOBILE),
-    (r"(?i)[^a-z]Unixware\s(\d+(?:\.\d+)?)?", "unix", DESKTOP),
-    (r"(?i)\(PDA(?:.*)\)(.*)Zaurus", "zaurus", MOBILE),
-    (r"(?i)[^a-z]Unix", "unix", DESKTOP),
-]
-
-def is_bot(agent) -> Column:
-    """Crawler by its text; empty and very short agents count too."""
-    agent = F.coalesce(as_column(agent), F.lit(""))
-    return (F.length(agent) <= 5) | agent.rlike(BOT_PATTERN)
-
-
-def _first(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
-    head, *rest = pairs
-    chain = F.when(*head)
-    for condition, value in rest:
-        chain = chain.when(condition, value)
-    return chain.otherwise(otherwise)
-
-
-def _system(name: Column, kind: int) -> Column:
-    return F.struct(name.alias("platform"), F.lit(kind).alias("kind"))
-
-
-def platform_of(agent) -> Column:
-    """Struct (platform, kind) of an agent."""
-    agent = as_column(agent)
-    nothing = _system(F.lit(UNKNOWN_PLATFORM), DESKTOP)
-    windows = _first([(agent.rlike(p), _system(F.lit(n), k)) for p, n, k in WINDOWS], nothing)
-    linux = _first(
-        [
-            (agent.rlike(p), F.lower(F.regexp_extract(agent, p, n)) if isinstance(n, int) else F.lit(n))
-            for p, n in LINUX
-        ],
-        F.lit(UNKNOWN_PLATFORM),
-    )
-
-    def named(pattern: str, name: str) -> Column:
-        if name == "linux":
-            return linux
-        if name == "bsd":
-            family, number = F.regexp_extract(agent, pattern, 1), F.regexp_extract(agent, pattern, 2)
-            return F.lower(F.trim(F.concat_ws(" ", family, number)))
-        return F.lit(name)
-
-    other = _first([(agent.rlike(p), _system(named(p, n), k)) for p, n, k in SYSTEMS], _system(linux, DESKTOP))
-    looks_windows = agent.rlike("(?i)Windows") | agent.rlike(r"(Windows|Win|NT)[0-9;\s\)\/]")
-    return F.when(looks_windows, windows).otherwise(other)
-
-
-def _leading_number(text: Column) -> Column:
-    number = F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*(\d*\.?\d+)", 1)
-    value = F.coalesce(number.try_cast("double"), F.lit(0.0)).cast("string")
-    return F.regexp_replace(value, r"\.0$", "")
-
 
-_PRODUCT = r"([A-Za-z][\w.!+-]*)/v?(\d[\w.]*)"
+# Ranks: words before the products, the products, words behind them.
+_EARLY, _PRODUCT, _LATE, _ROBOT = 0, 100, 200, 300
 
 
-class _Products:
-    """The `name/version` pairs of a text, in order; names in lower case for look-up."""
+class _Words:
+    """Rows (key, slot, rank, name, version, kind, platform, needs): what a word means, ranked as listed.
 
-    def __init__(self, text: Column):
-        self.shown = F.regexp_extract_all(text, F.lit(_PRODUCT), F.lit(1))
-        self.names = F.transform(self.shown, F.lower)
-        self.versions = F.regexp_extract_all(text, F.lit(_PRODUCT), F.lit(2))
-
-    def has(self, name: str) -> Column:
-        return F.array_contains(self.names, name.lower())
+    `name` None is the agent's own spelling of the word. `version` is a word whose next token is meant (None: the
+    word's own), or a value after "=". `needs` is another token that must be there.
+    """
 
-    def version(self, name: str) -> Column:
-        return F.get(self.versions, F.array_position(self.names, name.lower()).cast("int") - 1)
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, slot: str, rank: int, keys: str, name: str | None, version: str | None = None, kind: int = DESKTOP, platform: str = "", needs: str = "") -> None:
+        for key in keys.split(","):
+            self.rows.append((key, slot, rank + len(self.rows), name, version, kind, platform, needs))
+
+
+def _table() -> list[tuple]:
+    words = _Words()
+    browser = lambda *a, **b: words.add("browser", _EARLY, *a, **b)
+    late = lambda *a, **b: words.add("browser", _LATE, *a, **b)
+    system = lambda *a, **b: words.add("platform", 0, *a, **b)
+
+    # Names that results carry.
+    for key, name in (("googlebot", "Googlebot"), ("slurp", "Yahoo! Slurp"), ("bingbot", "BingBot")):
+        browser(key, name, kind=BOT)
+    browser("feedburner", "FeedBurner", kind=READER)
+    browser("wordpress-mu", "WordPress-mu", kind=READER)
+    browser("wordpress", "WordPress", kind=READER)
+    browser("opera mini", "Opera Mini", "mini", MOBILE)
+    browser("opera mobile", "Opera Mobile", "mobile", MOBILE)
+    browser("opr", "Opera")
+    browser("opera", "Opera")
+    for name in ("Camino", "Flock", "Galeon", "Orca", "Firefox", "Firebird"):
+        browser(name.lower(), name)
+    browser("edge 12.0", "IE", "=11")
+    browser("edge", "IE", "=0")
+    browser("trident", "IE", "rv", needs="rv")
+    browser("iemobile", "IEMobile", platform="winphone8", kind=MOBILE, needs="msie")
+    browser("iemobile", "IE Mobile", platform="wince", kind=MOBILE)
+    for key, name in (("aol", "AOL"), ("america online", "AOL"), ("netscape", "Netscape"), ("crazy browser", "Crazy Browser"), ("avant", "Avant"), ("webtv", "MSNTV"), ("msntv", "MSNTV")):
+        browser(key, name, needs="msie")
+    browser("msie", "IE")
+    for name in ("ELinks", "Lynx", "Emacs-w3m", "w3m", "ActiveWorlds", "Dillo", "OffByOne"):
+        browser(name.lower(), name)
+    late("netfront,nf-browser", "NetFront")
+    for name in ("Bolt", "Iris", "Jasmine", "Minimo", "Novarra-Vision", "Polaris", "UP.Browser", "SMIT-Browser"):
+        late(name.lower(), name)
+    late("openwave", "OpenWave")
+    late("obigo", "Obigo", "=")
+    for key in ("alcatel amoi blackberry docomo htc ipaq kindle kwc lge lg mobilephone motorola nokia pda palm samsung sanyo smartphone sonyericsson t-mobile vodafone zte").split():
+        late(key, None, "=", MOBILE)
+    late("location.href,script,drop table,alter table", "Script Injection Bot", "=", BOT)
+    for name in ("Nutch", "HTTrack", "WinHTTP"):
+        late(name.lower(), name, kind=BOT)
+
+    for release, name in (("10.0", "win10"), ("6.3", "win8.1"), ("6.2", "win8"), ("6.1", "win7"), ("6.0", "winvista"), ("5.2", "win2003"), ("5.1", "winxp"), ("5.0", "win2000")):
+        if release == "10.0":
+            system("nt 10.0", "wi10", kind=MOBILE, needs="touch")
+        elif release == "6.3":
+            system("nt 6.3", "winrt", needs="arm")
+        if release in ("6.3", "6.2"):
+            system(f"nt {release}", name, kind=MOBILE, needs="touch")
+        system(f"nt {release}", name)
+    system("windows 2000", "win2000")
+    system("windows me", "winme")
+    system("windows ce,win ce,wince,windowsce", "wince", kind=MOBILE)
+    system("windows 98,win 98,win98,win 9x,windows98", "win98")
+    system("windows 95,win 95,win95,windows95", "win95")
+    system("windows 3.1,windows 3.11,win 3.1,win3.1,windows3.1", "win31")
+    system("windows nt,winnt,win nt", "winnt")
+    system("windows", UNKNOWN_PLATFORM)
+    system("intel mac,ppc mac", "macosx")
+    system("iphone,ipad", "ios", kind=MOBILE)
+    system("os x", "macosx")
+    system("android", "android", kind=MOBILE)
+    system("beos,bepc,zeta", "beos")
+    system("commodore 64,commodore64", "commodore64")
+    system("darwin", "darwin")
+    for name in ("freebsd", "openbsd", "netbsd"):
+        system(name, name, version=name)
+    system("xandros", "xandros")
+    for name in ("centos debian fedora gentoo kanotix knoppix mandrake mandriva mepis pclinuxos slackware suse kubuntu xubuntu ubuntu linux").split():
+        system(name, name)
+    system("mac_powerpc,macintosh", "macppc")
+    system("nintendo", "nintendo")
+    system("ms-dos,msdos", "ms-dos")
+    system("os 2", "os/2", needs="warp")
+    system("palmos", "palmos", kind=MOBILE)
+    for name in ("playstation", "irix", "solaris", "sunos"):
+        system(name, name)
+    system("symbianos", "symbianos", kind=MOBILE)
+    system("zaurus", "zaurus", kind=MOBILE, needs="pda")
+    system("sco_sv,unixware,unix", "unix")
+
+    for key in CRAWLER_WORDS.split():
+        words.add("crawler", 0, key, key)
+    words.add("crawler", 0, "google favicon", "google")
+    return words.rows
+
+
+_COLUMNS = "key string, slot string, rank int, name string, version string, kind int, platform string, needs string"
+_TOKEN = "[A-Za-z0-9][A-Za-z0-9._+!-]*"
+
+
+def _crawls(text: Column) -> Column:
+    """A run of letters that ends or is made like a crawler's name, or an address; a very short text too."""
+
+    def one(t: Column) -> Column:
+        found = F.lit(False)
+        for ending in CRAWLER_ENDINGS:
+            found = found | t.endswith(ending)
+        for part in CRAWLER_PARTS:
+            found = found | t.contains(part)
+        return found
+
+    return (F.length(text) <= 5) | text.contains("@") | F.exists(F.split(F.lower(text), "[^a-z]+"), one)
+
+
+def _number(text: Column) -> Column:
+    """The number that a version begins with, as text; 0 where there is none."""
+    number = F.regexp_extract(F.coalesce(text, F.lit("")), r"^[^0-9]?(\d+(?:\.\d+)?)", 1)
+    return F.regexp_replace(F.coalesce(number.try_cast("double"), F.lit(0.0)).cast("string"), r"\.0$", "")
+
+
+def _features(shown: Column) -> Column:
+    """(at, key, cut) of each token, its leading letters (`cut` where a hyphen follows), and each token with the next."""
+    low = F.transform(shown, F.lower)
+    pairs = F.transform(low, lambda t, i: F.struct(i.alias("at"), F.concat_ws(" ", t, F.get(low, i + 1)).alias("key"), F.lit(False).alias("cut")))
+    single = F.transform(low, lambda t, i: F.struct(i.alias("at"), t.alias("key"), F.lit(False).alias("cut")))
+    letters = F.transform(low, lambda t, i: F.struct(i.alias("at"), F.regexp_extract(t, "^[a-z]*", 0).alias("key"), t.rlike("^[a-z]+-").alias("cut")))
+    return F.array_distinct(F.concat(single, letters, pairs))
+
+
+def _matched(agents: DataFrame) -> DataFrame:
+    """One row per agent (agent_key, tokens) with its best words: browser, platform, crawler."""
+    spark = agents.sparkSession
+    words = spark.createDataFrame(_table(), _COLUMNS)
+    cut = agents.withColumn("shown", F.regexp_extract_all("agent_key", F.lit(_TOKEN), F.lit(0))).withColumn("f", F.explode_outer(_features(F.col("shown"))))
+    met = cut.select("agent_key", "shown", "f.*").join(words, "key", "left")
+    low = F.transform("shown", F.lower)
+    asked = F.coalesce(F.array_position(low, F.col("version")).cast("int") - 1, F.col("at"))
+    version = F.when(F.startswith("version", F.lit("=")), F.substring("version", 2, 99)).otherwise(F.get("shown", asked + 1))
+    fits = F.col("slot").isNotNull() & ((F.col("needs") == "") | F.array_contains(low, F.col("needs"))) & ~(F.col("cut") & (F.col("slot") == "browser") & (F.col("rank") < _PRODUCT))
+    own = F.regexp_extract(F.get("shown", F.col("at")), "^[A-Za-z-]*", 0)
+    answer = F.struct("rank", F.coalesce("name", own).alias("name"), version.alias("version"), "kind", "platform", F.col("version").isNotNull().alias("versioned"))
+    best = lambda slot: F.min_by(F.when(fits & (F.col("slot") == slot), answer), F.when(fits & (F.col("slot") == slot), F.struct("rank", "at")))
+    return met.groupBy("agent_key").agg(best("browser").alias("word"), best("platform").alias("system"), F.count(F.when(F.col("slot") == "crawler", 1)).alias("marks"))
+
+
+def _answer(rank: int, name: Column, version: Column | None = None, kind: int = DESKTOP, platform: str = "") -> Column:
+    version = F.lit("") if version is None else version
+    return F.struct(F.lit(rank).alias("rank"), name.alias("name"), version.alias("version"), F.lit(kind).alias("kind"), F.lit(platform).alias("platform"))
+
+
+def _by_products(text: Column, shown: Column, crawls: Column) -> Column:
+    """The answer from the products, `name/version`, outside brackets; null where they say nothing."""
+    tokens = F.transform(shown, F.lower)
+    parts = F.filter(F.split(F.regexp_replace(text, r"\([^()]*\)", " "), " +"), lambda p: p != "")
+    products = F.filter(parts, lambda p: p.contains("/"))
+    name = lambda p: F.substring_index(p, "/", 1)
+    version = lambda p: F.substring_index(p, "/", -1)
+    has = lambda word: F.exists(products, lambda p: F.lower(name(p)) == word)
+    of = lambda word: version(F.get(F.filter(products, lambda p: F.lower(name(p)) == word), F.lit(0)))
+    after = lambda word: F.get(shown, F.nullif(F.array_position(tokens, word), F.lit(0)).cast("int"))
+    own = F.filter(products, lambda p: ~F.lower(name(p)).isin(ENGINES))
+    first, last = F.get(own, F.lit(0)), F.get(own, F.size(own) - 1)
+    behind = F.lower(name(F.get(products, F.size(products) - 1))) != "safari"
+    unknown = F.lit(UNKNOWN_BROWSER)
+    android = F.array_contains(tokens, "android")
+    # a robot's product stands behind "compatible", or its name and version are all there is
+    robot = after("compatible")
+    alone = (F.size(parts) == 1) & (F.size(products) == 1)
+    leading = F.get(products, F.lit(0))
+    spelled = name(leading).rlike("^[A-Za-z_.]+$")
+    return (
+        F.when(has("gecko") & (F.size(own) > 0), _answer(_PRODUCT, name(first), version(first)))
+        .when(has("gecko"), _answer(_PRODUCT, F.lit("Mozilla"), after("rv")))
+        .when(has("applewebkit") & android & has("chrome"), _answer(_PRODUCT, F.lit("Chrome"), of("chrome")))
+        .when(has("applewebkit") & android, _answer(_PRODUCT, unknown, of("version"), MOBILE, "android"))
+        .when(has("applewebkit") & has("safari") & behind, _answer(_PRODUCT, unknown))
+        .when(has("applewebkit") & (F.size(own) > 0), _answer(_PRODUCT, name(last), version(last)))
+        .when(has("applewebkit"), _answer(_PRODUCT, unknown))
+        .when(has("cfnetwork"), _answer(_ROBOT, name(leading), version(leading), BOT))
+        .when(crawls & robot.isNotNull() & (F.lower(robot) != "mozilla"), _answer(_ROBOT, robot, after(F.lower(robot)), BOT))
+        .when((crawls | alone) & spelled & (F.lower(name(leading)) != "mozilla"), _answer(_ROBOT, name(leading), version(leading), BOT))
+    )
 
 
-def _answer(browser, version=None, kind: int = DESKTOP, platform: str = "") -> Column:
-    values = (
-        browser if isinstance(browser, Column) else F.lit(browser),
-        F.lit("") if version is None else version if isinstance(version, Column) else F.lit(version),
-        F.lit(kind),
-        F.lit(platform),
-    )
-    return F.struct(*[v.alias(n) for v, n in zip(values, ("name", "version", "kind", "platform"))])
-
-
-def _after(text: Column, word: str, digits: str = r"\d[\d.]*") -> Column:
-    """The number that follows a word and a space, slash or colon; empty where there is none."""
-    return F.regexp_extract(text, f"(?i){word}[ /:]v?({digits})", 1)
-
-
-def _meanings(text: Column, everywhere: _Products, outside: _Products) -> list[tuple[Column, Column]]:
-    """What an agent means: (condition, answer) in order of priority."""
-    low = F.lower(text)
-    contains = lambda word: low.contains(word.lower())
-    word = lambda w: low.rlike(rf"(^|[^a-z0-9]){w.lower()}")
-    msie = _after(text, "MSIE", r"\d+")
-    own = F.filter(F.arrays_zip(outside.shown.alias("n"), outside.versions.alias("v")), lambda p: ~F.lower(p["n"]).isin(ENGINES))
-    last_name = F.get(outside.names, F.size(outside.names) - 1)
-    last_own = F.get(own, F.size(own) - 1)
-    # what stands behind Gecko/date, or the only own product of a WebKit browser
-    single = F.regexp_extract(text, r"^([A-Za-z_.]+)[ /_-]?v?([\d.]*)$", 1)
-    robot = F.regexp_extract(text, r"\(compatible; ([A-Za-z_ ]+)[-/; ]", 1)
-    leading = F.regexp_extract(text, r"^([A-Za-z][A-Za-z_.]*)[ /_-]v?\d", 1)
-    leading_version = F.regexp_extract(text, r"^[A-Za-z][A-Za-z_.]*[ /_-]v?(\d[\d.]*)", 1)
-    is_robot = text.rlike(BOT_PATTERN)
-
-    found = [
-        (F.length(text) <= 5, _answer(UNKNOWN_BROWSER, kind=BOT)),
-        (everywhere.has("Googlebot"), _answer("Googlebot", everywhere.version("Googlebot"), BOT)),
-        (contains("Yahoo! Slurp"), _answer("Yahoo! Slurp", everywhere.version("Slurp"), BOT)),
-        (everywhere.has("bingbot"), _answer("BingBot", everywhere.version("bingbot"), BOT)),
-        (text.startswith("FeedBurner/"), _answer("FeedBurner", everywhere.version("FeedBurner"), READER)),
-        (text.startswith("WordPress/wordpress-mu-"), _answer("WordPress-mu", F.regexp_extract(text, r"-(\d+\.\d+)", 1), READER)),
-        (text.startswith("WordPress/"), _answer("WordPress", F.regexp_extract(text, r"(\d+\.\d+)", 1), READER)),
-        (_after(text, "Opera") != "", _answer("Opera", _after(text, "Opera"))),
-        (everywhere.has("OPR"), _answer("Opera", everywhere.version("OPR"))),
-    ]
-    found += [(everywhere.has(n), _answer(n, everywhere.version(n))) for n in NAMED]
-    found += [
-        (outside.has("Edge"), _answer("IE", F.when(outside.version("Edge") == "12.0", "11").otherwise("0"))),
-        (everywhere.has("Trident") & (msie == ""), _answer("IE", _after(text, "rv"))),
-    ]
-    found += [(word(n) & (outside.versions[0].isNotNull() | low.startswith(n.lower())) & ~outside.has("AppleWebKit") & (msie == ""),
-               _answer(n, _after(text, n))) for n in TEXT_BROWSERS]
-    found += [
-        (text.rlike(r"IEMobile \d+[\d.]*\)"), _answer("IE Mobile", _after(text, "IEMobile", r"\d+"), MOBILE, "wince")),
-        ((msie != "") & contains("IEMobile"), _answer("IEMobile", _after(text, "IEMobile"), MOBILE, "winphone8")),
-    ]
-    found += [((msie != "") & contains(n), _answer(shown, _after(text, n))) for n, shown in BESIDE_MSIE]
-    found += [
-        (msie != "", _answer("IE", msie)),
-        (outside.has("Gecko") & (F.size(own) > 0), _answer(F.get(own, F.lit(0))["n"], F.get(own, F.lit(0))["v"])),
-        (outside.has("Gecko"), _answer("Mozilla", _after(text, "rv"))),
-        (contains("Android") & outside.has("Chrome"), _answer("Chrome", outside.version("Chrome"))),
-        (contains("Android") & outside.has("AppleWebKit"), _answer(UNKNOWN_BROWSER, outside.version("Version"), MOBILE, "android")),
-        # a product behind Safari, or a bare Version, leaves the browser open
-        (outside.has("AppleWebKit") & outside.has("Safari") & (last_name != "safari"), _answer(UNKNOWN_BROWSER)),
-        (outside.has("AppleWebKit") & (F.size(own) > 0), _answer(last_own["n"], last_own["v"])),
-        (outside.has("AppleWebKit"), _answer(UNKNOWN_BROWSER)),
-        (text.rlike(r"Opera (Mini|Mobile)[/ ]\d"), _answer(F.regexp_extract(text, "(Opera (?:Mini|Mobile))", 1), F.regexp_extract(text, r"Opera (?:Mini|Mobile)[/ ](\d[\d.]*)", 1), MOBILE)),
-    ]
-    found += [(everywhere.has(n), _answer(shown, everywhere.version(n))) for n, shown in PHONE_BROWSERS]
-    found += [(word("obigo"), _answer("Obigo"))]
-    found += [(word(n), _answer(F.regexp_extract(text, f"(?i)({n})", 1), kind=MOBILE)) for n in PHONE_MAKERS]
-    found += [
-        (F.array_max(F.array(*[contains(x) for x in INJECTED])), _answer("Script Injection Bot", kind=BOT)),
-        (contains("nutch-"), _answer("Nutch", F.regexp_extract(low, r"nutch-(\d[\d.]*)", 1), BOT)),
-        (everywhere.has("CFNetwork"), _answer(F.get(everywhere.shown, F.lit(0)), F.get(everywhere.versions, F.lit(0)), BOT)),
-        (word("httrack"), _answer("HTTrack", _after(text, "HTTrack"), BOT)),
-        (contains("WinHTTP"), _answer("WinHTTP", kind=BOT)),
-        (is_robot & (robot != ""), _answer(F.trim(robot), F.regexp_extract(text, r"\(compatible; [A-Za-z_ ]+[-/](\d[\d.]*)", 1), BOT)),
-        (is_robot & (leading != "") & (leading != "Mozilla"), _answer(leading, leading_version, BOT)),
-        (single != "", _answer(single, leading_version, BOT)),
-    ]
-    return found
-
-
-def examine(df: DataFrame, agent: str) -> DataFrame:
-    """Add browser, browser_version, browser_type and platform for an agent column."""
-    text = F.coalesce(F.col(agent), F.lit(""))
-    split = df.withColumn("_outside", F.regexp_replace(text, r"\([^()]*\)", " "))
-    meanings = _meanings(text, _Products(text), _Products(F.col("_outside")))
-    found = split.withColumn("_found", _first(meanings, _answer(UNKNOWN_BROWSER)))
-    found = found.withColumn("_system", platform_of(text)).withColumn("_bot", text.rlike(BOT_PATTERN))
-    kind = F.when(F.col("_bot"), F.lit(BOT)).otherwise(F.col("_found.kind"))
-    fixed = F.col("_found.platform") != ""
-    look_up = ~fixed & (kind % 2 == 0)
-    platform = F.when(fixed, F.col("_found.platform")).when(look_up, F.col("_system.platform")).otherwise(F.lit(UNKNOWN_PLATFORM))
-    seen_kind = F.greatest(F.col("_found.kind"), F.col("_system.kind"))
+def describe(agents: DataFrame) -> DataFrame:
+    """(agent_key, browser, browser_version, browser_type, platform, bot) of distinct texts `agent_key`; an empty or very short one is a crawler's."""
+    text = F.col("agent_key")
+    found = _matched(agents).withColumn("shown", F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)))
+    found = found.withColumn("bot", _crawls(text) | (F.col("marks") > 0))
+    found = found.withColumn("product", _by_products(text, F.col("shown"), F.col("bot")))
+    fields = ["rank", "name", "version", "kind", "platform"]
+    word = F.when(F.col("word").isNotNull(), F.struct(*[F.col(f"word.{f}").alias(f) for f in fields]))
+    nothing = _answer(_ROBOT, F.lit(UNKNOWN_BROWSER))
+    chosen = F.when(F.col("product.rank") < F.coalesce(F.col("word.rank"), F.lit(_ROBOT + 1)), F.col("product")).otherwise(F.coalesce(word, F.col("product"), nothing))
+    found = found.withColumn("chosen", F.when(F.length(text) <= 5, _answer(0, F.lit(UNKNOWN_BROWSER), kind=BOT)).otherwise(chosen))
+    kind = F.when(F.col("bot"), BOT).otherwise(F.col("chosen.kind"))
+    named = F.col("chosen.platform") != ""
+    asked = ~named & (kind % 2 == 0)
+    system = F.when(F.col("system.versioned") & F.col("system.version").rlike(r"^\d"), F.concat_ws(" ", "system.name", "system.version")).otherwise(F.coalesce("system.name", F.lit(UNKNOWN_PLATFORM)))
     return found.select(
-        *df.columns,
-        F.col("_found.name").alias("browser"),
-        _leading_number(F.coalesce(F.col("_found.version"), F.lit(""))).alias("browser_version"),
-        F.when(F.col("_bot"), F.lit(BOT)).when(look_up, seen_kind).otherwise(kind).cast("int").alias("browser_type"),
-        platform.alias("platform"),
+        "agent_key",
+        F.col("chosen.name").alias("browser"),
+        _number(F.col("chosen.version")).alias("browser_version"),
+        F.when(asked, F.greatest(kind, F.coalesce("system.kind", F.lit(DESKTOP)))).otherwise(kind).cast("int").alias("browser_type"),
+        F.when(named, F.col("chosen.platform")).when(asked, system).otherwise(F.lit(UNKNOWN_PLATFORM)).alias("platform"),
+        "bot",
     )
 
 
+def _keyed(hits: DataFrame, agent: str) -> DataFrame:
+    return hits.withColumn("agent_key", F.coalesce(as_column(agent), F.lit("")))
+
+
 def flag_bots(hits: DataFrame, agent: str = "user_agent") -> DataFrame:
-    """Add `bot`; the long expression is tried once per distinct agent."""
-    keyed = hits.withColumn("agent_key", F.coalesce(F.col(agent), F.lit("")))
-    answers = keyed.select("agent_key").distinct().withColumn("bot", is_bot("agent_key"))
-    return keyed.join(answers, "agent_key").select(*hits.columns, "bot")
+    """Add `bot`; every distinct agent is examined once."""
+    keyed = _keyed(hits, agent)
+    answers = describe(keyed.select("agent_key").distinct()).select("agent_key", "bot")
+    return keyed.drop("bot").join(answers, "agent_key").select(*[c for c in hits.columns if c != "bot"], "bot")
 
 
 def enrich_agents(hits: DataFrame, agent: str = "user_agent") -> DataFrame:
-    """Add the four agent columns; every distinct agent is examined once.
+    """Add browser, browser_version, browser_type and platform; every distinct agent is examined once.
 
-    The rule chain is costly, so it runs on the distinct agents and the answer
-    is joined back. A NULL agent is joined as empty text. Adaptive execution
-    broadcasts the answers when they are small and splits a hot agent when not.
+    The answers are joined back, a NULL agent as empty text. Adaptive execution broadcasts them when they are
+    small and splits a hot agent when not.
     """
     fields = ["browser", "browser_version", "browser_type", "platform"]
     kept = [c for c in hits.columns if c not in fields]
-    keyed = hits.select(*kept, F.coalesce(F.col(agent), F.lit("")).alias("agent_key"))
-    answers = examine(keyed.select("agent_key").distinct(), "agent_key")
+    keyed = _keyed(hits.select(*kept), agent)
+    answers = describe(keyed.select("agent_key").distinct()).select("agent_key", *fields)
     return keyed.join(answers, "agent_key").select(*kept, *fields)

@@ -66,6 +66,18 @@ BOTS = [
     "cohere-ai",
     "",
     None,
+    "Mozilla/5.0 (Linux; Android 6.0.1; Nexus 5X Build/MMB29P) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/130.0.6723.117 Mobile Safari/537.36 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)",
+    "Mozilla/5.0 AppleWebKit/537.36 (KHTML, like Gecko; compatible; bingbot/2.0; +http://www.bing.com/bingbot.htm) Chrome/116.0.1938.76 Safari/537.36",
+    "Mozilla/5.0 (Linux; Android 6.0.1; Nexus 5X Build/MMB29P) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/130.0.6723.117 Mobile Safari/537.36 (compatible; Google-InspectionTool/1.0)",
+    "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/49.0.2623.75 Safari/537.36 Google Favicon",
+    "GoogleOther-Image/1.0",
+    "GoogleAgent-Mariner",
+    "Google-Safety",
+    "Mozilla/5.0 (Linux; Android 11; Pixel 2) AppleWebKit/537.36 DuplexWeb-Google/1.0",
+    "Mozilla/5.0 (Windows NT 6.1; WOW64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/41.0.2272.118 Safari/537.36 BingPreview/1.0b",
+    "YandexFavicons/1.0",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 SkypeUriPreview Preview/0.5",
+    "Mozilla/5.0 (compatible; SomeSpider/2.0; owner@example.com)",
 ]
 # Agents whose answers are known.
 PEOPLE = [
@@ -103,6 +115,17 @@ FAMILIES = [
     ("Mozilla/5.0 (Windows NT 6.3; WOW64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/36.0 Safari/537.36 Edge/12.0", "IE", "11", 0, "win8.1"),
     ("Dillo/2.0", "Dillo", "2", 0, "unknown"),
     ("FeedBurner/1.0 (http://www.FeedBurner.com)", "FeedBurner", "1", 1, "unknown"),
+    ("Opera/9.80 (Windows NT 6.1; U; en) Presto/2.10 Version/12.16", "Opera", "9.8", 0, "win7"),
+    ("Mozilla/5.0 (Windows NT 10.0; Touch; rv:11.0; Trident/7.0) like Gecko", "IE", "11", 2, "wi10"),
+    ("Mozilla/4.0 (compatible; MSIE 6.0; Windows CE; IEMobile 7.11)", "IEMobile", "7.11", 2, "winphone8"),
+    ("Mozilla/5.0 (X11; U; FreeBSD 8.0 i386; en-US) Gecko/20091105 Firefox/3.5", "Firefox", "3.5", 0, "freebsd 8.0"),
+    ("Lynx/2.8.5rel.1 libssl/0.9", "Lynx", "2.8", 0, "unknown"),
+    ("Nokia6630/1.0 (2.3.129) SymbianOS/8.0", "Nokia", "0", 2, "symbianos"),
+    ("Mozilla/5.0 (Linux; U; Android 4.0.3) AppleWebKit/534.30 (KHTML, like Gecko) Version/4.0 Mobile Safari/534.30", "Default Browser", "4", 2, "android"),
+    ("Mozilla/5.0 (Windows NT 6.1) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/36.0 Safari/537.36", "Chrome", "36", 0, "win7"),
+    ("Mozilla/5.0 (compatible; SomeSpider/2.5; +http://example.com)", "SomeSpider", "2.5", 1, "unknown"),
+    ("Wget/1.21", "Wget", "1.21", 1, "unknown"),
+    ("<script>drop table hits</script> in the name of an agent", "Script Injection Bot", "0", 1, "unknown"),
 ]
 
 
