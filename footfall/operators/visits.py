@@ -3,19 +3,22 @@
 A busy visitor may own a large part of all hits. Every operator here first
 reduces hits to one row per key and second, so a key has at most 86,400 rows a
 day no matter how often it was seen.
+
+Fixed visits, repeats and the rate limit are chains: each second knows the second at which the next visit would open if
+one opened here, and what opens is what the chain from the first second reaches. The links are found in
+slices of a key's time, and pointer doubling follows them in a number of joins that grows with the logarithm of the
+longest chain, so a key that never rests is many tasks all along.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footfall.schema import DAY, SESSION_SECONDS
+from footfall.session import checkpointed
 
 
 def per_second(hits: DataFrame, key: str) -> DataFrame:
@@ -61,76 +64,79 @@ def visits_of(starts: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Index ranges of equal neighbouring keys."""
-    edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    yield from zip(np.r_[0, edges], np.r_[edges, len(keys)])
-
+_UP_TO_HERE = (Window.unboundedPreceding, 0)
 
-def fold_in_order(
-    seconds: DataFrame, key: str, columns: list[str], output: T.StructType, step: Callable, fresh: Callable, rest: int,
-    then: str = "dt",
-) -> DataFrame:
-    """Walk every key's seconds in time order with a small state.
 
-    A silence of `rest` seconds clears the state, so a key's seconds fall into
-    blocks that are folded apart: a busy key makes as many pieces as it rests.
-    Rows are partitioned by key and block and sorted, then streamed through
-    Arrow batches: only the state crosses a batch, so a long block needs no memory.
-    `step(state, arrays) -> (state, column)` handles one run of one block; rows of one second come by `then`.
-    """
-    blocks = with_blocks(seconds, key, rest)
-    ordered = blocks.repartition(key, "block").sortWithinPartitions(key, "block", "dt", then)
-    name = output.fields[-1].name
+def _sliced(rows: DataFrame, within: int, chunk: int) -> DataFrame:
+    """`rows` with `chunk`, a slice of time, and `ahead`: copies of a slice's first `within` seconds, as the slice before sees them."""
+    width = max(chunk, within)
+    at = F.call_function("div", F.col("dt"), F.lit(width))
+    seen = F.array(F.struct(at.alias("chunk"), F.lit(False).alias("ahead")))
+    before = F.array(F.struct((at - 1).alias("chunk"), F.lit(True).alias("ahead")))
+    both = F.when(F.col("dt") - at * width < within, F.concat(seen, before)).otherwise(seen)
+    return rows.withColumn("slice_", F.explode(both)).select(*rows.columns, "slice_.chunk", "slice_.ahead")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            if batch.empty:
-                continue
-            codes, names = pd.factorize(batch[key], use_na_sentinel=False)
-            starts = batch["block"].to_numpy()
-            arrays = [batch[c].to_numpy() for c in columns]
-            results = []
-            for low, high in _runs(np.unique(np.stack([codes, starts]), axis=1, return_inverse=True)[1].ravel()):
-                owner = (None if pd.isna(names[codes[low]]) else names[codes[low]], starts[low])
-                if state is None or owner != current:
-                    current, state = owner, fresh()
-                state, values = step(state, [a[low:high] for a in arrays])
-                results.append(values)
-            yield batch.assign(**{name: np.concatenate(results)})[output.names]
 
-    return ordered.mapInPandas(walk, output)
+def _next(sliced: DataFrame, key: str, axis: Column, ask: Column, name: str) -> DataFrame:
+    """Add `name`: the dt of the first row of the same block whose `axis` is at least `ask`, as far as its slice sees.
 
+    Every row is a place and a question on one axis; walking down it, a question's answer is the last place passed.
+    """
+    points = F.array(F.struct(axis.alias("t"), F.lit(0).alias("asks")), F.struct(ask.alias("t"), F.lit(1).alias("asks")))
+    down = Window.partitionBy(key, "chunk").orderBy(F.desc("point_.t"), "point_.asks").rowsBetween(*_UP_TO_HERE)
+    both = sliced.withColumn("point_", F.explode(points))
+    place = F.when(F.col("point_.asks") == 0, F.struct("dt", "block"))
+    found = both.withColumn("found_", F.last(place, ignorenulls=True).over(down)).where("point_.asks = 1")
+    same = F.col("point_.t").isNotNull() & (F.col("found_.block") == F.col("block"))
+    return found.withColumn(name, F.when(same, F.col("found_.dt"))).drop("point_", "found_")
 
-def _schema_with(seconds: DataFrame, name: str) -> T.StructType:
-    return T.StructType([*seconds.schema.fields, T.StructField(name, T.LongType())])
 
+def _opened(linked: DataFrame, key: str) -> DataFrame:
+    """(key, dt) of every second that opens something: the first of its block, and all that `next` leads to from there.
 
-_UNOPENED = "unopened"
+    `linked` has key, dt, block and next. After round k the marks are the first 2^k of each chain, and jumps lead 2^k
+    links ahead; the jumps run out as the chains end.
+    """
+    owner = F.struct(key).alias("owner")  # a null key equals itself inside
+    starts = linked.where("dt = block")
+    jumps = linked.where("next IS NOT NULL").select(owner, "dt", F.col("next").alias("to"))
+    going = starts.where("next IS NOT NULL").select(owner, "dt", F.col("next").alias("to"))
+    marks = [going.select("owner", "dt"), going.select("owner", F.col("to").alias("dt"))]
+    found = marks[1:]
+    while True:
+        ahead = jumps.select("owner", F.col("dt").alias("to"), F.col("to").alias("far"))
+        jumps = checkpointed(jumps.join(ahead, ["owner", "to"]).select("owner", "dt", F.col("far").alias("to")))
+        if jumps.isEmpty():
+            break
+        new = reduce(DataFrame.unionByName, marks).join(jumps, ["owner", "dt"]).select("owner", F.col("to").alias("dt"))
+        new = checkpointed(new)
+        marks, found = [*marks, new], [*found, new]
+    return reduce(DataFrame.unionByName, [starts.select(owner, "dt"), *found]).select(F.col(f"owner.{key}").alias(key), "dt")
+
+
+def _latest(rows: DataFrame, marks: DataFrame, key: str, within: int, name: str, chunk: int) -> DataFrame:
+    """Add `name`: the last mark (key, dt) at or before each row, which lies at most `within` seconds back."""
+    width = max(chunk, within + 1)
+    at = F.call_function("div", F.col("dt"), F.lit(width))
+    both = rows.withColumns({"chunk": at, "mark_": F.lit(None).cast("long")}).unionByName(
+        marks.select(key, "dt", F.explode(F.array(at, at + 1)).alias("chunk"), F.col("dt").alias("mark_")), allowMissingColumns=True
+    )
+    past = Window.partitionBy(key, "chunk").orderBy("dt", F.desc_nulls_last("mark_")).rowsBetween(*_UP_TO_HERE)
+    return both.withColumn(name, F.max("mark_").over(past)).where("mark_ IS NULL").select(*rows.columns, name)
 
 
-def anchors(seconds: DataFrame, key: str, length: int, name: str = "start") -> DataFrame:
-    """For each second the anchor it belongs to.
+def anchors(seconds: DataFrame, key: str, length: int, name: str = "start", chunk: int = DAY) -> DataFrame:
+    """For each second (key, dt: once each) the anchor it belongs to.
 
-    The first second is an anchor; the next anchor is the first second at least
-    `length` after it, and so on. One search per anchor, not per row.
+    The first second is an anchor; the next anchor is the first second at least `length` after it, and so on.
+    A silence of `length` seconds makes the next second an anchor in any case, so chains lie in blocks
+    between silences, where the next anchor is less than twice the length away.
     """
-
-    def step(open_at, arrays):
-        dt = arrays[0]
-        open_at = dt[0] if open_at == _UNOPENED else open_at
-        out = np.empty(len(dt), dtype=np.int64)
-        at = 0
-        while at < len(dt):
-            if dt[at] >= open_at + length:
-                open_at = dt[at]
-            until = int(np.searchsorted(dt, open_at + length, side="left"))
-            out[at:until] = open_at
-            at = until
-        return open_at, out
-
-    return fold_in_order(seconds, key, ["dt"], _schema_with(seconds, name), step, lambda: _UNOPENED, length)
+    blocks = with_blocks(seconds, key, length).select(*seconds.columns, "block")
+    sliced = _sliced(blocks.select(key, "dt", "block"), 2 * length, chunk)
+    linked = _next(sliced, key, F.col("dt"), F.col("dt") + length, "next").where("NOT ahead")
+    linked = checkpointed(linked.select(key, "dt", "block", "next"))
+    return _latest(seconds, _opened(linked, key), key, length, name, chunk)
 
 
 def fixed_starts(hits: DataFrame, key: str, length: int = SESSION_SECONDS) -> DataFrame:
@@ -149,52 +155,49 @@ def drop_repeats(hits: DataFrame, keys: list[str], seconds: int = SESSION_SECOND
     whose `optional` key is unknown (NULL) repeats any kept hit of its other keys; one that has it repeats
     only kept hits with the same.
     """
-    named = keys if optional is None else [*keys, optional]
-    per = hits.groupBy(*named, "dt").agg(F.min("id").alias("id"))
-    code = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys])
-    coded = per.withColumn("key", code)
-    if optional is None:
-        kept = anchors(coded.select("key", "dt", "id"), "key", seconds + 1, "kept").where("dt = kept")
-        return hits.join(kept.select("id"), "id", "left_semi")
-    seconds_of = coded.select("key", "dt", "id", F.col(optional).cast("string").alias("mark"))
-
-    def step(state, arrays):
-        last, newest = state
-        out = np.zeros(len(arrays[0]), dtype=np.int64)
-        for i, (dt, mark) in enumerate(zip(arrays[0].tolist(), arrays[1].tolist())):
-            before = newest if mark is None else last.get(mark)
-            if before is None or dt - before > seconds:
-                out[i], newest = 1, dt
-                if mark is not None:
-                    last[mark] = dt
-        return (last, newest), out
 
-    output = _schema_with(seconds_of, "kept")
-    kept = fold_in_order(seconds_of, "key", ["dt", "mark"], output, step, lambda: ({}, None), seconds + 1, "id")
-    return hits.join(kept.where("kept = 1").select("id"), "id", "left_semi")
+    def coded(rows: DataFrame, columns: list[str]) -> DataFrame:
+        code = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in columns])
+        return rows.withColumn("key", code)
 
+    def chained(rows: DataFrame) -> DataFrame:
+        return anchors(rows.groupBy("key", "dt").agg(F.min("id").alias("id")), "key", seconds + 1, "kept").where("dt = kept")
 
-def rate_limited(hits: DataFrame, key: str = "ip", most: int = 10, quiet: int = 5) -> DataFrame:
+    if optional is None:
+        kept = chained(coded(hits, keys))
+        return hits.join(kept.select("id"), "id", "left_semi")
+    # hits with the key don't depend on those without, so they come first; the others must then be clear of them
+    known = chained(coded(hits.where(F.col(optional).isNotNull()), [*keys, optional]))
+    known = checkpointed(hits.select(*keys, optional, "id").join(known.select("id", "dt"), "id"))
+    open_hits = coded(hits.where(F.col(optional).isNull()), keys).groupBy("key", "dt").agg(F.min("id").alias("id"))
+    at = F.call_function("div", F.col("dt"), F.lit(max(DAY, seconds + 1)))
+    before = coded(known, keys).select("key", "dt", "id", F.explode(F.array(at, at + 1)).alias("chunk"), F.col("dt").alias("last"))
+    asked = open_hits.withColumn("chunk", at).unionByName(before, allowMissingColumns=True)
+    past = Window.partitionBy("key", "chunk").orderBy("dt", "id").rowsBetween(*_UP_TO_HERE)
+    near = F.coalesce(F.col("dt") - F.max("last").over(past) <= seconds, F.lit(False))
+    clear = asked.withColumn("near", near).where("last IS NULL AND NOT near").select("key", "dt", "id")
+    return hits.join(known.select("id").unionByName(chained(clear).select("id")), "id", "left_semi")
+
+
+def rate_limited(hits: DataFrame, key: str = "ip", most: int = 10, quiet: int = 5, chunk: int = DAY) -> DataFrame:
     """(key, dt, hits, accepted): how many hits of each second pass the limit.
 
     A counter admits `most` hits and lives through `quiet` seconds after the
-    last admitted one; refused hits do not keep it alive.
+    last admitted one; refused hits do not keep it alive. A counter that opens here is full at the first second by which
+    its block has had `most` hits, and the next one opens at the first second more than `quiet` after that.
     """
     seconds = hits.groupBy(key, "dt").agg(F.count("*").alias("hits"))
-
-    def step(state, arrays):
-        used, last = state
-        out = np.empty(len(arrays[0]), dtype=np.int64)
-        for i, (dt, n) in enumerate(zip(arrays[0].tolist(), arrays[1].tolist())):
-            if last is None or dt - last > quiet:
-                used = 0
-            taken = min(n, most - used)
-            if taken:
-                used, last = used + taken, dt
-            out[i] = taken
-        return (used, last), out
-
-    return fold_in_order(seconds, key, ["dt", "hits"], _schema_with(seconds, "accepted"), step, lambda: (0, None), quiet + 1)
+    blocks = with_blocks(seconds, key, quiet + 1).select(*seconds.columns, "block")
+    within = (most + 2) * (quiet + 1)  # seconds of a block are at most `quiet` apart and have a hit each
+    sliced = _sliced(blocks, within, chunk)
+    summed = sliced.withColumn("upto", F.sum("hits").over(Window.partitionBy(key, "chunk").orderBy("dt").rowsBetween(*_UP_TO_HERE)))
+    full = _next(summed, key, F.col("upto"), F.col("upto") - F.col("hits") + most, "full")
+    linked = _next(full, key, F.col("dt"), F.col("full") + quiet + 1, "next").where("NOT ahead")
+    linked = checkpointed(linked.select(key, "dt", "block", "next"))
+    placed = _latest(seconds, _opened(linked, key), key, within, "opening", chunk)
+    earlier = Window.partitionBy(key, "opening").orderBy("dt").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(F.lit(most) - F.coalesce(F.sum("hits").over(earlier), F.lit(0)), F.lit(0))
+    return placed.withColumn("accepted", F.least("hits", left)).select(key, "dt", "hits", "accepted")
 
 
 def number_visits(visits: DataFrame, key: str, base: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "footfall", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -57,6 +57,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/footfall/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed and kept in the shared folder, so that a lost executor costs no recomputation of what led to it.
+
+    Spark removes the files with the last use if `spark.cleaner.referenceTracking.cleanCheckpoints` is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per application, wherever they were started."""
     context = spark.sparkContext

@@ -165,6 +165,61 @@ def test_rate_limit_against_brute_force(spark):
     assert got == want
 
 
+def test_busy_keys_in_slices(spark):
+    """A key that never rests, and a null key; slices of time far shorter than the chains."""
+    rng = random.Random(3)
+    base = 1704067200
+    hits = [(i, None if i % 10 == 9 else "hot", base + rng.randrange(6000)) for i in range(5000)] + [(9000 + i, f"k{i}", base + 7 * i) for i in range(300)]
+    df = spark.createDataFrame(hits, "id long, ip string, dt long")
+    fixed, limited = set(), {}
+    for key, seen in by_key(hits).items():
+        open_at, used, last = None, 0, None
+        for t, _ in seen:
+            if open_at is None or t - open_at >= 40:
+                open_at = t
+            fixed.add((key, t, open_at))
+            if last is not None and t - last > 5:
+                used = 0
+            if used < 10:
+                used, last = used + 1, t
+                limited[key, t] = limited.get((key, t), 0) + 1
+    got = visits.anchors(visits.per_second(df, "ip"), "ip", 40, chunk=100)
+    assert {(r.ip, r.dt, r.start) for r in got.collect()} == fixed
+    got = visits.rate_limited(df, chunk=100)
+    assert {(r.ip, r.dt): r.accepted for r in got.collect() if r.accepted} == limited
+    assert got.count() == len({(k, t) for _, k, t in hits})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_with_an_unknown_key(spark, seed):
+    rng = random.Random(seed)
+    hits = [(i + 1, "hot" if rng.random() < 0.7 else "k", rng.choice([None, "a", "b"]), 1704067200 + 86000 + rng.randrange(4000)) for i in range(600)]
+    df = spark.createDataFrame(hits, "id long, visitor string, mark string, dt long")
+    kept, state = set(), {}
+    firsts = {}
+    for i, v, m, t in hits:
+        firsts[v, m, t] = min(firsts.get((v, m, t), i), i)
+    for (v, m, t), i in sorted(firsts.items(), key=lambda x: (x[0][2], x[1])):
+        last, newest = state.setdefault(v, ({}, [None]))
+        before = newest[0] if m is None else last.get(m)
+        if before is None or t - before > 90:
+            kept.add(i)
+            newest[0] = t
+            if m is not None:
+                last[m] = t
+    assert {r.id for r in visits.drop_repeats(df, ["visitor"], 90, "mark").collect()} == kept
+
+
+def test_chains_of_a_busy_key_stay_in_the_engine(spark):
+    df = spark.range(20000).select("id", F.lit("hot").alias("ip"), (F.col("id") * 7 % 9000).alias("dt"))
+    for found in (visits.fixed_starts(df, "ip", 60), visits.rate_limited(df), visits.drop_repeats(df, ["ip"], 60)):
+        plan = found._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    sliced = visits._sliced(df.withColumn("block", F.lit(0)), 120, 500)
+    slices = sliced.where("NOT ahead").groupBy("chunk").count().collect()
+    assert len(slices) == 18 and max(r["count"] for r in slices) <= 20000 / 17
+
+
 def test_asof_against_brute_force(spark):
     rng = random.Random(5)
     hits = [(i, "hot" if i % 3 else f"k{i % 5}", 1704067200 + rng.randrange(9000), rng.randrange(1, 50)) for i in range(1, 400)]
