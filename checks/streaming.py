@@ -8,7 +8,8 @@ from checks.base import FIRST, check, sql
 from checks.ingest import FOLD_SQL, updates
 from checks.joins import DENSE, RATE_SQL
 from checks.lifecycle import stored
-from footfall.session import scratch_path
+from footfall.operators import deltas
+from footfall.session import checkpointed, scratch_path
 from footfall.sources import tables, testdata
 from footfall.streaming import late, live, visits
 from footfall.streaming.runs import run_to_table, stream_table
@@ -128,16 +129,22 @@ def stream_rate_limit(spark, sf_dir):
     return run_to_table(visits.rate_limited(rows), scratch_path(spark, "stream-rate")).withColumnRenamed("key", "ip")
 
 
-@check("stream_pageview_updates", sql("SELECT * FROM folded", FOLD_SQL))
+@check(
+    "stream_pageview_updates",
+    sql("SELECT *, 'read' AS place FROM folded UNION ALL SELECT *, 'compacted' FROM folded", FOLD_SQL),
+)
 def stream_pageview_updates(spark, sf_dir):
-    """Updates arrive as files and are folded into a stored table batch by batch."""
+    """Updates arrive as files and are stored batch by batch; the table is read with them, and again after they are folded in."""
     table, inbox = stored(spark, sf_dir, "updated"), scratch_path(spark, "updates")
     rows = updates(spark, sf_dir, with_time=True)
     rows.write.parquet(inbox)
     folder = scratch_path(spark, "update-stream")
     for _ in range(2):  # a stream that is started again folds nothing twice
         late.stream_updates(spark, stream_table(spark, inbox, rows.schema), table, folder)
-    return tables.read_pageviews(spark, table).select("id", "notes", "outbound_resource", "dt_out", "resolution")
+    columns = ["id", "notes", "outbound_resource", "dt_out", "resolution"]
+    before = checkpointed(deltas.read_current(spark, table).select(*columns, F.lit("read").alias("place")))
+    deltas.compact(spark, table)
+    return before.unionByName(tables.read_pageviews(spark, table).select(*columns, F.lit("compacted").alias("place")))
 
 
 @check(

@@ -372,8 +372,8 @@ def apply_hooks(hits: DataFrame, before=None, after=None, enrich=None) -> DataFr
     return out.withColumn("hook_code", F.coalesce("hook_code", late))
 
 
-def fold_updates(pageviews: DataFrame, updates: DataFrame, limit: int = 2048) -> DataFrame:
-    """Apply later updates to page views.
+def fold_updates(pageviews: DataFrame, updates: DataFrame, limit: int = 2048, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Apply later updates to page views with the same `keys`.
 
     `updates` has id, seq (arrival order), notes, outbound_resource, dt_out and
     any other columns of the table. Non-empty fields overwrite, the last one
@@ -382,7 +382,7 @@ def fold_updates(pageviews: DataFrame, updates: DataFrame, limit: int = 2048) ->
     appended texts as a list in order.
     """
     appended = ("notes", "outbound_resource")
-    plain = [c for c in updates.columns if c not in ("id", "seq", *appended)]
+    plain = [c for c in updates.columns if c not in (*keys, "seq", *appended)]
 
     def present(c: str) -> Column:
         text = F.col(c).cast("string")
@@ -392,11 +392,11 @@ def fold_updates(pageviews: DataFrame, updates: DataFrame, limit: int = 2048) ->
         pairs = F.collect_list(F.when(present(c), F.struct("seq", F.col(c).alias("v"))))
         return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
-    per_page = updates.groupBy("id").agg(
+    per_page = updates.groupBy(*keys).agg(
         *[F.max_by(c, F.when(present(c), F.col("seq"))).alias(f"u_{c}") for c in plain],
         *[in_order(c).alias(f"u_{c}") for c in appended if c in updates.columns],
     )
-    joined = pageviews.join(per_page, "id", "left")
+    joined = pageviews.join(per_page, list(keys), "left")
     nothing = F.array().cast("array<string>")
     changes = {c: F.coalesce(f"u_{c}", c) for c in plain}
     if "notes" in updates.columns:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from footfall.functions.times import day_of
 from footfall.operators.ingest import fold_updates
 from footfall.schema import DAY, EMPTY_ADDRESS, RETENTION_DAYS
-from footfall.session import scratch_path
+from footfall.session import checkpointed, scratch_path
+from footfall.sources.membership import add_filters, ensure_filters, maybe_stored, stored_ids
 from footfall.sources.tables import (
     append_rows,
     drop_days,
@@ -28,18 +29,31 @@ from footfall.sources.tables import (
 )
 
 
-def new_rows(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose key the table does not hold yet; one row per key."""
-    return rows.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+def new_rows(rows: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """Rows whose key the table by day at `path` does not hold yet, whatever their day; `rows` have each key once.
+
+    Only days whose filter says maybe are read, the key column alone, and joined with the keys that it said so of.
+    """
+    spark = rows.sparkSession
+    maybe = checkpointed(maybe_stored(rows, path, key))
+    days = _days(maybe)
+    if not days:
+        return rows
+    stored = stored_ids(spark, path, rows.schema[key]).where(F.col("dt_date").isin(days)).select(key)
+    return rows.join(stored.join(maybe.select(key).distinct(), key, "left_semi"), key, "left_anti")
 
 
 def append_new(rows: DataFrame, path: str, key: str = "id") -> None:
-    """Append rows with unknown keys. Keys are looked up in the whole table (their column only), whatever their day."""
-    rows, spark = with_day(rows), rows.sparkSession
-    if not exists(spark, path):  # the first append creates the table
-        append_rows(rows.dropDuplicates([key]), path)
-        return
-    append_rows(new_rows(rows, spark.read.parquet(path), key), path)
+    """Append rows with unknown keys; one row per key.
+
+    The rows are checkpointed, since their keys are looked up, go to the filters, and are written.
+    """
+    rows, spark = checkpointed(with_day(rows).dropDuplicates([key])), rows.sparkSession
+    if exists(spark, path):
+        ensure_filters(spark, path, rows.schema[key])
+        rows = new_rows(rows, path, key)
+    add_filters(rows, path, key)
+    append_rows(rows, path, known=True)
 
 
 def _days(rows: DataFrame) -> list:

@@ -55,8 +55,20 @@ def _by_day(df: DataFrame) -> DataFrame:
     return with_day(df).hint("rebalance", "dt_date")
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append to a table by day."""
+def members_path(path: str) -> str:
+    """Where a table's filters of ids lie; readers of the table pass folders with such names."""
+    return f"{path}/_members"
+
+
+def updates_path(path: str) -> str:
+    """Where updates of a table wait until they are folded."""
+    return f"{path}/_updates"
+
+
+def append_rows(df: DataFrame, path: str, known: bool = False) -> None:
+    """Append to a table by day. Unless the rows' ids are `known` to its filters, these go and are made anew when next asked."""
+    if not known:
+        drop_path(df.sparkSession, members_path(path))
     _by_day(df).write.mode("append").partitionBy("dt_date").parquet(path)
 
 
@@ -93,6 +105,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders inside a folder, in order; none if it isn't there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(target) if f.isDirectory()) if system.exists(target) else []
+
+
 def write_result(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Save the rows of any report; `kind` is csv, json or parquet."""
     options = {"header": "true"} if kind == "csv" else {}

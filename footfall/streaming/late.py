@@ -5,26 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.operators.lifecycle import merge_updates
+from footfall.operators.deltas import append_updates
 from footfall.operators.visits import gap_starts, visits_of
 from footfall.schema import SESSION_SECONDS
-from footfall.sources.tables import drop_path, with_day
+from footfall.sources.tables import with_day
 from footfall.streaming.runs import run_for_each
 
 
 def stream_updates(spark: SparkSession, updates: DataFrame, path: str, folder: str) -> None:
-    """Fold a stream of updates into the stored page views, batch by batch.
+    """Store a stream of updates beside the page views, batch by batch; `deltas.read_current` reads both, `deltas.compact` folds them.
 
-    `folder` is the stream's own. A batch that is repeated after a failure, or a stream that is started
-    again, finds the finished stage of its batch number and does not fold (append notes and links) a second
-    time. The stage of the batch before is removed then.
+    `folder` is the stream's own. A micro-batch writes its own rows only. A batch that is repeated after a failure, or a stream that is started
+    again, replaces the batch of the same number.
     """
-
-    def fold(batch: DataFrame, number: int) -> None:
-        merge_updates(spark, path, batch, f"{folder}/stages/{number}")
-        drop_path(spark, f"{folder}/stages/{number - 1}")
-
-    run_for_each(updates, folder, fold)
+    run_for_each(updates, folder, lambda batch, number: append_updates(spark, path, batch, number))
 
 
 def daily_counts(hits: DataFrame, watermark: str = "1 hour") -> DataFrame:

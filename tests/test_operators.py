@@ -2,14 +2,15 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.operators import aggregates, filters, ingest, joins, lifecycle, ranking, series, visits
+from footfall.operators import aggregates, deltas, filters, ingest, joins, lifecycle, ranking, series, visits
 from footfall.plans.ranges import range_of
 from footfall.session import scratch_path
-from footfall.sources import tables
+from footfall.sources import membership, tables
 
 
 def moment(text: str) -> int:
@@ -289,6 +290,81 @@ def test_updates_are_not_applied_twice(spark):
     assert [r.notes for r in table.where("id = 7").collect()] == ["[x]"]
 
 
+def test_appending_a_day_reads_no_other_day(spark):
+    """The files of the other days are spoiled: whoever read one would fail."""
+    import glob
+
+    path, day = scratch_path(spark, "test-filters"), 86400
+    schema = "id long, dt long"
+    rows = [(i * 1000 + k, 1704067200 + i * day + k) for i in range(100) for k in range(40)]
+    lifecycle.append_new(spark.createDataFrame(rows, schema), path)
+    for name in glob.glob(f"{path}/dt_date=*/*.parquet"):
+        with open(name, "wb") as out:
+            out.write(b"spoiled")
+    new = [(900_000 + k, 1704067200 + 100 * day + k) for k in range(500)]
+    lifecycle.append_new(spark.createDataFrame(new, schema), path)
+    assert spark.read.schema(schema).parquet(f"{path}/dt_date=2024-04-10").count() == 500
+    with pytest.raises(Exception, match="(?i)parquet"):  # an id of the third day is looked up there
+        lifecycle.append_new(spark.createDataFrame([(2005, 1704067200 + 101 * day)], schema), path)
+
+
+def test_filters_deny_nothing_that_is_there(spark):
+    path, schema = scratch_path(spark, "test-members"), "id long, dt long"
+    rows = spark.range(20000).select(F.col("id") * 7, (1704067200 + F.col("id") % 3 * 86400).alias("dt")).toDF("id", "dt")
+    for part in range(3):  # several appends a day
+        lifecycle.append_new(rows.where(F.col("id") % 3 == part), path)
+    found = membership.maybe_stored(rows, path, "id")
+    assert found.join(tables.with_day(rows), ["id", "dt_date"]).count() == 20000
+    others = spark.range(1, 20000 * 7, 7)
+    assert membership.maybe_stored(others, path, "id").count() < 40
+    lifecycle.append_new(rows.withColumn("dt", F.col("dt") + 5 * 86400).unionByName(others.select("id", F.lit(0).cast("long").alias("dt"))), path)
+    assert spark.read.parquet(path).groupBy("dt_date").count().count() == 4 and spark.read.parquet(path).count() == 40000
+    membership.compact_filters(spark, path, "id")
+    lifecycle.append_new(rows, path)
+    assert spark.read.parquet(path).count() == 40000
+    tables.append_rows(spark.createDataFrame([(-1, 0)], schema), path)  # behind the filters' back
+    lifecycle.append_new(spark.createDataFrame([(-1, 999999)], schema), path)
+    assert spark.read.parquet(path).where("id = -1").count() == 1
+    empty = scratch_path(spark, "test-no-rows")
+    lifecycle.append_new(rows.limit(0), empty)
+    lifecycle.append_new(rows, empty)
+    assert spark.read.parquet(empty).count() == 20000
+
+
+def test_updates_wait_beside_the_table(spark, monkeypatch):
+    path = stored_pages(spark)
+    files = lambda: {r[0] for r in tables.read_pageviews(spark, path).select(F.input_file_name()).distinct().collect()}
+    before = files()
+    first = spark.createDataFrame([(7, 5, "[x]", 1704067200 + 2 * 86400 + 7), (8, 1, "[y]", 1704067200 + 3 * 86400 + 8)], "id long, seq long, notes string, page_dt long")
+    second = spark.createDataFrame([(7, 1, "[z]", "u9"), (999, 1, "[w]", "")], "id long, seq long, notes string, username string")
+    for _ in range(2):  # a repeated batch counts once
+        deltas.append_updates(spark, path, first, 0)
+        deltas.append_updates(spark, path, second, 1)
+    deltas.append_updates(spark, path, first.limit(0), 2)
+    assert files() == before
+    want = {7: ("[x][z]", "u9"), 8: ("[y]", "u2")}
+    seen = lambda table: {r.id: (r.notes, r.username) for r in table.where("notes IS NOT NULL").collect()}
+    current = deltas.read_current(spark, path)
+    assert seen(current) == want and current.count() == 100
+    plan = current.where("dt_date = date'2024-01-03'")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*dt_date", plan)) == 3  # the table and both batches
+    # a run that breaks off after its stage was written, then the whole job again
+    kept = lifecycle.replace_days
+    monkeypatch.setattr(lifecycle, "replace_days", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        deltas.compact(spark, path)
+    monkeypatch.setattr(lifecycle, "replace_days", kept)
+    deltas.append_updates(spark, path, spark.createDataFrame([(8, 1, "[late]")], "id long, seq long, notes string"), 3)
+    deltas.compact(spark, path)
+    assert seen(tables.read_pageviews(spark, path)) == want
+    assert seen(deltas.read_current(spark, path)) == {**want, 8: ("[y][late]", "u2")}
+    for _ in range(2):
+        deltas.compact(spark, path)
+    assert seen(tables.read_pageviews(spark, path)) == seen(deltas.read_current(spark, path)) == {**want, 8: ("[y][late]", "u2")}
+    untouched = [f for f in before if "2024-01-05" in f]
+    assert untouched and set(untouched) <= files()
+
+
 def test_deleting_every_row_of_a_day_removes_it(spark):
     path = stored_pages(spark)
     table = tables.read_pageviews(spark, path)
