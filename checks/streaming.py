@@ -46,7 +46,8 @@ def dense(stream, factor: int):
 @check(
     "stream_sessions",
     sql(
-        f"""SELECT user_id, min(dt) AS start, max(dt) AS "end", count(*) AS hits FROM (
+        f"""SELECT user_id, min(dt) AS start, max(dt) AS "end", count(*) AS hits,
+  max(dt) + 1799 <= (SELECT max({DENSE}) FROM e) - 3600 AS closed FROM (
   SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY dt, event_id) AS visit FROM (
     SELECT event_id, user_id, {DENSE} AS dt, CASE WHEN {DENSE} - lag({DENSE}) OVER (PARTITION BY user_id ORDER BY {DENSE}, event_id) < 1800
       THEN 0 ELSE 1 END AS opens FROM e) AS a) AS b GROUP BY user_id, visit"""
@@ -80,27 +81,33 @@ def stream_sessions_fixed(spark, sf_dir):
     return seconds.groupBy(F.col("key").alias("user_id"), "start").agg(F.sum("hits").alias("hits"))
 
 
+#: What the streams' watermark has passed: an hour behind the newest minute.
+_PASSED = "(SELECT max(dt) // 60 * 60 - 3600 FROM pageviews WHERE {})"
+
+
 @check(
     "stream_online",
     sql(
-        """SELECT (dt // 60 + n) * 60 AS minute, count(DISTINCT visit_id) AS online
-FROM pageviews, generate_series(1, 30) AS g(n) WHERE visit_id > 0 GROUP BY 1"""
+        f"""SELECT (dt // 60 + n) * 60 AS minute, count(DISTINCT visit_id) AS online, (dt // 60 + n) * 60 < {_PASSED.format("visit_id > 0")} AS closed
+FROM pageviews, generate_series(1, 30) AS g(n) WHERE visit_id > 0 GROUP BY ALL"""
     ),
 )
 def stream_online(spark, sf_dir):
-    """Exact numbers of the stream, with the last minutes added from the stored hits."""
-    closed = run_to_table(live.online_visits(hit_stream(spark, sf_dir).where("visit_id > 0")), scratch_path(spark, "stream-online"))
-    rest = live.stored_minutes(live.online_minutes(stored_hits(spark, sf_dir).where("visit_id > 0")), "visit_id")
-    return late.corrected_minutes(closed, rest.withColumnRenamed("cnt", "online"))
+    """The running sum of what the stream says about visits, with the last minutes added from the stored hits."""
+    changes = run_to_table(live.online_changes(hit_stream(spark, sf_dir).where("visit_id > 0")), scratch_path(spark, "stream-online"))
+    return late.corrected_online(changes, stored_hits(spark, sf_dir).where("visit_id > 0"))
 
 
 @check(
     "stream_minute_series",
-    sql("SELECT dt // 60 * 60 AS minute, count(DISTINCT content_id) AS cnt FROM pageviews GROUP BY 1"),
+    sql(
+        f"""SELECT dt // 60 * 60 AS minute, count(DISTINCT content_id) AS cnt, dt // 60 * 60 + 60 <= {_PASSED.format("content_id IS NOT NULL")} AS closed
+FROM pageviews WHERE content_id IS NOT NULL GROUP BY ALL"""
+    ),
 )
 def stream_minute_series(spark, sf_dir):
     closed = run_to_table(live.minute_series(hit_stream(spark, sf_dir), "content_id"), scratch_path(spark, "stream-minutes"))
-    return late.corrected_minutes(closed, live.stored_minutes(stored_hits(spark, sf_dir), "content_id"))
+    return late.corrected_minutes(closed, stored_hits(spark, sf_dir), lambda rows: live.stored_minutes(rows, "content_id"))
 
 
 @check(
@@ -150,11 +157,14 @@ def stream_pageview_updates(spark, sf_dir):
 @check(
     "stream_late_rows",
     sql(
-        "SELECT strftime(make_timestamp(dt * 1000000), '%Y-%m-%d') AS day, count(*) AS hits FROM pageviews GROUP BY 1"
+        """SELECT strftime(make_timestamp(dt * 1000000), '%Y-%m-%d') AS day, count(*) AS hits,
+  CASE WHEN (dt // 86400 + 1) * 86400 <= (SELECT max(dt) - 3600 FROM pageviews) THEN count(*) END AS streamed FROM pageviews GROUP BY dt // 86400, day"""
     ),
 )
 def stream_late_rows(spark, sf_dir):
-    """Streamed day counts, corrected by the nightly pass over the stored rows."""
+    """Streamed day counts; days with late rows (put aside by a stream of their own) and open days counted from the stored rows."""
     streamed = run_to_table(late.daily_counts(hit_stream(spark, sf_dir)), scratch_path(spark, "stream-days"))
-    whole = late.corrected_counts(streamed, testdata.pageviews(spark, sf_dir, "id dt"))
-    return whole.select(F.date_format("dt_date", "yyyy-MM-dd").alias("day"), "hits")
+    aside = scratch_path(spark, "stream-late")
+    late.split_late(hit_stream(spark, sf_dir), aside)
+    whole = late.corrected_counts(streamed, testdata.pageviews(spark, sf_dir, "id dt"), late.late_days(spark, aside))
+    return whole.select(F.date_format("dt_date", "yyyy-MM-dd").alias("day"), "hits", "streamed")

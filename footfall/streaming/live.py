@@ -2,30 +2,101 @@
 
 Hits are never late in a tracker that stamps them on arrival; the watermark is
 what bounds the state here, and rows behind it are left to `late.py`.
+
+A visit is online in the thirty minutes that follow each of its hits. The stream says when a visit comes online (+1) and when it
+goes (-1), and the number online is their running sum: two rows for a visit, however many hits it has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from footfall.operators.visits import gap_starts, visits_of
+from footfall.schema import DAY
 
 WATERMARK = "1 hour"
+MINUTE = 60
+#: Minutes that a hit keeps its visit online.
+ONLINE = 30
+_SPELL = (ONLINE + 1) * MINUTE
+
 
+def merged_spells(spells: list[tuple[int, int]], minutes: list[int]) -> list[tuple[int, int]]:
+    """Spells (first and last minute with a hit) with more minutes; a spell goes on if a hit falls into its online minutes."""
+    found: list[tuple[int, int]] = []
+    for low, high in sorted([*spells, *((m, m) for m in minutes)]):
+        if found and low < found[-1][1] + _SPELL:
+            found[-1] = (found[-1][0], max(found[-1][1], high))
+        else:
+            found.append((low, high))
+    return found
 
-def online_visits(hits: DataFrame, visit: str = "visit_id", watermark: str = WATERMARK) -> DataFrame:
-    """(minute, online): distinct visits with a hit in the thirty minutes up to each minute.
 
-    A hit counts for the thirty minutes that follow it. The count is exact, for minutes the watermark has
-    passed; `online_minutes` gives the same for stored hits.
+def online_changes(hits: DataFrame, visit: str = "visit_id", watermark: str = WATERMARK) -> DataFrame:
+    """(visit, minute, change, watermark): +1 when a visit comes online, -1 when it has gone.
+
+    The state of a visit is its spells that the watermark hasn't passed, one as a rule; a timer ends them. A
+    hit that arrives out of order may move or join spells; what was said before is taken back by the opposite
+    change. Hits behind the watermark are left to the nightly pass. `watermark` is the watermark (in seconds) when the row was sent.
     """
-    return minute_series(online_minutes(hits, visit), visit, watermark).select("minute", F.col("cnt").alias("online"))
 
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop_duplicates()
+
+    rows = hits.where(F.col(visit).isNotNull()).select(F.col(visit).cast("string").alias("visit"), (F.call_function("div", F.unix_timestamp("ts"), F.lit(MINUTE)) * MINUTE).alias("minute"))
+    timed = rows.mapInPandas(distinct, "visit string, minute long").withColumn("ts", F.timestamp_seconds("minute")).withWatermark("ts", watermark)
+
+    def step(owner, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [tuple(map(int, s.split(":"))) for s in state.get[0].split(",")] if state.exists else []
+        minutes = set() if state.hasTimedOut else {int(m) for batch in batches for m in batch["minute"]}
+        spells, now = merged_spells(held, sorted(minutes)), state.getCurrentWatermarkMs() // 1000
+        old, new = {low for low, _ in held}, {low for low, _ in spells}
+        sent = [(low + MINUTE, 1) for low in sorted(new - old)] + [(low + MINUTE, -1) for low in sorted(old - new)]
+        sent += [(high + _SPELL, -1) for _, high in spells if high + _SPELL <= now]
+        left = [s for s in spells if s[1] + _SPELL > now]
+        if left:
+            state.update((",".join(f"{low}:{high}" for low, high in left),))
+            state.setTimeoutTimestamp(max((left[0][1] + _SPELL) * 1000, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame({"visit": [owner[0]] * len(sent), "minute": [m for m, _ in sent], "change": [c for _, c in sent], "watermark": [max(now, 0)] * len(sent)})
 
-def online_minutes(hits: DataFrame, visit: str = "visit_id") -> DataFrame:
-    """(visit, ts): the thirty full minutes that follow each hit; a bounded number of rows per hit."""
-    first = F.date_trunc("minute", "ts") + F.expr("INTERVAL 1 MINUTE")
-    after = F.sequence(first, first + F.expr("INTERVAL 29 MINUTES"), F.expr("INTERVAL 1 MINUTE"))
-    return hits.select(visit, F.explode(after).alias("ts"))
+    return timed.groupBy("visit").applyInPandasWithState(step, "visit string, minute long, change int, watermark long", "spells string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stored_changes(hits: DataFrame, visit: str = "visit_id") -> DataFrame:
+    """(minute, change) of stored hits (visit, dt), as `online_changes` says them in the end."""
+    minutes = hits.where(F.col(visit).isNotNull()).select(visit, (F.call_function("div", F.col("dt"), F.lit(MINUTE)) * MINUTE).alias("dt"), F.lit(0).alias("id"))
+    spells = visits_of(gap_starts(minutes, visit, _SPELL), visit)
+    both = F.array(F.struct((F.col("start") + MINUTE).alias("minute"), F.lit(1).alias("change")), F.struct((F.col("end") + _SPELL).alias("minute"), F.lit(-1).alias("change")))
+    return spells.select(F.inline(both))
+
+
+def online_numbers(changes: DataFrame) -> DataFrame:
+    """(minute, online) for minutes with somebody online, as the running sum of changes.
+
+    Changes are summed per minute and counted through per day, from what the days before leave. No window sees more than one day's
+    minutes or one row per day.
+    """
+    day = F.call_function("div", F.col("minute"), F.lit(DAY))
+    each = changes.groupBy("minute").agg(F.sum("change").alias("change")).where("change <> 0").withColumn("day", day)
+    days = each.groupBy("day").agg(F.sum("change").alias("change")).withColumn("one", F.lit(1))
+    order = Window.partitionBy("one").orderBy("day")
+    days = days.withColumns({"before": F.coalesce(F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "until": F.lead("day").over(order)})
+    # a row for the start of each day up to the next one with changes
+    first = days.select(F.explode(F.sequence("day", F.coalesce(F.col("until") - 1, "day"))).alias("day"), F.col("day").alias("from_day"), "before", "change")
+    first = first.select("day", (F.col("day") * DAY).alias("minute"), (F.col("before") + F.when(F.col("day") > F.col("from_day"), F.col("change")).otherwise(0)).alias("change"))
+    steps = first.unionByName(each.select("day", "minute", "change")).groupBy("day", "minute").agg(F.sum("change").alias("change"))
+    inside = Window.partitionBy("day").orderBy("minute")
+    counted = steps.withColumns({"online": F.sum("change").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("minute", 1).over(inside)})
+    last = F.coalesce("next", (F.col("day") + 1) * DAY) - MINUTE
+    return counted.where("online > 0").select(F.explode(F.sequence("minute", last, F.lit(MINUTE).cast("long"))).alias("minute"), F.col("online").cast("long").alias("online"))
 
 
 def minute_series(hits: DataFrame, value: str, watermark: str = WATERMARK) -> DataFrame:

@@ -1,13 +1,15 @@
 """Streams over several micro-batches against the batch operators."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.operators import visits as batch
 from footfall.session import scratch_path
-from footfall.streaming import late, visits
+from footfall.sources import tables
+from footfall.streaming import late, live, visits
 from footfall.streaming.runs import run_to_table
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("visitor", T.StringType()), T.StructField("dt", T.LongType())])
@@ -41,19 +43,121 @@ def test_repeats_over_batches(spark):
     assert {r.id for r in run_to_table(visits.drop_repeats(stream, ["visitor"], 400), scratch_path(spark, "repeats")).collect()} == want
 
 
+def one_by_one(spark, rows, schema=SCHEMA):
+    """A stream that gets each of some lists of rows in a micro-batch of its own."""
+    path = scratch_path(spark, "late")
+    for r in rows:
+        spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def by_day(spark, rows):
+    path = scratch_path(spark, "by-day")
+    tables.append_rows(spark.createDataFrame(rows, SCHEMA), path)
+    return spark.read.parquet(path)
+
+
 def test_late_rows_are_added_by_the_nightly_pass(spark):
     day = 86400
     # The late row comes last: rows are dropped by the watermark of the batch before.
-    times = [10, 5 * day, 5 * day + 60, 5 * day + 120, 20]
+    times = [10, day + 5, 5 * day, 5 * day + 60, 5 * day + 120, 20]
     rows = [(i, "a", 1704067200 + t) for i, t in enumerate(times)]
-    path = scratch_path(spark, "late")
-    for r in rows:
-        spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
-    streamed = run_to_table(late.daily_counts(stream.withColumn("ts", F.timestamp_seconds("dt"))), scratch_path(spark, "days"))
-    whole = {str(r.dt_date): (r.hits, r.added) for r in late.corrected_counts(streamed, spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert whole["2024-01-01"] == (2, 1)
-    assert whole["2024-01-06"] == (3, 3)
+    stream = one_by_one(spark, [[r] for r in rows]).withColumn("ts", F.timestamp_seconds("dt"))
+    streamed = run_to_table(late.daily_counts(stream), scratch_path(spark, "days"))
+    folder = scratch_path(spark, "aside")
+    late.split_late(stream, folder)
+    late.split_late(stream, folder)  # goes on where it ended
+    days = late.late_days(spark, folder)
+    assert [str(d) for d in days] == ["2024-01-01"]
+    stored = by_day(spark, rows)
+    counted = late.corrected_counts(streamed, stored, days)
+    assert {str(r.dt_date): (r.hits, r.streamed) for r in counted.collect()} == {"2024-01-01": (2, 1), "2024-01-02": (1, 1), "2024-01-06": (3, None)}
+    # the second day isn't read again: what it holds by now doesn't matter
+    changed = by_day(spark, [*rows, (9, "b", 1704067200 + day + 7)])
+    assert {str(r.dt_date): r.hits for r in late.corrected_counts(streamed, changed, days).collect()}["2024-01-02"] == 1
+    assert re.search(r"PartitionFilters: \[[^\]]*dt_date", counted._jdf.queryExecution().executedPlan().toString())
+
+
+def spells(rows):
+    """Per visit the merged online intervals [from, to) in minutes."""
+    found = {}
+    for _, visit, t in rows:
+        found.setdefault(visit, set()).add(t // 60)
+    out = {}
+    for visit, minutes in found.items():
+        out[visit] = sorted({m + n for m in minutes for n in range(1, 31)})
+    return out
+
+
+def online(rows):
+    seen = {}
+    for minutes in spells(rows).values():
+        for m in minutes:
+            seen[m * 60] = seen.get(m * 60, 0) + 1
+    return seen
+
+
+def test_online_numbers_are_the_sum_of_changes(spark):
+    rng, base = random.Random(4), 1704067200 + 80000  # crosses midnight
+    rows = [(i, f"v{rng.randrange(6)}", base + rng.choice([0, 9000, 2 * 86400]) + rng.randrange(9000)) for i in range(400)]
+    rows.sort(key=lambda r: r[2] + rng.randrange(1800))  # out of order by less than the watermark
+    parts = [rows[i : i + 50] for i in range(0, 400, 50)] + [[(999, "end", base + 4 * 86400)]]
+    stream = one_by_one(spark, parts).withColumn("ts", F.timestamp_seconds("dt")).withColumnRenamed("visitor", "visit_id")
+    changes = run_to_table(live.online_changes(stream), scratch_path(spark, "changes"))
+    want = online(rows)
+    said = changes.where("visit <> 'end'")
+    assert {r.minute: r.online for r in live.online_numbers(said).collect()} == want
+    stored = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("visitor", "visit_id")
+    assert {r.minute: r.online for r in live.online_numbers(live.stored_changes(stored)).collect()} == want
+    # what the watermark hasn't passed comes from the stored hits
+    every = stored.unionByName(spark.createDataFrame([(999, "end", base + 4 * 86400)], SCHEMA).withColumnRenamed("visitor", "visit_id"))
+    got = late.corrected_online(changes, every).collect()
+    assert {r.minute: r.online for r in got} == online([*rows, (999, "end", base + 4 * 86400)])
+    assert {r.closed for r in got} == {True, False}
+
+
+def test_a_visit_costs_two_changes_however_many_hits(spark):
+    base = 1704067200
+    rows = [(i, "busy", base + i * 20) for i in range(3000)] + [(9000, "other", base + 5 * 86400)]
+    stream = one_by_one(spark, [rows[:1500], rows[1500:3000], rows[3000:]]).withColumn("ts", F.timestamp_seconds("dt")).withColumnRenamed("visitor", "visit_id")
+    folder = scratch_path(spark, "changes")
+    changes = run_to_table(live.online_changes(stream), folder)
+    assert sorted((r.minute, r.change) for r in changes.where("visit = 'busy'").collect()) == [(base + 60, 1), (base + 2999 * 20 // 60 * 60 + 31 * 60, -1)]
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    assert state.count() == 1  # the visit that is over has no state left
+
+
+def test_spells_move_and_join():
+    minute = lambda *m: [60 * x for x in m]
+    assert live.merged_spells([], minute(5, 6, 36, 67)) == [(300, 36 * 60), (67 * 60, 67 * 60)]
+    assert live.merged_spells([(300, 300), (3600, 3600)], minute(34)) == [(300, 3600)]
+    assert live.merged_spells([(3600, 3600)], minute(1)) == [(60, 60), (3600, 3600)]
+
+
+def test_visits_that_stay_open_for_days(spark):
+    """The pass reads back as far as an open visit began, and no further."""
+    base, day = 1704067200, 86400
+    rows = [(i, "long", base + 10 * day + i * 1500) for i in range(400)]  # seven days without rest
+    rows += [(1000 + i, "a", base + i * day) for i in range(17)] + [(2000, "new", base + 16 * day + 4000)]
+    streamed = [("a", base + i * day, base + i * day, 1) for i in range(16)]
+    streamed = spark.createDataFrame(streamed, "visitor string, start long, end long, hits long")
+    got = late.corrected_visits(streamed, by_day(spark, rows), "visitor").collect()
+    assert {(r.visitor, r.start, r.hits) for r in got if not r.closed} == {("long", base + 10 * day, 400), ("a", base + 16 * day, 1), ("new", base + 16 * day + 4000, 1)}
+    assert sum(r.closed for r in got) == 16
+
+
+def test_a_silent_stream_shows(spark, sf_dir, monkeypatch):
+    """With streams that emit nothing, no streaming query gives its right answer."""
+    from checks import streaming
+
+    silent = lambda stream, folder: spark.createDataFrame([], stream.schema)
+    for name in ("stream_sessions", "stream_online", "stream_minute_series", "stream_late_rows"):
+        query = getattr(streaming, name)
+        mark = "streamed IS NOT NULL" if name == "stream_late_rows" else "closed"
+        assert query(spark, sf_dir).where(mark).count() > 0
+        with monkeypatch.context() as m:
+            m.setattr(streaming, "run_to_table", silent)
+            assert query(spark, sf_dir).where(mark).count() == 0
 
 
 def test_a_stream_goes_on_where_it_ended(spark):
