@@ -18,6 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,6 +130,15 @@ class Index:
         return starts, items, np.cumsum(steps[:-1]) > 0
 
 
+def _index(name: str, sent: Broadcast) -> Index:
+    """The index of a broadcast, made once per worker."""
+    keep_only(_INDEX)
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Index(sent.value)
+    return _INDEX[name]
+
+
 def _runs(hit: np.ndarray) -> list[dict]:
     edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
     return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
@@ -140,10 +150,7 @@ def _scanned(docs: DataFrame, rows: list[tuple[str, str]]) -> DataFrame:
     columns = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only(_INDEX)
-        if name not in _INDEX:
-            _INDEX[name] = Index(sent.value)
-        index: Index = _INDEX[name]
+        index = _index(name, sent)
         runs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches):
             numbered = [index.number(x) for x in _utf8(batch, "text")]

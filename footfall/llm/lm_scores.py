@@ -1,8 +1,8 @@
 """Scores by cross-entropy difference.
 
 Two n-gram models of the same order, smoothing and vocabulary: the target's is counted on the documents
-that are known to be good, the background's on all documents. The vocabulary is the most frequent characters of
-the corpus, counted by Spark, one sign for all others and the border. A document's score is the mean over its
+that are known to be good, the background's on all documents. The vocabulary is every character of
+the corpus, counted by Spark, and the border; what only a target from elsewhere has counts as the rarest one. A document's score is the mean over its
 tokens of the background's loss less the target's: above 0, it reads more like the target.
 """
 
@@ -16,42 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import ngrams
-from footfall.llm.common import held_out, in_tasks, keep_only, slices, stored
-
-#: Symbol 1 stands for every character outside the vocabulary.
-OTHER = 1
-_LAST = 0x110000
-
-
-def vocabulary(docs: DataFrame, size: int = ngrams.SYMBOLS - 2) -> str:
-    """The `size` most frequent characters of all texts, ties by code point."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_LAST, np.int64)
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                if text:
-                    points, n = np.unique(_points(text), return_counts=True)
-                    counts[points] += n
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["point", "n"])
-
-    counted = docs.select("text").transform(in_tasks, run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return "".join(chr(r["point"]) for r in counted.orderBy(F.desc("n"), "point").limit(size).collect())
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4")
-
-
-def encoder(letters: str):
-    """Texts to symbols of the shared vocabulary."""
-    table = np.full(_LAST, OTHER, np.uint8)
-    for i, c in enumerate(letters):
-        table[ord(c)] = OTHER + 1 + i
-
-    return lambda rows: [table[_points(x)] for x in rows]
-
+from footfall.llm.common import held_out, in_tasks, slices, stored
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every whole text; losses are per token.
@@ -60,22 +25,20 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     and empty texts have none and score 0. Without a target text all score 0. Repeated rows are counted and
     scored as often as they occur.
     """
-    letters = vocabulary(docs)
+    encode = ngrams.speller(ngrams.alphabet(docs))
     mark = lambda df, a, b: df.select("text", F.lit(a).alias("target"), F.lit(b).alias("background"))
-    both = [ngrams.counted(mark(df, *m), encoder(letters), ["target", "background"]) for df, m in ((docs, (False, True)), (target, (True, False)))]
+    both = [ngrams.counted(mark(df, *m), encode, ["target", "background"]) for df, m in ((docs, (False, True)), (target, (True, False)))]
     counts = stored(both[0].unionByName(both[1]), "ngrams")
     models = [ngrams.model_of(counts, m) for m in ("target", "background")]
     if models[0] is None:
         models = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only()
-        encode = encoder(letters)
         for batch in slices(batches, 128):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             sizes, sums = np.array([len(x) + 1 for x in texts], np.int64), [np.zeros(len(texts))] * 2
             if models and texts:
-                sizes, sums = ngrams.text_losses(models, encode(texts))
+                _, sums = ngrams.text_losses(models, encode(texts))
             tokens = np.where(sizes > 1, sizes, 0)
             target, background = (np.where(tokens > 0, s / np.maximum(sizes, 1), 0.0) for s in sums)
             yield pa.RecordBatch.from_arrays(

@@ -1,7 +1,9 @@
 """Character n-gram models with modified Kneser-Ney smoothing.
 
 A text becomes symbols below `SYMBOLS`; an n-gram is one number, its symbols as digits. So a model has at
-most SYMBOLS ** order entries whatever the corpus, which bounds the arrays that tasks get. Tasks count
+most SYMBOLS ** order entries whatever the corpus, which bounds the arrays that tasks get. The alphabet has every character
+of the corpus, counted by Spark over all texts: the most frequent ones are one symbol each, all others a spelling of their own of
+two symbols or more, the shorter the more frequent they are. Tasks count
 n-grams in an array, Spark adds the counts up, and the model is stored as sorted arrays of n-gram
 numbers with probabilities and back-off weights beside them.
 """
@@ -9,19 +11,111 @@ numbers with probabilities and back-off weights beside them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import in_tasks, keep_only, slices
+from footfall.llm.common import in_tasks, keep_only, slices, worker_cache
 
 SYMBOLS = 64
 ORDER = 4
 #: Symbol 0 stands before and after every text.
 BORDER = 0
 _ROWS = 128
+_LAST = 0x110000
+#: Symbols that only spell rarer characters; the others but the border are a character each.
+DIGITS = 16
+SINGLE = SYMBOLS - 1 - DIGITS
+#: (number of first symbols, digits behind them) of spellings; the last kind has room for every character there is.
+_SPELLINGS = [(9, 1), (5, 2), (1, 3), (1, 6)]
+
+
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+
+
+def alphabet(docs: DataFrame) -> str:
+    """All characters of the texts, the most frequent first, ties by code point; at most as many as Unicode has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        counts = np.zeros(_LAST, np.int64)
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                if text:
+                    found = np.bincount(points_of(text))
+                    counts[: len(found)] += found
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["point", "n"])
+
+    counted = docs.select("text").transform(in_tasks, run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    return "".join(chr(r["point"]) for r in counted.orderBy(F.desc("n"), "point").collect())
+
+
+def spelling(rank: int) -> list[int]:
+    """The symbols of the character with this rank in the alphabet."""
+    if rank < SINGLE:
+        return [1 + rank]
+    rank, first = rank - SINGLE, 1 + SINGLE
+    for firsts, digits in _SPELLINGS:
+        room = firsts * DIGITS**digits
+        if rank < room:
+            tail = [1 + SINGLE + rank // DIGITS**k % DIGITS for k in range(digits - 1, -1, -1)]
+            return [first + rank // DIGITS**digits, *tail]
+        rank, first = rank - room, first + firsts
+    raise ValueError(rank)
+
+
+class Speller:
+    """Texts to symbols; characters outside the alphabet, which counting all texts leaves none of, count as its last one."""
+
+    def __init__(self, letters: str):
+        known = [spelling(i) for i in range(max(len(letters), 1))]
+        longest = max(map(len, known))
+        self.sizes = np.full(_LAST, len(known[-1]), np.uint8)
+        self.codes = np.zeros((longest, _LAST), np.uint8)
+        self.codes[: len(known[-1]), :] = np.array(known[-1], np.uint8)[:, None]
+        for c, spelled in zip(letters, known, strict=False):
+            self.sizes[ord(c)] = len(spelled)
+            self.codes[: len(spelled), ord(c)] = spelled
+        self.plain = longest == 1
+
+    def __call__(self, rows: list[str]) -> list[np.ndarray]:
+        return [self.one(points_of(x)) for x in rows]
+
+    def one(self, points: np.ndarray) -> np.ndarray:
+        if self.plain:
+            return self.codes[0][points]
+        sizes = self.sizes[points]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        if not len(ends) or ends[-1] == len(points):
+            return self.codes[0][points]
+        out = np.zeros(ends[-1], np.uint8)
+        starts = ends - sizes
+        out[starts] = self.codes[0][points]
+        for k in range(1, int(sizes.max())):
+            more = np.flatnonzero(sizes > k)
+            out[starts[more] + k] = self.codes[k][points[more]]
+        return out
+
+
+_SPELLERS = worker_cache()
+
+
+def spelled(letters: str, rows: list[str]) -> list[np.ndarray]:
+    """The texts' symbols; the alphabet's tables are made once per worker."""
+    keep_only(_SPELLERS)
+    if letters not in _SPELLERS:
+        _SPELLERS.clear()
+        _SPELLERS[letters] = Speller(letters)
+    return _SPELLERS[letters](rows)
+
+
+def speller(letters: str) -> Callable[[list[str]], list[np.ndarray]]:
+    return partial(spelled, letters)
 
 
 def windows(rows: list[np.ndarray], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +141,6 @@ def counted(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], ma
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only()
         counts = {m: np.zeros(SYMBOLS**order, np.int32) for m in marks}
         for batch in slices(batches, _ROWS):
             texts = batch.column("text").to_pylist()

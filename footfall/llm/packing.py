@@ -134,50 +134,73 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     return docs.select("doc_id", "text").transform(in_tasks, run, PIECES)
 
 
-def _exact(have: np.ndarray, gap: int) -> list[int] | None:
-    """Available lengths that fill `gap` exactly: one, else two, else three, with the longest first."""
-    if have[gap]:
-        return [gap]
-    sizes = np.flatnonzero(have[:gap])[::-1]
-    two = sizes[(have[gap - sizes] > 0) & (sizes >= gap - sizes)]
-    two = two[(2 * two != gap) | (have[two] > 1)]
-    if len(two):
-        return [int(two[0]), int(gap - two[0])]
-    for a in sizes[sizes * 3 >= gap]:
-        rest = gap - a
-        have[a] -= 1
-        b = sizes[(sizes <= a) & (sizes < rest) & (2 * sizes >= rest)]
-        b = b[(have[b] > 0) & (have[rest - b] > 0)]
-        b = b[(2 * b != rest) | (have[b] > 1)]
-        have[a] += 1
-        if len(b):
-            return [int(a), int(b[0]), int(rest - b[0])]
-    return None
+class Sums:
+    """Index of single, pair and triple sums of the available lengths: which combination fills a gap exactly.
+
+    For every sum it holds the combination with the longest length that may still be there. Availability only falls, so
+    what has run out never comes back and each entry moves down once over all lengths; a look-up is a step or a few.
+    """
+
+    def __init__(self, have: list[int]):
+        self.have = have
+        self.pairs = [s - 1 for s in range(len(have))]
+        self.triples = [s - 2 for s in range(len(have))]
+
+    def pair(self, total: int, beside: int = 0) -> list[int] | None:
+        """Two lengths that sum up to `total`, the longer one first; `beside` is a length of which one is spoken for."""
+        have, a = self.have, self.pairs[total]
+        while 2 * a >= total and not (have[a] and have[total - a] and (2 * a != total or have[a] > 1)):
+            a -= 1
+        self.pairs[total] = a
+        while beside and 2 * a >= total:
+            b = total - a
+            if have[a] > (a == beside) + (a == b) and have[b] > (b == beside):
+                break
+            a -= 1
+        return [a, total - a] if 2 * a >= total else None
+
+    def triple(self, total: int) -> list[int] | None:
+        """Three lengths that sum up to `total`, the longest first as far as it has a pair beside it."""
+        have, a = self.have, self.triples[total]
+        while 3 * a >= total:
+            rest = self.pair(total - a, a) if have[a] else None
+            if rest:
+                self.triples[total] = a
+                return [a, *rest]
+            a -= 1
+        self.triples[total] = a
+        return None
+
+    def filling(self, gap: int) -> list[int] | None:
+        """Available lengths that fill `gap` exactly: one, else two, else three."""
+        return [gap] if self.have[gap] else self.pair(gap) or self.triple(gap)
 
 
 def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """(times, lengths in a sequence) for all pieces; every length is used exactly as often as it occurs."""
-    have = np.zeros(capacity + 1, np.int64)
+    have = [0] * (capacity + 1)
     for length, count in counts.items():
         have[length] = count
-    plan = []
+    sums, plan = Sums(have), []
     for longest in range(capacity, 0, -1):
         while have[longest]:
             have[longest] -= 1
             taken, gap = [longest], capacity - longest
             while gap:
-                found = _exact(have, gap)
-                if not found:
-                    fits = np.flatnonzero(have[: gap + 1])
-                    if not len(fits):
+                found = sums.filling(gap)
+                if not found:  # best fit
+                    fit = gap
+                    while fit and not have[fit]:
+                        fit -= 1
+                    if not fit:
                         break
-                    found = [int(fits[-1])]
+                    found = [fit]
                 for x in found:
                     have[x] -= 1
                 taken += found
                 gap -= sum(found)
             use = Counter(taken)
-            times = 1 + min(int(have[x]) // n for x, n in use.items())
+            times = 1 + min(have[x] // n for x, n in use.items())
             for x, n in use.items():
                 have[x] -= n * (times - 1)
             plan.append((times, taken))

@@ -1,8 +1,9 @@
 """Quality rules with n-gram perplexity.
 
 First the base rules: enough words, not mostly repeated three-word windows. Then a character n-gram model of
-documents that are known to be good gives each text its loss per symbol (the logarithm of its perplexity).
-Each language has a band around the median of all its texts; a text above it reads like no good text (tables,
+documents that are known to be good gives each text its loss per character (the logarithm of its perplexity).
+Each language has a band around the median of all its texts, drawn towards the band of all languages as if LEAST_TEXTS more
+of its texts lay there; a text above it reads like no good text (tables,
 signs, noise), one below like a pattern. The band is WIDTH robust deviations to either side, more for short
 texts.
 """
@@ -10,7 +11,7 @@ texts.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,38 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.llm import ngrams
-from footfall.llm.common import held_out, in_tasks, keep_only, slices, stored
+from footfall.llm.common import held_out, in_tasks, slices, stored
 
 LEAST_WORDS = 50
 #: Half the band in robust standard deviations; texts of LENGTH characters get sqrt(2) times as much.
 WIDTH, LENGTH = 5.0, 1000
-#: The deviation counts as this much at least; languages with fewer texts share the band of all texts.
+#: The deviation counts as this much at least; a language's band weighs against the common one as its texts against so many.
 LEAST_DEVIATION, LEAST_TEXTS = 0.05, 100
 _SIGNS = b"#*$%&|<>"
 _OTHER_LANGUAGE = ""
 
 
-def _classes() -> np.ndarray:
-    """Bytes to symbols: lower-case letters, and one symbol each for capitals, digits and kinds of signs;
-    UTF-8 lead bytes by script, following bytes in groups of four."""
-    table = np.full(256, 39, np.uint8)
-    table[0] = ngrams.BORDER
-    table[97:123] = np.arange(1, 27)
-    for symbol, members in ((27, bytes(range(65, 91))), (28, b"0123456789"), (29, b" \t"), (30, b"\n\r\x0b\x0c"), (31, b"."), (32, b","), (33, b"!?"),
-                            (34, b";:"), (35, b"'\"`"), (36, b"-_"), (37, b"()[]{}"), (38, _SIGNS)):
-        table[list(members)] = symbol
-    table[0x80:0xC0] = 45 + (np.arange(64) >> 2)
-    table[0xC0:0xC3], table[0xC3], table[0xC4:0xE0], table[0xE0:0xF0], table[0xF0:] = 40, 41, 42, 43, 44
-    return table
-
-
-_TABLE = _classes()
-
-
-def symbols(rows: list[str]) -> list[np.ndarray]:
-    return [_TABLE[np.frombuffer(x.encode(), np.uint8)] for x in rows]
-
-
 def base_features(text: str) -> tuple[int, int, int, int, int]:
     """(words, code points in words, signs, repeated lines, words in three-word windows that occur again)."""
     raw = text.encode()
@@ -82,23 +62,23 @@ def reference_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi").select("text")
 
 
-def train(texts: DataFrame) -> ngrams.KneserNey | None:
+def train(texts: DataFrame, encode: Callable[[list[str]], list[np.ndarray]]) -> ngrams.KneserNey | None:
     """The model of texts, or None if there is nothing to count."""
-    counts = ngrams.counted(texts.withColumn("all", F.lit(True)), symbols, ["all"])
+    counts = ngrams.counted(texts.withColumn("all", F.lit(True)), encode, ["all"])
     return ngrams.model_of(stored(counts, "ngrams"), "all")
 
 
 def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` of `docs` (default all) with the base features, base_failed, loss (per symbol), low, high and kept.
+    """The columns `carry` of `docs` (default all) with the base features, base_failed, loss (per character), low, high and kept.
 
     `docs` has doc_id, text and lang, `labels` doc_id and quality; new columns take the place of ones with the same
-    names. Null and empty texts have no word and fail. A null lang is a language of its own. Languages with few
-    texts are held to the band of all texts. Without a document labelled good the model is that of all documents.
+    names. Null and empty texts have no word and fail. A null lang is a language of its own. Without a document labelled good the model is that of all documents.
     Repeated rows are judged alike.
     """
     spark = docs.sparkSession
     carried = [c for c in carry or docs.columns if c not in _ADDED]
-    model = train(reference_texts(docs, labels)) or train(docs.select("text"))
+    encode = ngrams.speller(ngrams.alphabet(docs))
+    model = train(reference_texts(docs, labels), encode) or train(docs.select("text"), encode)
     place = {c: f"c{i}" for i, c in enumerate(carried)}  # columns that differ in case only don't clash
     names = list(place)
     plain = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in place.items()], F.col("lang").alias("language"), F.col("text").alias("whole"))
@@ -108,14 +88,13 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) ->
     out = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only()
         for batch in slices(batches, 128):
             rows = [x or "" for x in batch.column("whole").to_pylist()]
             features = np.array([base_features(x) for x in rows], np.int64).reshape(-1, len(FEATURES))
             loss = np.zeros(len(rows))
             if model is not None and rows:
-                sizes, (sums,) = ngrams.text_losses([model], symbols(rows))
-                loss = sums / sizes
+                _, (sums,) = ngrams.text_losses([model], encode(rows))
+                loss = sums / np.array([len(x) + 1 for x in rows])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], *[pa.array(features[:, i]) for i in range(len(FEATURES))], pa.array(loss)],
                 out,
@@ -139,17 +118,27 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) ->
     return judged.select(*place.values(), *_ADDED).toDF(*names, *_ADDED)
 
 
+def _medians(values: DataFrame, value: str) -> dict[str | None, tuple[float, int]]:
+    """language: (median in steps of a thousandth, number of texts); exact, so the dealing of rows doesn't matter."""
+    rows = values.groupBy("language").agg(F.percentile(F.round(value, 3), 0.5).alias("m"), F.count("*").alias("n")).collect()
+    return {r["language"]: (r["m"], r["n"]) for r in rows}
+
+
+def shrunk(own: float, common: float, n: int) -> float:
+    return (n * own + LEAST_TEXTS * common) / (n + LEAST_TEXTS)
+
+
 def _bands(fair: DataFrame) -> list[tuple[str | None, float, float]]:
-    """(language, median, deviation) where there are enough texts, and (None, ...) for all texts together."""
+    """(language, middle, deviation), and (None, ...) for all texts together."""
     sides = fair.unionByName(fair.select(F.lit(None).cast("string").alias("language"), "loss"))
-    middle = sides.groupBy("language").agg(F.percentile_approx("loss", 0.5, 10_000).alias("m"), F.count("*").alias("n"))
-    middle = {r["language"]: r["m"] for r in middle.where((F.col("n") >= LEAST_TEXTS) | F.col("language").isNull()).collect()}
-    if not middle:
+    found = _medians(sides, "loss")
+    if not found:
         return []
-    table = F.broadcast(fair.sparkSession.createDataFrame(list(middle.items()), "known string, m double"))
+    middle = {x: shrunk(m, found[None][0], n) if x is not None else m for x, (m, n) in found.items()}
+    table = F.broadcast(fair.sparkSession.createDataFrame(list(middle.items()), "known string, m double"))  # a row per language
     off = sides.join(table, F.col("language").eqNullSafe(F.col("known"))).select("language", F.abs(F.col("loss") - F.col("m")).alias("d"))
-    spread = off.groupBy("language").agg(F.percentile_approx("d", 0.5, 10_000).alias("d")).collect()
-    return [(r["language"], middle[r["language"]], max(1.4826 * r["d"], LEAST_DEVIATION)) for r in spread]
+    spread = _medians(off, "d")
+    return [(x, middle[x], max(1.4826 * (shrunk(d, spread[None][0], n) if x is not None else d), LEAST_DEVIATION)) for x, (d, n) in spread.items()]
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -136,13 +136,63 @@ def test_kneser_ney_by_brute_force(order):
 
 
 def test_counts_by_brute_force(documents):
-    got = ngrams.counted(documents.select("text", F.lit(True).alias("all")), quality.symbols, ["all"], 3)
+    letters = ngrams.alphabet(documents)
+    got = ngrams.counted(documents.select("text", F.lit(True).alias("all")), ngrams.speller(letters), ["all"], 3)
     want = Counter()
     for r in documents.select("text").collect():
-        want.update(ngrams.windows(quality.symbols([r.text]), 3)[0].tolist())
+        want.update(ngrams.windows(ngrams.Speller(letters)([r.text]), 3)[0].tolist())
     assert {r.code: r.n for r in got.collect()} == want
 
 
+def test_every_character_has_a_spelling_of_its_own():
+    ranks = [*range(3000), *range(5000, 1_200_000, 997)]
+    spelled = [tuple(ngrams.spelling(i)) for i in ranks]
+    assert len(set(spelled)) == len(ranks) and all(0 < x < ngrams.SYMBOLS for s in spelled for x in s)
+    assert [len(s) for s in spelled] == sorted(len(s) for s in spelled)
+    # no spelling begins another, so symbols tell the characters apart
+    assert not {s[:n] for s in spelled for n in range(1, len(s))} & set(spelled)
+    text = "".join(chr(0x4E00 + i) for i in range(4000)) + "Ünï α\n"
+    speller = ngrams.Speller(text)
+    assert speller([text, ""])[0].tolist() == [x for i in range(len(text)) for x in ngrams.spelling(i)]
+    assert len(speller(["", "x"])[0]) == 0
+
+
+@pytest.mark.parametrize("first", [ord("a"), 0x3B1, 0x4E00])
+def test_scores_are_as_fine_in_any_script(spark, first):
+    """Two ways of writing in letters of one script: the target's way scores above the other's."""
+    rng = random.Random(1)
+
+    def text(steps):
+        at, out = 0, []
+        for _ in range(400):
+            at = (at + rng.choice(steps)) % 20
+            out.append(chr(first + at) if rng.random() < 0.85 else " ")
+        return "".join(out)
+
+    rows = [(i, text((1, 2) if i % 2 else (7, 11))) for i in range(60)]
+    latin = [(100 + i, "the rest of the corpus is written in another script " * 9) for i in range(60)]
+    docs = spark.createDataFrame(rows + latin, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scores.score(docs, docs.where("doc_id < 40 AND doc_id % 2 = 1")).collect()}
+    assert min(got[i] for i in range(41, 60, 2)) > max(got[i] for i in range(0, 60, 2)) + 0.1
+
+
+def test_bands_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(x, round(rng.gauss(m, 0.1), 6)) for x, m, n in (("a", 2.0, 900), ("b", 3.0, 300), ("c", 9.0, 1)) for _ in range(n)]
+    got = {x: (m, d) for x, m, d in quality._bands(spark.createDataFrame(rows, "language string, loss double").repartition(5))}
+    median = lambda v: float(np.median(np.round(v, 3)))
+    common = median([x for _, x in rows])
+    spread = median([abs(x - common) for _, x in rows])
+    assert got[None] == pytest.approx((common, 1.4826 * spread), abs=2e-3)
+    for language in "abc":
+        own = [x for a, x in rows if a == language]
+        n = len(own)
+        m = (n * median(own) + 100 * common) / (n + 100)
+        d = (n * median([abs(x - m) for x in own]) + 100 * spread) / (n + 100)
+        assert got[language] == pytest.approx((m, max(1.4826 * d, quality.LEAST_DEVIATION)), abs=5e-3)
+    assert quality._bands(spark.createDataFrame([], "language string, loss double")) == []
+
+
 def base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     runs = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -181,17 +231,17 @@ def test_quality_odd_rows(odd, empty, odd_labels, spark):
 def test_scores(documents, labels, odd, empty, odd_labels):
     got = {r.doc_id: r for r in lm_scores.score_by_labels(documents, labels).collect()}
     rows = documents.select("doc_id", "text").collect()
-    letters = lm_scores.vocabulary(documents)
+    letters = ngrams.alphabet(documents)
     count = Counter(c for _, t in rows for c in t)
-    assert list(letters) == sorted(count, key=lambda c: (-count[c], c))[: ngrams.SYMBOLS - 2]
+    assert list(letters) == sorted(count, key=lambda c: (-count[c], c))
     marks = {r.doc_id: r.quality for r in labels.collect()}
-    encode, models = lm_scores.encoder(letters), []
+    encode, models = ngrams.Speller(letters), []
     for chosen in ([t for d, t in rows if marks.get(d) == 1 and not held(d)], [t for _, t in rows]):
         codes, n = np.unique(ngrams.windows(encode(chosen))[0], return_counts=True)
         models.append(ngrams.KneserNey(codes.astype(np.int64), n))
     for doc, text in rows[:60]:
         codes, _ = ngrams.windows(encode([text]))
-        a, b = (float(-np.log(m.probability(codes.astype(np.int64))).mean()) for m in models)
+        a, b = (float(-np.log(m.probability(codes.astype(np.int64))).sum() / (len(text) + 1)) for m in models)
         r = got[doc]
         assert r.n_tokens == len(text) + 1 and np.allclose([r.target_loss, r.background_loss, r.score], [a, b, b - a])
     tested = [(got[d].score, q) for d, q in marks.items() if held(d)]
