@@ -53,21 +53,35 @@ def top(
     NULL group stays. `share` adds the percentage of all rows of `df`.
     """
     named = keys if isinstance(keys, dict) else {k: F.col(k) for k in keys}
-    rows = df if where is None else df.where(where)
     measures = {"counthits": F.count("*")}
     if recent:
         measures["dt"] = F.max("dt")
     measures.update(more or {})
     if having is not None:
         measures["_keep"] = having
-    out = rows.groupBy(*[c.alias(n) for n, c in named.items()]).agg(*[c.alias(n) for n, c in measures.items()])
+    measured = [c.alias(n) for n, c in measures.items()]
+    if share and not more:
+        # rows outside `where` are one more group, so that the groups add up to all rows: both uses share one exchange
+        fits = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        keyed = df.groupBy(*[F.when(fits, c).alias(n) for n, c in named.items()], fits.alias("_fits"))
+        groups = keyed.agg(*measured, F.min(fits).alias("_in"))  # as a measure, so that only one of both uses isn't filtered before
+        total = _summed(groups, [*list(measures)[1:], "_in"]).scalar()
+        out = groups.where("_in").drop("_fits", "_in")
+    else:
+        total = df.agg(F.count("*").alias("n")).scalar() if share else None
+        out = (df if where is None else df.where(where)).groupBy(*[c.alias(n) for n, c in named.items()]).agg(*measured)
     if having is not None:
         out = out.where("_keep").drop("_keep")
     out = ranked(out, "dt" if recent else "counthits", list(named), limit, offset)
-    if share:
-        total = df.agg(F.count("*").alias("n")).scalar()
-        out = out.withColumn("pct", percent(F.col("counthits"), total))
-    return out
+    return out.withColumn("pct", percent(F.col("counthits"), total)) if share else out
+
+
+def _summed(groups: DataFrame, others: list[str]) -> DataFrame:
+    """All rows of the groups. The other measures are asked for as well: without them the groups would be counted a second time, as another plan."""
+    total = F.coalesce(F.sum("counthits"), F.lit(0))
+    for c in others:
+        total = F.when(F.count(c) >= 0, total)
+    return groups.agg(total.alias("n"))
 
 
 def ranked(

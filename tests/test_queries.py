@@ -1,6 +1,7 @@
 """Every registered query against its checking SQL, and plan properties."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.base import END, QUERIES, START, ranged
@@ -85,3 +86,22 @@ def test_no_nested_loops_or_cross_products(spark, sf_dir):
     for name in ("live_users_minutes", "post_prefix_join", "geo_range_lookup", "edge_pages_entry", "consent_upgrade"):
         text = plan(entry.queries()[name](spark, sf_dir))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_a_top_list_and_its_share_read_once(spark, sf_dir):
+    path = scratch_path(spark, "top-once")
+    append_rows(testdata.pageviews(spark, sf_dir), path)
+    rows = read_pageviews(spark, path)
+    total = rows.count()
+    for found in (
+        aggregates.top(rows, ["resource"]),
+        aggregates.top(rows, ["resource"], rows["content_type"] != "404", recent=True),
+        aggregates.top(rows, ["browser", "country"], rows["country"].isNotNull(), having=F.count("*") > 2),
+    ):
+        lines = found.collect()
+        assert lines and all(abs(r.pct - 100 * r.counthits / total) <= 0.005 + 1e-9 for r in lines)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        final = plan[plan.index("== Final Plan ==") :]
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString(), final
+    nothing = aggregates.top(rows.where("id < 0"), ["resource"])
+    assert nothing.collect() == []
