@@ -72,11 +72,42 @@ def address_key(address) -> Column:
     return F.coalesce(number_key(ipv4_number(address)), F.when(is_ipv6(address), ipv6_groups(address)))
 
 
-def block_of(key) -> Column:
-    """The block of an `address_key`: 16 bits of an IPv4 address, or the first 24 bits of an IPv6 address."""
-    key = as_column(key)
-    four = F.conv(F.substring(key, 25, 4), 16, 10).cast("bigint")
-    return F.when(key.startswith(_IPV4_IN_IPV6), four).otherwise(F.conv(F.substring(key, 1, 6), 16, 10).cast("bigint") + 65536)
+def address_bits(key) -> Column:
+    """An `address_key` as 128 characters 0 and 1."""
+    halves = [F.lpad(F.conv(F.substring(as_column(key), at, 16), 16, 2), 64, "0") for at in (1, 17)]
+    return F.concat(*halves)
+
+
+def range_prefixes(low, high) -> Column:
+    """The fewest binary prefixes that cover exactly the addresses from `low` to `high` (as `address_bits`), at most two per bit.
+
+    Behind the bits that both ends share, the lower end's side is the end's own block (without the zeros it ends in) and, for each
+    earlier 0 of the end, everything above it; the upper side is its mirror image.
+    """
+    low, high = as_column(low), as_column(high)
+    same = F.zip_with(F.split(low, ""), F.split(high, ""), lambda a, b: a == b)
+    fork = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)).cast("int") - 1, F.lit(128))  # bits in common
+
+    def side(end: Column, fill: str, other: str) -> Column:
+        last = F.greatest(F.length(F.rtrim(end, F.lit(fill))), fork + 1)  # bits of the end's own block
+        between = F.when(last - 1 > fork, F.sequence(fork + 1, last - 1)).otherwise(F.array().cast("array<int>"))
+        steps = F.transform(F.filter(between, lambda i: F.substring(end, i + 1, F.lit(1)) == fill), lambda i: F.concat(F.substring(end, F.lit(1), i), F.lit(other)))
+        return F.concat(steps, F.array(F.substring(end, F.lit(1), last)))
+
+    whole = (F.length(F.rtrim(low, F.lit("0"))) <= fork) & (F.length(F.rtrim(high, F.lit("1"))) <= fork)
+    split = F.concat(side(low, "0", "1"), side(high, "1", "0"))
+    return F.when(low > high, F.array().cast("array<string>")).when(whole | (fork == 128), F.array(F.substring(low, F.lit(1), fork))).otherwise(split)
+
+
+def cidr_prefix(text) -> Column:
+    """A range in CIDR form, or a single address, as its binary prefix; NULL for other text."""
+    text = F.trim(as_column(text))
+    size = F.get(F.split(text, "/"), F.lit(1)).try_cast("int")
+    base = F.substring_index(text, "/", 1)
+    key = address_key(base)
+    bits = F.when(text.contains("/"), F.when(is_ipv4(base), size + 96).otherwise(size)).otherwise(F.lit(128))
+    fits = bits.between(F.when(is_ipv4(base), 96).otherwise(0), 128)
+    return F.when(fits, F.substring(address_bits(key), F.lit(1), bits))
 
 
 def mask_address(address) -> Column:

@@ -22,7 +22,7 @@ from footfall.functions.text import (
     viewport,
 )
 from footfall.functions.urls import normalise_resource, outside_host, search_words, url_part
-from footfall.operators.joins import latest_visit
+from footfall.operators.joins import in_range_table, latest_visit
 from footfall.schema import NOTE_LIMIT, SESSION_SECONDS
 
 # Refusal codes in the order in which they are tested.
@@ -176,7 +176,9 @@ def reject_code(policy: Policy, columns: list[str]) -> Column:
         capabilities="capabilities" if "capabilities" in columns else F.array().cast("array<string>"),
     ) if "username" in columns else F.lit(False)
     in_range = in_ranges("ip", policy.ignore_ranges) if policy.ignore_ranges else F.lit(False)
-    if policy.ignore_ranges and "other_ip" in columns:
+    if _IN_RANGE in columns:  # a long list has been met as a table
+        in_range = F.col(_IN_RANGE)
+    elif policy.ignore_ranges and "other_ip" in columns:
         in_range = in_range | in_ranges("other_ip", policy.ignore_ranges)
     tests = {
         301: ~may_track(policy, "consent", "dnt") if {"consent", "dnt"} <= set(columns) else F.lit(False),
@@ -202,8 +204,17 @@ def reject_code(policy: Policy, columns: list[str]) -> Column:
     return F.coalesce(*[F.when(tests[code], F.lit(code)) for code in REJECT_ORDER])
 
 
+_IN_RANGE = "_in_ignored_range"
+#: Ranges that are tested as one expression; more of them come as a table, with the same answer.
+FEW_RANGES = 32
+
+
 def with_reject_code(hits: DataFrame, policy: Policy) -> DataFrame:
-    return hits.withColumn("reject_code", reject_code(policy, hits.columns))
+    """Add `reject_code`."""
+    if len(policy.ignore_ranges) > FEW_RANGES:
+        listed = hits.sparkSession.createDataFrame([(r,) for r in policy.ignore_ranges], "cidr string")
+        hits = in_range_table(hits, listed, [c for c in ("ip", "other_ip") if c in hits.columns], _IN_RANGE)
+    return hits.withColumn("reject_code", reject_code(policy, hits.columns)).drop(_IN_RANGE)
 
 
 def reject_stats(hits: DataFrame, policy: Policy) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.addresses import address_key, block_of, number_key
+from footfall.functions.addresses import address_bits, address_key, cidr_prefix, number_key, range_prefixes
 from footfall.operators.aggregates import ranked
 from footfall.schema import LIST_LIMIT, SESSION_SECONDS
 
@@ -119,21 +119,28 @@ def hits_per_article(pageviews: DataFrame, articles: DataFrame, count: str = "id
     return out.select("article_id", "path", F.coalesce("counthits", F.lit(0)).alias("counthits"))
 
 
+def meet_prefixes(addresses: DataFrame, prefixes: DataFrame, key: Column) -> DataFrame:
+    """`addresses` joined with all `prefixes` (column prefix) that its address begins with, by equality.
+
+    Every address is cut to the lengths that occur among the prefixes, at most 129.
+    """
+    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).where("prefix IS NOT NULL").distinct().collect())
+    cuts = F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.substring(F.col("bits_"), F.lit(1), n))
+    cut = addresses.withColumn("bits_", address_bits(key)).where("bits_ IS NOT NULL").withColumn("prefix", F.explode(cuts)).drop("bits_")
+    return cut.join(prefixes, "prefix").drop("prefix")
+
+
 def geo_lookup(hits: DataFrame, ranges: DataFrame, address: str = "ip", with_city: bool = True) -> DataFrame:
     """Country, city and location of an address from a range table.
 
     `ranges` has low, high (IPv4 numbers, or 32 hex digits for any address), country_code, city,
-    subdivision, latitude, longitude; ranges do not overlap. Each range is repeated per block it touches
-    (16 bits of an IPv4, 24 of an IPv6 address) and met by an equality on the block, so the range test
-    only sees the few ranges of one block.
+    subdivision, latitude, longitude; ranges do not overlap. Each range becomes the few binary prefixes that
+    cover it, however wide it is, and every distinct address meets them by equality.
     """
     kind = dict(ranges.dtypes)["low"]
-    ends = {c: F.col(c) if kind == "string" else number_key(c) for c in ("low", "high")}
-    ranges = ranges.withColumns(ends)
-    blocks = ranges.withColumn("block", F.explode(F.sequence(block_of("low"), block_of("high"))))
-    distinct = hits.select(address).distinct().withColumn("key", address_key(address))
-    distinct = distinct.withColumn("block", block_of("key"))
-    found = distinct.join(blocks, "block").where(F.col("key").between(F.col("low"), F.col("high")))
+    ends = {c: address_bits(F.col(c) if kind == "string" else number_key(c)) for c in ("low", "high")}
+    prefixes = ranges.withColumns(ends).withColumn("prefix", F.explode(range_prefixes("low", "high"))).drop("low", "high")
+    found = meet_prefixes(hits.select(address).distinct(), prefixes, address_key(address))
     place = F.when(F.col("subdivision") != "", F.concat("city", F.lit(" ("), "subdivision", F.lit(")"))).otherwise(F.col("city"))
     known = found.where("lower(country_code) <> 'xx' AND country_code <> ''").select(
         address,
@@ -144,6 +151,18 @@ def geo_lookup(hits: DataFrame, ranges: DataFrame, address: str = "ip", with_cit
     return hits.join(known, address, "left")
 
 
+def in_range_table(hits: DataFrame, ranges: DataFrame, addresses: list[str], name: str) -> DataFrame:
+    """Add the boolean `name`: one of the hit's `addresses` lies in one of many `ranges` (column cidr), which come as a table."""
+    prefixes = ranges.select(cidr_prefix("cidr").alias("prefix")).where("prefix IS NOT NULL").distinct()
+    asked = hits.select(F.explode(F.array(*addresses)).alias("address_")).distinct()
+    inside = meet_prefixes(asked, prefixes, address_key("address_")).select("address_").distinct()
+    out, flags = hits, []
+    for i, a in enumerate(addresses):
+        flags.append(f"inside{i}_")
+        out = out.join(inside.select(F.col("address_").alias(f"address{i}_"), F.lit(True).alias(flags[-1])), F.col(a) == F.col(f"address{i}_"), "left").drop(f"address{i}_")
+    return out.withColumn(name, F.coalesce(*flags, F.lit(False))).drop(*[f for f in flags if f != name])
+
+
 def with_titles(df: DataFrame, titles: DataFrame, key: str = "resource") -> DataFrame:
     """Display title of a key; the key itself where none is known. `titles` has (key, title)."""
     return df.join(titles, key, "left").withColumn("title", F.coalesce("title", key))

@@ -399,3 +399,35 @@ def test_places_of_both_kinds_of_addresses(spark):
     assert {r.ip: r.geo_country for r in joins.geo_lookup(hits, table).collect()} == {
         "2001:db8::1": "nl", "2001:DB8:ffff::": "nl", "2001:db9::": None, "1.2.3.4": None, "x": None, None: None,
     }
+
+
+def test_ranges_as_prefixes(spark):
+    """Against the standard library; a wide range is a handful of rows."""
+    import ipaddress
+
+    from footfall.functions import addresses
+
+    rng = random.Random(8)
+    rows = [(0, 0), (0, 2**128 - 1), (5, 4), (2**125, 2**125 + 2**124 - 1)]
+    for _ in range(60):
+        low = rng.getrandbits(128) >> rng.randrange(120)
+        rows.append((low, min(2**128 - 1, low + (rng.getrandbits(128) >> rng.randrange(128)))))
+    df = spark.createDataFrame([(i, f"{a:032x}", f"{b:032x}") for i, (a, b) in enumerate(rows)], "n int, low string, high string")
+    got = df.select("n", addresses.range_prefixes(addresses.address_bits("low"), addresses.address_bits("high")).alias("p")).collect()
+    for r in got:
+        low, high = rows[r.n]
+        nets = ipaddress.summarize_address_range(ipaddress.IPv6Address(low), ipaddress.IPv6Address(high)) if low <= high else []
+        assert sorted(r.p) == sorted(f"{int(net.network_address):0128b}"[: net.prefixlen] for net in nets)
+
+
+def test_many_ignored_ranges_come_as_a_table(spark, monkeypatch):
+    ranges = [f"10.{i}.0.0/{rng}" for i in range(60) for rng in (16, 20)] + ["2001:db8::/32", "2001:db9::1", "::/0x", "nonsense", "192.168.1.0/33"]
+    hits = [(1, "10.5.9.9", None), (2, "10.60.0.1", None), (3, "11.0.0.1", "10.59.1.1"), (4, "2001:db8:1::5", ""), (5, "2001:db9::1", None), (6, "2001:db9::2", "x"), (7, None, None), (8, "192.168.1.7", None)]
+    df = spark.createDataFrame(hits, "id long, ip string, other_ip string")
+    got = joins.in_range_table(df, spark.createDataFrame([(r,) for r in ranges], "cidr string"), ["ip", "other_ip"], "inside")
+    assert {r.id for r in got.where("inside").collect()} == {1, 3, 4, 5} and got.count() == 8 and got.columns == ["id", "ip", "other_ip", "inside"]
+    rows = df.selectExpr("*", "1 AS dt", "'/a' AS resource")
+    code = lambda: {r.id: r.reject_code for r in ingest.with_reject_code(rows, ingest.Policy(ignore_ranges=[f"10.{i}.0.0/16" for i in range(60)])).collect()}
+    many = code()
+    monkeypatch.setattr(ingest, "FEW_RANGES", 1000)
+    assert many == code() and many[3] == 304
