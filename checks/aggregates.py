@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    END, LAST_MOMENT_SQL, SITE, START, check, last_moment, percent_sql, pv, ranged, sql,
+    END, FIRST, LAST_MOMENT_SQL, MIDDAY, SITE, START, check, last_moment, percent_sql, pv, ranged, sql,
 )
+from footfall.functions.times import day_of
 from footfall.functions.urls import referrer_domain
-from footfall.operators import aggregates, live, lifecycle, summaries
+from footfall.operators import aggregates, distinct, live, lifecycle, summaries
 
 DOMAIN_SQL = (
     "replace(array_to_string(string_split(split_part(list_extract(string_split(referer, '://'), -1), '/', 1), '.')"
@@ -503,3 +504,39 @@ def rollup_sketch(spark, sf_dir):
     both = merged.join(exact, F.col("browser").eqNullSafe(F.col("name")))
     close = F.abs(F.col("ips_estimate") - F.col("ips")) <= 0.05 * F.col("ips")
     return both.select("browser", "counthits", "ips", close.alias("close"))
+
+
+def _seen(column: str) -> str:
+    return f"SELECT DISTINCT dt // 86400 AS day, CAST({column} AS VARCHAR) AS value FROM pageviews WHERE {column} IS NOT NULL"
+
+
+def _rolling_sql(kind: str, column: str) -> str:
+    return f"""SELECT '{kind}' AS kind, make_date(1970, 1, 1) + CAST(d.day AS INTEGER) AS dt_date, count(DISTINCT s.value) AS distinct_values
+FROM (SELECT DISTINCT day FROM ({_seen(column)})) AS d JOIN ({_seen(column)}) AS s ON s.day BETWEEN d.day - 6 AND d.day GROUP BY 1, 2"""
+
+
+@check("rollup_exact", sql(f"{_rolling_sql('address', 'ip')}\nUNION ALL\n{_rolling_sql('visit', 'visit_id')}"))
+def rollup_exact(spark, sf_dir):
+    """Distinct addresses and visits of each week up to a day, from bitmaps per day; numbers are given in two batches."""
+    rows = pv(spark, sf_dir, "dt ip visit_id")
+    kinds = F.explode(F.create_map(F.lit("address"), "ip", F.lit("visit"), F.col("visit_id").cast("string"))).alias("kind", "value")
+    rows = rows.select("dt", day_of("dt").alias("dt_date"), kinds)
+    first = distinct.number_values(rows.where(F.col("dt") < MIDDAY))
+    dictionary = first.unionByName(distinct.number_values(rows, first))
+    sets = distinct.daily_sets(rows, dictionary, ["kind"])
+    return distinct.rolling_distinct(sets, 7, ["kind"]).withColumnRenamed("distinct", "distinct_values")
+
+
+@check(
+    "visitor_flow",
+    sql(
+        f"""SELECT country, count(*) FILTER (WHERE b AND NOT a) AS new, count(*) FILTER (WHERE a AND b) AS returning,
+  count(*) FILTER (WHERE a AND NOT b) AS lost, CAST(0 AS DOUBLE) AS error
+FROM (SELECT country, ip, bool_or(dt BETWEEN {FIRST} AND {FIRST + 7 * 86400 - 1}) AS a, bool_or(dt BETWEEN {START} AND {END}) AS b
+  FROM pageviews WHERE dt BETWEEN {FIRST} AND {END} AND ip IS NOT NULL GROUP BY country, ip) AS g GROUP BY country"""
+    ),
+)
+def visitor_flow(spark, sf_dir):
+    """New, returning and lost addresses of the report range against the week before, from a sketch per day."""
+    rows = pv(spark, sf_dir, "dt country ip").select(day_of("dt").alias("dt_date"), "country", F.col("ip").alias("value"))
+    return distinct.visitor_flow(distinct.daily_sketches(rows, ["country"]), ("2024-01-01", "2024-01-07"), ("2024-01-08", "2024-01-21"), ["country"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import FIRST, check, events, pv, ranged, sql
 from footfall.functions.urls import search_words_by_engine
 from footfall.functions.addresses import number_key
-from footfall.operators import joins, ranking, visits
+from footfall.operators import joins, patterns, ranking, visits
 from footfall.sources import testdata
 
 
@@ -419,3 +419,24 @@ def visitor_class(spark, sf_dir):
     rows = pv(spark, sf_dir, "id referer browser_type notes username")
     engine = F.coalesce(F.col("referer").like("%://%.example.org/%"), F.lit(False))
     return classify(rows, engine).select("id", "traffic", "person")
+
+
+_WANTED = """CASE id % 3 WHEN 0 THEN concat(upper(substr(resource, 1, length(resource) - 2)), '!!')
+  WHEN 1 THEN concat('*', right(resource, 6)) ELSE concat(substr(resource, 1, 5), '*', right(resource, 3), '!') END"""
+
+
+@check(
+    "pattern_table",
+    sql(
+        """SELECT p.id, COALESCE(m.hit, false) AS listed FROM pageviews p LEFT JOIN (
+  SELECT DISTINCT v.resource, true AS hit FROM (SELECT DISTINCT resource FROM pageviews) AS v JOIN (
+    SELECT DISTINCT replace(replace(replace(replace(replace(lower(pattern), '\\', '\\\\'), '%', '\\%'), '_', '\\_'), '*', '%'), '!', '_') AS pattern FROM wanted) AS w
+  ON lower(v.resource) LIKE w.pattern ESCAPE '\\') AS m ON m.resource = p.resource""",
+        f"wanted AS (SELECT {_WANTED} AS pattern FROM pageviews WHERE id % 40 = 0 AND resource IS NOT NULL)",
+    ),
+)
+def pattern_table(spark, sf_dir):
+    """Patterns made of every fortieth page view, held against the pages of all."""
+    rows = pv(spark, sf_dir, "id resource")
+    wanted = rows.where("id % 40 = 0 AND resource IS NOT NULL").select(F.expr(_WANTED).alias("pattern"))
+    return patterns.in_pattern_table(rows, wanted, ["resource"], "listed").select("id", "listed")

@@ -23,6 +23,7 @@ from footfall.functions.text import (
 )
 from footfall.functions.urls import normalise_resource, outside_host, search_words, url_part
 from footfall.operators.joins import in_range_table, latest_visit
+from footfall.operators.patterns import in_pattern_table
 from footfall.schema import NOTE_LIMIT, SESSION_SECONDS
 
 # Refusal codes in the order in which they are tested.
@@ -159,6 +160,8 @@ def reject_code(policy: Policy, columns: list[str]) -> Column:
     """
 
     def listed(column: str, spec: str) -> Column:
+        if _LISTED + column in columns:  # a long list has been met as a table
+            return F.col(_LISTED + column)
         return matches_wildcard(column, spec) if spec and column in columns else F.lit(False)
 
     def named_in(column: str, text: str) -> Column:
@@ -207,14 +210,31 @@ def reject_code(policy: Policy, columns: list[str]) -> Column:
 _IN_RANGE = "_in_ignored_range"
 #: Ranges that are tested as one expression; more of them come as a table, with the same answer.
 FEW_RANGES = 32
+_LISTED = "_listed_"
+#: So many patterns of one list are one expression; a longer list comes as a table, with the same answer.
+FEW_PATTERNS = 200
+
+
+def _with_long_lists(hits: DataFrame, policy: Policy) -> DataFrame:
+    lists = {
+        "resource": policy.ignore_resources, "referer": policy.ignore_referers, "content_type": policy.ignore_content_types,
+        "browser": policy.ignore_browsers, "user_agent": policy.ignore_browsers, "platform": policy.ignore_platforms,
+    }
+    for column, spec in lists.items():
+        patterns = [x.strip() for x in spec.split(",") if x.strip()]
+        if len(patterns) > FEW_PATTERNS and column in hits.columns:
+            table = hits.sparkSession.createDataFrame([(x,) for x in patterns], "pattern string")
+            hits = in_pattern_table(hits, table, [column], _LISTED + column)
+    return hits
 
 
 def with_reject_code(hits: DataFrame, policy: Policy) -> DataFrame:
     """Add `reject_code`."""
+    hits = _with_long_lists(hits, policy)
     if len(policy.ignore_ranges) > FEW_RANGES:
         listed = hits.sparkSession.createDataFrame([(r,) for r in policy.ignore_ranges], "cidr string")
         hits = in_range_table(hits, listed, [c for c in ("ip", "other_ip") if c in hits.columns], _IN_RANGE)
-    return hits.withColumn("reject_code", reject_code(policy, hits.columns)).drop(_IN_RANGE)
+    return hits.withColumn("reject_code", reject_code(policy, hits.columns)).drop(_IN_RANGE, *[c for c in hits.columns if c.startswith(_LISTED)])
 
 
 def reject_stats(hits: DataFrame, policy: Policy) -> DataFrame:

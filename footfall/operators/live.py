@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from footfall.functions.text import blank_to_null
 from footfall.functions.times import minute_of
 from footfall.operators.aggregates import top
-from footfall.operators.filters import since
-from footfall.schema import DAY, ONLINE_SECONDS, RECENTLY_ACTIVE_SECONDS
+from footfall.operators.filters import first_day, since
+from footfall.schema import ONLINE_SECONDS, RECENTLY_ACTIVE_SECONDS
 
 MINUTES = 30
-#: A page stays open for this long at most: who is still alive at a moment came no earlier. Days before aren't read.
-LONGEST_PAGE = 7 * DAY
 
 
 def last_activity() -> Column:
@@ -22,6 +20,21 @@ def last_activity() -> Column:
     return F.when((out > 0) & (out >= dt), out).otherwise(dt)
 
 
+def alive_since(df: DataFrame, moment: int, end: int | None = None) -> DataFrame:
+    """Rows that came at `moment` or later or were still alive then, however long ago they came (and came up to `end`).
+
+    A stored table names the first day that still has such a row by its two time columns, where the files' own minima
+    and maxima skip what ended earlier; days before it aren't read for anything else.
+    """
+    rows = df.where((F.col("dt") >= moment) | (F.col("dt_out") >= moment))
+    rows = rows if end is None else rows.where(F.col("dt") <= end)
+    if "dt_date" not in df.columns:
+        return rows
+    oldest = rows.agg(F.min("dt_date")).first()[0]
+    days = F.col("dt_date") >= (first_day(moment) if oldest is None else F.lit(oldest))
+    return rows.where(days if end is None else days & (F.col("dt_date") <= first_day(end)))
+
+
 def window_of(as_of: int, minutes: int = MINUTES) -> tuple[int, int]:
     """First and last minute start of the live window."""
     last = as_of - as_of % 60
@@ -31,8 +44,7 @@ def window_of(as_of: int, minutes: int = MINUTES) -> tuple[int, int]:
 def live_visits(df: DataFrame, as_of: int) -> DataFrame:
     """Visits touching the window with their first and last minute."""
     first, last = window_of(as_of)
-    rows = since(df, first - LONGEST_PAGE, last + 59).where("visit_id > 0")
-    rows = rows.where((F.col("dt") >= first) | (F.col("dt_out") >= first))
+    rows = alive_since(df, first, last + 59).where("visit_id > 0")
     visits = rows.groupBy("visit_id").agg(F.min("dt").alias("began"), F.max(last_activity()).alias("ended"))
     return visits.select(
         "visit_id", minute_of("began").alias("first_minute"), minute_of("ended").alias("last_minute")
@@ -42,8 +54,7 @@ def live_visits(df: DataFrame, as_of: int) -> DataFrame:
 def online_count(df: DataFrame, as_of: int) -> DataFrame:
     """How many visits were active in the last thirty minutes."""
     first, _ = window_of(as_of)
-    rows = since(df, first - LONGEST_PAGE)
-    rows = rows.where((F.col("visit_id") > 0) & ((F.col("dt") >= first) | (F.col("dt_out") >= first)))
+    rows = alive_since(df, first).where("visit_id > 0")
     per = rows.groupBy("visit_id").agg(F.max(last_activity()).alias("ended"))
     return per.agg(F.count_if(minute_of("ended") + 59 >= first).alias("online"))
 
@@ -114,4 +125,4 @@ def online_now(df: DataFrame, column: str, as_of: int, limit: int = 200) -> Data
     where = recently_active(as_of)
     if column == "username":
         where = where & (F.col(column) != "") & F.col(column).isNotNull()
-    return top(since(df, as_of - RECENTLY_ACTIVE_SECONDS - LONGEST_PAGE), [column], where, recent=True, limit=limit, share=False)
+    return top(alive_since(df, as_of - RECENTLY_ACTIVE_SECONDS), [column], where, recent=True, limit=limit, share=False)

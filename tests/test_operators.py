@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.operators import aggregates, deltas, filters, ingest, joins, lifecycle, ranking, series, visits
+from footfall.functions import text
+from footfall.operators import aggregates, deltas, distinct, filters, ingest, joins, lifecycle, live, patterns, ranking, series, visits
 from footfall.plans.ranges import range_of
 from footfall.session import scratch_path
 from footfall.sources import membership, tables
@@ -431,3 +432,71 @@ def test_many_ignored_ranges_come_as_a_table(spark, monkeypatch):
     many = code()
     monkeypatch.setattr(ingest, "FEW_RANGES", 1000)
     assert many == code() and many[3] == 304
+
+
+def test_pages_open_for_weeks_are_online(spark):
+    """A page that came twenty days ago and is still alive counts; one that ended doesn't. Stored and unstored alike."""
+    now = moment("2024-02-01T12:00:00")
+    rows = [(1, now - 20 * 86400, now - 30, 7, "10.0.0.1"), (2, now - 20 * 86400, now - 19 * 86400, 8, "10.0.0.2"), (3, now - 60, None, 9, "10.0.0.3"), (4, now - 40 * 86400, 0, 10, None)]
+    df = spark.createDataFrame(rows, "id long, dt long, dt_out long, visit_id long, ip string")
+    path = scratch_path(spark, "open")
+    tables.append_rows(df, path)
+    stored = spark.read.parquet(path)
+    for table in (df, stored):
+        assert live.online_count(table, now).first().online == 2
+        assert {r.ip for r in live.online_now(table, "ip", now).collect()} == {"10.0.0.1", "10.0.0.3"}
+        assert live.users_per_minute(table, now).agg(F.max("cnt")).first()[0] == 2
+    assert live.online_count(stored.where("id = 4"), now).first().online == 0
+
+
+def test_distinct_of_any_days(spark):
+    """Against sets; one value has most rows, nulls have no number, a second batch keeps the first one's numbers."""
+    rng = random.Random(3)
+    rows = [(f"2024-01-{1 + i % 9:02d}", "hot" if rng.random() < 0.6 else None if rng.random() < 0.1 else f"v{rng.randrange(300)}", rng.choice("ab") if i % 7 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "day string, value string, k string").selectExpr("CAST(day AS DATE) AS dt_date", "value", "k")
+    first = distinct.number_values(df.where("dt_date < '2024-01-04'"), parts=4)
+    more = distinct.number_values(df, first, parts=4)
+    assert distinct.number_values(df, first.unionByName(more), parts=4).count() == 0
+    numbers = first.unionByName(more).collect()
+    assert len({(r.part, r.position) for r in numbers}) == len(numbers) == len({v for _, v, _ in rows if v})
+    sets = distinct.daily_sets(df, first.unionByName(more), ["k"])
+    got = {r.k: r.distinct for r in distinct.merge_sets(sets.where("dt_date BETWEEN '2024-01-02' AND '2024-01-05'"), ["k"]).collect()}
+    assert got == {k: len({v for d, v, x in rows if x == k and v and "2024-01-02" <= d <= "2024-01-05"}) for k in ("a", "b", None)}
+    rolling = {(str(r.dt_date), r.k): r.distinct for r in distinct.rolling_distinct(sets, 3, ["k"]).collect()}
+    days = sorted({d for d, _, _ in rows})
+    assert rolling == {(d, k): len({v for e, v, x in rows if x == k and v and d[:8] + f"{int(d[8:]) - 2:02d}" <= e <= d}) for d in days for k in ("a", "b", None)}
+    assert distinct.merge_sets(sets.where("false"), ["k"]).count() == 0
+
+
+def test_visitor_flow(spark):
+    rows = [("2024-01-01", "a"), ("2024-01-02", "b"), ("2024-01-08", "b"), ("2024-01-09", "c"), ("2024-01-09", "d"), ("2024-01-09", None), ("2024-01-20", "e")]
+    df = spark.createDataFrame(rows, "day string, value string").selectExpr("CAST(day AS DATE) AS dt_date", "value")
+    flow = distinct.visitor_flow(distinct.daily_sketches(df), ("2024-01-01", "2024-01-07"), ("2024-01-08", "2024-01-14")).first()
+    assert tuple(flow) == (2, 1, 1, 0.0)
+    nobody = distinct.visitor_flow(distinct.daily_sketches(df), ("2023-01-01", "2023-01-07"), ("2024-01-08", "2024-01-14")).first()
+    assert tuple(nobody) == (3, 0, 0, 0.0)
+    many = spark.range(60000).selectExpr("CAST(CASE WHEN id < 40000 THEN '2024-01-01' ELSE '2024-01-08' END AS DATE) AS dt_date", "id % 50000 AS value")
+    flow = distinct.visitor_flow(distinct.daily_sketches(many, sharpness=12), ("2024-01-01", "2024-01-07"), ("2024-01-08", "2024-01-14"), sharpness=12).first()
+    for got, want in zip(flow[:3], (10000, 10000, 30000), strict=True):
+        assert 0 < abs(got - want) <= flow.error
+
+
+def test_long_lists_of_patterns(spark, monkeypatch):
+    """A table gives what one expression of the same patterns gives."""
+    rng = random.Random(5)
+    values = ["", "a", "ab", "abc", "ABC", "a.c", "a+b(c", "/blog/x", "/BLOG/été", "x\n", "xyz\n", "\n", "100%", "a_b", "İstanbul", "istanbul", "Kk", None]
+    values += ["".join(rng.choice("abAB./") for _ in range(rng.randrange(9))) for _ in range(200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, value string")
+    lists = [["*"], ["!"], ["!!!"], ["!*!"], ["a*c", "a!c"], ["/blog/*", "*ÉTÉ"], ["a+b(c", "100%", "a_b", "istanbul", "kk"], ["zzz*", "abc*zzz"], ["", " "], []]
+    lists += [["".join(rng.choice("abAB./*!") for _ in range(rng.randrange(1, 6))) for _ in range(40)] for _ in range(2)]
+    for items in lists:
+        table = spark.createDataFrame([(x,) for x in items], "pattern string")
+        got = {r.id for r in patterns.in_pattern_table(df, table, ["value"], "hit").where("hit").collect()}
+        want = {r.id for r in df.where(text.matches_wildcard("value", ",".join(items))).collect()}
+        assert got == want, items
+    hits = df.selectExpr("id", "value AS resource", "1 AS dt", "'10.0.0.1' AS ip")
+    policy = ingest.Policy(ignore_resources=", ".join(f"a{i % 7}*{i}, *b{i}" for i in range(150)) + ", a*, /BLOG/*")
+    code = lambda: {r.id: r.reject_code for r in ingest.with_reject_code(hits, policy).collect()}
+    many = code()
+    monkeypatch.setattr(ingest, "FEW_PATTERNS", 1000)
+    assert many == code() and many[7] == 305
