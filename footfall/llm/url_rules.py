@@ -17,8 +17,6 @@ from footfall.llm.common import stored
 
 #: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Labelled URLs to mine, at most about so many (chosen by a hash of the URL).
-LEARN_FROM = 50_000
 SUPPORT, CONFIDENCE, LONGEST = 0.005, 0.9, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _INDEX = "array<struct<item:string,rules:array<struct<confidence:double,hits:bigint,verdict:string,items:array<string>>>>>"
@@ -63,18 +61,13 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(last, hosts, parts, names, fragment))
 
 
-def mine(labelled: DataFrame, learn_from: int = LEARN_FROM) -> str:
-    """The inverted index as JSON, from rows (tokens, verdict): per token the rules whose rarest token it is.
+def mine(labelled: DataFrame) -> str:
+    """The inverted index as JSON, from all rows (tokens, verdict): per token the rules whose rarest token it is.
 
     What comes to the driver are rules with at least SUPPORT of the rows each, so their number has a bound that doesn't
     depend on the rows.
     """
-    total = labelled.count()
-    if not total:
-        return "[]"
-    share = min(1.0, learn_from / total)
-    drawn = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = stored(drawn.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items")), "baskets")
+    rows = stored(labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items")), "baskets")
     n = rows.count()
     if not n:
         return "[]"
@@ -121,6 +114,6 @@ def judge(pages: DataFrame) -> DataFrame:
     split = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rule, verdict = listed(F.col("host"), F.col("path"))
     split = split.withColumns({"rule": rule, "listed": verdict, "tokens": tokens(F.col("url"), F.col("host"), F.col("path"))})
-    index = mine(split.where(F.col("listed").isNotNull()).select("url", "tokens", F.col("listed").alias("verdict")))
+    index = mine(split.where(F.col("listed").isNotNull()).select("tokens", F.col("listed").alias("verdict")))
     judged = split.withColumn("learned", learned(index, F.col("tokens")))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("listed", "learned", F.lit("allow")).alias("verdict"), "learned")
