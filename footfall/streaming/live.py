@@ -9,6 +9,7 @@ goes (-1), and the number online is their running sum: two rows for a visit, how
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,8 @@ MINUTE = 60
 #: Minutes that a hit keeps its visit online.
 ONLINE = 30
 _SPELL = (ONLINE + 1) * MINUTE
+#: Groups of visits that have their state together.
+GROUPS = 1024
 
 
 def merged_spells(spells: list[tuple[int, int]], minutes: list[int]) -> list[tuple[int, int]]:
@@ -37,12 +40,15 @@ def merged_spells(spells: list[tuple[int, int]], minutes: list[int]) -> list[tup
     return found
 
 
-def online_changes(hits: DataFrame, visit: str = "visit_id", watermark: str = WATERMARK) -> DataFrame:
+def online_changes(hits: DataFrame, visit: str = "visit_id", watermark: str = WATERMARK, groups: int = GROUPS) -> DataFrame:
     """(visit, minute, change, watermark): +1 when a visit comes online, -1 when it has gone.
 
     The state of a visit is its spells that the watermark hasn't passed, one as a rule; a timer ends them. A
     hit that arrives out of order may move or join spells; what was said before is taken back by the opposite
     change. Hits behind the watermark are left to the nightly pass. `watermark` is the watermark (in seconds) when the row was sent.
+
+    Visits are dealt by a hash to `groups`, each with one state and one timer for the first of its spells that ends, so Python is
+    called once for a group and a batch, not for a visit. The number holds for the stream's life.
     """
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,23 +57,32 @@ def online_changes(hits: DataFrame, visit: str = "visit_id", watermark: str = WA
 
     rows = hits.where(F.col(visit).isNotNull()).select(F.col(visit).cast("string").alias("visit"), (F.call_function("div", F.unix_timestamp("ts"), F.lit(MINUTE)) * MINUTE).alias("minute"))
     timed = rows.mapInPandas(distinct, "visit string, minute long").withColumn("ts", F.timestamp_seconds("minute")).withWatermark("ts", watermark)
-
-    def step(owner, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(map(int, s.split(":"))) for s in state.get[0].split(",")] if state.exists else []
-        minutes = set() if state.hasTimedOut else {int(m) for batch in batches for m in batch["minute"]}
-        spells, now = merged_spells(held, sorted(minutes)), state.getCurrentWatermarkMs() // 1000
-        old, new = {low for low, _ in held}, {low for low, _ in spells}
-        sent = [(low + MINUTE, 1) for low in sorted(new - old)] + [(low + MINUTE, -1) for low in sorted(old - new)]
-        sent += [(high + _SPELL, -1) for _, high in spells if high + _SPELL <= now]
-        left = [s for s in spells if s[1] + _SPELL > now]
+    dealt = timed.withColumn("part", F.pmod(F.xxhash64("visit"), F.lit(groups)))
+
+    def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {v: [(low, high) for low, high in spells] for v, spells in json.loads(state.get[0]).items()} if state.exists else {}
+        minutes: dict[str, set[int]] = {}
+        for batch in () if state.hasTimedOut else batches:
+            for v, minute in zip(batch["visit"].tolist(), batch["minute"].tolist(), strict=True):
+                minutes.setdefault(v, set()).add(minute)
+        now, sent = state.getCurrentWatermarkMs() // 1000, []
+        for v, seen in minutes.items():
+            before = held.get(v, [])
+            held[v] = merged_spells(before, sorted(seen))
+            old, new = {low for low, _ in before}, {low for low, _ in held[v]}
+            sent += [(v, low + MINUTE, 1) for low in sorted(new - old)] + [(v, low + MINUTE, -1) for low in sorted(old - new)]
+        sent += [(v, high + _SPELL, -1) for v, spells in held.items() for _, high in spells if high + _SPELL <= now]
+        left = {v: [s for s in spells if s[1] + _SPELL > now] for v, spells in held.items()}
+        left = {v: spells for v, spells in left.items() if spells}
         if left:
-            state.update((",".join(f"{low}:{high}" for low, high in left),))
-            state.setTimeoutTimestamp(max((left[0][1] + _SPELL) * 1000, state.getCurrentWatermarkMs() + 1))
+            state.update((json.dumps(left),))
+            first = min(spells[0][1] for spells in left.values()) + _SPELL
+            state.setTimeoutTimestamp(max(first * 1000, state.getCurrentWatermarkMs() + 1))
         else:
             state.remove()
-        yield pd.DataFrame({"visit": [owner[0]] * len(sent), "minute": [m for m, _ in sent], "change": [c for _, c in sent], "watermark": [max(now, 0)] * len(sent)})
+        yield pd.DataFrame({"visit": [v for v, _, _ in sent], "minute": [m for _, m, _ in sent], "change": [c for _, _, c in sent], "watermark": [max(now, 0)] * len(sent)})
 
-    return timed.groupBy("visit").applyInPandasWithState(step, "visit string, minute long, change int, watermark long", "spells string", "append", GroupStateTimeout.EventTimeTimeout)
+    return dealt.groupBy("part").applyInPandasWithState(step, "visit string, minute long, change int, watermark long", "spells string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stored_changes(hits: DataFrame, visit: str = "visit_id") -> DataFrame:

@@ -196,3 +196,18 @@ def test_state_is_dropped_behind_the_watermark(spark):
     query = writer.option("path", f"{folder}/out").trigger(availableNow=True).start()
     query.awaitTermination()
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 3
+
+
+def test_visits_share_their_state(spark):
+    """Many visits are a few groups, each with one state; the number of groups changes no change."""
+    rng, base = random.Random(5), 1704067200
+    rows = [(i, f"v{rng.randrange(300)}", base + i * 20) for i in range(1200)]
+    stream = one_by_one(spark, [rows[i : i + 300] for i in range(0, 1200, 300)]).withColumn("ts", F.timestamp_seconds("dt")).withColumnRenamed("visitor", "visit_id")
+    said = []
+    for groups in (4, 1_000_000):
+        folder = scratch_path(spark, "shared")
+        changes = run_to_table(live.online_changes(stream, groups=groups), folder)
+        said.append(sorted((r.visit, r.minute, r.change) for r in changes.collect()))
+        open_visits = spark.read.format("statestore").load(f"{folder}/checkpoint").count()
+        assert open_visits <= 4 if groups == 4 else open_visits > 50
+    assert said[0] == said[1] and len(said[0]) > 300
