@@ -20,14 +20,14 @@ from footfall.llm.common import held_out, in_tasks, keep_only, slices, worker_ca
 DIMENSIONS = 640
 GRAM = 3
 SEED = 2024
-#: Training texts of each language, at most about so many (chosen by a hash of the id).
-LEARN_FROM = 4_000
 UNKNOWN = "und"
 #: Three standard deviations of the cosine of unrelated vectors: below it any text looks like no language.
 LEAST_LIKENESS = 3 / DIMENSIONS**0.5
 #: Cosines grow with the number of distinct n-grams. A text must also reach this share of the median of learned texts of its
 #: language and size (the bits of that number), where there are so many of them.
 SHARE, LEAST_TEXTS = 0.5, 20
+#: Decimals of the cosines that the median is taken of: equal ones are counted, so a median sees a bounded number of values.
+DECIMALS = 5
 #: Of fewer n-grams than 2 ** (TELLS - 1), a word or two, the cosine tells nothing: clean texts fall to chance as well, so they stay.
 TELLS = 4
 _SIZES = 32
@@ -91,28 +91,17 @@ def profiler() -> Profiler:
     return _PROFILER["profiler"]
 
 
-def training_texts(docs: DataFrame, learn_from: int = LEARN_FROM) -> DataFrame | None:
-    """(text, lang) of texts with a lang that aren't held out, at most about `learn_from` of each language; None without any."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    spark = docs.sparkSession
-    limits = [(k, max(1, int(min(1.0, learn_from / n) * (1 << 20)))) for k, n in sizes.items()]
-    limit = F.broadcast(spark.createDataFrame(limits, "lang string, limit_ long"))  # a row per language
-    draw = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(1 << 20))
-    return known.select("doc_id", "text", "lang").join(limit, "lang").where(draw < F.col("limit_")).select("text", "lang")
+def training_texts(docs: DataFrame) -> DataFrame:
+    """(text, lang) of all texts with a lang that aren't held out."""
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang")
 
 
-def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> tuple[list[str], np.ndarray]:
-    """(languages, unit prototypes) from the training texts.
+def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(languages, unit prototypes) from all training texts.
 
     Tasks send their sums as whole numbers, so the prototypes don't depend on the order of tasks.
     What reaches the driver is one vector per language.
     """
-    sample = training_texts(docs, learn_from)
-    if sample is None:
-        return [], np.zeros((0, DIMENSIONS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, sums = profiler(), {}
@@ -125,7 +114,7 @@ def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> tuple[list[str], np.
         rows = [pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(rows, ["lang", "total"])
 
-    parts = sample.transform(in_tasks, run, "lang string, total array<long>").select("lang", F.posexplode("total").alias("at", "x"))
+    parts = training_texts(docs).transform(in_tasks, run, "lang string, total array<long>").select("lang", F.posexplode("total").alias("at", "x"))
     totals = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).collect()
     languages = sorted({r["lang"] for r in totals})
     place = {lang: i for i, lang in enumerate(languages)}
@@ -173,7 +162,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def least_likeness(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> np.ndarray:
-    """Per language and size the least cosine of a text that looks like the language; it doesn't fall with the size.
+    """Per language and size the least cosine of a text that looks like the language, from all training texts; it doesn't fall with the size.
 
     Sizes with few training texts of a language go by those of all languages, or else by the smaller sizes.
     """
@@ -187,8 +176,10 @@ def least_likeness(docs: DataFrame, languages: list[str], prototypes: np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["lang", "size", "near"])
 
     near = training_texts(docs).transform(in_tasks, run, "lang string, size int, near double")
-    both = near.unionByName(near.withColumn("lang", F.lit(None).cast("string")))
-    rows = both.groupBy("lang", "size").agg(F.count("*").alias("n"), F.percentile("near", F.lit(0.5)).alias("middle")).where(F.col("n") >= LEAST_TEXTS).collect()
+    each = near.groupBy("lang", "size", F.round("near", DECIMALS).alias("near")).agg(F.count("*").alias("n"))
+    both = each.unionByName(each.withColumn("lang", F.lit(None).cast("string")))
+    middles = both.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.percentile("near", F.lit(0.5), F.col("n")).alias("middle"))
+    rows = middles.where(F.col("n") >= LEAST_TEXTS).collect()
     middle = {(r["lang"], r["size"]): r["middle"] for r in rows}
     for i, lang in enumerate(languages):
         for size in range(_SIZES):

@@ -1,7 +1,9 @@
 """The language stage: texts in scripts that were never learned and gibberish go, clean texts stay."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from footfall.llm import language
@@ -38,3 +40,23 @@ def test_planted_texts(spark, documents):
     assert not kept & {i for i, _ in planted}
     assert {r.doc_id for r in known} <= kept
     assert len(kept & {i for i, _ in short}) >= 198
+
+
+def test_thresholds_come_from_all_texts(spark):
+    """Prototypes and medians by brute force over all training texts of a language with more than a few thousand."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 10)))
+    words = {lang: [word(ALPHABETS[name]) for _ in range(30)] for lang, name in (("el", "greek"), ("ru", "cyrillic"))}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randrange(3, 12))), lang) for i, lang in ((i, "el" if i % 9 else "ru") for i in range(9000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    learned = [(text, lang) for i, text, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert language.training_texts(docs).count() == len(learned) > 6000
+    languages, prototypes = language.learn(docs)
+    tool = language.profiler()
+    found = [(lang, *tool.sized(text)) for text, lang in learned]
+    sums = np.array([sum(np.round(v * (1 << 20)) for each, v, _ in found if each == lang) for lang in languages])
+    assert languages == ["el", "ru"] and np.allclose(prototypes, sums / np.linalg.norm(sums, axis=1, keepdims=True), atol=1e-9)
+    limits = language.least_likeness(docs, languages, prototypes)
+    size = 6
+    near = [float((prototypes @ v).max()) for lang, v, s in found if lang == "el" and s == size]
+    assert len(near) > 1000 and limits[0, size] > limits[0, size - 1] and abs(limits[0, size] - language.SHARE * np.median(near)) < 1e-5
