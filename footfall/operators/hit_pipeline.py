@@ -18,6 +18,8 @@ from footfall.operators import ingest
 from footfall.operators.joins import geo_lookup
 from footfall.operators.lifecycle import append_new
 from footfall.schema import PAGEVIEW
+from footfall.session import scratch_path
+from footfall.sources.tables import drop_path
 from footfall.streaming.runs import run_for_each
 
 #: Text columns that are links; the others are stripped of markup.
@@ -87,8 +89,16 @@ def as_pageviews(rows: DataFrame) -> DataFrame:
 
 
 def store_hits(hits: DataFrame, path: str, policy: ingest.Policy, ranges: DataFrame) -> None:
-    """Append the page views among parsed hits to a stored table; ids that it holds are skipped."""
-    append_new(as_pageviews(page_rows(hits, policy, ranges)), path)
+    """Append the page views among parsed hits to a stored table; ids that it holds are skipped.
+
+    The hits are read and parsed once: page views are staged in the shared folder, since addresses and agents are looked up
+    beside the rows themselves.
+    """
+    spark, stage = hits.sparkSession, scratch_path(hits.sparkSession, "page-hits")
+    pages = hits.where(ingest.is_pageview())
+    pages.write.parquet(stage)
+    append_new(as_pageviews(page_rows(spark.read.schema(pages.schema).parquet(stage), policy, ranges)), path)
+    drop_path(spark, stage)
 
 
 def stream_store_hits(spark: SparkSession, hits: DataFrame, path: str, policy: ingest.Policy, ranges: DataFrame, folder: str) -> None:

@@ -297,6 +297,11 @@ def client_info(hits: DataFrame) -> DataFrame:
     )
 
 
+def is_pageview() -> Column:
+    """No id: the one kind that is told without the other keys."""
+    return blank_to_null("id").isNull()
+
+
 def hit_kind(own_hosts: list[str]) -> Column:
     """What a payload is.
 
@@ -304,12 +309,11 @@ def hit_kind(own_hosts: list[str]) -> Column:
     or a heartbeat. An id with a position: an event, and with a link also a
     download or an outbound click.
     """
-    has_id = blank_to_null("id").isNotNull()
     has_position = blank_to_null("pos").isNotNull()
     has_link = blank_to_null("res").isNotNull()
     path, host = url_part("res", "PATH"), url_part("res", "HOST")
     return (
-        F.when(~has_id, F.lit("pageview"))
+        F.when(is_pageview(), F.lit("pageview"))
         .when(~has_position & blank_to_null("bw").isNotNull(), F.lit("info"))
         .when(~has_position, F.lit("heartbeat"))
         .when(~has_link, F.lit("event"))

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions import text
-from footfall.operators import aggregates, deltas, distinct, filters, ingest, joins, lifecycle, live, patterns, ranking, series, visits
+from footfall.operators import aggregates, deltas, distinct, filters, hit_pipeline, ingest, joins, lifecycle, live, patterns, ranking, series, visits
 from footfall.plans.ranges import range_of
 from footfall.session import scratch_path
 from footfall.sources import membership, tables
+from footfall.sources.hits import RAW, parse_hits
 
 
 def moment(text: str) -> int:
@@ -500,3 +501,20 @@ def test_long_lists_of_patterns(spark, monkeypatch):
     many = code()
     monkeypatch.setattr(ingest, "FEW_PATTERNS", 1000)
     assert many == code() and many[7] == 305
+
+
+def test_raw_hits_are_read_once(spark):
+    """Places and agents are looked up from staged page views, not from the raw hits again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(1704067200 + i, f"10.0.0.{i % 5}", "curl/8.0", '{"res":"aHR0cHM6Ly9leGFtcGxlLmNvbS9h","fh":"f%d"%s}' % (i, ',"id":"7"' if i % 4 else "")) for i in range(40)]
+    raw = spark.createDataFrame(rows, RAW).mapInPandas(counted, RAW)
+    ranges = spark.createDataFrame([(0, 1, "us", "", "", 0.0, 0.0)], "low long, high long, country_code string, city string, subdivision string, latitude double, longitude double")
+    path = scratch_path(spark, "read-once")
+    hit_pipeline.store_hits(parse_hits(raw), path, ingest.Policy(), ranges)
+    assert tables.read_pageviews(spark, path).count() == 10 and seen.value == 40
