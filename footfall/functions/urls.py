@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,9 +88,13 @@ def query_value(url, key: str) -> Column:
 
 
 def search_words(referer, parameters: list[str] | None = None) -> Column:
-    """Search words in a referrer by the first parameter that holds any."""
-    keys = parameters or SEARCH_PARAMETERS
-    return F.trim(F.coalesce(*[query_value(referer, k) for k in keys]))
+    """Search words in a referrer by the first parameter that holds any; a URL is parsed for those that it names."""
+
+    def value(key: str) -> Column:
+        found = query_value(referer, key)  # other keys are patterns to the parser
+        return F.when(F.contains(as_column(referer), F.lit(f"{key}=")), found) if re.fullmatch(r"\w+", key) else found
+
+    return F.trim(F.coalesce(*[value(k) for k in parameters or SEARCH_PARAMETERS]))
 
 
 def search_rank(referer) -> Column:

@@ -14,14 +14,20 @@ from pyspark.sql import types as T
 from footfall.functions.agents import enrich_agents
 from footfall.functions.hashes import anonymous_visit_id
 from footfall.functions.text import as_column
+from footfall.functions.times import day_of
 from footfall.operators import ingest
 from footfall.operators.joins import geo_lookup
-from footfall.operators.lifecycle import append_new
+from footfall.operators.lifecycle import append_new, stored_keys
 from footfall.schema import PAGEVIEW
 from footfall.session import scratch_path
-from footfall.sources.tables import drop_path
+from footfall.sources.membership import ensure_filters
+from footfall.sources.tables import drop_path, exists
 from footfall.streaming.runs import run_for_each
 
+#: What a hit's id is made of, as received.
+HIT_KEY = ["received", "ip", "user_agent", "res", "fh"]
+#: Days between a hit's day in this session's time zone and the day that a session of another zone stored it under.
+ZONES = 2
 #: Text columns that are links; the others are stripped of markup.
 LINKS = ("resource", "referer", "outbound_resource")
 
@@ -43,7 +49,7 @@ def cleaned(rows: DataFrame) -> DataFrame:
     )
 
 
-def hit_id(columns: list[str]) -> Column:
+def hit_id(columns: list) -> Column:
     """A positive number out of what was received."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))
 
@@ -72,7 +78,7 @@ def page_rows(hits: DataFrame, policy: ingest.Policy, ranges: DataFrame) -> Data
     salt = F.date_format(F.timestamp_seconds("dt"), "yyyy-MM-dd")
     judged = ingest.with_reject_code(pages, policy)
     visit = anonymous_visit_id("fingerprint", "ip", "user_agent", "dt", policy.secret, salt)
-    judged = judged.withColumn("id", hit_id(["received", "ip", "user_agent", "res", "fh"])).withColumn("visit_id", visit)
+    judged = judged.withColumn("id", hit_id(HIT_KEY)).withColumn("visit_id", visit)
     given = lambda c: F.col(c) if c in judged.columns else F.lit(False)
     if "other_ip" not in judged.columns:
         judged = judged.withColumn("other_ip", F.lit(None).cast("string"))
@@ -92,13 +98,28 @@ def store_hits(hits: DataFrame, path: str, policy: ingest.Policy, ranges: DataFr
     """Append the page views among parsed hits to a stored table; ids that it holds are skipped.
 
     The hits are read and parsed once: page views are staged in the shared folder, since addresses and agents are looked up
-    beside the rows themselves.
+    beside the rows themselves. A hit's id and day are told by what was received, so equal hits and those that the table holds
+    go before anything is looked up for them; if none are left, nothing more is done.
     """
     spark, stage = hits.sparkSession, scratch_path(hits.sparkSession, "page-hits")
     pages = hits.where(ingest.is_pageview())
+    if "map<" not in pages.schema.simpleString():  # maps can't be compared
+        pages = pages.dropDuplicates()
     pages.write.parquet(stage)
-    append_new(as_pageviews(page_rows(spark.read.schema(pages.schema).parquet(stage), policy, ranges)), path)
-    drop_path(spark, stage)
+    staged, stages = spark.read.schema(pages.schema).parquet(stage), [stage]
+    known, stored = None, exists(spark, path)
+    if stored:
+        ensure_filters(spark, path, PAGEVIEW["id"])
+        ids = staged.select(hit_id(HIT_KEY).alias("id"), day_of("received").alias("dt_date")).distinct()
+        known = stored_keys(ids, path, near=ZONES)
+    if known is not None:
+        stages.append(scratch_path(spark, "new-hits"))
+        staged.join(known, hit_id([staged[c] for c in HIT_KEY]) == known["id"], "left_anti").write.parquet(stages[-1])
+        staged = spark.read.schema(pages.schema).parquet(stages[-1])
+    if not stored or not staged.isEmpty():
+        append_new(as_pageviews(page_rows(staged, policy, ranges)), path, unknown=True)
+    for stage in stages:
+        drop_path(spark, stage)
 
 
 def stream_store_hits(spark: SparkSession, hits: DataFrame, path: str, policy: ingest.Policy, ranges: DataFrame, folder: str) -> None:

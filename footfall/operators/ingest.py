@@ -299,7 +299,7 @@ def client_info(hits: DataFrame) -> DataFrame:
 
 def is_pageview() -> Column:
     """No id: the one kind that is told without the other keys."""
-    return blank_to_null("id").isNull()
+    return F.coalesce("id", F.lit("")) == ""  # names the id once: as a filter it is parsed out of the payload for each mention
 
 
 def hit_kind(own_hosts: list[str]) -> Column:

@@ -29,27 +29,32 @@ from footfall.sources.tables import (
 )
 
 
-def new_rows(rows: DataFrame, path: str, key: str = "id") -> DataFrame:
-    """Rows whose key the table by day at `path` does not hold yet, whatever their day; `rows` have each key once.
+def stored_keys(rows: DataFrame, path: str, key: str = "id", near: int | None = None) -> DataFrame | None:
+    """The keys of `rows` that the table by day at `path` holds, None if the filters deny all; `near` as in `maybe_stored`.
 
     Only days whose filter says maybe are read, the key column alone, and joined with the keys that it said so of.
     """
-    spark = rows.sparkSession
-    maybe = checkpointed(maybe_stored(rows, path, key))
+    maybe = checkpointed(maybe_stored(rows, path, key, near))
     days = _days(maybe)
     if not days:
-        return rows
-    stored = stored_ids(spark, path, rows.schema[key]).where(F.col("dt_date").isin(days)).select(key)
-    return rows.join(stored.join(maybe.select(key).distinct(), key, "left_semi"), key, "left_anti")
+        return None
+    stored = stored_ids(rows.sparkSession, path, rows.schema[key]).where(F.col("dt_date").isin(days)).select(key)
+    return stored.join(maybe.select(key).distinct(), key, "left_semi")
+
+
+def new_rows(rows: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """Rows whose key the table by day at `path` does not hold yet, whatever their day; `rows` have each key once."""
+    known = stored_keys(rows, path, key)
+    return rows if known is None else rows.join(known, key, "left_anti")
 
 
-def append_new(rows: DataFrame, path: str, key: str = "id") -> None:
-    """Append rows with unknown keys; one row per key.
+def append_new(rows: DataFrame, path: str, key: str = "id", unknown: bool = False) -> None:
+    """Append rows with unknown keys; one row per key. `unknown` says that the table is known to hold none of the keys.
 
     The rows are checkpointed, since their keys are looked up, go to the filters, and are written.
     """
     rows, spark = checkpointed(with_day(rows).dropDuplicates([key])), rows.sparkSession
-    if exists(spark, path):
+    if not unknown and exists(spark, path):
         ensure_filters(spark, path, rows.schema[key])
         rows = new_rows(rows, path, key)
     add_filters(rows, path, key)

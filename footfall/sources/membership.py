@@ -73,15 +73,22 @@ def compact_filters(spark: SparkSession, path: str, key: str) -> None:
     ensure_filters(spark, path, field)
 
 
-def maybe_stored(ids: DataFrame, path: str, key: str) -> DataFrame:
-    """(key, dt_date): the ids among `ids` that a day's filter doesn't deny."""
+def maybe_stored(ids: DataFrame, path: str, key: str, near: int | None = None) -> DataFrame:
+    """(key, dt_date): the ids among `ids` that a day's filter doesn't deny.
+
+    With `near`, `ids` have dt_date, and each asks the filters of so many days before and after it alone, however many days there are.
+    """
     spark = ids.sparkSession
     stored = spark.read.schema(_SCHEMA).parquet(members_path(path))
     levels = [r["level"] for r in stored.select("level").distinct().collect()]  # powers of two: a few dozens
     if not levels:
         return spark.createDataFrame([], ids.select(key).schema).withColumn("dt_date", F.lit(None).cast("date"))
-    asked = _hashed(ids.select(key), key).withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
-    asked = asked.select(key, "level", _block(F.col("level")).alias("block"), _positions().alias("at"))
-    met = asked.join(stored, ["level", "block"])
+    asked, day = ids.select(key), []
+    if near is not None:
+        days = F.sequence(F.date_sub("dt_date", near), F.date_add("dt_date", near))
+        asked, day = ids.select(key, F.explode(days).alias("dt_date")), ["dt_date"]
+    asked = _hashed(asked, key).withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    asked = asked.select(key, *day, "level", _block(F.col("level")).alias("block"), _positions().alias("at"))
+    met = asked.join(stored, [*day, "level", "block"])
     present = F.forall("at", lambda p: F.getbit(F.element_at("bits", (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(63).cast("int")) == 1)
     return met.where(present).select(key, "dt_date").distinct()

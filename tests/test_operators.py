@@ -1,5 +1,6 @@
 """Operators against golden rows and brute force on small fixtures."""
 
+import base64
 import datetime as dt
 import random
 import re
@@ -7,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.functions import text
+from footfall.functions import text, urls
 from footfall.operators import aggregates, deltas, distinct, filters, hit_pipeline, ingest, joins, lifecycle, live, patterns, ranking, series, visits
 from footfall.plans.ranges import range_of
 from footfall.session import scratch_path
@@ -518,3 +519,61 @@ def test_raw_hits_are_read_once(spark):
     path = scratch_path(spark, "read-once")
     hit_pipeline.store_hits(parse_hits(raw), path, ingest.Policy(), ranges)
     assert tables.read_pageviews(spark, path).count() == 10 and seen.value == 40
+
+
+def test_hits_that_are_stored_are_not_enriched_again(spark, monkeypatch):
+    """Equal hits and hits whose ids are stored go before places and agents are looked up; rejected ones may come again."""
+    def raw(numbers):
+        rows = [(1704067200 + 43_200 * i if i % 7 else None, f"10.0.0.{i % 5}", "curl/8.0", '{"res":"aHR0cHM6Ly9leGFtcGxlLmNvbS9h","fh":"f%d"}' % i) for i in numbers]
+        return parse_hits(spark.createDataFrame(rows, RAW))
+
+    seen, rows_of = [], hit_pipeline.page_rows
+
+    def counted(hits, *more):
+        seen.append(hits.count())
+        return rows_of(hits, *more)
+
+    monkeypatch.setattr(hit_pipeline, "page_rows", counted)
+    ranges = spark.createDataFrame([(0, 1, "us", "", "", 0.0, 0.0)], "low long, high long, country_code string, city string, subdivision string, latitude double, longitude double")
+    path = scratch_path(spark, "known-hits")
+    for numbers in ([1, 2, 3, 3, 3], [2, 3], [3, 4, 4, 5, 7, 7], [7, 5], [6]):
+        hit_pipeline.store_hits(raw(numbers), path, ingest.Policy(), ranges)
+    assert seen == [3, 3, 1, 1]  # the second batch has nothing new; hit 7 has no time and is refused each time
+    stored = tables.read_pageviews(spark, path)
+    assert sorted(r.fingerprint for r in stored.collect()) == ["f1", "f2", "f3", "f4", "f5", "f6"]
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Kiritimati")  # the same moments fall on other days there
+    try:
+        hit_pipeline.store_hits(raw([1, 2, 3, 4, 5, 6]), path, ingest.Policy(), ranges)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tables.read_pageviews(spark, path).count() == 6
+
+
+def test_equal_ids_of_unlike_hits(spark):
+    """The id leaves out what a payload says of its content, so one refused hit hides no accepted one of the same id."""
+    code = lambda kind: base64.b64encode(('{"content_type":"%s"}' % kind).encode()).decode().translate(str.maketrans("+/=", "._-"))
+    rows = [(1704067200, "10.0.0.1", "curl/8.0", '{"res":"aHR0cHM6Ly9leGFtcGxlLmNvbS9h","fh":"f","ci":"%s"}' % code(kind)) for kind in ("secret", "post")]
+    hits = parse_hits(spark.createDataFrame(rows, RAW)).withColumn("labels", F.create_map(F.lit("a"), F.lit(1)))
+    ranges = spark.createDataFrame([(0, 1, "us", "", "", 0.0, 0.0)], "low long, high long, country_code string, city string, subdivision string, latitude double, longitude double")
+    path = scratch_path(spark, "equal-ids")
+    for _ in range(2):
+        hit_pipeline.store_hits(hits, path, ingest.Policy(ignore_content_types="secret"), ranges)
+        assert [r.content_type for r in tables.read_pageviews(spark, path).collect()] == ["post"]
+
+
+def test_filters_of_near_days(spark):
+    """Asked about a day, filters of far days aren't met: an id stored there is found with all days only."""
+    path, day = scratch_path(spark, "test-near"), 86400
+    lifecycle.append_new(spark.createDataFrame([(i, 1704067200 + (i % 20) * day) for i in range(200)], "id long, dt long"), path)
+    asked = tables.with_day(spark.createDataFrame([(i, 1704067200 + (i % 20 + i // 20) * day) for i in range(200)] + [(7, None)], "id long, dt long"))
+    assert membership.maybe_stored(asked, path, "id").select("id").distinct().count() == 200
+    assert {r.id for r in membership.maybe_stored(asked, path, "id", near=2).collect()} == set(range(60))
+
+
+def test_search_words_parse_named_parameters_only(spark):
+    links = ["http://a.org/?q=x+y", "http://a.org/?qq=1&q=2", "http://a.org/?qs=%C3%A9&q=", "http://a.org/q=1", "http://a.org/#q=1", "a b?q=1", "", None, "http://a.org/?axb=5&a.b=6", "http://a.org/?s= "]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(links)], "id int, link string")
+    for keys in (urls.SEARCH_PARAMETERS, ["q"], ["a.b", "q"]):
+        plain = F.trim(F.coalesce(*[urls.query_value("link", k) for k in keys]))
+        got = df.select(urls.search_words("link", keys).alias("got"), plain.alias("want")).collect()
+        assert [r.got for r in got] == [r.want for r in got]
