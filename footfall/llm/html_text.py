@@ -1,15 +1,21 @@
 """Main text of web pages, with a suffix array per host for what repeats across its pages.
 
 A page is cut into blocks of text. Elements that are never content (menus, headers, footers, adverts, forms,
-scripts, comments) go by their names, classes and ids. Where a page marks its article, the blocks inside are its text.
+scripts, comments) go by their names, classes and ids. Where a page marks its article, the blocks inside are its candidates.
 The other blocks of a host's pages are put behind each other as one stream of tokens; its suffix array
 shows substrings of at least RUN tokens that several distinct pages hold. Tokens covered by those, and whole blocks of
 at least WHOLE tokens that as many pages hold, are boilerplate; a page without a marked article keeps the runs that
 are left. Copies of a page count as one page, and a share of the pages must agree, so common phrases of prose stay.
 
+The blocks of a host's marked articles are a stream of their own. Articles share passages and have near copies, so more is
+asked of it: furniture is what most of the host's distinct articles hold, by three standard errors (so no less than nine).
+It goes from each article, unless that takes more than half of the article's tokens: that one is a near copy and stays whole.
+
 A host's pages are dealt to groups of about GROUP pages, so a host that has a third of all pages makes many tasks. A group
 tells how many distinct pages hold each of its runs and blocks; a host of several groups adds these counts up by the
-hash of the run, so repetition counts over the whole host, and the pages look the frequent ones up.
+hash of the run, so repetition counts over the whole host, and the pages look the frequent ones up. Of articles a group only
+tells runs that a quarter of its articles hold: by the hash that deals n articles to a group, one that most of a host's
+articles hold is below that with odds under exp(-n / 8).
 """
 
 from __future__ import annotations
@@ -17,12 +23,13 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import in_tasks, keep_only, slices, stored
@@ -30,6 +37,8 @@ from footfall.llm.common import in_tasks, keep_only, slices, stored
 #: Boilerplate: substrings of so many tokens, and whole blocks of WHOLE or more, that so many distinct pages of a host and
 #: this share of them have.
 RUN, WHOLE, PAGES, SHARE = 12, 4, 3, 0.01
+#: A group tells what so many of its articles hold, and an article loses no more than this part of itself.
+TOLD, MOST = 0.25, 0.5
 #: Pages of a host that one suffix array covers.
 GROUP = 2_000
 #: A host of several groups is looked up under so many keys.
@@ -171,36 +180,43 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step = 1
     while step < RUN:  # substrings of RUN tokens need no deeper order
         after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
+        after[: max(n - step, 0)] = rank[step:]
         rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
         step *= 2
     order = np.argsort(rank, kind="stable")
     common = np.zeros(n, np.int64)
     if n > 1:
-        a, b = order[1:], order[:-1]
-        alike = np.ones(n - 1, bool)
+        at = np.arange(1, n)  # the suffixes still alike
         for k in range(RUN):
-            inside = (a + k < n) & (b + k < n)
-            alike &= inside & (tokens[np.minimum(a + k, n - 1)] == tokens[np.minimum(b + k, n - 1)])
-            common[1:] += alike
+            a, b = order[at] + k, order[at - 1] + k
+            inside = np.maximum(a, b) < n
+            at, a, b = at[inside], a[inside], b[inside]
+            at = at[tokens[a] == tokens[b]]
+            common[at] += 1
     return order, common
 
 
-def covered(pages: list[list[list[str]]], same: list[int] | None = None, least: int = PAGES) -> list[list[np.ndarray]]:
-    """For each page's blocks of tokens: which tokens lie in a substring of RUN tokens that `least` distinct pages have.
-
-    `same` numbers the pages, with one number for copies (default: all are distinct).
-    """
+def _stream(pages: list[list[list[str]]], same: list[int] | None) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """(numbers of the tokens of all blocks behind each other, the page of each, where each page's blocks lie)."""
     ids: dict[str, int] = {}
-    flat, owner, spans = [], [], []
-    for page, parts in enumerate(pages):
+    flat, ends, spans = [], [], []
+    for parts in pages:
         spans.append([])
         for tokens in parts:
             spans[-1].append((len(flat), len(flat) + len(tokens)))
             flat += [ids.setdefault(t, len(ids)) for t in tokens]
             flat.append(-1 - len(flat))  # no substring goes on into the next block
-            owner += [page if same is None else same[page]] * (len(tokens) + 1)
-    codes, owner = np.array(flat, np.int64), np.array(owner, np.int64)
+        ends.append(len(flat))
+    owner = np.repeat(np.arange(len(pages)) if same is None else np.array(same, np.int64), np.diff(np.array([0, *ends])))
+    return np.array(flat, np.int64), owner, spans
+
+
+def covered(pages: list[list[list[str]]], same: list[int] | None = None, least: int = PAGES) -> list[list[np.ndarray]]:
+    """For each page's blocks of tokens: which tokens lie in a substring of RUN tokens that `least` distinct pages have.
+
+    `same` numbers the pages, with one number for copies (default: all are distinct).
+    """
+    codes, owner, spans = _stream(pages, same)
     cover = np.zeros(len(codes) + RUN, np.int64)
     if len(codes):
         order, common = suffix_array(codes)
@@ -228,25 +244,32 @@ def boilerplate(pages: list[list[list[str]]], whole: list[tuple]) -> list[list[n
     return [[mask | (tuple(tokens) in often) for tokens, mask in zip(parts, masks, strict=True)] for parts, masks in zip(pages, covered(pages, same, least), strict=True)]
 
 
-PARSED = "page_id long, url string, host string, text string, marked boolean, side array<string>, open array<boolean>"
+def _article(found: list[tuple[str, int, bool]]) -> tuple[int, list[str]]:
+    """(level of the article, its blocks); level 0 where none is marked."""
+    best = max([level for _, level, never in found if not never], default=_OPEN)
+    return best, [t for t, level, never in found if not never and level == best] if best else []
+
+
+#: An article is its blocks, one a line.
+PARSED = "page_id long, url string, host string, article string, marked boolean, side array<string>, open array<boolean>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep_only()
     for batch in slices(batches):
-        text, marked, side, free = [], [], [], []
+        articles, marked, side, free = [], [], [], []
         for page in batch.column("html").to_pylist():
             found = blocks(page or "")
-            best = max([level for _, level, never in found if not never], default=_OPEN)
+            best, inside = _article(found)
             marked.append(best > _OPEN)
-            text.append(" ".join([t for t, level, never in found if not never and level == best]) if best else "")
+            articles.append("\n".join(inside))
             rest = [(t, not never) for t, level, never in found if never or level < max(best, _MAIN)]
             side.append([t for t, _ in rest])
             free.append([f for _, f in rest])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(text, pa.string()), pa.array(marked),
+            [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(articles, pa.string()), pa.array(marked),
              pa.array(side, pa.list_(pa.string())), pa.array(free, pa.list_(pa.bool_()))],
-            ["page_id", "url", "host", "text", "marked", "side", "open"],
+            ["page_id", "url", "host", "article", "marked", "side", "open"],
         )
 
 
@@ -277,6 +300,15 @@ class Prints:
             whole = ((codes * powers).sum(keepdims=True) * _WHOLE_SEED + np.uint64(len(codes)))[0]
         return runs, whole
 
+    def mask(self, tokens: list[str], often: np.ndarray) -> np.ndarray:
+        """Which tokens of a block lie in the runs of these numbers; all of them if it's one of the whole blocks."""
+        runs, whole = self.of(tokens)
+        cover = np.zeros(len(tokens) + 1, np.int64)
+        starts = np.flatnonzero(np.isin(runs, often))
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, starts + RUN, -1)
+        return (np.cumsum(cover)[:-1] > 0) | (whole is not None and bool(np.isin(whole, often)))
+
 
 def counted(pages: list[list[list[str]]], same: list[int], prints: Prints) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of the runs and blocks, how many distinct pages hold each); `same` is as in `covered`."""
@@ -368,19 +400,116 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for r in rows:
             if r["often"] is None:
-                parts, masks = [block.split() for block in r["side"]], []
-                for tokens in parts:
-                    runs, whole = prints.of(tokens)
-                    cover = np.zeros(len(tokens) + 1, np.int64)
-                    starts = np.flatnonzero(np.isin(runs, often))
-                    np.add.at(cover, starts, 1)
-                    np.add.at(cover, starts + RUN, -1)
-                    masks.append((np.cumsum(cover)[:-1] > 0) | (whole is not None and bool(np.isin(whole, often))))
-                out.append((r["page_id"], r["url"], _kept_text(parts, masks, r["open"])))
+                parts = [block.split() for block in r["side"]]
+                out.append((r["page_id"], r["url"], _kept_text(parts, [prints.mask(tokens, often) for tokens in parts], r["open"])))
         columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
 
 
+def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marked articles; a task gives most copies only once."""
+    keep_only()
+    seen: set[tuple[str, int]] = set()
+    for batch in slices(batches):
+        hosts, articles = [], []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            best, inside = _article(blocks(page or ""))
+            article = "\n".join(inside)
+            key = (host, xxhash.xxh64_intdigest(article))
+            if best and key not in seen:
+                if len(seen) > 1_000_000:  # only saves work
+                    seen.clear()
+                seen.add(key)
+                hosts.append(host)
+                articles.append(article)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(articles, pa.string())], ["host", "article"])
+
+
+def held_by(articles: list[list[list[str]]], least: int, prints: Prints) -> tuple[list[int], list[int]]:
+    """(numbers of the runs and blocks that `least` of these articles hold, how many hold each); `least` is 2 or more."""
+    codes, owner, spans = _stream(articles, None)
+    order, common = suffix_array(codes)
+    run = np.cumsum(common < RUN)
+    frequent = np.bincount(run)[run] >= least
+    pair = np.unique(run[frequent] * len(articles) + owner[order[frequent]])
+    holders = np.bincount(pair // len(articles))
+    places = [(i, k) for i, parts in enumerate(articles) for k in range(len(parts))]
+    begins = np.array([begin for parts in spans for begin, _ in parts])
+    numbers, counts = [], []
+    for r in np.flatnonzero(holders >= least).tolist():
+        at = order[np.searchsorted(run, r)]
+        block = np.searchsorted(begins, at, "right") - 1
+        i, k = places[block]
+        at -= begins[block]
+        numbers.append(int(prints.of(articles[i][k][at : at + RUN])[0][0]))
+        counts.append(int(holders[r]))
+    wholes = Counter(whole for parts in articles for whole in {tuple(block) for block in parts if len(block) >= WHOLE})
+    for whole, n in wholes.items():
+        if n >= least:
+            numbers.append(int(prints.of(list(whole))[1]))
+            counts.append(n)
+    return numbers, counts
+
+
+def _article_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    prints = Prints()
+    for rows in _groups(batches):
+        articles = [[block.split() for block in article.split("\n")] for article in dict.fromkeys(r["article"] for r in rows)]
+        numbers, n = held_by(articles, max(2, math.ceil(TOLD * len(articles))), prints)
+        columns = [pa.array([rows[0]["host"]] * len(n), pa.string()), pa.array(np.array(numbers, np.uint64).view(np.int64)), pa.array(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "run", "n"])
+
+
+def without(article: list[str], often: np.ndarray, prints: Prints) -> str:
+    """The text of an article's blocks without these runs and blocks; the whole text if they are most of it."""
+    parts = [block.split() for block in article]
+    masks = [prints.mask(tokens, often) for tokens in parts]
+    if sum(int(mask.sum()) for mask in masks) > MOST * sum(map(len, parts)):
+        return " ".join(article)
+    return _kept_text(parts, masks, [True] * len(parts))
+
+
+def _article_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of the pages with a marked article; `often` has the furniture of their host."""
+    prints = Prints()
+    for batch in slices(batches):
+        out = []
+        for page_id, url, page, often in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "often")), strict=True):
+            best, inside = _article(blocks(page or ""))
+            if best:
+                text = " ".join(inside) if often is None else without(inside, np.array(often, np.int64).view(np.uint64), prints)
+                out.append((page_id, url, text))
+        columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
+
+
+def _in_groups(df: DataFrame, large: DataFrame, spot: Column) -> DataFrame:
+    """`df` with the parts of its host and the part that `spot` deals a row to; `large` has the hosts of several parts under each salt."""
+    dealt = df.withColumn("salt", F.pmod(spot, F.lit(SALTS))).join(large, ["host", "salt"], "left").drop("salt")
+    return dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(spot, "parts"))
+
+
+def _marked_texts(pages: DataFrame, parsed: DataFrame, large: DataFrame) -> DataFrame:
+    """The texts of the marked pages: their articles without what most articles of their host hold.
+
+    Articles go to their groups, but the texts aren't written: pages are parsed again, which costs less than the disk.
+    """
+    large = large.select("host", "salt", "parts")
+    articles = pages.select("host", "html").transform(in_tasks, _articles, "host string, article string")
+    articles = _in_groups(articles, large, F.xxhash64("article")).select("host", "part", "article")
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), parsed.count() // GROUP)
+    articles = articles.repartition(tasks, "host", "part").sortWithinPartitions("host", "part")
+    runs = articles.transform(in_tasks, _article_runs, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    distinct = parsed.where("marked").groupBy("host", "article").agg(F.count("*")).groupBy("host").agg(F.count("*").alias("articles"))
+    often = runs.join(distinct, "host").where(F.col("n") >= F.col("articles") / 2 + 1.5 * F.sqrt("articles"))
+    often = often.groupBy("host").agg(F.collect_list("run").alias("often"))
+    parts = large.groupBy("host").agg(F.max("parts").alias("parts"))
+    lists = stored(often.join(parts, "host", "left").select("host", "often", F.coalesce("parts", F.lit(1)).alias("parts")), "furniture")
+    lists = lists.select("host", "often", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    looked = _in_groups(pages, large, F.xxhash64("page_id", "url")).join(lists, ["host", "part"], "left")
+    return looked.select("page_id", "url", "html", "often").transform(in_tasks, _article_texts, "page_id long, url string, text string")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
@@ -391,8 +520,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     The runs that a host's pages share are at most as many as 1 / SHARE pages have, so each group can hold them.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
-    parsed = stored(pages.select("page_id", "url", "html", host.alias("host")).transform(in_tasks, _parse, PARSED), "parsed")
-    beside = parsed.select("host", "page_id", "url", "marked", F.xxhash64("text", "side", "open").alias("digest"), "side", "open")
+    pages = pages.select("page_id", "url", "html", host.alias("host"))
+    digest = F.xxhash64(F.translate("article", "\n", " "), "side", "open").alias("digest")
+    parsed = pages.transform(in_tasks, _parse, PARSED)
+    parsed = stored(parsed.select("host", "page_id", "url", "marked", F.xxhash64("article").alias("article"), digest, "side", "open"), "parsed")
+    beside = parsed.drop("article")
     contents = beside.groupBy("host", "digest").agg(F.count("*").alias("n"))
     sizes = contents.groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
     large = sizes.where(F.col("n") > GROUP).select(
@@ -401,9 +533,8 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
     # few hosts are large, so their table is met where the pages are, or else under a salt
-    spot = F.xxhash64("page_id", "url")
-    dealt = beside.withColumn("salt", F.pmod(spot, F.lit(SALTS))).join(stored(large, "hosts"), ["host", "salt"], "left").drop("salt")
-    dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(spot, "parts"))
+    large = stored(large, "hosts")
+    dealt = _in_groups(beside, large, F.xxhash64("page_id", "url"))
     # copies in several groups are counted by the first of them
     spots = dealt.where("parts > 1").select("host", "parts", "least", "digest", "part").distinct()
     owners = spots.groupBy("host", "digest").agg(F.min("part").alias("owner"), F.max("part").alias("last")).where("owner < last")
@@ -417,7 +548,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     lists = waiting.select("host", "part").distinct().join(often, "host")
     looked = waiting.unionByName(lists, allowMissingColumns=True).repartition("host", "part")
     looked = looked.sortWithinPartitions("host", "part", F.col("often").isNull(), "page_id", "url")
-    found = parsed.where("marked").select("page_id", "url", "text")
-    found = found.unionByName(grouped.where(F.col("kind") == _TEXT_ROW).select("page_id", "url", "text"))
+    found = _marked_texts(pages, parsed, large).unionByName(grouped.where(F.col("kind") == _TEXT_ROW).select("page_id", "url", "text"))
     found = found.unionByName(looked.transform(in_tasks, _unique_runs, "page_id long, url string, text string"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
