@@ -7,7 +7,7 @@ store the same rows, and a hit that is delivered twice is stored once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +21,17 @@ from footfall.operators.lifecycle import append_new, stored_keys
 from footfall.schema import PAGEVIEW
 from footfall.session import scratch_path
 from footfall.sources.membership import ensure_filters
-from footfall.sources.tables import drop_path, exists
+from footfall.sources.tables import drop_path, exists, folder_bytes, folders
 from footfall.streaming.runs import run_for_each
 
 #: What a hit's id is made of, as received.
 HIT_KEY = ["received", "ip", "user_agent", "res", "fh"]
 #: Days between a hit's day in this session's time zone and the day that a session of another zone stored it under.
 ZONES = 2
+#: Page views of a stream wait until they take so many bytes or come from so many batches; then they are stored together.
+WAITING_BYTES, WAITING_BATCHES = 256 << 20, 100
+#: The batch that brought a waiting hit.
+BATCH = "_batch"
 #: Text columns that are links; the others are stripped of markup.
 LINKS = ("resource", "referer", "outbound_resource")
 
@@ -94,17 +98,25 @@ def as_pageviews(rows: DataFrame) -> DataFrame:
     )
 
 
-def store_hits(hits: DataFrame, path: str, policy: ingest.Policy, ranges: DataFrame) -> None:
+def earliest(rows: DataFrame, order: str) -> DataFrame:
+    """Of rows with one id the one with the least `order`."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(order))
+    return rows.withColumn("place_", place).where("place_ = 1").drop("place_")
+
+
+def store_hits(hits: DataFrame, path: str, policy: ingest.Policy, ranges: DataFrame, order: str | None = None) -> None:
     """Append the page views among parsed hits to a stored table; ids that it holds are skipped.
 
     The hits are read and parsed once: page views are staged in the shared folder, since addresses and agents are looked up
     beside the rows themselves. A hit's id and day are told by what was received, so equal hits and those that the table holds
-    go before anything is looked up for them; if none are left, nothing more is done.
+    go before anything is looked up for them; if none are left, nothing more is done. Of accepted hits with one id one is
+    stored, with an `order` column the first.
     """
     spark, stage = hits.sparkSession, scratch_path(hits.sparkSession, "page-hits")
     pages = hits.where(ingest.is_pageview())
     if "map<" not in pages.schema.simpleString():  # maps can't be compared
-        pages = pages.dropDuplicates()
+        told = [c for c in pages.columns if c != order]
+        pages = pages.groupBy(*told).agg(F.min(order).alias(order)) if order else pages.dropDuplicates()
     pages.write.parquet(stage)
     staged, stages = spark.read.schema(pages.schema).parquet(stage), [stage]
     known, stored = None, exists(spark, path)
@@ -117,11 +129,38 @@ def store_hits(hits: DataFrame, path: str, policy: ingest.Policy, ranges: DataFr
         staged.join(known, hit_id([staged[c] for c in HIT_KEY]) == known["id"], "left_anti").write.parquet(stages[-1])
         staged = spark.read.schema(pages.schema).parquet(stages[-1])
     if not stored or not staged.isEmpty():
-        append_new(as_pageviews(page_rows(staged, policy, ranges)), path, unknown=True)
+        rows = page_rows(staged, policy, ranges)
+        if order:
+            rows = earliest(rows.where("reject_code IS NULL"), order)
+        append_new(as_pageviews(rows), path, unknown=True)
     for stage in stages:
         drop_path(spark, stage)
 
 
 def stream_store_hits(spark: SparkSession, hits: DataFrame, path: str, policy: ingest.Policy, ranges: DataFrame, folder: str) -> None:
-    """The same for a stream of hits. `folder` is the stream's own; a repeated batch appends nothing twice."""
-    run_for_each(hits, folder, lambda batch, _: store_hits(batch, path, policy, ranges))
+    """The same for a stream of hits. `folder` is the stream's own; a repeated batch appends nothing twice.
+
+    A batch puts its page views aside in `folder`: one job without a shuffle. Looking up, enriching and appending take some dozens
+    of stages whatever the number of rows, each with plans, threads and figures that the driver keeps for a while, so what
+    waits is stored together, when it is much and at the end of a run. What a run that broke off left is stored by the next one.
+    """
+    waiting, waits = f"{folder}/page-hits", []
+    schema = T.StructType([*hits.schema.fields, T.StructField(BATCH, T.LongType())])
+
+    def store_waiting() -> None:
+        batches = [f"{waiting}/{name}" for name in folders(spark, waiting)]
+        if batches:
+            store_hits(spark.read.schema(schema).parquet(*batches), path, policy, ranges, BATCH)
+        for batch in batches:
+            drop_path(spark, batch)
+        waits.clear()
+
+    def put_aside(batch: DataFrame, number: int) -> None:
+        aside = f"{waiting}/{number}"  # of a repeated batch: the same hits again
+        batch.where(ingest.is_pageview()).withColumn(BATCH, F.lit(number).cast("long")).write.mode("overwrite").parquet(aside)
+        waits.append(folder_bytes(spark, aside))
+        if sum(waits) >= WAITING_BYTES or len(waits) >= WAITING_BATCHES:
+            store_waiting()
+
+    run_for_each(hits, folder, put_aside)
+    store_waiting()

@@ -112,6 +112,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(target) if f.isDirectory()) if system.exists(target) else []
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """What the files below a folder take."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def write_result(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Save the rows of any report; `kind` is csv, json or parquet."""
     options = {"header": "true"} if kind == "csv" else {}

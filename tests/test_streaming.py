@@ -1,14 +1,18 @@
 """Streams over several micro-batches against the batch operators."""
 
+import base64
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from footfall.operators import hit_pipeline, ingest
 from footfall.operators import visits as batch
 from footfall.session import scratch_path
 from footfall.sources import tables
+from footfall.sources.hits import RAW, read_hits, stream_hits
 from footfall.streaming import late, live, visits
 from footfall.streaming.runs import run_to_table
 
@@ -211,3 +215,78 @@ def test_visits_share_their_state(spark):
         open_visits = spark.read.format("statestore").load(f"{folder}/checkpoint").count()
         assert open_visits <= 4 if groups == 4 else open_visits > 50
     assert said[0] == said[1] and len(said[0]) > 300
+
+
+def hit(i, kind="post", own="", referer="https://one.org/"):
+    """A raw hit: `i` tells its time and address, so its id; `own` is the id that a browser gives a follow-up."""
+    code = lambda text: base64.b64encode(text.encode()).decode().translate(str.maketrans("+/=", "._-"))
+    payload = '{"res":"%s","ref":"%s","fh":"f%d","ci":"%s"%s}' % (
+        code("https://example.com/a"), code(referer), i, code('{"content_type":"%s"}' % kind), f',"id":"{own}"' if own else "")
+    return (1704067200 + 7200 * i, f"10.0.0.{i % 5}", "Mozilla/5.0 (X11; Linux x86_64; rv:109.0) Gecko/20100101 Firefox/115.0", payload)
+
+
+def delivered(spark, files):
+    """Raw hits in JSON files, each read by a micro-batch of its own, in order."""
+    path = scratch_path(spark, "raw")
+    for rows in files:
+        spark.createDataFrame(rows, RAW).coalesce(1).write.mode("append").json(path)
+    return path
+
+
+def places(spark):
+    layout = "low long, high long, country_code string, city string, subdivision string, latitude double, longitude double"
+    return spark.createDataFrame([(0, 1, "us", "", "", 0.0, 0.0)], layout)
+
+
+def counted(monkeypatch, name):
+    """The calls of one of the hit pipeline's steps."""
+    calls, step = [], getattr(hit_pipeline, name)
+    monkeypatch.setattr(hit_pipeline, name, lambda *given, **more: calls.append(name) or step(*given, **more))
+    return calls
+
+
+FILES = [[hit(i) for i in range(n, n + 4)] + [hit(n, own="7"), hit(n)] for n in range(0, 14, 2)]  # neighbours share hits
+
+
+@pytest.mark.parametrize("batches, bytes_, rounds", [(100, 1 << 30, 1), (3, 1 << 30, 3), (100, 1, 7)])
+def test_batches_wait_and_are_stored_together(spark, monkeypatch, batches, bytes_, rounds):
+    """Places and agents are looked up once for all that waits, not once per micro-batch; the rows are those of a batch."""
+    path, whole, folder, table = delivered(spark, FILES), scratch_path(spark, "whole"), scratch_path(spark, "hits"), scratch_path(spark, "table")
+    hit_pipeline.store_hits(read_hits(spark, path), whole, ingest.Policy(), places(spark))
+    monkeypatch.setattr(hit_pipeline, "WAITING_BATCHES", batches)
+    monkeypatch.setattr(hit_pipeline, "WAITING_BYTES", bytes_)
+    stored, enriched = counted(monkeypatch, "store_hits"), counted(monkeypatch, "page_rows")
+    for _ in range(2):
+        hit_pipeline.stream_store_hits(spark, stream_hits(spark, path, 1), table, ingest.Policy(), places(spark), folder)
+    assert len(stored) == len(enriched) == rounds
+    got, want = [sorted(map(repr, tables.read_pageviews(spark, p).collect())) for p in (table, whole)]
+    assert got == want and len(got) == 16
+    assert tables.folders(spark, f"{folder}/page-hits") == []
+
+
+@pytest.mark.parametrize("broken", ["append_new", "drop_path"])
+def test_waiting_hits_outlive_a_broken_run(spark, monkeypatch, broken):
+    """What the stream has read is stored by the next run, though no file is new, and once."""
+    path, folder, table = delivered(spark, FILES[:2]), scratch_path(spark, "hits"), scratch_path(spark, "table")
+    run = lambda: hit_pipeline.stream_store_hits(spark, stream_hits(spark, path, 1), table, ingest.Policy(), places(spark), folder)
+
+    def fail(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(hit_pipeline, broken, fail)
+        with pytest.raises(RuntimeError, match="lost"):
+            run()
+    for _ in range(2):
+        run()
+    assert sorted(r.fingerprint for r in tables.read_pageviews(spark, table).collect()) == [f"f{i}" for i in range(6)]
+
+
+def test_of_unlike_hits_with_one_id_the_first_accepted_is_stored(spark):
+    """Also where batches wait together; a refused hit hides none that comes later."""
+    files = [[hit(1, "secret"), hit(2, referer="https://b.org/")], [hit(1, referer="https://z.org/"), hit(2)], [hit(1), hit(2, "secret")], [hit(2)]]
+    path, table = delivered(spark, files), scratch_path(spark, "table")
+    policy = ingest.Policy(ignore_content_types="secret")
+    hit_pipeline.stream_store_hits(spark, stream_hits(spark, path, 1), table, policy, places(spark), scratch_path(spark, "hits"))
+    got = {(r.fingerprint, r.referer, r.content_type) for r in tables.read_pageviews(spark, table).collect()}
+    assert got == {("f1", "https://z.org/", "post"), ("f2", "https://b.org/", "post")}
